@@ -1,8 +1,10 @@
 """Queries of this package and their SQL, for the driver's entry."""
 
-from quillframe.llm import op03_license_scan, op05_url_filters, op09_packing, op10_mixing
+from quillframe.llm import op01_quality_classifier, op02_quality_rules, op03_license_scan, op05_url_filters, op09_packing, op10_mixing
 
 QUERIES = {
+    "op1_quality_classifier": op01_quality_classifier.query,
+    "op2_quality_rules": op02_quality_rules.query,
     "op3_license_scan": op03_license_scan.query,
     "op5_url_filters": op05_url_filters.query,
     "op9_packing": op09_packing.query,
