@@ -1,16 +1,18 @@
 """Queries of this package and their SQL, for the driver's entry."""
 
-from quillframe.llm import op01_quality_classifier, op02_quality_rules, op03_license_scan, op05_url_filters, op09_packing, op10_mixing
+from quillframe.llm import op01_quality_classifier, op02_quality_rules, op03_license_scan, op05_url_filters, op07_ngram_jaccard_join, op09_packing, op10_mixing
 
 QUERIES = {
     "op1_quality_classifier": op01_quality_classifier.query,
     "op2_quality_rules": op02_quality_rules.query,
     "op3_license_scan": op03_license_scan.query,
     "op5_url_filters": op05_url_filters.query,
+    "op7_ngram_jaccard_join": op07_ngram_jaccard_join.query,
     "op9_packing": op09_packing.query,
     "op10_mixing": op10_mixing.query,
 }
 ORACLES = {
+    "op7_ngram_jaccard_join": op07_ngram_jaccard_join.ORACLE,
     "op5_url_filters": op05_url_filters.ORACLE,
     "op10_mixing": op10_mixing.ORACLE,
 }
