@@ -1,13 +1,27 @@
 """Queries of this package and their SQL, for the driver's entry."""
 
-from quillframe.llm import op01_quality_classifier, op02_quality_rules, op03_license_scan, op05_url_filters, op07_ngram_jaccard_join, op09_packing, op10_mixing
+from quillframe.llm import (
+    op01_quality_classifier,
+    op02_quality_rules,
+    op03_license_scan,
+    op04_html_extraction,
+    op05_url_filters,
+    op06_lm_scoring,
+    op07_ngram_jaccard_join,
+    op08_media_columns,
+    op09_packing,
+    op10_mixing,
+)
 
 QUERIES = {
     "op1_quality_classifier": op01_quality_classifier.query,
     "op2_quality_rules": op02_quality_rules.query,
     "op3_license_scan": op03_license_scan.query,
+    "op4_html_extraction": op04_html_extraction.query,
     "op5_url_filters": op05_url_filters.query,
+    "op6_lm_scoring": op06_lm_scoring.query,
     "op7_ngram_jaccard_join": op07_ngram_jaccard_join.query,
+    "op8_media_columns": op08_media_columns.query,
     "op9_packing": op09_packing.query,
     "op10_mixing": op10_mixing.query,
 }
