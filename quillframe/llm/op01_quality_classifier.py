@@ -144,6 +144,11 @@ def with_scores(docs: DataFrame, labels: DataFrame, column: str = "score") -> Da
     return docs.withColumn(column, score("text"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs whose score reaches THRESHOLD, with all their columns."""
+    return with_scores(docs, labels, "_quality_score").filter(F.col("_quality_score") >= THRESHOLD).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = with_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

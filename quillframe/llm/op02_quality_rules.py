@@ -186,6 +186,12 @@ def judge_quality(docs: DataFrame, labels: DataFrame, carry: list[str] | None =
     return apply_rules(counts, learn_rules(counts, labels))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that base test and rules keep, with all their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    return judge_quality(rows, labels, ["doc_id", "row"]).filter("kept").select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

@@ -39,7 +39,9 @@ WORDS, SUFFIXES = 512, 128
 END, START = WORDS + SUFFIXES, WORDS + SUFFIXES + 1
 CLASSES = WORDS + SUFFIXES + 2
 HEAD, WORD_BYTES = 131_072, 64
-DIMENSIONS, NOISE, STEPS, RATE = 48, 10, 300, 0.05
+DIMENSIONS, NOISE, STEPS, RATE = 32, 10, 200, 0.05
+#: Weight decay, in tokens: what it counts for falls as the corpus grows.
+DECAY = 8.0
 #: Words whose class a worker remembers before it starts anew.
 MEMO = 300_000
 
@@ -137,9 +139,7 @@ def train_nce(counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
     unigram = counts.sum(axis=0) + 0.5
     unigram /= unigram.sum()
     data, context = counts / total, counts.sum(axis=1, keepdims=True) / total
-    # Rare contexts would hardly move: weights grow with the root of their share.
-    lift = 1.0 / np.sqrt(np.maximum(context, 1e-9))
-    data, noise = data * lift, NOISE * context * lift * unigram[None, :]
+    noise, decay = NOISE * context * unigram[None, :], DECAY / total
     offset = np.log(NOISE * unigram)[None, :]
     params = [rng.normal(0, 0.1, (size, DIMENSIONS)), rng.normal(0, 0.1, (size, DIMENSIONS)), np.log(unigram)[None, :].copy()]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -147,7 +147,7 @@ def train_nce(counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
         r, q, b = params
         real = 1.0 / (1.0 + np.exp(-np.clip(r @ q.T + b - offset, -30, 30)))
         slope = noise * real - data * (1.0 - real)
-        grads = [slope @ q + 1e-7 * r, slope.T @ r + 1e-7 * q, slope.sum(axis=0, keepdims=True)]
+        grads = [slope @ q + decay * r, slope.T @ r + decay * q, slope.sum(axis=0, keepdims=True)]
         rate = RATE * min(1.0, 2.0 * (1.0 - step / (steps + 1)))
         for p, g, m, v in zip(params, grads, first, second):
             m += 0.1 * (g - m)

@@ -249,6 +249,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, cell_docs: int =
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each group of linked documents, that of the smallest id; rows without an id all stay."""
+    gone = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    known = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return known.select(*docs.columns).union(docs.filter("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 

@@ -6,7 +6,8 @@ from seed and id, is exploded by that count, and all copies are shuffled by a ha
 
 Cases: a null source is a source of its own. A null id hashes as the empty text. Rows that repeat
 an id draw the same count and appear each on its own. A source without a target weight isn't
-drawn. An empty table gives an empty result. Further columns pass through unchanged.
+drawn. An empty table gives an empty result. Further columns pass through unchanged, but for those that
+have the name of a new column: they are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ LAMBDA_STEP = 16.0
 TERMS = 64
 #: The table of sources is broadcast up to this many rows; beyond it, it is joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Columns that mixing adds; input columns of these names give way.
+OWN = ["copy", "n_copies", "shuffle_key"]
 
 
 def uniform(*parts: Column) -> Column:
@@ -33,7 +36,7 @@ def uniform(*parts: Column) -> Column:
 
 
 def source_means(docs: DataFrame, target_weights: dict[str | None, float] | None, repeat: float) -> DataFrame:
-    """(source, draws, cdf): per source the number of draws and the distribution of each; one row for each source."""
+    """(_mix_source, _mix_draws, _mix_cdf): per source the number of draws and the distribution of each; one row for each source."""
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     if target_weights is None:
         weighted = counts.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))
@@ -51,23 +54,24 @@ def source_means(docs: DataFrame, target_weights: dict[str | None, float] | None
         return F.struct(p.alias("p"), F.concat(state["cdf"], F.array(F.element_at(state["cdf"], -1) + p)).alias("cdf"))
 
     cdf = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), start, step, lambda s: s["cdf"])
-    return mean.select(F.col("source").alias("mix_source"), "draws", cdf.alias("cdf"))
+    return mean.select(F.col("source").alias("_mix_source"), F.col("draws").alias("_mix_draws"), cdf.alias("_mix_cdf"))
 
 
 def mix_sources(docs: DataFrame, target_weights: dict[str | None, float] | None = None, repeat: float = 1.0, seed: int = SEED) -> DataFrame:
     """docs with copy (from 1), n_copies and shuffle_key; rows in the order of shuffle_key inside partitions dealt by its hash."""
     means = source_means(docs, target_weights, repeat)
     n_sources = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count()
-    keyed = docs.withColumn("_mix_key", doc_key(F.col("doc_id")))
-    drawn = keyed.join(F.broadcast(means) if n_sources <= BROADCAST_SOURCES else means, keyed["source"].eqNullSafe(F.col("mix_source")))
-    one = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), F.col("_mix_key"), j)))
-    u = uniform(F.lit(seed), F.col("_mix_key"), F.lit(1))
-    first = F.size(F.filter(F.col("cdf"), lambda c: c <= F.col("_mix_u")))
-    rest = F.aggregate(F.when(F.col("draws") > 1, F.sequence(F.lit(2), F.col("draws"))).otherwise(F.array().cast("array<int>")), F.lit(0), lambda s, j: s + one(j))
-    drawn = drawn.withColumn("_mix_u", u).withColumn("n_copies", (first + rest).cast("long")).filter("n_copies > 0")
+    kept = [c for c in docs.columns if c not in OWN]
+    keyed = docs.select(*kept, doc_key(F.col("doc_id")).alias("_mix_key"))
+    drawn = keyed.join(F.broadcast(means) if n_sources <= BROADCAST_SOURCES else means, keyed["source"].eqNullSafe(F.col("_mix_source")))
+    draw = lambda u: F.size(F.filter("_mix_cdf", lambda c: c <= u))
+    later = F.when(F.col("_mix_draws") > 1, F.sequence(F.lit(2), F.col("_mix_draws"))).otherwise(F.array().cast("array<int>"))
+    more = F.aggregate(F.transform(later, lambda j: uniform(F.lit(seed), F.col("_mix_key"), j)), F.lit(0), lambda s, u: s + draw(u))
+    drawn = drawn.withColumn("_mix_u", uniform(F.lit(seed), F.col("_mix_key"), F.lit(1)))
+    drawn = drawn.withColumn("n_copies", (draw(F.col("_mix_u")) + more).cast("long")).filter("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}-shuffle"), F.col("_mix_key"), F.col("copy")).cast("binary"))
-    out = copies.withColumn("shuffle_key", key).select(*docs.columns, "copy", "n_copies", "shuffle_key")
+    out = copies.withColumn("shuffle_key", key).select(*kept, *OWN)
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
