@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from quillframe.functions.samples import threshold
 from quillframe.operators.neighbourhood import PREWITT, edges
-from quillframe.sources.images import pixels
+from quillframe.sources.images import pixels, settled
 
 
 def histogram(rows: DataFrame, value: str = "v", *by: str) -> DataFrame:
@@ -86,7 +86,7 @@ def connected_components(images: DataFrame, background: int = 255) -> DataFrame:
     i_of = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
     start = images.withColumn("lab", F.transform(i_of, lambda i: F.when(F.get("data", i) != background, i).otherwise(-1)))
 
-    def settled(lab: Column) -> Column:
+    def lowest(lab: Column) -> Column:
         def least(i: Column) -> Column:
             y, x = F.floor(i / F.col("width")).cast("int"), (i % F.col("width")).cast("int")
             ok = lambda dy, dx: (y + dy >= 0) & (x + dx >= 0) & (y + dy < F.col("height")) & (x + dx < F.col("width"))
@@ -99,14 +99,14 @@ def connected_components(images: DataFrame, background: int = 255) -> DataFrame:
     rounds = start.select("image_id", "width", "height", "lab")
     done = None
     while True:
-        rounds = rounds.withColumn("old", F.col("lab")).withColumn("lab", settled(F.col("lab"))).withColumn("lab", jump(F.col("lab"))).withColumn("lab", jump(F.col("lab")))
-        rounds = rounds.persist()
+        rounds = settled(rounds.withColumn("old", F.col("lab")).withColumn("lab", lowest(F.col("lab"))))
+        rounds = settled(settled(rounds.withColumn("lab", jump(F.col("lab")))).withColumn("lab", jump(F.col("lab")))).persist()
         still = rounds.filter("lab <> old").limit(1).count()
         done, rounds = rounds, rounds.drop("old")
         if not still:
             break
     roots = F.array_sort(F.array_distinct(F.filter("lab", lambda k: k >= 0)))
-    named = done.withColumn("roots", roots).select("image_id", "width", F.posexplode(F.transform("lab", lambda k: F.when(k >= 0, F.array_position(F.col("roots"), k)).otherwise(0).cast("int"))).alias("at", "label"))
+    named = settled(done.withColumn("roots", roots)).select("image_id", "width", F.posexplode(F.transform("lab", lambda k: F.when(k >= 0, F.array_position(F.col("roots"), k)).otherwise(0).cast("int"))).alias("at", "label"))
     return named.select("image_id", F.expr("at div width").cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), "label")
 
 
@@ -123,7 +123,7 @@ def nearest_component(labels: DataFrame) -> DataFrame:
     """(image_id, y, x, distance, nearest): L1 distance of each pixel to the nearest component; ties to the lower label."""
     spots = labels.groupBy("image_id").agg(F.array_sort(F.collect_list(F.when(F.col("label") > 0, F.struct("label", "y", "x")))).alias("spots"))  # bounded by an image
     near = F.transform("spots", lambda p: F.struct((F.abs(p["y"] - F.col("y")) + F.abs(p["x"] - F.col("x"))).alias("d"), p["label"].alias("l")))
-    found = labels.join(spots, "image_id").withColumn("best", F.array_min(near))
+    found = settled(labels.join(spots, "image_id").withColumn("best", F.array_min(near)).drop("spots"))
     return found.select("image_id", "y", "x", F.col("best.d").alias("distance"), F.col("best.l").alias("nearest"))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.sources.images import at, clamped, from_pixels, inside
+from quillframe.sources.images import at, clamped, from_pixels, inside, settled
 
 
 def _w() -> Column:
@@ -58,12 +58,12 @@ def clip_to_ink(images: DataFrame, margin: int = 1) -> DataFrame:
     """The box of all ink (0) with a white margin; an image without ink stays as it is."""
     ink = F.filter(F.sequence(F.lit(0), _w() * _h() - 1), lambda i: F.get("data", i) == 0)
     xs, ys = F.transform("_ink", lambda i: i % F.col("width")), F.transform("_ink", lambda i: F.floor(i / F.col("width")).cast("int"))
-    boxed = images.withColumn("_ink", ink).withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
+    boxed = settled(images.withColumn("_ink", ink)).withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
     has = F.size("_ink") > 0
     w = F.when(has, F.col("_x1") - F.col("_x0") + 1 + 2 * margin).otherwise(_w())
     h = F.when(has, F.col("_y1") - F.col("_y0") + 1 + 2 * margin).otherwise(_h())
     left, top = F.when(has, F.col("_x0") - margin).otherwise(0), F.when(has, F.col("_y0") - margin).otherwise(0)
-    return from_pixels(boxed, lambda y, x: F.when(inside(y + top, x + left), at(y + top, x + left)).otherwise(255), w, h).drop("_ink", "_x0", "_x1", "_y0", "_y1")
+    return from_pixels(settled(boxed), lambda y, x: F.when(inside(y + top, x + left), at(y + top, x + left)).otherwise(255), w, h).drop("_ink", "_x0", "_x1", "_y0", "_y1")
 
 
 def rotate90(images: DataFrame, turns: int = 1) -> DataFrame:

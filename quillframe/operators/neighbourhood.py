@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillframe.operators.geometry import pad
-from quillframe.sources.images import at, clamped, from_pixels, inside, pixels
+from quillframe.sources.images import at, clamped, from_pixels, inside, pixels, settled
 
 Kernel = list[tuple[int, int, float]]
 
@@ -191,7 +191,8 @@ def non_max_suppression(images: DataFrame, operator=SOBEL) -> DataFrame:
 def distance_map(images: DataFrame, most: int = 240, least: int = -12) -> DataFrame:
     """Background: L1 distance to ink (0). Ink: minus its distance to background, plus 1. Kept between least and most."""
     spot = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda i: F.struct(F.floor(i / F.col("width")).cast("int").alias("y"), (i % F.col("width")).cast("int").alias("x"), (F.get("data", i) == 0).alias("ink")))
-    spots = images.withColumn("_ink", F.filter(spot, lambda p: p["ink"])).withColumn("_back", F.filter(spot, lambda p: ~p["ink"]))
+    spots = settled(images.withColumn("_spot", spot))
+    spots = settled(spots.withColumn("_ink", F.filter("_spot", lambda p: p["ink"])).withColumn("_back", F.filter("_spot", lambda p: ~p["ink"])).drop("_spot"))
     near = lambda where, y, x: F.array_min(F.transform(where, lambda p: F.abs(p["y"] - y) + F.abs(p["x"] - x)))
 
     def value(y: Column, x: Column) -> Column:
@@ -242,9 +243,10 @@ def remove_background(images: DataFrame, radius: int) -> DataFrame:
     back = median_filter(images, radius).select("image_id", F.col("data").alias("_back"))
     both = images.join(back, "image_id")
     lift = F.zip_with("data", "_back", lambda v, b: (F.greatest(b - v, F.lit(0)) * v + (255 - F.greatest(b - v, F.lit(0))) * 255) / 255.0)
-    raised = both.withColumn("data", F.transform(lift, lambda v: F.floor(F.round(v, 9)).cast("int"))).drop("_back")
-    order = F.sort_array("data")
+    raised = settled(both.withColumn("data", F.transform(lift, lambda v: F.floor(F.round(v, 9)).cast("int"))).drop("_back"))
+    raised = settled(raised.withColumn("_order", F.sort_array("data")))
+    order = F.col("_order")
     low, high = F.get(order, F.floor(F.size(order) * 0.02).cast("int")), F.get(order, F.ceil(F.size(order) * 0.98).cast("int") - 1)
-    bounds = raised.withColumn("_low", low).withColumn("_high", high)
+    bounds = settled(raised.withColumn("_low", low).withColumn("_high", high).drop("_order"))
     stretched = F.transform("data", lambda v: F.when(F.col("_high") > F.col("_low"), F.least(F.greatest(F.floor((v - F.col("_low")) * 255 / (F.col("_high") - F.col("_low"))), F.lit(0)), F.lit(255))).otherwise(v).cast("int"))
     return bounds.withColumn("data", stretched).drop("_low", "_high")

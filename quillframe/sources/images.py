@@ -40,6 +40,11 @@ def inside(y: Column, x: Column) -> Column:
     return (y >= 0) & (x >= 0) & (y < F.col("height")) & (x < F.col("width"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as a step of its own. Else Catalyst copies its array expressions into the lambdas of the next step, which would evaluate them for every element."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def from_pixels(images: DataFrame, value, width: Column | None = None, height: Column | None = None) -> DataFrame:
     """images with data made anew: value(y, x) gives each sample; width and height may change with it."""
     w, h = width if width is not None else F.col("width"), height if height is not None else F.col("height")
@@ -47,4 +52,4 @@ def from_pixels(images: DataFrame, value, width: Column | None = None, height: C
     others = [c for c in images.columns if c not in ("width", "height", "data")]
     # In two steps, so that the samples' expressions see the old width and height.
     new = images.select(*others, w.cast("int").alias("_new_width"), h.cast("int").alias("_new_height"), made.alias("_new_data"))
-    return new.select(*others, F.col("_new_width").alias("width"), F.col("_new_height").alias("height"), F.col("_new_data").alias("data"))
+    return settled(new).select(*others, F.col("_new_width").alias("width"), F.col("_new_height").alias("height"), F.col("_new_data").alias("data"))
