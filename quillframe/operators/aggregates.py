@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from quillframe.functions.samples import threshold
 from quillframe.operators.neighbourhood import PREWITT, edges
 from quillframe.sources.images import pixels, settled
+from quillframe.sources.tables import stored
 
 
 def histogram(rows: DataFrame, value: str = "v", *by: str) -> DataFrame:
@@ -100,7 +101,7 @@ def connected_components(images: DataFrame, background: int = 255) -> DataFrame:
     done = None
     while True:
         rounds = settled(rounds.withColumn("old", F.col("lab")).withColumn("lab", lowest(F.col("lab"))))
-        rounds = settled(settled(rounds.withColumn("lab", jump(F.col("lab")))).withColumn("lab", jump(F.col("lab")))).persist()
+        rounds = stored(settled(rounds.withColumn("lab", jump(F.col("lab")))).withColumn("lab", jump(F.col("lab"))), "labels")
         still = rounds.filter("lab <> old").limit(1).count()
         done, rounds = rounds, rounds.drop("old")
         if not still:
@@ -161,7 +162,7 @@ def skew_variance(images: DataFrame, degrees: list[int]) -> DataFrame:
     px = pixels(images, "height").withColumn("a", angles)
     away = (F.col("y") - (F.col("height") - 1) / 2) * F.col("a.c") - F.col("x") * F.col("a.s")
     bins = px.groupBy("image_id", F.col("a.angle").alias("angle"), F.floor(F.round(away, 9) + 0.5).cast("int").alias("place")).agg(F.avg("v").alias("mean"))
-    return bins.groupBy("image_id", "angle").agg(F.round(F.var_pop("mean"), 6).alias("variance"))
+    return bins.groupBy("image_id", "angle").agg(F.round(F.var_pop("mean"), 9).alias("variance"))
 
 
 def skew_angle(images: DataFrame, degrees: list[int]) -> DataFrame:

@@ -16,6 +16,7 @@ from quillframe.operators import matching as M
 from quillframe.operators import morph
 from quillframe.operators import neighbourhood as N
 from quillframe.sources.images import embeddings_as_images, pixels
+from quillframe.sources.tables import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -460,11 +461,11 @@ def runlength_rows(spark, sf):
     return A.run_lengths(pixels(binary(spark, sf)), ["image_id", "y"], "x", F.col("v") == 0)
 
 
-@query("runlength_events", run_sql("ev", "user_id", "at", "event_type = 'click'", "ev AS (SELECT user_id, event_type, (ts, event_id) AS at FROM events)"))
+@query("runlength_events", run_sql("ev", "user_id", "pos", "event_type = 'click'", "ev AS (SELECT user_id, event_type, (ts, event_id) AS pos FROM events)"))
 def runlength_events(spark, sf):
     """Runs of clicks of each user: the same operator on a table of events."""
-    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_type", F.struct("ts", "event_id").alias("at"))
-    return A.run_lengths(events, ["user_id"], "at", F.col("event_type") == "click")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_type", F.struct("ts", "event_id").alias("pos"))
+    return A.run_lengths(events, ["user_id"], "pos", F.col("event_type") == "click")
 
 
 ANGLES = "(SELECT unnest(range(-10, 11, 5)) AS angle)"
@@ -495,7 +496,7 @@ def slant_angle(spark, sf):
 
 
 SKEW = PX + f""", bn AS (SELECT image_id, CAST(angle AS INT) AS angle, floor(round((y - 3.5) * cos(radians(angle)) - x * sin(radians(angle)), 9) + 0.5) AS place, avg(v) AS mean FROM px, {ANGLES} GROUP BY 1, 2, 3),
-  sk AS (SELECT image_id, angle, round(var_pop(mean), 6) AS variance FROM bn GROUP BY 1, 2)"""
+  sk AS (SELECT image_id, angle, round(var_pop(mean), 9) AS variance FROM bn GROUP BY 1, 2)"""
 
 
 @query("skew_variance", f"WITH {SKEW} SELECT * FROM sk")
@@ -601,7 +602,7 @@ def morph_recognise(spark, sf):
 
 
 def merged(spark, sf) -> tuple[DataFrame, DataFrame]:
-    matrix = M.cost_matrix(images(spark, sf)).persist()
+    matrix = stored(M.cost_matrix(images(spark, sf)), "matrix")
     return C.merges(matrix), matrix
 
 
@@ -624,7 +625,7 @@ def hac_key_images(spark, sf):
 def bnb_search(spark, sf):
     """Branch and bound in the training images' tree finds what brute force finds."""
     tests, train = split(spark, sf)
-    matrix = M.cost_matrix(train).persist()
+    matrix = stored(M.cost_matrix(train), "matrix")
     return C.search(tests, train, C.tree_nodes(C.merges(matrix), matrix)).drop("compared")
 
 
