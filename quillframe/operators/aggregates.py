@@ -11,7 +11,11 @@ from pyspark.sql.window import Window
 from quillframe.functions.samples import threshold
 from quillframe.operators.neighbourhood import PREWITT, edges
 from quillframe.sources.images import pixels, settled
-from quillframe.sources.tables import stored
+from quillframe.sources.tables import spread, stored
+
+
+#: Passes over an image's labels before they are looked at again.
+PASSES = 4
 
 
 def histogram(rows: DataFrame, value: str = "v", *by: str) -> DataFrame:
@@ -87,21 +91,19 @@ def connected_components(images: DataFrame, background: int = 255) -> DataFrame:
     i_of = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
     start = images.withColumn("lab", F.transform(i_of, lambda i: F.when(F.get("data", i) != background, i).otherwise(-1)))
 
-    def lowest(lab: Column) -> Column:
-        def least(i: Column) -> Column:
-            y, x = F.floor(i / F.col("width")).cast("int"), (i % F.col("width")).cast("int")
-            ok = lambda dy, dx: (y + dy >= 0) & (x + dx >= 0) & (y + dy < F.col("height")) & (x + dx < F.col("width"))
-            near = [F.when(ok(dy, dx) & (F.get(lab, i + dy * F.col("width") + dx) >= 0), F.get(lab, i + dy * F.col("width") + dx)) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-            return F.when(F.get(lab, i) >= 0, F.array_min(F.array_compact(F.array(*near)))).otherwise(-1)
-
-        return F.transform(i_of, least)
-
-    jump = lambda lab: F.transform(lab, lambda k: F.when(k >= 0, F.get(F.col("lab"), k)).otherwise(-1))
-    rounds = start.select("image_id", "width", "height", "lab")
+    # As SQL text: thousands of Python calls would take longer than the query.
+    around = "flatten(transform(sequence(greatest(y - 1, 0), least(y + 1, height - 1)), k -> slice(lab, k * width + greatest(x - 1, 0) + 1, least(x + 1, width - 1) - greatest(x - 1, 0) + 1)))"
+    one = f"if(get(lab, y * width + x) < 0, -1, array_min(filter({around}, k -> k >= 0)))"
+    lowest = F.expr(f"flatten(transform(sequence(0, height - 1), y -> transform(sequence(0, width - 1), x -> {one})))")
+    jump = F.expr("transform(lab, k -> if(k >= 0, get(lab, k), -1))")
+    rounds = spread(start.select("image_id", "width", "height", "lab"), "image_id")
     done = None
     while True:
-        rounds = settled(rounds.withColumn("old", F.col("lab")).withColumn("lab", lowest(F.col("lab"))))
-        rounds = stored(settled(rounds.withColumn("lab", jump(F.col("lab")))).withColumn("lab", jump(F.col("lab"))), "labels")
+        rounds = settled(rounds.withColumn("old", F.col("lab")))
+        for _ in range(PASSES):
+            rounds = settled(rounds.withColumn("lab", lowest))
+            rounds = settled(rounds.withColumn("lab", jump))
+        rounds = stored(rounds, "labels")
         still = rounds.filter("lab <> old").limit(1).count()
         done, rounds = rounds, rounds.drop("old")
         if not still:

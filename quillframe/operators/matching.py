@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillframe.sources.tables import spread
+
 BLOCK = 512
 SPLIT = 5
 
@@ -44,15 +46,19 @@ def best_matches(queries: DataFrame, items: DataFrame, n: int, distinct_labels:
         for batch in batches:
             for row in batch.itertuples():
                 a_ids, b_ids, a_labels, b_labels, cost = _costs(row)
+                found = []
                 for i in range(len(a_ids)):
-                    order = np.lexsort((b_ids, cost[i]))
+                    few = np.arange(len(b_ids)) if distinct_labels or n >= len(b_ids) else np.flatnonzero(cost[i] <= np.partition(cost[i], n - 1)[n - 1])
+                    order = few[np.lexsort((b_ids[few], cost[i][few]))]
                     if distinct_labels:
                         _, first = np.unique(b_labels[order], return_index=True)
                         order = order[np.sort(first)]
                     order = order[:n]
-                    yield pd.DataFrame({"test_id": a_ids[i], "label": a_labels[i], "train_id": b_ids[order], "train_label": b_labels[order], "cost": cost[i][order].astype(np.int64)})
+                    found.append((np.full(len(order), i), order))
+                i, j = map(np.concatenate, zip(*found))
+                yield pd.DataFrame({"test_id": a_ids[i], "label": a_labels[i], "train_id": b_ids[j], "train_label": b_labels[j], "cost": cost[i, j].astype(np.int64)})
 
-    pairs = blocks(queries, "a").crossJoin(blocks(items, "b"))
+    pairs = spread(blocks(queries, "a").crossJoin(blocks(items, "b")), "a_k", "b_k")
     return pairs.mapInPandas(best, "test_id long, label int, train_id long, train_label int, cost long")
 
 
@@ -127,7 +133,7 @@ def cost_matrix(images: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"i": np.minimum(a[i], b[j]), "j": np.maximum(a[i], b[j]), "cost": cost[i, j].astype(np.int64)})
 
     pairs = blocks(images, "a").crossJoin(blocks(images, "b")).filter("a_k <= b_k")
-    return pairs.mapInPandas(upper, "i long, j long, cost long")
+    return spread(pairs, "a_k", "b_k").mapInPandas(upper, "i long, j long, cost long")
 
 
 def symmetric(matrix: DataFrame) -> DataFrame:
