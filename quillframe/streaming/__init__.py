@@ -1 +1 @@
-
+"""Streams: the engine's queries are batch queries, and no stream operator is needed; this package holds none."""
