@@ -130,7 +130,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
         "doc_id", "n_words", F.size("_starts").cast("long").alias("n_base"),
         F.array_min("_starts").cast("long").alias("first_word"), F.array_max("_starts").cast("long").alias("last_word"),
         join(labelled).alias("base_labels"), join(F.concat(labelled, more)).alias("labels"),
-        F.when(F.size("_starts") > 0, F.lit(1.0)).otherwise(F.least(best, F.lit(1.0))).alias("score"),
+        F.when(F.size("_starts") > 0, F.lit(1.0)).otherwise(F.round(F.least(best, F.lit(1.0)), 9)).alias("score"),
     )
 
 
