@@ -38,7 +38,7 @@ WORDS = 3
 PERCENT = 90
 #: A cell of at most so many documents and shingles is joined in memory.
 CELL_DOCS, CELL_SHINGLES = 4_000, 4_000_000
-PIVOTS, LEVELS = 8, 3
+PIVOTS, LEVELS, REPLICAS = 8, 3, 2.0
 
 _ONE = np.uint64(1)
 
@@ -171,45 +171,58 @@ def _set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
+def in_block_pairs(many: DataFrame, cell_docs: int, cell_shingles: int) -> DataFrame:
+    """Cells that pivots don't part: hashed blocks, each pair of blocks a cell, so that every pair of documents meets in a bounded task."""
+    blocks = F.ceil(F.greatest(F.col("docs") / F.lit(cell_docs / 2), F.col("weight") / F.lit(cell_shingles / 2))).cast("int")
+    dealt = many.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.concat_ws("-", "cell", F.least("mine", "other"), F.greatest("mine", "other"))
+    return dealt.select(pair.alias("cell"), "rep", "n", "shingles")
+
+
 def cut_cells(members: DataFrame, percent: int, cell_docs: int, cell_shingles: int) -> DataFrame:
-    """members (cell, rep, n, shingles) with large cells cut by pivots, and what stays large by pairs of blocks."""
-    eps = 1 - percent / 100
+    """members (cell, rep, n, shingles) with large cells cut by pivots, again and again.
+
+    Where the windows send documents to more than REPLICAS cells on average, pivots don't part a cell (its documents are all
+    about as far from each other), and pairs of blocks take their place.
+    """
+    eps, paired = 1 - percent / 100, []
+    columns = ["cell", "rep", "n", "shingles"]
     for level in range(LEVELS + 1):
         sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"))
         large = stored(sizes.filter((F.col("docs") > cell_docs) | (F.col("weight") > cell_shingles)), "large-cells")
         if not large.limit(1).count():
             break
-        rest = members.join(large, "cell", "left_anti")
+        rest = members.join(large, "cell", "left_anti").select(columns)
         many = members.join(large, "cell")
         if level == LEVELS:
-            # Pivots no longer part these: each pair of blocks is a cell, so that every pair of documents meets.
-            blocks = F.ceil(F.greatest(F.col("docs") / F.lit(cell_docs / 2), F.col("weight") / F.lit(cell_shingles / 2))).cast("int")
-            dealt = many.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            pair = F.concat_ws("-", "cell", F.least("mine", "other"), F.greatest("mine", "other"))
-            return stored(rest.select("cell", "rep", "n", "shingles").union(dealt.select(pair, "rep", "n", "shingles")), "cells")
+            members = rest
+            paired.append(in_block_pairs(many, cell_docs, cell_shingles))
+            break
         # About PIVOTS documents of each cell, by their hash.
         chosen = many.filter(F.pmod(F.xxhash64("rep", F.lit(level)), F.ceil(F.col("docs") / PIVOTS)) == 0)
         pivots = chosen.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("rep", "shingles"))).alias("pivots"))
 
-        def deal(batches: Iterator[pd.DataFrame], level: int = level) -> Iterator[pd.DataFrame]:
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 rows = []
                 for cell, rep, n, raw, near in zip(batch["cell"], batch["rep"], batch["n"], batch["shingles"], batch["pivots"]):
-                    own = _set(raw)
-                    if near is None or len(near) < 2:
-                        rows.append((f"{cell}/0", rep, n, raw))
-                        continue
-                    away = []
-                    for p in near:
+                    own, away = _set(raw), []
+                    for p in near if near is not None else ():
                         other = _set(p["shingles"])
                         common = len(np.intersect1d(own, other, assume_unique=True))
                         away.append(1 - common / (len(own) + len(other) - common))
-                    rows += [(f"{cell}/{k}", rep, n, raw) for k, d in enumerate(away) if d <= min(away) + 2 * eps + 1e-9]
-                yield pd.DataFrame(rows, columns=["cell", "rep", "n", "shingles"])
-
-        parted = many.join(pivots, "cell", "left").select("cell", "rep", "n", "shingles", "pivots").mapInPandas(deal, "cell string, rep long, n long, shingles binary")
-        members = stored(rest.select("cell", "rep", "n", "shingles").union(parted), "cells")
+                    rows += [(cell, f"{cell}/{k}", rep, n, raw) for k, d in enumerate(away or [0.0]) if not away or d <= min(away) + 2 * eps + 1e-9]
+                yield pd.DataFrame(rows, columns=["parent", *columns])
+
+        parted = many.join(pivots, "cell", "left").select(*columns, "pivots").mapInPandas(deal, "parent string, cell string, rep long, n long, shingles binary")
+        parted = stored(parted, "parted")
+        spread = parted.groupBy("parent").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("cell").alias("parts")).join(large, F.col("parent") == F.col("cell"))
+        useful = stored(spread.filter((F.col("rows") <= REPLICAS * F.col("docs")) & (F.col("parts") > 1)).select("parent"), "useful")
+        paired.append(in_block_pairs(many.join(useful, F.col("cell") == F.col("parent"), "left_anti"), cell_docs, cell_shingles))
+        members = stored(rest.union(parted.join(useful, "parent", "left_semi").select(columns)), "cells")
+    for more in paired:
+        members = members.select(columns).union(more)
     return members
 
 
