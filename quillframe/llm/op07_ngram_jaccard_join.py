@@ -37,7 +37,7 @@ WORDS = 3
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 90
 #: A cell of at most so many documents and shingles is joined in memory.
-CELL_DOCS, CELL_SHINGLES = 4_000, 4_000_000
+CELL_DOCS, CELL_SHINGLES = 1_500, 2_000_000
 PIVOTS, LEVELS, REPLICAS = 8, 3, 2.0
 
 _ONE = np.uint64(1)

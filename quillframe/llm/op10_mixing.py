@@ -1,6 +1,7 @@
 """Mixing sources to target weights: Poisson replication with a hash-seeded inverse distribution.
 
-The mean repetition of a source is its target share of the output over its share of the input.
+The mean repetition of a source is its target share of the output over its share of the input; the
+output has on average repeat times as many rows as the sources that have a target weight.
 Each document draws its count by inverting the Poisson distribution at a uniform number hashed
 from seed and id, is exploded by that count, and all copies are shuffled by a hashed key.
 

@@ -138,7 +138,7 @@ def test_mixing_reaches_target_weights(frame):
 
 def test_mixing_large_means(frame):
     docs = frame([(i, "t") for i in range(300)])
-    one = op10.mix_sources(docs, {"src0": 1.0}, repeat=20.0)
+    one = op10.mix_sources(docs, {"src0": 1.0}, repeat=60.0)
     counts = np.array([r["n_copies"] for r in one.select("doc_id", "n_copies").distinct().collect()])
     assert len(counts) == 100 and abs(counts.mean() - 60) < 3 and abs(counts.var() / 60 - 1) < 0.5
 
