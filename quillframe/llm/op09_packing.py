@@ -93,7 +93,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
     bucket = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e < F.col("n_tokens")))
     dealt = lengths.withColumn("bucket", bucket).withColumn("bucket_len", by_bucket(ends, "long"))
     digest = F.md5(doc_key(F.col("doc_id")).cast("binary"))
-    dealt = dealt.withColumn("shard", (F.crc32(doc_key(F.col("doc_id")).cast("binary")) % by_bucket(shards, "long")).cast("int")).withColumn("_order", digest)
+    dealt = dealt.withColumn("_order", digest)
+    dealt = dealt.withColumn("shard", (F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") % by_bucket(shards, "long")).cast("int"))
     rows = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("_order", "doc_id", "n_tokens")) - 1
     fit = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket_len"))).cast("int")
     return dealt.withColumns({"_row": rows, "_fit": fit}).select(
@@ -104,3 +105,34 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDG
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
+
+
+def oracle(buckets: int = BUCKETS) -> str:
+    """The same in SQL: the dynamic program as one step for each bucket, over all pairs of classes."""
+    steps = ["d1 AS (SELECT j, n * d - t AS cost, 0 AS cut FROM c WHERE j > 0)"]
+    for k in range(2, buckets + 1):
+        steps.append(
+            f"d{k} AS (SELECT c.j, min(p.cost + c.n * (c.d - q.d) - (c.t - q.t)) AS cost, arg_min(q.j, (p.cost + c.n * (c.d - q.d) - (c.t - q.t), q.j)) AS cut "
+            f"FROM c JOIN (SELECT j, cost FROM d{k - 1} UNION ALL SELECT 0, 0) p ON p.j < c.j JOIN c q ON q.j = p.j GROUP BY c.j)"
+        )
+    steps.append(f"e{buckets} AS (SELECT max(j) AS j FROM c)")
+    for k in range(buckets, 1, -1):
+        steps.append(f"e{k - 1} AS (SELECT d.cut AS j FROM d{k} d JOIN e{k} USING (j) WHERE d.cut > 0)")
+    ends = " UNION ALL ".join(f"SELECT j FROM e{k}" for k in range(1, buckets + 1))
+    return f"""
+WITH l AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) + 1 AS BIGINT) AS n_tokens FROM documents),
+g AS (SELECT max(n_tokens) AS n, count(*) AS docs, sum(n_tokens) AS toks FROM l
+  GROUP BY CASE WHEN n_tokens <= {EXACT} THEN n_tokens ELSE {EXACT} + ceil(log2(n_tokens / {EXACT}.0) * {STEPS}) END),
+c AS (SELECT row_number() OVER (ORDER BY n) AS j, n, CAST(sum(docs) OVER (ORDER BY n) AS BIGINT) AS d, CAST(sum(toks) OVER (ORDER BY n) AS BIGINT) AS t FROM g
+  UNION ALL SELECT 0, 0, 0, 0),
+{', '.join(steps)},
+b AS (SELECT row_number() OVER (ORDER BY n) - 1 AS bucket, n AS bucket_len, coalesce(lag(n) OVER (ORDER BY n), 0) AS above FROM c WHERE j IN ({ends}) AND j > 0),
+w AS (SELECT l.*, b.bucket, b.bucket_len, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o, CAST(ceil(count(*) OVER (PARTITION BY b.bucket) / {SHARD_DOCS}.0) AS BIGINT) AS shards
+  FROM l JOIN b ON l.n_tokens > b.above AND l.n_tokens <= b.bucket_len),
+s AS (SELECT *, ('0x' || substr(o, 1, 8))::BIGINT % shards AS shard, greatest(1, {TOKEN_BUDGET} // bucket_len) AS fit FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket, shard ORDER BY o, doc_id, n_tokens) - 1 AS k FROM s)
+SELECT doc_id, n_tokens, CAST(bucket AS INT) AS bucket, bucket_len, bucket || '-' || shard || '-' || (k // fit) AS batch_id, CAST(k % fit AS INT) AS slot, bucket_len - n_tokens AS padding FROM r
+"""
+
+
+ORACLE = oracle()

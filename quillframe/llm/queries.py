@@ -28,5 +28,6 @@ QUERIES = {
 ORACLES = {
     "op7_ngram_jaccard_join": op07_ngram_jaccard_join.ORACLE,
     "op5_url_filters": op05_url_filters.ORACLE,
+    "op9_packing": op09_packing.ORACLE,
     "op10_mixing": op10_mixing.ORACLE,
 }
