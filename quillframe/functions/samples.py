@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,16 +58,22 @@ def rgb_of_hsv(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]
     return pick(v, q, p, p, t, v), pick(t, v, v, q, p, p), pick(p, p, t, v, v, q)
 
 
-#: The white that scales X, Y and Z alike. A fixed value.
+#: X, Y and Z of R, G and B, and the white that scales all three. Fixed values.
+XYZ_OF_RGB = ((2.769, 1.7518, 1.13), (1.0, 4.5907, 0.0601), (0.0, 0.0565, 5.5943))
 LAB_WHITE = 1440.954
 
 
 def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """CIE L*a*b* of linear samples; one white for the three coordinates."""
-    xyz = [(r * m[0] + g * m[1] + b * m[2]) / LAB_WHITE for m in ((2.769, 1.7518, 1.13), (1.0, 4.5907, 0.0601), (0.0, 0.0565, 5.5943))]
-    root = lambda t: F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16 / 116)
-    x, y, z = map(root, xyz)
-    return F.when(xyz[1] > 0.008856, 116 * F.cbrt(xyz[1]) - 16).otherwise(903.3 * xyz[1]), 500 * (x - y), 200 * (y - z)
+    """CIE L*a*b* by cube roots alone, with one white for the three coordinates."""
+    x, y, z = (F.cbrt((r * m[0] + g * m[1] + b * m[2]) / LAB_WHITE) for m in XYZ_OF_RGB)
+    return 116 * y - 16, 500 * (x - y), 200 * (y - z)
+
+
+def rgb_of_lab(l: Column, a: Column, b: Column) -> tuple[Column, ...]:
+    """Rounded, and kept in 0 to 255."""
+    y = (l + 16) / 116
+    xyz = [F.pow(c, F.lit(3.0)) * LAB_WHITE for c in (y + a / 500, y, y - b / 200)]
+    return tuple(saturated(F.round(sum((c * float(k) for c, k in zip(xyz[1:], row[1:])), xyz[0] * float(row[0])))) for row in np.linalg.inv(XYZ_OF_RGB))
 
 
 def point_line_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

@@ -653,12 +653,13 @@ def color_hsv(spark, sf):
     return there.select("id", *[F.round(c, 6).alias(c) for c in "hsv"], *[c.alias(n) for c, n in zip(back, ("r2", "g2", "b2"))])
 
 
-@query("color_lab", f"""WITH {RGB}, w AS (SELECT id, (2.769::DOUBLE * r + 1.7518::DOUBLE * g + 1.13::DOUBLE * b) / 1440.954::DOUBLE AS x, (r + 4.5907::DOUBLE * g + 0.0601::DOUBLE * b) / 1440.954::DOUBLE AS y, (0.0565::DOUBLE * g + 5.5943::DOUBLE * b) / 1440.954::DOUBLE AS z FROM rgb),
-  f AS (SELECT id, y, CASE WHEN x > 0.008856 THEN cbrt(x) ELSE 7.787::DOUBLE * x + 16.0::DOUBLE / 116 END AS fx, CASE WHEN y > 0.008856 THEN cbrt(y) ELSE 7.787::DOUBLE * y + 16.0::DOUBLE / 116 END AS fy, CASE WHEN z > 0.008856 THEN cbrt(z) ELSE 7.787::DOUBLE * z + 16.0::DOUBLE / 116 END AS fz FROM w)
-  SELECT id, round(CASE WHEN y > 0.008856 THEN 116 * cbrt(y) - 16 ELSE 903.3::DOUBLE * y END, 5) AS l, round(500 * (fx - fy), 5) AS a, round(200 * (fy - fz), 5) AS b FROM f""")
+@query("color_lab", f"""WITH {RGB}, w AS (SELECT id, r, g, b, cbrt((2.769::DOUBLE * r + 1.7518::DOUBLE * g + 1.13::DOUBLE * b) / 1440.954::DOUBLE) AS x, cbrt((r + 4.5907::DOUBLE * g + 0.0601::DOUBLE * b) / 1440.954::DOUBLE) AS y, cbrt((0.0565::DOUBLE * g + 5.5943::DOUBLE * b) / 1440.954::DOUBLE) AS z FROM rgb)
+  SELECT id, round(116 * y - 16, 5) AS l, round(500 * (x - y), 5) AS a, round(200 * (y - z), 5) AS b, r AS r2, g AS g2, b AS b2 FROM w""")
 def color_lab(spark, sf):
-    l, a, b = samples.lab(F.col("r"), F.col("g"), F.col("b"))
-    return rgb(spark, sf).select("id", F.round(l, 5).alias("l"), F.round(a, 5).alias("a"), F.round(b, 5).alias("b"))
+    """To L*a*b*, and back to the same RGB."""
+    there = rgb(spark, sf).select("id", *[c.alias(n) for n, c in zip("lab", samples.lab(F.col("r"), F.col("g"), F.col("b")))])
+    back = samples.rgb_of_lab(F.col("l"), F.col("a"), F.col("b"))
+    return there.select("id", *[F.round(c, 5).alias(c) for c in "lab"], *[c.alias(n) for c, n in zip(back, ("r2", "g2", "b2"))])
 
 
 PT = "pt AS (SELECT c_custkey AS id, CAST(c_custkey * 13 % 100 AS DOUBLE) AS x, CAST(c_custkey * 29 % 100 AS DOUBLE) AS y FROM customer)"

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What starts a comment that holds a property. A fixed value of the format.
 PROP = "DProp:"
 _TOKEN = re.compile(rb"(?:\s|#([^\n]*)\n)*(\d+)")
 
