@@ -3,7 +3,9 @@
 Jaccard distance is a metric, and the join works in its space: inside a region, pivots make Voronoi
 cells, each document goes to its nearest pivot's cell and to each cell whose pivot is at most
 2 * (1 - threshold) further (by the triangle inequality no link can lie elsewhere), and cells that are
-still large are cut again. Small cells are joined exactly in memory.
+still large are cut again. Small cells are joined exactly in memory. Pivots are the documents that
+share most signatures, as copies surround what they were edited from: links to pivots alone often
+connect a whole cell, which is then done.
 
 Voronoi cells over the raw corpus don't work: documents that share little have distance near 1 to
 every pivot, so the windows would send every document to every cell. So regions come first, from
@@ -24,6 +26,7 @@ null component unless its text equals or links to another's. Further columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,7 +41,7 @@ WORDS = 3
 PERCENT = 90
 #: A cell of at most so many documents and shingles is joined in memory.
 CELL_DOCS, CELL_SHINGLES = 1_500, 2_000_000
-PIVOTS, LEVELS, REPLICAS = 8, 3, 2.0
+PIVOTS, LEVELS, REPLICAS = 8, 4, 2.0
 
 _ONE = np.uint64(1)
 
@@ -131,14 +134,17 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def join_cell(sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each set the smallest index that links reach, exactly.
+def join_cell(sets: list[np.ndarray], percent: int, in_body: list[bool] | None = None) -> list[int]:
+    """For each set the smallest index that links reach, exactly; sets in the body are known to be connected.
 
     By size, each set meets the smaller ones that hold one of its first shingles, counted from the
     cell's rarest on: sets that are linked share one of the first n - ceil(t n) + 1. Pairs that links already
     connect aren't compared.
     """
     root = list(range(len(sets)))
+    body = [i for i, known in enumerate(in_body or ()) if known]
+    for i in body:
+        root[i] = body[0]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -171,59 +177,90 @@ def _set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def in_block_pairs(many: DataFrame, cell_docs: int, cell_shingles: int) -> DataFrame:
-    """Cells that pivots don't part: hashed blocks, each pair of blocks a cell, so that every pair of documents meets in a bounded task."""
-    blocks = F.ceil(F.greatest(F.col("docs") / F.lit(cell_docs / 2), F.col("weight") / F.lit(cell_shingles / 2))).cast("int")
-    dealt = many.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.concat_ws("-", "cell", F.least("mine", "other"), F.greatest("mine", "other"))
-    return dealt.select(pair.alias("cell"), "rep", "n", "shingles")
+def in_block_pairs(open_cells: DataFrame, cell_docs: int, cell_shingles: int) -> DataFrame:
+    """Cells that pivots don't part, in hashed blocks: each block of outliers meets each block of the body, and each other.
 
+    Members of the body (those that links to pivots connect) needn't meet, so the blocks grow with outliers times members only.
+    """
+
+    def blocks(docs: str, weight: str) -> Column:
+        return F.ceil(F.greatest(F.col(docs) / F.lit(cell_docs / 2), F.col(weight) / F.lit(cell_shingles / 2))).cast("int")
+
+    dealt = open_cells.withColumns({"in_body": F.expr("mask & body <> 0"), "bodies": blocks("body_docs", "body_weight"), "outs": blocks("out_docs", "out_weight")})
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("in_body"), F.col("bodies")).otherwise(F.col("outs"))).cast("int"))
+    beside = F.expr("transform(filter(sequence(0, outs - 1), k -> k <> mine), k -> concat_ws('-', 'o', least(mine, k), greatest(mine, k)))")
+    with_body = F.expr("transform(sequence(0, bodies - 1), k -> concat_ws('-', 'b', mine, k))")
+    with_outliers = F.expr("transform(sequence(0, outs - 1), k -> concat_ws('-', 'b', k, mine))")
+    pair = F.explode(F.when(F.col("in_body"), with_outliers).otherwise(F.concat(with_body, beside)))
+    return dealt.withColumn("pair", pair).select(F.concat_ws("-", "parent", "pair").alias("cell"), "rep", "n", "shingles", "in_body")
 
-def cut_cells(members: DataFrame, percent: int, cell_docs: int, cell_shingles: int) -> DataFrame:
-    """members (cell, rep, n, shingles) with large cells cut by pivots, again and again.
 
-    Where the windows send documents to more than REPLICAS cells on average, pivots don't part a cell (its documents are all
-    about as far from each other), and pairs of blocks take their place.
+def cell_plans(parted: DataFrame) -> DataFrame:
+    """For each parent: how far the windows replicate it, and its body: the largest group that links to pivots connect.
+
+    A member's mask has a bit for each pivot it links to. At most 2 ^ PIVOTS masks of a cell are grown into the body.
+    """
+    first = F.col("links").isNotNull()
+    by_mask = parted.groupBy("parent", "mask").agg(F.count_if(first).alias("docs"), F.sum(F.when(first, F.col("n")).otherwise(0)).alias("weight"), F.count(F.lit(1)).alias("rows"), F.collect_set("cell").alias("parts"))
+    whole = by_mask.groupBy("parent").agg(
+        F.collect_list(F.struct("docs", "mask", "weight")).alias("masks"), F.sum("docs").alias("docs"), F.sum("weight").alias("weight"),
+        F.sum("rows").alias("rows"), F.size(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("parts"),
+    )
+    grown = f"aggregate(sequence(1, {PIVOTS}), array_max(filter(masks, m -> m.mask <> 0)).mask, (g, k) -> aggregate(masks, g, (h, m) -> if(m.mask & h <> 0, h | m.mask, h)))"
+    out = "aggregate(filter(masks, m -> m.mask & body = 0), 0L, (s, m) -> s + m.{})"
+    whole = whole.withColumn("body", F.expr(grown))
+    whole = whole.withColumns({"out_docs": F.expr(out.format("docs")), "out_weight": F.expr(out.format("weight"))})
+    return whole.select("parent", "body", "rows", "parts", "docs", "out_docs", "out_weight", (F.col("docs") - F.col("out_docs")).alias("body_docs"), (F.col("weight") - F.col("out_weight")).alias("body_weight"))
+
+
+def cut_cells(members: DataFrame, percent: int, cell_docs: int, cell_shingles: int) -> tuple[DataFrame, DataFrame | None]:
+    """members (cell, rep, degree, n, shingles) with large cells cut by pivots, again and again; and the links to pivots that this finds.
+
+    A cell whose members links to pivots all connect is done. Where the windows send documents to more than REPLICAS cells
+    on average, pivots don't part a cell (its documents are all about as far from each other), and pairs of blocks take
+    their place.
     """
-    eps, paired = 1 - percent / 100, []
-    columns = ["cell", "rep", "n", "shingles"]
-    for level in range(LEVELS + 1):
+    eps, paired, links = 1 - percent / 100, [], []
+    columns, made = ["cell", "rep", "degree", "n", "shingles"], ["cell", "rep", "n", "shingles", "in_body"]
+    for level in range(LEVELS):
         sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"))
-        large = stored(sizes.filter((F.col("docs") > cell_docs) | (F.col("weight") > cell_shingles)), "large-cells")
+        large = stored(sizes.filter((F.col("docs") > cell_docs) | (F.col("weight") > cell_shingles)).select("cell"), "large-cells")
         if not large.limit(1).count():
             break
-        rest = members.join(large, "cell", "left_anti").select(columns)
-        many = members.join(large, "cell")
-        if level == LEVELS:
-            members = rest
-            paired.append(in_block_pairs(many, cell_docs, cell_shingles))
-            break
-        # About PIVOTS documents of each cell, by their hash.
-        chosen = many.filter(F.pmod(F.xxhash64("rep", F.lit(level)), F.ceil(F.col("docs") / PIVOTS)) == 0)
-        pivots = chosen.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("rep", "shingles"))).alias("pivots"))
+        rest, many = members.join(large, "cell", "left_anti").select(columns), members.join(large, "cell", "left_semi")
+        # Of each of PIVOTS hashed parts of a cell, the document that shares the most signatures: those that edits of it surround.
+        slot = F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(PIVOTS))
+        chosen = many.groupBy("cell", slot.alias("slot")).agg(F.max(F.struct("degree", (-F.col("rep")).alias("first"))).alias("top")).select("cell", (-F.col("top.first")).alias("rep"))
+        pivots = many.join(chosen, ["cell", "rep"], "left_semi").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("rep", "shingles"))).alias("pivots"))
 
         def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 rows = []
-                for cell, rep, n, raw, near in zip(batch["cell"], batch["rep"], batch["n"], batch["shingles"], batch["pivots"]):
-                    own, away = _set(raw), []
-                    for p in near if near is not None else ():
+                for cell, rep, degree, n, raw, near in zip(*(batch[c] for c in [*columns, "pivots"])):
+                    own, away, mask, linked_to = _set(raw), [], 0, []
+                    for k, p in enumerate(near):
                         other = _set(p["shingles"])
                         common = len(np.intersect1d(own, other, assume_unique=True))
-                        away.append(1 - common / (len(own) + len(other) - common))
-                    rows += [(cell, f"{cell}/{k}", rep, n, raw) for k, d in enumerate(away or [0.0]) if not away or d <= min(away) + 2 * eps + 1e-9]
-                yield pd.DataFrame(rows, columns=["parent", *columns])
-
-        parted = many.join(pivots, "cell", "left").select(*columns, "pivots").mapInPandas(deal, "parent string, cell string, rep long, n long, shingles binary")
-        parted = stored(parted, "parted")
-        spread = parted.groupBy("parent").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("cell").alias("parts")).join(large, F.col("parent") == F.col("cell"))
-        useful = stored(spread.filter((F.col("rows") <= REPLICAS * F.col("docs")) & (F.col("parts") > 1)).select("parent"), "useful")
-        paired.append(in_block_pairs(many.join(useful, F.col("cell") == F.col("parent"), "left_anti"), cell_docs, cell_shingles))
-        members = stored(rest.union(parted.join(useful, "parent", "left_semi").select(columns)), "cells")
+                        either = len(own) + len(other) - common
+                        away.append(1 - common / either)
+                        if 100 * common >= percent * either:
+                            mask |= 1 << k
+                            linked_to.append(p["rep"])
+                    inside = [k for k, d in enumerate(away) if d <= min(away) + 2 * eps + 1e-9]
+                    rows += [(cell, f"{cell}/{k}", rep, degree, n, raw, mask, linked_to if k == inside[0] else None) for k in inside]
+                yield pd.DataFrame(rows, columns=["parent", *columns, "mask", "links"])
+
+        schema = "parent string, cell string, rep long, degree long, n long, shingles binary, mask int, links array<long>"
+        parted = stored(many.join(pivots, "cell").select(*columns, "pivots").mapInPandas(deal, schema), "parted")
+        links.append(parted.select(F.col("rep").alias("a"), F.explode("links").alias("b")).filter("a <> b"))
+        plans = stored(cell_plans(parted).filter("out_docs > 0"), "cell-plans")
+        parts = (F.col("rows") <= REPLICAS * F.col("docs")) & (F.col("parts") > 1) & F.lit(level + 1 < LEVELS)
+        paired.append(in_block_pairs(parted.filter("links is not null").join(plans.filter(~parts).drop("rows", "parts", "docs"), "parent"), cell_docs, cell_shingles))
+        members = stored(rest.union(parted.join(plans.filter(parts).select("parent"), "parent", "left_semi").select(columns)), "cells")
+    cells = members.withColumn("in_body", F.lit(False)).select(made)
     for more in paired:
-        members = members.select(columns).union(more)
-    return members
+        cells = cells.union(more.select(made))
+    return cells, reduce(DataFrame.union, links) if links else None
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, cell_docs: int = CELL_DOCS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
@@ -232,31 +269,33 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, cell_docs: int =
     same = ["d1", "d2", "n_shingles"]
     reps = sketched.filter("n_shingles > 0").groupBy(*same).agg(F.min_by(F.struct("doc_id", "sigs"), F.col("doc_id")).alias("rep")).filter("rep.doc_id is not null")
     reps = stored(reps.select(*same, F.col("rep.doc_id").alias("rep"), F.col("rep.sigs").alias("sigs")), "classes")
-    # Every class beside the smallest one that has its signature.
-    shared = reps.select("rep", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    edges = reps.select("rep", F.explode("sigs").alias("sig")).join(shared.select("sig", "low"), "sig").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    regions = components(edges)
+    # Every class beside the smallest one that has its signature, and with how many others it shares signatures.
+    shared = reps.select("rep", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("shares")).filter("low < high")
+    beside = reps.select("rep", F.explode("sigs").alias("sig")).join(shared.drop("high"), "sig").groupBy("rep", "low").agg(F.sum("shares").alias("shares"))
+    beside = stored(beside, "shared-signatures")
+    regions = components(beside.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    regions = regions.join(beside.groupBy(F.col("rep").alias("node")).agg(F.sum("shares").alias("degree")), "node")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
             sets = [shingler(t) for t in batch["text"]]
-            yield pd.DataFrame({"cell": batch["root"].astype(str), "rep": batch["node"], "d1": [int(mixed(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64).view(np.int64)) for s in sets], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"cell": batch["root"].astype(str), "rep": batch["node"], "degree": batch["degree"], "d1": [int(mixed(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64).view(np.int64)) for s in sets], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(regions, "node")
-    members = texts.mapInPandas(hashed, "cell string, rep long, d1 long, n long, shingles binary")
+    members = texts.mapInPandas(hashed, "cell string, rep long, degree long, d1 long, n long, shingles binary")
     # Where rows repeat an id with another text, the class' own text counts.
-    members = members.join(reps.select("rep", "d1"), ["rep", "d1"]).select("cell", "rep", "n", "shingles").dropDuplicates(["cell", "rep"])
-    cells = cut_cells(stored(members, "members"), percent, cell_docs, cell_shingles)
+    members = members.join(reps.select("rep", "d1"), ["rep", "d1"]).select("cell", "rep", "degree", "n", "shingles").dropDuplicates(["cell", "rep"])
+    cells, to_pivots = cut_cells(stored(members, "members"), percent, cell_docs, cell_shingles)
 
     def join(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("rep", ignore_index=True).drop_duplicates("rep", ignore_index=True)
-        roots = join_cell([_set(s) for s in cell["shingles"]], percent)
+        roots = join_cell([_set(s) for s in cell["shingles"]], percent, cell["in_body"].tolist())
         ids = cell["rep"].to_numpy()
         return pd.DataFrame({"a": ids, "b": ids[roots]}).query("a != b")
 
     links = cells.groupBy("cell").applyInPandas(join, "a long, b long")
-    roots = components(links)
+    roots = components(links if to_pivots is None else links.union(to_pivots))
     classes = reps.select(*same, "rep").join(roots, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("root", "rep").alias("component_id"))
     found = sketched.select("doc_id", *same).join(classes, same, "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

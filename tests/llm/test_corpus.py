@@ -69,6 +69,18 @@ def test_cells_cut_by_pivots_and_blocks_give_the_same(frame, copies):
     assert got == linked_groups(copies)
 
 
+def test_copies_around_a_text_with_outliers(frame, words):
+    """Copies linked to what they were edited from and not to each other; two groups at a distance that share signatures; chains."""
+    rng, base, rows = random.Random(8), words(300, 77), []
+    rows += [base] + [edited(base, 4, rng) for _ in range(60)]
+    far = edited(base, 9, rng)
+    rows += [far] + [edited(far, 4, rng) for _ in range(20)] + [edited(base, k, rng) for k in range(5, 13)]
+    numbered = [((k * 7) % 101 + 1, t) for k, t in enumerate(rows)]
+    for cell_docs in (8, 30):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op7.jaccard_components(frame(numbered), cell_docs=cell_docs).collect()}
+        assert got == linked_groups(numbered)
+
+
 def test_links_of_odd_rows(frame, odd_rows):
     got = op7.jaccard_components(frame(odd_rows, clash=True)).collect()
     assert len(got) == len(odd_rows)
