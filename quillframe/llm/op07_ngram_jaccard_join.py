@@ -220,18 +220,21 @@ def cut_cells(members: DataFrame, percent: int, cell_docs: int, cell_shingles: i
     on average, pivots don't part a cell (its documents are all about as far from each other), and pairs of blocks take
     their place.
     """
-    eps, paired, links = 1 - percent / 100, [], []
+    eps, cells, links = 1 - percent / 100, [], []
     columns, made = ["cell", "rep", "degree", "n", "shingles"], ["cell", "rep", "n", "shingles", "in_body"]
     for level in range(LEVELS):
         sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("weight"))
         large = stored(sizes.filter((F.col("docs") > cell_docs) | (F.col("weight") > cell_shingles)).select("cell"), "large-cells")
         if not large.limit(1).count():
             break
-        rest, many = members.join(large, "cell", "left_anti").select(columns), members.join(large, "cell", "left_semi")
+        cells.append(members.join(large, "cell", "left_anti").withColumn("in_body", F.lit(False)))
+        many = members.join(large, "cell", "left_semi")
         # Of each of PIVOTS hashed parts of a cell, the document that shares the most signatures: those that edits of it surround.
         slot = F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(PIVOTS))
         chosen = many.groupBy("cell", slot.alias("slot")).agg(F.max(F.struct("degree", (-F.col("rep")).alias("first"))).alias("top")).select("cell", (-F.col("top.first")).alias("rep"))
-        pivots = many.join(chosen, ["cell", "rep"], "left_semi").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("rep", "shingles"))).alias("pivots"))
+        # Both are written, so that their size is known: small ones are broadcast and the cells' sets aren't shuffled.
+        pivots = many.join(stored(chosen, "chosen"), ["cell", "rep"], "left_semi").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("rep", "shingles"))).alias("pivots"))
+        pivots = stored(pivots, "pivots")
 
         def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -252,15 +255,15 @@ def cut_cells(members: DataFrame, percent: int, cell_docs: int, cell_shingles: i
 
         schema = "parent string, cell string, rep long, degree long, n long, shingles binary, mask int, links array<long>"
         parted = stored(many.join(pivots, "cell").select(*columns, "pivots").mapInPandas(deal, schema), "parted")
-        links.append(parted.select(F.col("rep").alias("a"), F.explode("links").alias("b")).filter("a <> b"))
+        # Each document beside its first pivot, and pivots that one document links beside each other.
+        links.append(parted.select(F.col("rep").alias("a"), F.get("links", F.lit(0)).alias("b")).filter("a <> b"))
+        links.append(parted.filter("size(links) > 1").select("links").distinct().select(F.col("links")[0].alias("a"), F.explode("links").alias("b")).filter("a <> b"))
         plans = stored(cell_plans(parted).filter("out_docs > 0"), "cell-plans")
         parts = (F.col("rows") <= REPLICAS * F.col("docs")) & (F.col("parts") > 1) & F.lit(level + 1 < LEVELS)
-        paired.append(in_block_pairs(parted.filter("links is not null").join(plans.filter(~parts).drop("rows", "parts", "docs"), "parent"), cell_docs, cell_shingles))
-        members = stored(rest.union(parted.join(plans.filter(parts).select("parent"), "parent", "left_semi").select(columns)), "cells")
-    cells = members.withColumn("in_body", F.lit(False)).select(made)
-    for more in paired:
-        cells = cells.union(more.select(made))
-    return cells, reduce(DataFrame.union, links) if links else None
+        cells.append(in_block_pairs(parted.filter("links is not null").join(plans.filter(~parts).drop("rows", "parts", "docs"), "parent"), cell_docs, cell_shingles))
+        members = stored(parted.join(plans.filter(parts).select("parent"), "parent", "left_semi").select(columns), "cells")
+    cells.append(members.withColumn("in_body", F.lit(False)))
+    return reduce(DataFrame.union, [c.select(made) for c in cells]), reduce(DataFrame.union, links) if links else None
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, cell_docs: int = CELL_DOCS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
