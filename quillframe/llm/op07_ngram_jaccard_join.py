@@ -277,7 +277,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, cell_docs: int =
     beside = reps.select("rep", F.explode("sigs").alias("sig")).join(shared.drop("high"), "sig").groupBy("rep", "low").agg(F.sum("shares").alias("shares"))
     beside = stored(beside, "shared-signatures")
     regions = components(beside.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    regions = regions.join(beside.groupBy(F.col("rep").alias("node")).agg(F.sum("shares").alias("degree")), "node")
+    degrees = beside.groupBy(F.col("rep").alias("node")).agg(F.sum("shares").alias("degree"))
+    # Written, so that its size is known: where it is small, it is broadcast and texts aren't shuffled.
+    regions = stored(regions.join(degrees, "node"), "regions")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
