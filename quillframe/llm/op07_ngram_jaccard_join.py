@@ -16,10 +16,16 @@ sets of one band, or of neighbouring ones, share one. Components over shared sig
 regions. A signature stands for about ten shingles at once, so that common passages make no
 regions.
 
+Below a threshold of about 0.88 a class holds few shingles, and common passages would join unlike texts. There, (1) a text is
+looked at further only if enough of a fixed sample of its shingles is in other texts: a link leaves at most 1 - t
+of its shingles without a partner. (2) Classes come in groups of three parts. A group in which two linked sets differ by at
+most one shingle agrees on two parts, whose hash is a signature. Some groups more than needed let each set leave
+out as many of its poorest ones. Both are exact.
+
 Copies with equal sets are one class throughout. Sets are held as 64-bit hashes of shingles.
 
 Cases: a null or empty text has no shingles, links with nothing, and its component is its own id.
-A text of one or two words has one shingle. Rows that repeat an id each come out. A null id keeps a
+A text of fewer words than a shingle has one shingle. Rows that repeat an id each come out, and have their own text's component. A null id keeps a
 null component unless its text equals or links to another's. Further columns are ignored.
 """
 
@@ -42,6 +48,8 @@ PERCENT = 90
 #: A cell of at most so many documents and shingles is joined in memory.
 CELL_DOCS, CELL_SHINGLES = 1_500, 2_000_000
 PIVOTS, LEVELS, REPLICAS = 8, 4, 2.0
+#: Where classes hold fewer shingles than this, texts are sampled first (of TENTHS tenths of the hashes) and signatures come from groups of PARTS parts.
+FEW, TENTHS, PARTS, SPARE = 8, 3, 3, 0.3
 
 _ONE = np.uint64(1)
 
@@ -112,21 +120,58 @@ def signatures(shingles: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarr
     return np.concatenate(parts)
 
 
-def sketches(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sigs): a 128-bit digest of each set, and its signatures."""
+def has_few(percent: int) -> bool:
+    """Whether one class for each difference leaves a class fewer than FEW shingles."""
+    return 100 + percent < FEW * 2 * (100 - percent)
+
+
+def sampled(shingles: np.ndarray) -> np.ndarray:
+    """The shingles of a fixed TENTHS tenths of all hashes."""
+    return shingles[mixed(shingles ^ np.uint64(0x3C6EF372)) % np.uint64(10) < np.uint64(TENTHS)]
+
+
+def group_signatures(shingles: np.ndarray, ends: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of the set's own band and of the next, each of a group of classes without one of its PARTS parts.
+
+    At most half as many groups as there are differences have two of them or more, so that spare + 1 groups agree without one
+    part. Signatures of fewer shingles than the poorest one of the group at place spare + 1 are left out: at most spare groups have such ones.
+    """
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    band, found, spread = int(np.searchsorted(ends, len(shingles))), [], mixed(shingles + np.uint64(0x51ED2701))
+    for b in (band, band + 1):
+        most = int(2 * ends[b] * (100 - percent) // (100 + percent))
+        spare = int(SPARE * most / 2)
+        groups = most // 2 + 1 + spare
+        part = (shingles % np.uint64(groups * PARTS)).astype(np.int64)
+        sums = np.zeros(groups * PARTS, np.uint64)
+        np.add.at(sums, part, spread)
+        sums, counts = sums.reshape(groups, PARTS), np.bincount(part, minlength=groups * PARTS).reshape(groups, PARTS)
+        rest, size = sums.sum(1, keepdims=True, dtype=np.uint64) - sums, counts.sum(1, keepdims=True) - counts
+        name = mixed(np.arange(groups * PARTS, dtype=np.uint64) + np.uint64((b + 1) << 40)).reshape(groups, PARTS)
+        found.append(mixed(rest + name)[size >= np.partition(size.min(1), spare)[spare]])
+    return np.concatenate(found)
+
+
+def digest(shingles: np.ndarray, salt: int = 0x1234567) -> int:
+    return int(mixed(shingles ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64))
+
+
+def sketches(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, d1, d2, sigs): a 128-bit digest of each set, and its signatures; where classes hold few shingles, its sample."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, ends = Shingler(), band_ends(percent, 1 << 31)
+        shingler, ends, few = Shingler(words), band_ends(percent, 1 << 31), has_few(percent)
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 s = shingler(text)
-                digest = [int(mixed(s ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for salt in (0x1234567, 0x89ABCDEF01)]
-                rows.append((len(s), *digest, signatures(s, ends, percent).view(np.int64)))
+                sigs = sampled(s) if few else signatures(s, ends, percent)
+                rows.append((len(s), digest(s), digest(s, 0x89ABCDEF01), sigs.view(np.int64)))
             n, d1, d2, sigs = zip(*rows) if rows else ((),) * 4
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": np.array(n, np.int64), "d1": np.array(d1, np.int64), "d2": np.array(d2, np.int64), "sigs": list(sigs)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": np.array(n, np.int64), "d1": np.array(d1, np.int64), "d2": np.array(d2, np.int64), "sigs": list(sigs)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sketch, "doc_id long, n_shingles long, d1 long, d2 long, sigs array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(sketch, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sigs array<long>")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -266,31 +311,56 @@ def cut_cells(members: DataFrame, percent: int, cell_docs: int, cell_shingles: i
     return reduce(DataFrame.union, [c.select(made) for c in cells]), reduce(DataFrame.union, links) if links else None
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, cell_docs: int = CELL_DOCS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of docs."""
-    sketched = stored(sketches(docs, percent), "sketches")
+def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The columns of classes (node, first_id and others) and the texts that have their first id, among them each class' own."""
+    return docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(classes, "first_id")
+
+
+def signed_again(docs: DataFrame, reps: DataFrame, percent: int, words: int) -> DataFrame:
+    """(rep, sigs): the group signatures of classes that have enough of their sample in common with others to be linked."""
+    held = reps.select("rep", F.explode("sigs").alias("sig"))
+    met = held.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("sig")
+    shared = held.join(met, "sig").groupBy("rep").agg(F.count(F.lit(1)).alias("met"))
+    alone = F.size("sigs") - F.coalesce("met", F.lit(0))
+    likely = reps.join(shared, "rep", "left").filter(100 * alone <= (100 - percent) * F.col("n_shingles"))
+    likely = stored(likely.select(F.col("rep").alias("node"), "first_id"), "likely")
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, ends = Shingler(words), band_ends(percent, 1 << 31)
+        for batch in batches:
+            sets = [(node, shingler(text)) for node, text in zip(batch["node"], batch["text"])]
+            sets = [(node, s) for node, s in sets if digest(s) == node]
+            yield pd.DataFrame({"rep": np.array([node for node, _ in sets], np.int64), "sigs": [group_signatures(s, ends, percent).view(np.int64) for _, s in sets]})
+
+    return stored(texts_of(docs, likely).mapInPandas(sign, "rep long, sigs array<long>"), "signed")
+
+
+def verdicts(docs: DataFrame, words: int, percent: int, cell_docs: int, cell_shingles: int) -> DataFrame:
+    """(doc_id, text_hash, d1, d2, n_shingles, component_id, leads), one row for each row of docs; rows that lead are of the first set of their group."""
+    sketched = stored(sketches(docs, percent, words), "sketches")
     same = ["d1", "d2", "n_shingles"]
     reps = sketched.filter("n_shingles > 0").groupBy(*same).agg(F.min_by(F.struct("doc_id", "sigs"), F.col("doc_id")).alias("rep")).filter("rep.doc_id is not null")
-    reps = stored(reps.select(*same, F.col("rep.doc_id").alias("rep"), F.col("rep.sigs").alias("sigs")), "classes")
+    # A class goes by its digest, as an id that repeats can be the first of several.
+    reps = stored(reps.select(*same, F.col("d1").alias("rep"), F.col("rep.doc_id").alias("first_id"), F.col("rep.sigs").alias("sigs")), "classes")
+    signed = signed_again(docs, reps, percent, words) if has_few(percent) else reps.select("rep", "sigs")
     # Every class beside the smallest one that has its signature, and with how many others it shares signatures.
-    shared = reps.select("rep", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("shares")).filter("low < high")
-    beside = reps.select("rep", F.explode("sigs").alias("sig")).join(shared.drop("high"), "sig").groupBy("rep", "low").agg(F.sum("shares").alias("shares"))
+    shared = signed.select("rep", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("shares")).filter("low < high")
+    beside = signed.select("rep", F.explode("sigs").alias("sig")).join(shared.drop("high"), "sig").groupBy("rep", "low").agg(F.sum("shares").alias("shares"))
     beside = stored(beside, "shared-signatures")
     regions = components(beside.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     degrees = beside.groupBy(F.col("rep").alias("node")).agg(F.sum("shares").alias("degree"))
+    firsts = reps.select(F.col("rep").alias("node"), "first_id")
     # Written, so that its size is known: where it is small, it is broadcast and texts aren't shuffled.
-    regions = stored(regions.join(degrees, "node"), "regions")
+    regions = stored(regions.join(degrees, "node").join(firsts, "node"), "regions")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler()
+        shingler = Shingler(words)
         for batch in batches:
-            sets = [shingler(t) for t in batch["text"]]
-            yield pd.DataFrame({"cell": batch["root"].astype(str), "rep": batch["node"], "degree": batch["degree"], "d1": [int(mixed(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64).view(np.int64)) for s in sets], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+            # Where rows repeat an id with another text, the class' own text counts.
+            rows = [(str(root), node, degree, len(s), s.tobytes()) for root, node, degree, s in zip(batch["root"], batch["node"], batch["degree"], map(shingler, batch["text"])) if digest(s) == node]
+            yield pd.DataFrame(rows, columns=["cell", "rep", "degree", "n", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(regions, "node")
-    members = texts.mapInPandas(hashed, "cell string, rep long, degree long, d1 long, n long, shingles binary")
-    # Where rows repeat an id with another text, the class' own text counts.
-    members = members.join(reps.select("rep", "d1"), ["rep", "d1"]).select("cell", "rep", "degree", "n", "shingles").dropDuplicates(["cell", "rep"])
+    members = texts_of(docs, regions).mapInPandas(hashed, "cell string, rep long, degree long, n long, shingles binary").dropDuplicates(["cell", "rep"])
     cells, to_pivots = cut_cells(stored(members, "members"), percent, cell_docs, cell_shingles)
 
     def join(cell: pd.DataFrame) -> pd.DataFrame:
@@ -301,15 +371,28 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, cell_docs: int =
 
     links = cells.groupBy("cell").applyInPandas(join, "a long, b long")
     roots = components(links if to_pivots is None else links.union(to_pivots))
-    classes = reps.select(*same, "rep").join(roots, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("root", "rep").alias("component_id"))
-    found = sketched.select("doc_id", *same).join(classes, same, "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    groups = roots.join(firsts, "node").groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("first"))
+    classes = reps.drop("sigs").join(roots.join(groups, "root").select(F.col("node").alias("rep"), "first"), "rep", "left")
+    classes = classes.select(*same, F.coalesce("first.first_id", "first_id").alias("component_id"), F.coalesce(F.col("first.node") == F.col("rep"), F.lit(True)).alias("leads"))
+    found = sketched.select("doc_id", "text_hash", *same).join(classes, same, "left")
+    return found.withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("leads", F.coalesce(F.col("leads"), F.lit(True)) & (F.col("doc_id") == F.col("component_id")))
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, cell_docs: int = CELL_DOCS, cell_shingles: int = CELL_SHINGLES, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of docs."""
+    return verdicts(docs, words, percent, cell_docs, cell_shingles).select("doc_id", "n_shingles", "component_id")
+
 
+def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each group of linked sets, that of the smallest id; rows without an id all stay.
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of linked documents, that of the smallest id; rows without an id all stay."""
-    gone = jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    Where an id repeats with different sets, each has its own verdict. Of rows that repeat an id and a set, one counts.
+    """
+    found = stored(verdicts(docs, words, percent, CELL_DOCS, CELL_SHINGLES).filter("doc_id is not null"), "verdicts")
+    keys = ["doc_id", "text_hash"]
+    kept = found.filter("leads").groupBy("doc_id", "d1", "d2", "n_shingles").agg(F.min("text_hash").alias("text_hash")).select(keys)
+    gone = found.select(keys).join(kept, keys, "left_anti").distinct()
+    known = docs.filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).join(gone, keys, "left_anti").dropDuplicates(keys)
     return known.select(*docs.columns).union(docs.filter("doc_id is null"))
 
 

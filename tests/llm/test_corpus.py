@@ -90,6 +90,49 @@ def test_links_of_odd_rows(frame, odd_rows):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "6", "7", "8", "9", "None", "None"])
 
 
+def test_keep_first_by_five_words_and_80_percent(spark, frame, tmp_path, copies, words):
+    """A block of 18 % inserted and scattered edits pass 0.8 over five words, and not 0.9 over three."""
+    rng = random.Random(11)
+    base, other = words(300, 401), words(400, 402)
+    block = " ".join(base.split()[:150]) + " " + words(54, 403) + " " + " ".join(base.split()[150:])
+    cut = other.split()
+    for k in range(40, 400, 50):
+        cut[k] = "changed"
+    rows = [(2001, base), (2002, block), (2003, other), (2004, " ".join(cut)), *copies]
+    five = lambda t: {tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set()
+    sets = {i: five(t) for i, t in rows}
+    assert all(0.8 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.9 for a, b in ((2001, 2002), (2003, 2004)))
+    root = {i: i for i in sets}
+    pairs = [(i, j) for i, j in itertools.combinations(sorted(sets), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    for i, j in pairs * 8:
+        root[i] = root[j] = min(root[i], root[j])
+    for cell_docs in (6, op7.CELL_DOCS):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op7.jaccard_components(frame(rows), words=5, percent=80, cell_docs=cell_docs).collect()}
+        assert got == {i: (len(sets[i]), root[i]) for i in sets}
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, frame(rows), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in sets if root[i] == i)
+
+
+def test_texts_of_a_repeated_id_have_their_own_verdicts(frame, words):
+    a, b, c = words(200, 501), words(200, 502), words(200, 503)
+    rng = random.Random(12)
+    near = {t: edited(t, 1, rng) for t in (a, b, c)}
+    rows = [(1, a), (5, a), (5, b), (5, b.upper()), (6, near[b]), (7, c), (7, near[c]), (8, None), (8, words(20, 504))]
+    kept = sorted((r["doc_id"], (r["text"] or "").lower()) for r in op7.keep_first(frame(rows)).collect())
+    assert [k for k in kept if k[0] != 7] == sorted([(1, a), (5, b), (8, ""), (8, words(20, 504))])
+    assert [t for i, t in kept if i == 7] in ([c], [near[c]])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**40), min_size=1, max_size=120), st.sets(st.integers(2**41, 2**42), max_size=30), st.integers(0, 30), st.sampled_from([50, 80]))
+def test_linked_sets_share_a_group_signature(common, more, less, percent):
+    a = op7.mixed(np.array(sorted(common), np.uint64))
+    b = np.concatenate([a[min(less, len(a) - 1) :], op7.mixed(np.array(sorted(more), np.uint64))])
+    ends = op7.band_ends(percent, 1 << 20)
+    if op7.linked(np.unique(a), np.unique(b), percent):
+        assert set(op7.group_signatures(np.unique(a), ends, percent)) & set(op7.group_signatures(np.unique(b), ends, percent))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="aB \t\né\x0b", max_size=40))
 def test_shingler_counts_as_brute_force(text):
