@@ -5,7 +5,8 @@ adjusted for links: C/T * log_b((C/LC) * (T/LT)) with b = ln(C/NLC * LC + LCbody
 and NLC are all, linked and other characters, T and LT tags and link tags (0 counts as 1 below a
 line). The node with the largest sum of child densities is the core; the least density on the path
 from it up to the body is the threshold. Each node of at least that density adds the subtree of the largest
-sum below it. What elements, roles or class names declare to be menus, headers, footers, sidebars,
+sum below it. The article or main element around the core, if there is one, adds its headings, short blocks and bare text too,
+all but blocks that are mostly links. What elements, roles or class names declare to be menus, headers, footers, sidebars,
 notices, adverts, forms or reader comments isn't in the tree at all.
 
 Cases: null, empty and text-free pages give an empty text. Pages that break off, unclosed and
@@ -207,6 +208,15 @@ def score(nodes: list[Node]) -> None:
         node.density = c / t * max(math.log(c / lc * (t / lt)), 0.0) / max(math.log(base), 1e-3) if base > 1.0 + 1e-9 else c / t * max(math.log(c / lc * (t / lt)), 0.0)
 
 
+def around(core: Node) -> Node | None:
+    """The nearest article that holds the core, else the nearest main element, else none."""
+    above, node = [], core
+    while node is not None:
+        above.append(node)
+        node = node.parent
+    return next((n for tag in ("article", "main") for n in above if n.tag == tag), None)
+
+
 def main_text(page: str | None) -> str:
     nodes, blocks = parse(page or "")
     if not blocks:
@@ -228,10 +238,14 @@ def main_text(page: str | None) -> str:
     for node in nodes[1:]:
         if not node.dropped and node.density >= threshold > 0 and node is not core:
             chosen.add(best[node.order])
+    container = around(core)
+    belongs = [False] * len(nodes)  # to the article, outside blocks that are mostly links
     inside = [False] * len(nodes)
     for node in nodes:
         inside[node.order] = not node.dropped and (node.order in chosen or (node.parent is not None and inside[node.parent.order]))
-        if inside[node.order]:
+        few_links = 2 * node.link_chars <= node.chars
+        belongs[node.order] = not node.dropped and (node is container or (few_links and node.parent is not None and belongs[node.parent.order]))
+        if inside[node.order] or belongs[node.order]:
             taken += node.blocks
     return "\n".join(blocks[k] for k in sorted(taken))
 

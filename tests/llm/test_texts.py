@@ -57,6 +57,14 @@ def test_main_text():
     assert op4.main_text(PAGE + "</body></html>") == op4.main_text(PAGE)
 
 
+def test_main_text_keeps_what_lies_beside_the_core(words):
+    """A title, short paragraphs and bare text of the article, but no blocks of links."""
+    long, short = [words(200, k) for k in range(3)], [words(30, 10 + k) for k in range(3)]
+    paragraphs = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+    page = f"<body><article><h1>A title of the text</h1><section>{paragraphs(short)}</section>bare words<div>{paragraphs(long)}</div><ul><li><a href=x>more</a><li><a href=y>others</a></ul></article></body>"
+    assert op4.main_text(page).split("\n") == ["A title of the text", *short, "bare words", *long]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html><body></body></html>", "<p", "<!-- open", "<script>x", "<nav>only</nav>", "</p></div></article>"])
 def test_pages_without_text(page):
     assert op4.main_text(page) == ""
