@@ -7,7 +7,7 @@ line). The node with the largest sum of child densities is the core; the least d
 from it up to the body is the threshold. Each node of at least that density adds the subtree of the largest
 sum below it. The article or main element around the core, if there is one, adds its headings, short blocks and bare text too,
 all but blocks that are mostly links. What elements, roles or class names declare to be menus, headers, footers, sidebars,
-notices, adverts, forms or reader comments isn't in the tree at all.
+notices, adverts, forms or reader comments isn't in the tree at all; a class name doesn't declare so if it holds most of the page's text and a title, an article or all of the text.
 
 Cases: null, empty and text-free pages give an empty text. Pages that break off, unclosed and
 misnested elements and bare text are read as browsers read them: text in the body is in a block of
@@ -46,6 +46,8 @@ DECLARED = frozenset(
     navigation breadcrumb breadcrumbs footer contentinfo header masthead share sharing social related recommended pagination pager toolbar login
     signup search form widget""".split()
 )
+#: At most so many declared wrappers lie around each other.
+NESTED = 16
 #: Elements that no class name removes.
 KEPT = frozenset("html body main article".split())
 #: A start tag of the key closes these, if open in the same container.
@@ -58,11 +60,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[^a-z0-9]+")
+#: In a class name, what follows one of these says what an element has or lacks, not what it is.
+_BESIDE = frozenset("no has have with without".split())
+_CLOSED = re.compile(r"""(?:^|[\s"'/])/\Z""")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "link_chars", "tags", "link_tags", "dropped", "blocks", "density", "order")
+    __slots__ = ("tag", "parent", "children", "chars", "link_chars", "tags", "link_tags", "dropped", "blocks", "density", "order", "by_name", "hidden", "has_main")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, order: int) -> None:
         self.tag, self.parent, self.dropped, self.order = tag, parent, dropped, order
@@ -70,22 +75,28 @@ class Node:
         self.blocks: list[int] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = 0.0
+        self.by_name: Node | None = None  # the outermost node around that its class declares, if only that drops this one
+        self.hidden, self.has_main = 0, False  # of such a node: its characters, and whether it has what an article is known by
 
 
 def declared(attributes: str) -> bool:
     if not attributes:
         return False
     for value in _NAMES.findall(attributes):
-        if not DECLARED.isdisjoint(_WORDS.split("".join(value).lower())):
-            return True
+        for name in "".join(value).lower().split():
+            for word in _WORDS.split(name):
+                if word in _BESIDE:
+                    break
+                if word in DECLARED:
+                    return True
     return bool(_HIDDEN.search(re.sub(r"""\"[^"]*"|'[^']*'""", "", attributes)))
 
 
-def parse(page: str) -> tuple[list[Node], list[str]]:
-    """Nodes in page order, the first of them the root, and the page's blocks of text."""
+def parse(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Node], list[str]]:
+    """Nodes in page order, the first of them the root, and the page's blocks of text; no class name removes the nodes of the orders in kept."""
     root = here = Node("html", None, False, 0)
     nodes, blocks, pieces = [root], [], []
-    links, skipped = 0, []  # open links; open dropped elements that are inline
+    links, skipped = 0, []  # open links; open dropped elements that are inline, with the node that they are in
     link_chars = 0
 
     def flush() -> None:
@@ -101,6 +112,8 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
 
     def add(text: str) -> None:
         nonlocal link_chars
+        if here.by_name is not None and not skipped:
+            here.by_name.hidden += len("".join(text.split()))
         if not here.dropped and not skipped:
             text = entities.unescape(text) if "&" in text else text
             pieces.append(text)
@@ -111,7 +124,11 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
         """Ends everything open down to node, and node."""
         nonlocal here, links
         flush()
-        while here is not node:
+        while True:
+            while skipped and skipped[-1][1] is here:
+                skipped.pop()
+            if here is node:
+                break
             here = here.parent
         here = node.parent or root
         links = 0
@@ -139,15 +156,17 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS or tag in DROPPED:
-                if skipped and tag == skipped[-1]:
+                if skipped and tag == skipped[-1][0]:
                     skipped.pop()
                 elif (node := open_of({tag} if tag not in HEADINGS else HEADINGS, frozenset())) is not None:
                     close(node)
-            elif skipped and tag == skipped[-1]:
+            elif skipped and tag == skipped[-1][0]:
                 skipped.pop()
             elif tag in ("td", "th"):
                 add(" ")
             continue
+        if tag in ("svg", "math") and _CLOSED.search(found.group(3) or ""):
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else end
@@ -167,17 +186,23 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
             if tag in VOID:
                 here.tags += 1
                 continue
-            node = Node(tag, here, here.dropped or bool(skipped) or tag in DROPPED or (tag not in KEPT and declared(attributes)), len(nodes))
+            by_name = tag not in KEPT and len(nodes) not in kept and declared(attributes)
+            node = Node(tag, here, here.dropped or bool(skipped) or tag in DROPPED or by_name, len(nodes))
+            if by_name and tag not in DROPPED and not here.dropped and not skipped:
+                node.by_name = node
+            elif here.by_name is not None and tag not in DROPPED:
+                node.by_name = here.by_name
+                node.by_name.has_main |= tag in ("h1", "main") or (tag == "article" and not declared(attributes))
             here.children.append(node)
             nodes.append(node)
             here = node
             continue
         if skipped or here.dropped:
-            if skipped and tag == skipped[-1]:
-                skipped.append(tag)
+            if skipped and tag == skipped[-1][0]:
+                skipped.append((tag, here))
             continue
         if tag not in VOID and not attributes.endswith("/") and tag not in ("td", "th", "a") and declared(attributes):
-            skipped.append(tag)
+            skipped.append((tag, here))
             continue
         here.tags += 1
         if tag == "a":
@@ -189,6 +214,15 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
     return nodes, blocks
 
 
+def wrapper(nodes: list[Node], blocks: list[str]) -> Node | None:
+    """The declared node that holds most of the page's text and a title, an article or all of the text: it is around the article."""
+    shown = sum(len("".join(block.split())) for block in blocks)
+    largest = max((node for node in nodes if node.by_name is node), key=lambda node: node.hidden, default=None)
+    if largest is None or not largest.hidden or not (largest.has_main or not shown):
+        return None
+    return largest if 2 * largest.hidden > shown + sum(node.hidden for node in nodes) else None
+
+
 def score(nodes: list[Node]) -> None:
     """Adds up the subtrees, and sets densities."""
     for node in reversed(nodes[1:]):
@@ -219,6 +253,10 @@ def around(core: Node) -> Node | None:
 
 def main_text(page: str | None) -> str:
     nodes, blocks = parse(page or "")
+    kept: set[int] = set()
+    while (node := wrapper(nodes, blocks)) is not None and len(kept) < NESTED:
+        kept.add(node.order)
+        nodes, blocks = parse(page or "", frozenset(kept))
     if not blocks:
         return ""
     score(nodes)

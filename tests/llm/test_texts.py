@@ -65,6 +65,22 @@ def test_main_text_keeps_what_lies_beside_the_core(words):
     assert op4.main_text(page).split("\n") == ["A title of the text", *short, "bare words", *long]
 
 
+def test_main_text_after_markup_that_cut_pages():
+    """Unclosed dropped spans, self-closing pictures, and wrappers whose class only sounds like a menu."""
+    tail = "<p>Second text, with words.</p><p>Third text.</p>"
+    rest = ["Second text, with words.", "Third text."]
+    assert op4.main_text(f'<article><p>First text.<span class="share">x</p>{tail}</article>').split("\n") == ["First text.", *rest]
+    assert op4.main_text(f'<article><p>First <span class="share">x <b>y</b></span>text.</p>{tail}</article>').split("\n") == ["First text.", *rest]
+    for picture in ('<svg class="icon"/>', "<math />", "<svg/>"):
+        assert op4.main_text(f"<article><p>First text.{picture}</p>{tail}<svg><text>z</text></svg></article>").split("\n") == ["First text.", *rest]
+    for name in ("has-sidebar", "no-comments", "content-with-sidebar", "page-sidebar", "form widget"):
+        assert op4.main_text(f'<body><div class="{name}"><article>{tail}</article><div class="sidebar">Aside</div></div></body>').split("\n") == rest
+    nested = f'<div class="form"><div class="widget"><h1>Title</h1>{tail}</div></div>'
+    assert op4.main_text(nested).split("\n") == ["Title", *rest]
+    comments = f'<article>{tail}</article><div class="comments"><p>{"A long reply. " * 20}</p></div>'
+    assert op4.main_text(comments).split("\n") == rest
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html><body></body></html>", "<p", "<!-- open", "<script>x", "<nav>only</nav>", "</p></div></article>"])
 def test_pages_without_text(page):
     assert op4.main_text(page) == ""
