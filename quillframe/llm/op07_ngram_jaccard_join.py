@@ -1,11 +1,11 @@
-"""N-gram Jaccard join: exact links between documents whose shingle sets are at least 0.9 similar.
+"""N-gram Jaccard join: exact links between documents whose shingle sets are similar enough, in the metric space of Jaccard distance.
 
-Jaccard distance is a metric, and the join works in its space: inside a region, pivots make Voronoi
-cells, each document goes to its nearest pivot's cell and to each cell whose pivot is at most
-2 * (1 - threshold) further (by the triangle inequality no link can lie elsewhere), and cells that are
-still large are cut again. Small cells are joined exactly in memory. Pivots are the documents that
-share most signatures, as copies surround what they were edited from: links to pivots alone often
-connect a whole cell, which is then done.
+Inside a region, pivots make Voronoi cells; each document goes to its nearest pivot's cell and to each cell whose pivot is
+at most 2 * (1 - threshold) further (by the triangle inequality no link can lie elsewhere), and cells are cut again. Distances
+to pivots give the links: a cell of at most PIVOTS documents has every pair among them. Regions of at most CELL_DOCS documents are
+cut in one task's memory (class Region), larger ones first by joins in Spark (cut_cells). A cell that
+links to pivots connect is done. Where windows would send documents to more than REPLICAS cells on average (near copies that are all
+about as far from each other), the cell's remaining pairs are compared through their rarest shingles, exactly.
 
 Voronoi cells over the raw corpus don't work: documents that share little have distance near 1 to
 every pivot, so the windows would send every document to every cell. So regions come first, from
@@ -22,11 +22,12 @@ of its shingles without a partner. (2) Classes come in groups of three parts. A
 most one shingle agrees on two parts, whose hash is a signature. Some groups more than needed let each set leave
 out as many of its poorest ones. Both are exact.
 
-Copies with equal sets are one class throughout. Sets are held as 64-bit hashes of shingles.
+Copies with equal sets are one class throughout. Sets are held as 64-bit hashes of shingles. Ids can be of any type that sorts.
 
 Cases: a null or empty text has no shingles, links with nothing, and its component is its own id.
-A text of fewer words than a shingle has one shingle. Rows that repeat an id each come out, and have their own text's component. A null id keeps a
-null component unless its text equals or links to another's. Further columns are ignored.
+A text of fewer words than a shingle has one shingle. Rows that repeat an id each come out, and have their own text's component. A null id
+sorts last: its row has the smallest id that its text reaches, and null if that reaches none. Ties between pivots take the smaller
+digest. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,21 +159,28 @@ def digest(shingles: np.ndarray, salt: int = 0x1234567) -> int:
     return int(mixed(shingles ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64))
 
 
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """64-bit numbers as an Arrow array of lists."""
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
+
+
 def sketches(docs: DataFrame, percent: int, words: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, d1, d2, sigs): a 128-bit digest of each set, and its signatures; where classes hold few shingles, its sample."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_shingles long, d1 long, d2 long, sigs array<long>")
+    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler, ends, few = Shingler(words), band_ends(percent, 1 << 31), has_few(percent)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
+        for texts in batches:
+            rows, sigs = [], []
+            for text in texts.to_pylist():
                 s = shingler(text)
-                sigs = sampled(s) if few else signatures(s, ends, percent)
-                rows.append((len(s), digest(s), digest(s, 0x89ABCDEF01), sigs.view(np.int64)))
-            n, d1, d2, sigs = zip(*rows) if rows else ((),) * 4
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": np.array(n, np.int64), "d1": np.array(d1, np.int64), "d2": np.array(d2, np.int64), "sigs": list(sigs)})
+                rows.append((len(s), digest(s), digest(s, 0x89ABCDEF01)))
+                sigs.append(sampled(s) if few else signatures(s, ends, percent))
+            numbers = [pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((),) * 3)]
+            yield pa.StructArray.from_arrays([*numbers, lists(sigs)], ["n_shingles", "d1", "d2", "sigs"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInPandas(sketch, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sigs array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch("text").alias("s")).select("doc_id", "text_hash", "s.*")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -179,43 +188,91 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def join_cell(sets: list[np.ndarray], percent: int, in_body: list[bool] | None = None) -> list[int]:
-    """For each set the smallest index that links reach, exactly; sets in the body are known to be connected.
+class Region:
+    """Links between the sets of one region, exactly; sets in the body are known to be connected.
 
-    By size, each set meets the smaller ones that hold one of its first shingles, counted from the
-    cell's rarest on: sets that are linked share one of the first n - ceil(t n) + 1. Pairs that links already
-    connect aren't compared.
+    links has (i, j, by_pivot) for each pair of sets that joined two groups: by the distance to a pivot, or else by a comparison of pairs.
     """
-    root = list(range(len(sets)))
-    body = [i for i, known in enumerate(in_body or ()) if known]
-    for i in body:
-        root[i] = body[0]
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+
+    def __init__(self, sets: list[np.ndarray], percent: int, in_body: list[bool] | None = None) -> None:
+        self.percent, self.eps, self.links, self.root = percent, 1 - percent / 100, [], list(range(len(sets)))
+        body = [i for i, known in enumerate(in_body or ()) if known]
+        for i in body:
+            self.root[i] = body[0]
+        if len(sets) < 2:
+            return
+        self.sizes = np.array(list(map(len, sets)))
+        _, ids, self.counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        cuts = np.cumsum([0, *self.sizes])
+        self.ids = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        self.shared = [s[self.counts[s] > 1] for s in self.ids]  # what no other set has is in no intersection
+        self.mark = np.zeros(len(self.counts), bool)
+        self.cut(np.arange(len(sets)))
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
         return i
 
-    if len(sets) > 1:
-        _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.empty(len(counts), np.int64)
-        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-        cuts = np.cumsum([0, *map(len, sets)])
+    def link(self, i: int, j: int, by_pivot: bool) -> None:
+        a, b = self.find(i), self.find(j)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+            self.links.append((i, j, by_pivot))
+
+    def connected(self, at: np.ndarray) -> bool:
+        first = self.find(int(at[0]))
+        return all(self.find(i) == first for i in at.tolist())
+
+    def cut(self, whole: np.ndarray) -> None:
+        """Pivots, cells and windows, again and again. The first pivot shares most with the others; each next one is the farthest from those before."""
+        work = [whole]
+        while work:
+            at = work.pop()
+            if len(at) < 2 or self.connected(at):
+                continue
+            flat, ends = np.concatenate([self.shared[i] for i in at]), np.cumsum([len(self.shared[i]) for i in at])
+            per_set = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], ends])])  # noqa: B023, E731
+            sizes, far, away = self.sizes[at], np.full(len(at), np.inf), []
+            pivot = int(np.argmax(per_set(self.counts[flat]) / sizes))
+            while len(away) < PIVOTS and far[pivot] > 0:
+                own = self.shared[at[pivot]]
+                self.mark[own] = True
+                common = per_set(self.mark[flat])
+                self.mark[own] = False
+                either = sizes + sizes[pivot] - common
+                away.append(1 - common / either)
+                for k in np.flatnonzero(100 * common >= self.percent * either).tolist():
+                    self.link(int(at[pivot]), int(at[k]), True)
+                far = np.minimum(far, away[-1])
+                far[pivot] = 0.0
+                pivot = int(np.argmax(far))
+            if len(at) <= len(away) or self.connected(at):
+                continue
+            near = np.array(away)
+            inside = near <= near.min(axis=0) + 2 * self.eps + 1e-9
+            if inside.sum() <= REPLICAS * len(at) and not inside.all(axis=1).any():
+                work += [at[cell] for cell in inside]
+            else:
+                self.compare(at)
+
+    def compare(self, at: np.ndarray) -> None:
+        """By size, each set meets the smaller ones that hold one of its first shingles, counted from the rarest on, if links don't connect
+        the two already: sets that are linked share one of the first n - ceil(t n) + 1."""
+        rank = np.empty(len(self.counts), np.int64)
+        rank[np.argsort(self.counts, kind="stable")] = np.arange(len(self.counts))
+        common = np.sort(self.counts, kind="stable") > 1
         by_first: dict[int, list[int]] = {}
-        common = np.sort(counts, kind="stable") > 1
-        for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
-            n = len(sets[i])
-            first = np.sort(rank[inverse[cuts[i] : cuts[i + 1]]])[: n - -(-percent * n // 100) + 1]
+        for i in sorted(at.tolist(), key=lambda i: (self.sizes[i], i)):
+            n = int(self.sizes[i])
+            first = np.sort(rank[self.ids[i]])[: n - -(-self.percent * n // 100) + 1]
             first = first[common[first]].tolist()
-            met = {j for r in first for j in by_first.get(r, ())}
-            for j in sorted(met):
-                a, b = find(i), find(j)
-                if a != b and 100 * len(sets[j]) >= percent * n and linked(sets[i], sets[j], percent):
-                    root[max(a, b)] = min(a, b)
+            for j in sorted({j for r in first for j in by_first.get(r, ())}):
+                if self.find(i) != self.find(j) and 100 * int(self.sizes[j]) >= self.percent * n and linked(self.ids[i], self.ids[j], self.percent):
+                    self.link(i, j, False)
             for r in first:
                 by_first.setdefault(r, []).append(i)
-    return [find(i) for i in range(len(sets))]
 
 
 def _set(raw: bytes) -> np.ndarray:
@@ -312,8 +369,9 @@ def cut_cells(members: DataFrame, percent: int, cell_docs: int, cell_shingles: i
 
 
 def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The columns of classes (node, first_id and others) and the texts that have their first id, among them each class' own."""
-    return docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(classes, "first_id")
+    """The columns of classes (node, first_id, first_hash and others) and each class' text."""
+    mine = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return mine.join(classes, mine["doc_id"].eqNullSafe(classes["first_id"]) & (mine["text_hash"] == classes["first_hash"])).drop("doc_id", "text_hash")
 
 
 def signed_again(docs: DataFrame, reps: DataFrame, percent: int, words: int) -> DataFrame:
@@ -323,59 +381,64 @@ def signed_again(docs: DataFrame, reps: DataFrame, percent: int, words: int) ->
     shared = held.join(met, "sig").groupBy("rep").agg(F.count(F.lit(1)).alias("met"))
     alone = F.size("sigs") - F.coalesce("met", F.lit(0))
     likely = reps.join(shared, "rep", "left").filter(100 * alone <= (100 - percent) * F.col("n_shingles"))
-    likely = stored(likely.select(F.col("rep").alias("node"), "first_id"), "likely")
+    likely = stored(likely.select(F.col("rep").alias("node"), "first_id", "first_hash"), "likely")
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("array<long>")
+    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler, ends = Shingler(words), band_ends(percent, 1 << 31)
-        for batch in batches:
-            sets = [(node, shingler(text)) for node, text in zip(batch["node"], batch["text"])]
-            sets = [(node, s) for node, s in sets if digest(s) == node]
-            yield pd.DataFrame({"rep": np.array([node for node, _ in sets], np.int64), "sigs": [group_signatures(s, ends, percent).view(np.int64) for _, s in sets]})
+        for texts in batches:
+            yield lists([group_signatures(shingler(text), ends, percent) for text in texts.to_pylist()])
 
-    return stored(texts_of(docs, likely).mapInPandas(sign, "rep long, sigs array<long>"), "signed")
+    return stored(texts_of(docs, likely).select(F.col("node").alias("rep"), sign("text").alias("sigs")).dropDuplicates(["rep"]), "signed")
 
 
 def verdicts(docs: DataFrame, words: int, percent: int, cell_docs: int, cell_shingles: int) -> DataFrame:
     """(doc_id, text_hash, d1, d2, n_shingles, component_id, leads), one row for each row of docs; rows that lead are of the first set of their group."""
     sketched = stored(sketches(docs, percent, words), "sketches")
     same = ["d1", "d2", "n_shingles"]
-    reps = sketched.filter("n_shingles > 0").groupBy(*same).agg(F.min_by(F.struct("doc_id", "sigs"), F.col("doc_id")).alias("rep")).filter("rep.doc_id is not null")
+    first = F.min_by(F.struct("doc_id", "text_hash", "sigs"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
+    reps = sketched.filter("n_shingles > 0").groupBy(*same).agg(first.alias("first"))
     # A class goes by its digest, as an id that repeats can be the first of several.
-    reps = stored(reps.select(*same, F.col("d1").alias("rep"), F.col("rep.doc_id").alias("first_id"), F.col("rep.sigs").alias("sigs")), "classes")
+    reps = reps.select(*same, F.col("d1").alias("rep"), F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), F.col("first.sigs").alias("sigs"))
+    reps = stored(reps, "classes")
     signed = signed_again(docs, reps, percent, words) if has_few(percent) else reps.select("rep", "sigs")
-    # Every class beside the smallest one that has its signature, and with how many others it shares signatures.
+    # Of each class, the smallest classes that have its signatures, and with how many others it shares them.
     shared = signed.select("rep", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("shares")).filter("low < high")
-    beside = signed.select("rep", F.explode("sigs").alias("sig")).join(shared.drop("high"), "sig").groupBy("rep", "low").agg(F.sum("shares").alias("shares"))
-    beside = stored(beside, "shared-signatures")
-    regions = components(beside.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    degrees = beside.groupBy(F.col("rep").alias("node")).agg(F.sum("shares").alias("degree"))
-    firsts = reps.select(F.col("rep").alias("node"), "first_id")
+    beside = signed.select("rep", F.explode("sigs").alias("sig")).join(shared.drop("high"), "sig")
+    beside = stored(beside.groupBy("rep").agg(F.sort_array(F.collect_set("low")).alias("lows"), F.sum("shares").alias("degree")), "shared-signatures")
+    # A class beside the first of these, and each of them beside the next: members of a group mostly have the same ones.
+    chain = F.expr("explode(transform(lows, (low, k) -> struct(if(k = 0, rep, lows[k - 1]) as a, low as b)))")
+    regions = components(beside.select(chain.alias("e")).select("e.a", "e.b"))
+    firsts = reps.select(F.col("rep").alias("node"), "first_id", "first_hash")
     # Written, so that its size is known: where it is small, it is broadcast and texts aren't shuffled.
-    regions = stored(regions.join(degrees, "node").join(firsts, "node"), "regions")
+    regions = stored(regions.join(beside.select(F.col("rep").alias("node"), "degree"), "node").join(firsts, "node"), "regions")
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("binary")
+    def shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler = Shingler(words)
-        for batch in batches:
-            # Where rows repeat an id with another text, the class' own text counts.
-            rows = [(str(root), node, degree, len(s), s.tobytes()) for root, node, degree, s in zip(batch["root"], batch["node"], batch["degree"], map(shingler, batch["text"])) if digest(s) == node]
-            yield pd.DataFrame(rows, columns=["cell", "rep", "degree", "n", "shingles"])
+        for texts in batches:
+            yield pa.array([shingler(text).tobytes() for text in texts.to_pylist()], pa.binary())
 
-    members = texts_of(docs, regions).mapInPandas(hashed, "cell string, rep long, degree long, n long, shingles binary").dropDuplicates(["cell", "rep"])
+    members = texts_of(docs, regions).select(F.col("root").cast("string").alias("cell"), F.col("node").alias("rep"), "degree", shingled("text").alias("shingles"))
+    members = members.select("cell", "rep", "degree", (F.length("shingles") / 8).cast("long").alias("n"), "shingles").dropDuplicates(["cell", "rep"])
     cells, to_pivots = cut_cells(stored(members, "members"), percent, cell_docs, cell_shingles)
 
     def join(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("rep", ignore_index=True).drop_duplicates("rep", ignore_index=True)
-        roots = join_cell([_set(s) for s in cell["shingles"]], percent, cell["in_body"].tolist())
+        found = Region([_set(s) for s in cell["shingles"]], percent, cell["in_body"].tolist()).links
         ids = cell["rep"].to_numpy()
-        return pd.DataFrame({"a": ids, "b": ids[roots]}).query("a != b")
+        return pd.DataFrame({"a": ids[[i for i, _, _ in found]], "b": ids[[j for _, j, _ in found]], "by_pivot": np.array([by_pivot for _, _, by_pivot in found], bool)})
 
-    links = cells.groupBy("cell").applyInPandas(join, "a long, b long")
-    roots = components(links if to_pivots is None else links.union(to_pivots))
-    groups = roots.join(firsts, "node").groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("first"))
+    links = cells.groupBy("cell").applyInPandas(join, "a long, b long, by_pivot boolean")
+    links = stored(links if to_pivots is None else links.union(to_pivots.withColumn("by_pivot", F.lit(True))), "links")
+    roots = components(links.select("a", "b"))
+    order = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "node")
+    groups = roots.join(firsts, "node").groupBy("root").agg(F.min(order).alias("first"))
     classes = reps.drop("sigs").join(roots.join(groups, "root").select(F.col("node").alias("rep"), "first"), "rep", "left")
     classes = classes.select(*same, F.coalesce("first.first_id", "first_id").alias("component_id"), F.coalesce(F.col("first.node") == F.col("rep"), F.lit(True)).alias("leads"))
-    found = sketched.select("doc_id", "text_hash", *same).join(classes, same, "left")
-    return found.withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("leads", F.coalesce(F.col("leads"), F.lit(True)) & (F.col("doc_id") == F.col("component_id")))
+    with_words = sketched.filter("n_shingles > 0").select("doc_id", "text_hash", *same).join(classes, same)
+    without = sketched.filter("n_shingles = 0").select("doc_id", "text_hash", *same, F.col("doc_id").alias("component_id"), F.lit(True).alias("leads"))
+    return with_words.unionByName(without)
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, cell_docs: int = CELL_DOCS, cell_shingles: int = CELL_SHINGLES, words: int = WORDS) -> DataFrame:
@@ -384,16 +447,24 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, cell_docs: int =
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each group of linked sets, that of the smallest id; rows without an id all stay.
+    """One row of each group of linked sets, that of the smallest id, null being the last; rows whose text has no words all stay.
 
-    Where an id repeats with different sets, each has its own verdict. Of rows that repeat an id and a set, one counts.
+    Where an id repeats with different sets, each has its own verdict. Of rows with an equal id and text, any one stays.
     """
-    found = stored(verdicts(docs, words, percent, CELL_DOCS, CELL_SHINGLES).filter("doc_id is not null"), "verdicts")
     keys = ["doc_id", "text_hash"]
-    kept = found.filter("leads").groupBy("doc_id", "d1", "d2", "n_shingles").agg(F.min("text_hash").alias("text_hash")).select(keys)
-    gone = found.select(keys).join(kept, keys, "left_anti").distinct()
-    known = docs.filter("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).join(gone, keys, "left_anti").dropDuplicates(keys)
-    return known.select(*docs.columns).union(docs.filter("doc_id is null"))
+    found = stored(verdicts(docs, words, percent, CELL_DOCS, CELL_SHINGLES).filter("n_shingles > 0"), "verdicts")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), *keys)
+    kept = found.filter("leads").groupBy(*[F.col(c).alias(f"_{c}") for c in ("d1", "d2", "n_shingles")]).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # Only rows that go, or that repeat, are looked up, so that most texts needn't be.
+    marked = found.join(kept, [F.col(c) == F.col(f"_{c}") for c in ("d1", "d2", "n_shingles")], "left")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marked = marked.select(*keys, (~F.col("leads") | (F.col("rows").isNotNull() & ~is_first)).alias("goes"), F.col("rows").isNotNull().alias("again"))
+    marked = marked.groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(F.max("goes").alias("_goes"), F.count_if("again").alias("_again")).filter("_goes or _again > 1")
+    marked = stored(marked, "marked")
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    looked = hashed.join(marked, hashed["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash")), "left").filter("not coalesce(_goes, false)")
+    once = looked.filter("_again is null").select(*docs.columns)
+    return once.union(looked.filter("_again is not null").dropDuplicates(["_doc_id", "_text_hash"]).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,55 @@ def test_links_against_brute_force(frame, copies):
     assert got == linked_groups(copies)
 
 
+def test_links_come_from_pivots_cells_and_windows(frame, copies, words, monkeypatch):
+    """What joins groups is the distance to a pivot, in small regions and in one of 60 near copies that needs cells, windows and recursion."""
+    rng, base = random.Random(6), words(400, 55)
+    rows = [*copies, *((3000 + k, edited(base, 1 + k % 9, rng)) for k in range(60))]
+    kept, cuts, stored, cut = {}, [], op7.stored, op7.Region.cut
+    monkeypatch.setattr(op7, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op7.jaccard_components(frame(rows)).collect()}
+    assert got == linked_groups(rows)
+    how = {r["by_pivot"]: r["count"] for r in kept["links"].groupBy("by_pivot").count().collect()}
+    assert how[True] >= 0.9 * sum(how.values())
+    assert sum(how.values()) >= len({i for i, (n, c) in got.items() if n and c != i}) - len(rows) // 8
+    sets = [op7.Shingler()(t) for _, t in rows if t and t.strip()]
+    monkeypatch.setattr(op7.Region, "cut", lambda self, at: (cuts.append(len(at)), cut(self, at))[1])
+    assert any(by_pivot for _, _, by_pivot in op7.Region(sets, 90).links) and cuts
+
+
+def test_ids_of_text_and_rows_without_ids(spark, words):
+    rng, a, b, c = random.Random(2), words(200, 601), words(200, 602), words(200, 603)
+    near = {t: edited(t, 1, rng) for t in (a, b, c)}
+    rows = [("x2", a), ("x1", near[a]), (None, a), (None, b), ("y", near[b]), (None, c), (None, near[c]), (None, c), (None, None), ("", ""), ("z", words(30, 604))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in op7.jaccard_components(docs).collect()), key=str)
+    assert got == sorted([("x2", "x1"), ("x1", "x1"), (None, "x1"), (None, "y"), ("y", "y"), (None, None), (None, None), (None, None), (None, None), ("", ""), ("z", "z")], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in op7.keep_first(docs).collect()]
+    assert [k for k in kept if k[0]] and sorted(str(i) for i, _ in kept) == sorted(["x1", "y", "None", "None", "", "z"])
+    assert sum(t in (c, near[c]) for _, t in kept) == 1 and (None, None) in kept
+
+
+def test_components_against_union_find(spark):
+    """A path in the order of its ids, stars, random edges, loops and parallel ones."""
+    from quillframe.llm.graph import components
+
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(60)] + [(1000, 1001 + k) for k in range(80)] + [(2000 + rng.randrange(90), 2000 + rng.randrange(90)) for _ in range(70)] + [(5, 5), (7, 6), (9000, 9000)]
+    root = {x: x for e in edges for x in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    assert set(got) == nodes and all((got[a] == got[b]) == (find(a) == find(b)) for a in nodes for b in nodes)
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 def test_cells_cut_by_pivots_and_blocks_give_the_same(frame, copies):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op7.jaccard_components(frame(copies), cell_docs=6, cell_shingles=2_000).collect()}
     assert got == linked_groups(copies)
@@ -86,6 +135,7 @@ def test_links_of_odd_rows(frame, odd_rows):
     assert len(got) == len(odd_rows)
     assert all(r["component_id"] == r["doc_id"] for r in got)
     assert op7.jaccard_components(frame([])).count() == 0
+    assert op7.keep_first(frame([])).count() == 0
     kept = op7.keep_first(frame(odd_rows + [(70, odd_rows[0][1])]))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "6", "7", "8", "9", "None", "None"])
 
@@ -148,7 +198,9 @@ def test_cell_join_against_brute_force(sets, percent):
         for i, j in itertools.combinations(range(len(sets)), 2):
             if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 root[i] = root[j] = min(root[i], root[j])
-    assert op7.join_cell(arrays, percent) == root
+    region = op7.Region(arrays, percent)
+    assert [region.find(i) for i in range(len(sets))] == root
+    assert all(op7.linked(arrays[i], arrays[j], percent) for i, j, _ in region.links)
 
 
 def least_padding(lengths, buckets):
