@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset, a temporary one on a single machine, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A folder of this application below the shared one; it goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/quillframe/{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+        def remove() -> None:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+        atexit.register(remove)
+    return folder
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as a Parquet table in the shared folder and read again: cuts lineage and outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/quillframe/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
