@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quillframe.sources.tables import stored
 
-__all__ = ["SPACES", "UPPER", "doc_key", "fold", "lower_ascii", "read", "stored"]
+__all__ = ["SPACES", "UPPER", "doc_key", "fold", "lower_ascii", "might_be_in", "read", "stored"]
+
+#: Bits of a filter for each key, and the most of them: 16 MB.
+KEY_BITS, FILTER_BITS = 16, 1 << 27
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space that separates words: the space and U+0009 to U+000D.
@@ -31,3 +34,21 @@ def doc_key(doc_id: Column) -> Column:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_key(doc_id).cast("binary")) % n
+
+
+def might_be_in(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose columns hash like those of some row of keys, and so all that a join by them finds: fewer rows to shuffle.
+
+    keys is written already. A bit for each hash is broadcast, FILTER_BITS at most; if keys are too many for that, all rows stay.
+    """
+    bits = 1 << 15
+    n = keys.count()
+    while bits < KEY_BITS * n:
+        bits *= 2
+    if bits > FILTER_BITS:
+        return rows
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    maps = keys.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("_map")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("_bits"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = rows.withColumn("_place", place).withColumn("_at", F.expr("_place div 32768")).join(F.broadcast(maps), F.col("_at") == F.col("_map"))
+    return found.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) != 0).select(*rows.columns)

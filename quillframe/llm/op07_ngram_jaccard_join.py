@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import read, stored
+from quillframe.llm.common import might_be_in, read, stored
 from quillframe.llm.graph import components
 
 WORDS = 3
@@ -370,15 +370,16 @@ def cut_cells(members: DataFrame, percent: int, cell_docs: int, cell_shingles: i
 
 def texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The columns of classes (node, first_id, first_hash and others) and each class' text."""
-    mine = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return mine.join(classes, mine["doc_id"].eqNullSafe(classes["first_id"]) & (mine["text_hash"] == classes["first_hash"])).drop("doc_id", "text_hash")
+    mine = docs.select(F.col("doc_id").alias("first_id"), F.xxhash64("text").alias("first_hash"), "text")
+    mine = might_be_in(mine, classes, "first_id", "first_hash")
+    return mine.join(classes, mine["first_id"].eqNullSafe(classes["first_id"]) & (mine["first_hash"] == classes["first_hash"])).drop("first_id", "first_hash")
 
 
 def signed_again(docs: DataFrame, reps: DataFrame, percent: int, words: int) -> DataFrame:
     """(rep, sigs): the group signatures of classes that have enough of their sample in common with others to be linked."""
     held = reps.select("rep", F.explode("sigs").alias("sig"))
-    met = held.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("sig")
-    shared = held.join(met, "sig").groupBy("rep").agg(F.count(F.lit(1)).alias("met"))
+    met = stored(held.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("sig"), "sample-met")
+    shared = might_be_in(held, met, "sig").join(met, "sig").groupBy("rep").agg(F.count(F.lit(1)).alias("met"))
     alone = F.size("sigs") - F.coalesce("met", F.lit(0))
     likely = reps.join(shared, "rep", "left").filter(100 * alone <= (100 - percent) * F.col("n_shingles"))
     likely = stored(likely.select(F.col("rep").alias("node"), "first_id", "first_hash"), "likely")
@@ -403,9 +404,11 @@ def verdicts(docs: DataFrame, words: int, percent: int, cell_docs: int, cell_shi
     reps = stored(reps, "classes")
     signed = signed_again(docs, reps, percent, words) if has_few(percent) else reps.select("rep", "sigs")
     # Of each class, the smallest classes that have its signatures, and with how many others it shares them.
-    shared = signed.select("rep", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("shares")).filter("low < high")
-    beside = signed.select("rep", F.explode("sigs").alias("sig")).join(shared.drop("high"), "sig")
-    beside = stored(beside.groupBy("rep").agg(F.sort_array(F.collect_set("low")).alias("lows"), F.sum("shares").alias("degree")), "shared-signatures")
+    by_sig = signed.select("rep", F.explode("sigs").alias("sig"))
+    shared = by_sig.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("shares")).filter("low < high").drop("high")
+    shared = stored(shared, "shared-signatures")
+    beside = might_be_in(by_sig, shared, "sig").join(shared, "sig")
+    beside = stored(beside.groupBy("rep").agg(F.sort_array(F.collect_set("low")).alias("lows"), F.sum("shares").alias("degree")), "beside")
     # A class beside the first of these, and each of them beside the next: members of a group mostly have the same ones.
     chain = F.expr("explode(transform(lows, (low, k) -> struct(if(k = 0, rep, lows[k - 1]) as a, low as b)))")
     regions = components(beside.select(chain.alias("e")).select("e.a", "e.b"))

@@ -92,6 +92,16 @@ def test_ids_of_text_and_rows_without_ids(spark, words):
     assert sum(t in (c, near[c]) for _, t in kept) == 1 and (None, None) in kept
 
 
+def test_filter_keeps_all_that_a_join_finds(spark):
+    from quillframe.llm import common
+
+    rows = spark.range(5000).selectExpr("if(id % 50 = 0, null, id) as a", "id * 7 as b", "id as c")
+    keys = rows.filter("c % 31 = 0").select("a", "b")
+    kept = {r["c"] for r in common.might_be_in(rows, keys, "a", "b").collect()}
+    assert kept >= set(range(0, 5000, 31)) and len(kept) < 1000
+    assert common.might_be_in(rows, keys.limit(0), "a", "b").count() == 0
+
+
 def test_components_against_union_find(spark):
     """A path in the order of its ids, stars, random edges, loops and parallel ones."""
     from quillframe.llm.graph import components
