@@ -6,8 +6,12 @@ and NLC are all, linked and other characters, T and LT tags and link tags (0 cou
 line). The node with the largest sum of child densities is the core; the least density on the path
 from it up to the body is the threshold. Each node of at least that density adds the subtree of the largest
 sum below it. The article or main element around the core, if there is one, adds its headings, short blocks and bare text too,
-all but blocks that are mostly links. What elements, roles or class names declare to be menus, headers, footers, sidebars,
-notices, adverts, forms or reader comments isn't in the tree at all; a class name doesn't declare so if it holds most of the page's text and a title, an article or all of the text.
+all but blocks that are mostly links.
+
+Elements that are menus, page headers, footers, sidebars, forms and the like by their tag aren't in the tree. A container whose role or
+class says that it is such a thing, a notice, an advert or reader comments is left out as well, but never one around the article: see
+unwrapped(). Paragraphs, headings, items and inline elements go only if a whole class name says so. A header inside an article stays if it
+holds a heading.
 
 Cases: null, empty and text-free pages give an empty text. Pages that break off, unclosed and
 misnested elements and bare text are read as browsers read them: text in the body is in a block of
@@ -36,18 +40,21 @@ BLOCKS = frozenset(
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 #: Elements that never belong to the main text.
-DROPPED = frozenset("head nav header footer aside form button select menu dialog object audio video canvas map datalist".split()) | RAW
-#: Words of class, id and role values that declare an element to be something else than main text.
+DROPPED = frozenset("head nav footer aside form button select menu dialog object audio video canvas map datalist".split()) | RAW
+#: Words of class, id and role values that declare an element to be something else than main text, and those of them that mean readers' comments.
 DECLARED = frozenset(
     """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert
     popup modal overlay newsletter subscribe subscription comment comments disqus reply replies respond sidebar aside complementary menu nav navbar
     navigation breadcrumb breadcrumbs footer contentinfo header masthead share sharing social related recommended pagination pager toolbar login
     signup search form widget""".split()
 )
-#: At most so many declared wrappers lie around each other.
-NESTED = 16
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Blocks that a whole class name alone removes, as it does inline elements.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote summary figcaption legend address hgroup option tr tbody thead tfoot hr".split())
+#: Elements that are nodes of the tree.
+NESTING = BLOCKS | DROPPED
 #: Elements that no class name removes.
 KEPT = frozenset("html body main article".split())
 #: A start tag of the key closes these, if open in the same container.
@@ -56,6 +63,8 @@ CLOSES = {
     "option": {"option"}, "optgroup": {"option", "optgroup"},
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What an article is known by.
+MARKS = frozenset("article main h1".split())
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -67,34 +76,33 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "link_chars", "tags", "link_tags", "dropped", "blocks", "density", "order", "by_name", "hidden", "has_main")
+    __slots__ = ("tag", "parent", "children", "chars", "link_chars", "tags", "link_tags", "cut", "named", "dropped", "blocks", "density", "order")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, order: int) -> None:
-        self.tag, self.parent, self.dropped, self.order = tag, parent, dropped, order
+    def __init__(self, tag: str, parent: Node | None, cut: bool, named: str, order: int) -> None:
+        self.tag, self.parent, self.cut, self.named, self.order = tag, parent, cut, named, order
         self.children: list[Node] = []
         self.blocks: list[int] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
-        self.density = 0.0
-        self.by_name: Node | None = None  # the outermost node around that its class declares, if only that drops this one
-        self.hidden, self.has_main = 0, False  # of such a node: its characters, and whether it has what an article is known by
+        self.dropped, self.density = cut, 0.0
 
 
-def declared(attributes: str) -> bool:
+def declared(attributes: str, whole: bool = False) -> str:
+    """What class, id, role or hidden say that an element is: "", "comments" or "other"; whole: only by a name that is one of the words."""
     if not attributes:
-        return False
+        return ""
     for value in _NAMES.findall(attributes):
         for name in "".join(value).lower().split():
-            for word in _WORDS.split(name):
+            for word in [name] if whole else _WORDS.split(name):
                 if word in _BESIDE:
                     break
                 if word in DECLARED:
-                    return True
-    return bool(_HIDDEN.search(re.sub(r"""\"[^"]*"|'[^']*'""", "", attributes)))
+                    return "comments" if word in COMMENTS else "other"
+    return "other" if _HIDDEN.search(re.sub(r"""\"[^"]*"|'[^']*'""", "", attributes)) else ""
 
 
-def parse(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Node], list[str]]:
-    """Nodes in page order, the first of them the root, and the page's blocks of text; no class name removes the nodes of the orders in kept."""
-    root = here = Node("html", None, False, 0)
+def parse(page: str) -> tuple[list[Node], list[str]]:
+    """Nodes in page order, the first of them the root, and the page's blocks of text, those of nodes with a declared name too."""
+    root = here = Node("html", None, False, "", 0)
     nodes, blocks, pieces = [root], [], []
     links, skipped = 0, []  # open links; open dropped elements that are inline, with the node that they are in
     link_chars = 0
@@ -112,9 +120,7 @@ def parse(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Node], li
 
     def add(text: str) -> None:
         nonlocal link_chars
-        if here.by_name is not None and not skipped:
-            here.by_name.hidden += len("".join(text.split()))
-        if not here.dropped and not skipped:
+        if not here.cut and not skipped:
             text = entities.unescape(text) if "&" in text else text
             pieces.append(text)
             if links:
@@ -155,7 +161,7 @@ def parse(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Node], li
         if found.group(1):
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag in BLOCKS or tag in DROPPED:
+            elif tag in NESTING:
                 if skipped and tag == skipped[-1][0]:
                     skipped.pop()
                 elif (node := open_of({tag} if tag not in HEADINGS else HEADINGS, frozenset())) is not None:
@@ -165,7 +171,7 @@ def parse(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Node], li
             elif tag in ("td", "th"):
                 add(" ")
             continue
-        if tag in ("svg", "math") and _CLOSED.search(found.group(3) or ""):
+        if tag == "svg" and _CLOSED.search(found.group(3) or ""):
             continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -174,7 +180,7 @@ def parse(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Node], li
         attributes = found.group(3) or ""
         if tag in ("html", "body"):
             continue
-        if tag in BLOCKS or tag in DROPPED:
+        if tag in NESTING:
             if tag in BLOCKS and (p := open_of({"p"}, frozenset(BLOCKS - {"p"}))) is not None:
                 close(p)
             if tag in CLOSES and (node := open_of(CLOSES[tag], frozenset({"ul", "ol", "dl", "table", "select", "menu", "nav"}))) is not None:
@@ -186,22 +192,17 @@ def parse(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Node], li
             if tag in VOID:
                 here.tags += 1
                 continue
-            by_name = tag not in KEPT and len(nodes) not in kept and declared(attributes)
-            node = Node(tag, here, here.dropped or bool(skipped) or tag in DROPPED or by_name, len(nodes))
-            if by_name and tag not in DROPPED and not here.dropped and not skipped:
-                node.by_name = node
-            elif here.by_name is not None and tag not in DROPPED:
-                node.by_name = here.by_name
-                node.by_name.has_main |= tag in ("h1", "main") or (tag == "article" and not declared(attributes))
+            named = "" if tag in KEPT else "header" if tag == "header" else declared(attributes, tag in LEAVES)
+            node = Node(tag, here, here.cut or bool(skipped) or tag in DROPPED, named, len(nodes))
             here.children.append(node)
             nodes.append(node)
             here = node
             continue
-        if skipped or here.dropped:
+        if skipped or here.cut:
             if skipped and tag == skipped[-1][0]:
                 skipped.append((tag, here))
             continue
-        if tag not in VOID and not attributes.endswith("/") and tag not in ("td", "th", "a") and declared(attributes):
+        if tag not in VOID and not attributes.endswith("/") and tag not in ("td", "th", "a") and declared(attributes, whole=True):
             skipped.append((tag, here))
             continue
         here.tags += 1
@@ -214,13 +215,53 @@ def parse(page: str, kept: frozenset[int] = frozenset()) -> tuple[list[Node], li
     return nodes, blocks
 
 
-def wrapper(nodes: list[Node], blocks: list[str]) -> Node | None:
-    """The declared node that holds most of the page's text and a title, an article or all of the text: it is around the article."""
-    shown = sum(len("".join(block.split())) for block in blocks)
-    largest = max((node for node in nodes if node.by_name is node), key=lambda node: node.hidden, default=None)
-    if largest is None or not largest.hidden or not (largest.has_main or not shown):
-        return None
-    return largest if 2 * largest.hidden > shown + sum(node.hidden for node in nodes) else None
+def unwrapped(nodes: list[Node], blocks: list[str]) -> None:
+    """Sets which nodes are dropped: cut ones and those with a declared name, less the ones that are around the article.
+
+    A named node is around the article if it holds an article, a main element or a title, and either none of these is shown outside
+    named nodes, or it holds more than half of the text and its name doesn't mean comments. Where nothing else is shown, the largest is.
+    """
+    size = [0] * len(nodes)  # characters of each subtree, without white space
+    titled, in_article = [False] * len(nodes), [False] * len(nodes)
+    own = [sum(len("".join(blocks[k].split())) for k in node.blocks) for node in nodes]
+    for node in reversed(nodes):
+        k = node.order
+        size[k] += own[k]
+        titled[k] |= node.tag in HEADINGS and size[k] > 0
+        if node.parent is not None and not node.cut:
+            size[node.parent.order] += size[k]
+            titled[node.parent.order] |= titled[k]
+    for node in nodes[1:]:
+        in_article[node.order] = node.tag == "article" or in_article[node.parent.order]
+        if node.tag == "header" and in_article[node.order] and titled[node.order]:
+            node.named = ""
+    while True:
+        outer: list[Node | None] = [None] * len(nodes)  # of each node, the outermost named one that it is in
+        shown, marked = own.copy(), set()
+        for node in nodes[1:]:
+            outer[node.order] = outer[node.parent.order] or (node if node.named and not node.cut else None)
+        free = False
+        for node in reversed(nodes[1:]):
+            if node.cut:
+                continue
+            if outer[node.order] is None:
+                shown[node.parent.order] += shown[node.order]
+                free |= node.tag in MARKS and shown[node.order] > 0
+            elif node.tag in MARKS and size[node.order]:
+                marked.add(outer[node.order].order)
+        named = [node for node in nodes if outer[node.order] is node and size[node.order] and node.named != "header"]
+        if free:
+            around = [node for node in named if node.order in marked and node.named != "comments" and 2 * size[node.order] > size[0]]
+        else:
+            around = [node for node in named if node.order in marked] or (named if not shown[0] else [])
+        if not around:
+            break
+        most = max(around, key=lambda node: (size[node.order], -node.order))
+        for node in nodes:  # those inside that hold the same text are around it too
+            if outer[node.order] is most and size[node.order] == size[most.order] and node.named in ("other", most.named):
+                node.named = ""
+    for node in nodes[1:]:
+        node.dropped = node.cut or bool(node.named) or node.parent.dropped
 
 
 def score(nodes: list[Node]) -> None:
@@ -253,11 +294,8 @@ def around(core: Node) -> Node | None:
 
 def main_text(page: str | None) -> str:
     nodes, blocks = parse(page or "")
-    kept: set[int] = set()
-    while (node := wrapper(nodes, blocks)) is not None and len(kept) < NESTED:
-        kept.add(node.order)
-        nodes, blocks = parse(page or "", frozenset(kept))
-    if not blocks:
+    unwrapped(nodes, blocks)
+    if not any(node.blocks and not node.dropped for node in nodes):
         return ""
     score(nodes)
     sums = [sum(child.density for child in node.children if not child.dropped) for node in nodes]

@@ -71,7 +71,7 @@ def test_main_text_after_markup_that_cut_pages():
     rest = ["Second text, with words.", "Third text."]
     assert op4.main_text(f'<article><p>First text.<span class="share">x</p>{tail}</article>').split("\n") == ["First text.", *rest]
     assert op4.main_text(f'<article><p>First <span class="share">x <b>y</b></span>text.</p>{tail}</article>').split("\n") == ["First text.", *rest]
-    for picture in ('<svg class="icon"/>', "<math />", "<svg/>"):
+    for picture in ('<svg class="icon"/>', "<math />", "<svg/>", "<svg><title>z</title></svg>"):
         assert op4.main_text(f"<article><p>First text.{picture}</p>{tail}<svg><text>z</text></svg></article>").split("\n") == ["First text.", *rest]
     for name in ("has-sidebar", "no-comments", "content-with-sidebar", "page-sidebar", "form widget"):
         assert op4.main_text(f'<body><div class="{name}"><article>{tail}</article><div class="sidebar">Aside</div></div></body>').split("\n") == rest
@@ -81,6 +81,70 @@ def test_main_text_after_markup_that_cut_pages():
     assert op4.main_text(comments).split("\n") == rest
 
 
+WRAPPERS = ["has-sidebar", "content no-sidebar", "with-ads", "related-content", "form-wrapper", "share-page", "page-header-fixed menu-open", "search-results", "comments-open", "sidebar", "widget ad"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_no_name_around_an_article_drops_it(name):
+    """A declared name on each element around the article, as class and id, with and without article elements, beside menus and comments."""
+    body = "<h1>Title here</h1>" + "".join(f"<p>Paragraph {k} of the article has quite a few words in it, as they do.</p>" for k in range(6))
+    want = ["Title here", *(f"Paragraph {k} of the article has quite a few words in it, as they do." for k in range(6))]
+    rest = '<div class="sidebar">Side words.</div><div class="comments"><article><p>A reply.</p></article></div><div class="footer">Foot</div>'
+    for article in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+        for page in (f'<div class="{name}">{article}</div>{rest}', f'<section id="{name}"><div class="{name}"><div class="{name}">{article}</div></div></section>{rest}', f'<body class="{name}"><nav>Menu</nav><div class="{name}">{article}{rest}</div></body>'):
+            assert op4.main_text(page).split("\n") == want, page[:90]
+
+
+def test_text_elements_of_an_article_stay():
+    """Paragraphs, inline elements and formulas, whatever words are in their class names; whole names still say what they are."""
+    p = "<p>Words before and after it, in a paragraph.</p>"
+    page = f'<article><header><h1>Title</h1></header>{p}<p class="notice-board">A board of notices.</p>{p}<p>Let <math><mi>x</mi> <mo>=</mo> <mn>1</mn></math> be <span class="share-price">9 euros</span>.</p>{p}<p class="ad">Buy</p><div class="cookie-notice">We use cookies</div></article>'
+    words = "Words before and after it, in a paragraph."
+    assert op4.main_text(page).split("\n") == ["Title", words, "A board of notices.", words, "Let x = 1 be 9 euros.", words]
+    assert op4.main_text("<header><h1>Site</h1></header><h1>Title</h1>" + p).split("\n") == ["Title", words]
+
+
+def test_main_text_against_a_tree_of_the_standard_parser(words):
+    """Generated pages with menus, adverts and comments around and inside the article: html.parser's tree, less what was generated as such."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        """Texts of p, h1, h2 and li elements, unless an open element is marked as something else."""
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.texts = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append((tag, dict(attrs).get("data-not") == "1"))
+            if tag in ("p", "h1", "h2", "li"):
+                self.texts.append("")
+
+        def handle_endtag(self, tag):
+            while self.open.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            if any(t in ("p", "h1", "h2", "li") for t, _ in self.open) and not any(other for _, other in self.open):
+                self.texts[-1] += data
+
+    rng = np.random.default_rng(5)
+    other = ['<div class="ad" data-not="1"><p>{}</p></div>', '<aside data-not="1"><p>{}</p></aside>', '<div class="share-buttons" data-not="1"><p>{}</p></div>', '<form data-not="1"><p>{}</p></form>', '<div role="navigation" data-not="1"><ul><li><a href="/x">{}</a></li></ul></div>']
+    for k in range(120):
+        some = lambda n, k=k: words(int(rng.integers(n, 4 * n)), int(rng.integers(10**6)))
+        inner = [f"<h1>{some(3)}</h1>"]
+        for _ in range(int(rng.integers(3, 12))):
+            kind = int(rng.integers(8))
+            inner.append(str(rng.choice(other)).format(some(2)) if kind == 0 else f"<h2>{some(2)}</h2>" if kind == 1 else f"<ul><li>{some(4)}</li><li>{some(4)} &amp; <b>{some(1)}</b></li></ul>" if kind == 2 else f"<section><p>{some(9)}</p></section>" if kind == 3 else f'<p>{some(12)} <a href="#">{some(1)}</a>\n {some(6)}</p>')
+        article = f"<{(tag := ('article', 'main')[k % 2])}>{''.join(inner)}</{tag}>"
+        for _ in range(k % 4):
+            article = f'<div class="{rng.choice(WRAPPERS)}">{article}</div>'
+        page = f'<html><body><nav data-not="1"><ul><li><a href="/">{some(2)}</a></li></ul></nav>{article}<div class="sidebar" data-not="1"><p>{some(6)}</p></div><section id="comments" data-not="1"><p>{some(4 + 40 * (k % 3 == 0))}</p></section><footer data-not="1"><p>{some(3)}</p></footer></body></html>'
+        tree = Tree()
+        tree.feed(page)
+        assert op4.main_text(page).split("\n") == [" ".join(t.split()) for t in tree.texts if t.split()], k
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html><body></body></html>", "<p", "<!-- open", "<script>x", "<nav>only</nav>", "</p></div></article>"])
 def test_pages_without_text(page):
     assert op4.main_text(page) == ""
