@@ -1,21 +1,23 @@
 """License scans: a positional index of licence words, looked up by each file's rarest ones.
 
-Every text is read once, to the positions of the few words that licence templates hold (its
-postings); the corpus' document frequency of each such word follows from the postings. A template
-is looked up by its highest-IDF word: each place of that word gives a start, and the template's
-other words are intersected with the postings by their position from that start. A base phrase
-needs all its words consecutively; a longer template needs MIN_SCORE of its IDF weight in place
-and its key phrase, word for word.
+Every text is read once, to the positions of the few words that licence templates hold; the corpus' document frequency of each
+such word follows from them. The index holds, for each template's highest-IDF words, the template and the word's offset in it: the rarest word
+of its key phrase, and as many words as it takes for the rest to weigh less than MIN_SCORE of the template. The places of indexed words in
+a file give pairs of template and start; around each start, the file's words are intersected with the template's by relative position. The template fits if
+MIN_SCORE of its IDF weight is in place and its key phrase stands word for word at its offset from that start. A base phrase is a template that
+is its own key phrase.
 
-Everything happens inside a row, so that no document, however hot its words, moves between tasks.
+Everything happens inside a row, so that no document, however hot its words, moves between tasks; a row costs its places of indexed words, not
+the number of templates.
 
 Cases: a null or empty text has no words and no labels. Repeated rows each get the same answer.
-Places that overlap count each. Templates that tie in IDF use their first word. Templates whose
-words no document has are looked up by their first word. Further columns are ignored.
+Places that overlap count each. Words that tie in IDF are indexed in the order of the template. Words that no document has count as the
+rarest. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,77 +62,67 @@ def postings(docs: DataFrame, words: list[str]) -> DataFrame:
     return docs.select("doc_id", found.alias("words")).select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.size("words") > 0, posts).otherwise(empty).alias("posts"))
 
 
-def places(template: list[int], anchor: int) -> Column:
-    """Start positions of the whole template, found from its anchor-th word. 0 in the template stands for any word."""
-    posts = F.col("posts")
-    held = [k for k, w in enumerate(template) if w]
-    near = held.index(anchor)
-    fits = lambda i: [
-        F.coalesce((F.get(posts, i + (j - near))["word"] == template[k]) & (F.get(posts, i + (j - near))["pos"] - F.get(posts, i)["pos"] == k - anchor), F.lit(False))
-        for j, k in enumerate(held)
-    ]
-
-    def whole(i: Column) -> Column:
-        first, *rest = sorted(zip(held, fits(i)), key=lambda x: x[0] != anchor)
-        test = first[1]
-        for _, one in rest:
-            test = test & one
-        return test
-
-    starts = F.filter(F.sequence(F.lit(0), F.size(posts) - 1), whole)
-    return F.when(F.size(posts) > 0, F.transform(starts, lambda i: F.get(posts, i)["pos"] - anchor)).otherwise(F.array().cast("array<int>"))
-
+def indexed_offsets(weights: list[float], need: float) -> list[int]:
+    """The offsets of the heaviest words, as few as leave the others less than need of the weight."""
+    total, left, chosen = sum(weights), sum(weights), []
+    for k in sorted(range(len(weights)), key=lambda k: (-weights[k], k)):
+        if left < need * total - 1e-9:
+            break
+        chosen.append(k)
+        left -= weights[k]
+    return chosen
 
-def aligned(template: list[int], weights: list[float], anchor: int) -> Column:
-    """The largest share of the template's weight in place, over all starts that its anchor gives."""
-    posts, total, n = F.col("posts"), sum(weights) or 1.0, len(template)
-    offsets = F.array(*[F.lit(w) for w in template])
-    weight = F.array(*[F.lit(float(w)) for w in weights])
 
-    def share(i: Column) -> Column:
-        start = F.get(posts, i)["pos"] - anchor
-        near = F.slice(posts, F.greatest(i + 1 - anchor, F.lit(1)), n + anchor)  # one posting a position at most
-        inside = lambda p: (p["pos"] >= start) & (p["pos"] < start + n) & (F.get(offsets, p["pos"] - start) == p["word"])
-        return F.aggregate(near, F.lit(0.0), lambda s, p: s + F.when(inside(p), F.get(weight, p["pos"] - start)).otherwise(0.0)) / F.lit(total)
-
-    anchors = F.filter(F.sequence(F.lit(0), F.size(posts) - 1), lambda i: F.get(posts, i)["word"] == template[anchor])
-    return F.when(F.size(posts) > 0, F.coalesce(F.array_max(F.transform(anchors, share)), F.lit(0.0))).otherwise(0.0)
+def constant(values: list, kind: str) -> Column:
+    """A list as a constant of a Spark type."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row for each row of docs."""
-    texts = [*phrases, *(t for _, t, _ in templates), *(k for _, _, k in templates)]
-    words = sorted({w for t in texts for w in t.split()} - {"*"})
+    every = [(label, phrase, phrase) for phrase, label in phrases.items()] + templates
+    words = sorted({w for _, text, _ in every for w in text.split()} - {"*"})
     posted = stored(postings(docs, words), "licence-postings")
     counts = posted.select(F.explode(F.array_distinct("posts.word")).alias("word")).groupBy("word").count().collect()  # a row for each licence word
     n_docs, df = posted.count(), {r["word"]: r["count"] for r in counts}
-    idf = {i: math.log((n_docs + 1) / (df.get(i, 0) + 1)) + 1.0 for i in range(1, len(words) + 1)}
-
-    def indexed(text: str) -> tuple[list[int], int]:
-        template = [0 if w == "*" else words.index(w) + 1 for w in text.split()]
-        held = [k for k, w in enumerate(template) if w]
-        seen = [k for k in held if df.get(template[k])] or held  # a word that no document has can't be looked up
-        return template, max(seen, key=lambda k: (idf[template[k]], -k))
-
-    base, own = [], []
-    for phrase, label in phrases.items():
-        base.append((label, places(*indexed(phrase))))
-    for label, text, key in templates:
-        template, anchor = indexed(text)
-        score = aligned(template, [idf[w] if w else 0.0 for w in template], anchor)
-        own.append((label, F.when(F.size(places(*indexed(key))) > 0, score).otherwise(0.0)))
-    # Templates are tried where some licence word stands; other rows keep empty arrays.
-    found = posted.withColumns({f"_base{i}": p for i, (_, p) in enumerate(base)} | {f"_own{i}": s for i, (_, s) in enumerate(own)})
-    starts = F.concat(*[F.col(f"_base{i}") for i in range(len(base))])
-    labelled = F.array_compact(F.array(*[F.when(F.size(f"_base{i}") > 0, F.lit(label)) for i, (label, _) in enumerate(base)]))
-    more = F.array_compact(F.array(*[F.when(F.col(f"_own{i}") >= MIN_SCORE, F.lit(label)) for i, (label, _) in enumerate(own)]))
-    join = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    best = F.greatest(*[F.col(f"_own{i}") for i in range(len(own))], F.lit(0.0)) if own else F.lit(0.0)
-    return found.withColumn("_starts", starts).select(
-        "doc_id", "n_words", F.size("_starts").cast("long").alias("n_base"),
-        F.array_min("_starts").cast("long").alias("first_word"), F.array_max("_starts").cast("long").alias("last_word"),
-        join(labelled).alias("base_labels"), join(F.concat(labelled, more)).alias("labels"),
-        F.when(F.size("_starts") > 0, F.lit(1.0)).otherwise(F.round(F.least(best, F.lit(1.0)), 9)).alias("score"),
+    index: list[list[dict]] = [[] for _ in words]
+    known = []
+    for t, (_, text, key) in enumerate(every):
+        held = [0 if w == "*" else words.index(w) + 1 for w in text.split()]
+        weights = [math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1.0 if w else 0.0 for w in held]
+        size = len(key.split())
+        at = next(k for k in range(len(held)) if text.split()[k : k + size] == key.split())
+        rarest = max(range(at, at + size), key=lambda k: (weights[k], -k))
+        for k in {rarest, *indexed_offsets(weights, MIN_SCORE)} if t >= len(phrases) else {rarest}:
+            index[held[k] - 1].append({"t": t, "off": k})
+        known.append({"words": held, "shares": [w / sum(weights) for w in weights], "key": at, "size": size})
+    by_word = constant(index, "array<array<struct<t:int,off:int>>>")
+    by_template = constant(known, "array<struct<words:array<int>,shares:array<double>,key:int,size:int>>")
+    label = constant([name for name, _, _ in every], "array<string>")
+    posts = F.col("posts")
+
+    def starts(p: Column, i: Column) -> Column:
+        return F.transform(F.get(by_word, p["word"] - 1), lambda e: F.struct(e["t"].alias("t"), (p["pos"] - e["off"]).alias("start"), F.greatest(i + 1 - e["off"], F.lit(1)).alias("near")))
+
+    def intersected(c: Column) -> Column:
+        """What of a template is in place from a start: its share, and words of its key phrase. Places of one file are at least one apart."""
+        own = F.get(by_template, c["t"])
+        near = F.slice(posts, c["near"], F.size(own["words"]))
+        in_place = F.filter(near, lambda p: (p["pos"] >= c["start"]) & F.coalesce(F.get(own["words"], p["pos"] - c["start"]) == p["word"], F.lit(False)))
+        offsets = F.transform(in_place, lambda p: p["pos"] - c["start"])
+        share = F.aggregate(offsets, F.lit(0.0), lambda s, k: s + F.get(own["shares"], k))
+        key = F.size(F.filter(offsets, lambda k: (k >= own["key"]) & (k < own["key"] + own["size"]))) == own["size"]
+        return F.struct(c["t"].alias("t"), c["start"].alias("start"), F.round(F.least(share, F.lit(1.0)), 9).alias("share"), key.alias("keyed"))
+
+    candidates = posted.withColumn("_starts", F.flatten(F.transform("posts", starts)))
+    found = candidates.withColumn("_found", F.filter(F.transform("_starts", intersected), lambda c: c["keyed"]))
+    is_base = lambda c: c["t"] < len(phrases)
+    found = found.withColumns({"_base": F.filter("_found", is_base), "_own": F.filter("_found", lambda c: ~is_base(c))})
+    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda c: F.get(label, c["t"])))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min("_base.start").cast("long").alias("first_word"), F.array_max("_base.start").cast("long").alias("last_word"),
+        joined(F.col("_base")).alias("base_labels"), joined(F.concat("_base", F.filter("_own", lambda c: c["share"] >= MIN_SCORE))).alias("labels"),
+        F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("_own.share"), F.lit(0.0))).alias("score"),
     )
 
 

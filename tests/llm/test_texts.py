@@ -45,6 +45,41 @@ def test_own_licence_templates(frame):
     assert got[1]["labels"] == "mit-text" and got[1]["score"] == 1.0 and got[2]["labels"] == "" and got[3]["labels"] == "apache,apache-2.0"
 
 
+def own_licences(rows):
+    """Labels and scores by trying each template at each place of each text."""
+    split = {k: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP)) for k, (_, t) in enumerate(rows)}
+    idf = lambda w: math.log((len(rows) + 1) / (sum(w in s for s in split.values()) + 1)) + 1
+    out = {}
+    for k, w in split.items():
+        labels, best = set(licence(rows[k][1])[4].split(",")) - {""}, 0.0
+        for label, text, key in op3.TEMPLATES:
+            parts, total = text.split(), sum(idf(x) for x in text.split() if x != "*")
+            at = next(i for i in range(len(parts)) if parts[i : i + len(key.split())] == key.split())
+            for start in range(-len(parts), len(w)):
+                got = lambda i: w[start + i] if 0 <= start + i < len(w) else None  # noqa: B023, E731
+                if [got(i) for i in range(at, at + len(key.split()))] == key.split():
+                    share = min(round(sum(idf(x) for i, x in enumerate(parts) if x != "*" and got(i) == x) / total, 9), 1.0)
+                    best = max(best, share)
+                    labels |= {label} if share >= op3.MIN_SCORE else set()
+        out[k] = (",".join(sorted(labels)), 1.0 if licence(rows[k][1])[1] else best)
+    return out
+
+
+def test_own_labels_against_brute_force(frame, odd_rows):
+    """Every template whole, with each word altered, left out or doubled, cut at both ends, beside others; words that tie in IDF."""
+    mit = "Permission is {} granted free of charge to any person obtaining a copy"
+    rows = [*odd_rows, (300, mit.format("xxx") + " ; and elsewhere hereby granted free"), (301, mit.format("hereby"))]
+    for label, text, _ in op3.TEMPLATES:
+        w = text.replace("*", "some").split()
+        rows += [(0, " ".join(w)), (0, " ".join(["and", *w, "gnu", *w[1:]])), (0, " ".join(w[:-1])), (0, " ".join(w * 3))]
+        for k in range(len(w)):
+            rows += [(0, " ".join([*w[:k], "xxx", *w[k + 1 :]])), (0, " ".join(w[:k] + w[k + 1 :])), (0, " ".join([*w[: k + 1], w[k], *w[k + 1 :]]))]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: (r["labels"], pytest.approx(r["score"], abs=2e-9)) for r in op3.scan_licenses(frame(rows)).collect()}
+    assert own_licences(rows) == got
+    assert got[len(odd_rows)][0] == "" and got[len(odd_rows) + 1][0] == "mit-text"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body class="with-sidebar">
 <header>Site head</header><nav><ul><li><a href=/a>Menu one</a></li></ul></nav><div class="cookie-notice">We use cookies</div><div class=ad>Buy</div>
 <article><h1>Head &amp; line</h1><p>First <b>bold</b> part,
