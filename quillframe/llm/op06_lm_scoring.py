@@ -1,32 +1,34 @@
 """LM scoring: a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
-The model predicts a class of the next word from the class before: each of the WORDS most frequent words is a
-class of its own, other words share SUFFIXES classes by a hash of their last three bytes, and start
-and end are classes too. score(next | before) = r[before] . q[next] + b[next]. Inside a class a word has its
-smoothed share of the class' tokens, so that a text's probability is normalised.
+The WORDS most frequent words have vectors of their own; other words share those of SUFFIXES classes, by a hash of their last three bytes; start
+and end are classes too. The two classes before a token each have a context vector and their position its own matrix:
+score(next | before, before that) = (r[before] C1 + r[before that] C2) . q[next] + b[next]. Inside a class of several words a word has its
+smoothed share of the class' tokens, with room for one unseen word, so that a text's probability is normalised.
 
-Training sees every training token: the class pair counts of all training texts are added up in
-Spark (at most CLASSES ^ 2 cells, whatever the input) and noise-contrastive estimation takes its gradient over all of
-them and over the whole noise distribution, in matrix products. After training, one batched product
-normalises the scores of all classes.
+Training sees every training token once, in STEPS steps: each step's texts are spread over all tasks, which draw SHARED noise classes
+from the unigram distribution for each block of tokens and return the summed gradient of noise-contrastive
+estimation (matrix products of the block's contexts with the noise vectors). Gradients are added up in Spark, and Adam moves the
+parameters, of a fixed size whatever the corpus. Scores are sums of a term for each context, so that one matrix product of their exponentials normalises
+all pairs of contexts.
 
-Word counts are a table in Spark. The HEAD most frequent words of at most WORD_BYTES bytes are broadcast, so that most
-tokens are scored where they are; all others meet the count table in a join.
+Word counts are a table in Spark. The HEAD most frequent words are broadcast, so that most
+tokens are scored where they are; all others meet the count table in a join. A word of more than WORD_BYTES bytes goes by its MD5 and last three bytes.
 
 Cases: a null or empty text is its end token alone. Without training rows every class is as likely. Rows that
 repeat an id are scored each on its own. Words seen in no training text count 0 and have their class'
-least probability. Further columns are ignored.
+least probability. Words of equal counts rank by their bytes. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +37,17 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import fold, read, stored
 
 FOLDS, HELD_OUT = 7, 2
-WORDS, SUFFIXES = 512, 128
+WORDS, SUFFIXES = 1024, 128
 END, START = WORDS + SUFFIXES, WORDS + SUFFIXES + 1
 CLASSES = WORDS + SUFFIXES + 2
 HEAD, WORD_BYTES = 131_072, 64
-DIMENSIONS, NOISE, STEPS, RATE = 32, 10, 200, 0.05
+DIMENSIONS, STEPS, RATE = 32, 24, 0.03
+#: Noise samples a token, and the noise classes that the tokens of a block share.
+NOISE, SHARED, BLOCK = 10, 64, 2_048
 #: Weight decay, in tokens: what it counts for falls as the corpus grows.
 DECAY = 8.0
+#: Tasks that add up a step's gradients, and the tokens of a row of training text.
+ADDERS, ROW_TOKENS = 16, 131_072
 #: Words whose class a worker remembers before it starts anew.
 MEMO = 300_000
 
@@ -70,7 +76,10 @@ def head_classes(head: list[bytes]) -> np.ndarray:
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+    found = (text or "").encode().lower().split()
+    if found and max(map(len, found)) > WORD_BYTES:
+        found = [w if len(w) <= WORD_BYTES else b" " + hashlib.md5(w).digest() + w[-3:] for w in found]
+    return found
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -87,87 +96,197 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """At most HEAD words, by falling count and then by word. The least count comes from a histogram of 1/32 octaves."""
-    short = counts.filter(F.length("word") <= WORD_BYTES)
+    """(word, count) of at most HEAD words, by falling count and then by word. The least count comes from a histogram of 1/32 octaves."""
     octave = F.floor(F.log2("c") * 32)
     total, least = 0, None
-    for r in sorted(short.groupBy(octave.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["k"]):  # 2,016 rows at most
+    for r in sorted(counts.groupBy(octave.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["k"]):  # 2,016 rows at most
         total += r["n"]
         if total > HEAD:
             break
         least = r["c"]
     if least is None:
         return []
-    return sorted(((bytes(r["word"]), r["c"]) for r in short.filter(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
+    return sorted(((bytes(r["word"]), r["c"]) for r in counts.filter(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def class_pairs(train: DataFrame, head: list[bytes]) -> np.ndarray:
-    """counts[before, next] over all training texts."""
+def class_ids(words: list[bytes], vocabulary: Vocabulary, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the head, or below 0; and classes."""
+    at = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
+    return at, np.where(at >= 0, classes[np.maximum(at, 0)], -1 - at) if len(classes) else -1 - at
+
+
+def class_texts(train: DataFrame, head: list[bytes]) -> DataFrame:
+    """(step, ids), written by step: the classes of all training texts, each begun by two starts, as 16-bit numbers in rows of about ROW_TOKENS."""
     shared = train.sparkSession.sparkContext.broadcast(head)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, classes = Vocabulary(shared.value), head_classes(shared.value)
-        cells = np.zeros(CLASSES * CLASSES, np.int64)
+        held: list[list[np.ndarray]] = [[] for _ in range(STEPS)]
+        sizes, k = [0] * STEPS, 0
+
+        def row(step: int) -> pa.RecordBatch:
+            ids = np.concatenate(held[step])
+            held[step], sizes[step] = [], 0
+            salt = zlib.crc32(ids.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([step], pa.int32()), pa.array([salt], pa.int64()), pa.array([ids.tobytes()], pa.binary())], ["step", "salt", "ids"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids = class_ids(tokens(text), vocabulary, classes)
-                np.add.at(cells, np.append(START, ids) * CLASSES + np.append(ids, END), 1)
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at // CLASSES, pa.int32()), pa.array(at % CLASSES, pa.int32()), pa.array(cells[at], pa.int64())], ["before", "next", "n"])
+                ids = class_ids(tokens(text), vocabulary, classes)[1]
+                step, k = k % STEPS, k + 1
+                held[step].append(np.concatenate([[START, START], ids, [END]]).astype(np.uint16))
+                sizes[step] += len(ids) + 3
+                if sizes[step] >= ROW_TOKENS:
+                    yield row(step)
+        for step in range(STEPS):
+            if held[step]:
+                yield row(step)
 
-    cells = train.select("text").mapInArrow(counted, "before int, next int, n long").groupBy("before", "next").agg(F.sum("n").alias("n"))
-    rows = cells.groupBy("before").agg(F.collect_list("next").alias("next"), F.collect_list("n").alias("n")).collect()  # CLASSES rows of at most CLASSES cells
-    counts = np.zeros((CLASSES, CLASSES))
-    for r in rows:
-        counts[r["before"], r["next"]] = r["n"]
-    return counts
+    rows = train.select("text").mapInArrow(numbered, "step int, salt long, ids binary")
+    return stored(rows.repartition("step", "salt"), "class-texts", by="step")
 
 
-def class_ids(words: list[bytes], vocabulary: Vocabulary, classes: np.ndarray) -> np.ndarray:
-    at = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
-    return np.where(at >= 0, classes[np.maximum(at, 0)], -1 - at) if len(classes) else -1 - at
+@dataclass
+class Parameters:
+    """Context vectors, target vectors, the matrices of the two positions, and biases."""
 
+    r: np.ndarray
+    q: np.ndarray
+    c1: np.ndarray
+    c2: np.ndarray
+    b: np.ndarray
 
-def train_nce(counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Normalised log10 probabilities [before, next], from a log-bilinear model of the counts.
+    @classmethod
+    def start(cls, unigram: np.ndarray) -> Parameters:
+        rng, shape = np.random.default_rng(11), (CLASSES, DIMENSIONS)
+        return cls(rng.normal(0, 0.1, shape), rng.normal(0, 0.1, shape), np.eye(DIMENSIONS), 0.5 * np.eye(DIMENSIONS), np.log(unigram))
 
-    Noise is the smoothed unigram distribution, NOISE samples a token in expectation; the optimiser is
-    Adam over the full gradient.
-    """
-    size, rng = len(counts), np.random.default_rng(11)
-    total = max(counts.sum(), 1.0)
-    unigram = counts.sum(axis=0) + 0.5
-    unigram /= unigram.sum()
-    data, context = counts / total, counts.sum(axis=1, keepdims=True) / total
-    noise, decay = NOISE * context * unigram[None, :], DECAY / total
-    offset = np.log(NOISE * unigram)[None, :]
-    params = [rng.normal(0, 0.1, (size, DIMENSIONS)), rng.normal(0, 0.1, (size, DIMENSIONS)), np.log(unigram)[None, :].copy()]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, steps + 1):
-        r, q, b = params
-        real = 1.0 / (1.0 + np.exp(-np.clip(r @ q.T + b - offset, -30, 30)))
-        slope = noise * real - data * (1.0 - real)
-        grads = [slope @ q + decay * r, slope.T @ r + decay * q, slope.sum(axis=0, keepdims=True)]
-        rate = RATE * min(1.0, 2.0 * (1.0 - step / (steps + 1)))
-        for p, g, m, v in zip(params, grads, first, second):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    r, q, b = params
-    scores = r @ q.T + b
-    scores[:, START] = -np.inf  # never follows
-    peak = scores.max(axis=1, keepdims=True)
-    return (scores - peak - np.log(np.exp(scores - peak).sum(axis=1, keepdims=True))) / math.log(10)
+    def all(self) -> list[np.ndarray]:
+        return [self.r, self.q, self.c1, self.c2, self.b]
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.all()])
 
-def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs."""
+    @classmethod
+    def of_flat(cls, flat: np.ndarray) -> Parameters:
+        shapes = [(CLASSES, DIMENSIONS)] * 2 + [(DIMENSIONS, DIMENSIONS)] * 2 + [(CLASSES,)]
+        cuts = np.cumsum([0, *(math.prod(s) for s in shapes)])
+        return cls(*(flat[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], shapes)))
+
+
+def add(total: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """Adds to each class of total the rows that have its index."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    total[index[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def gradient(ids: np.ndarray, p: Parameters, unigram: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
+    """The summed gradient of noise-contrastive estimation over the tokens of ids, and how many there are.
+
+    Each block of tokens shares SHARED noise classes, which count as NOISE samples a token.
+    """
+    rng = np.random.default_rng(seed)
+    to_first, to_second, to_q, to_b = *(np.zeros((CLASSES, DIMENSIONS)) for _ in range(3)), np.zeros(CLASSES)
+    r, q, c1, c2, b = (x.astype(np.float32) for x in p.all())
+    by_first, by_second, offset = r @ c1, r @ c2, np.log(NOISE * unigram).astype(np.float32)
+    at = np.flatnonzero(ids[2:] != START) + 2
+    ids = ids.astype(np.int64)
+    cumulated = np.cumsum(unigram)
+    for k in range(0, len(at), BLOCK):
+        here = at[k : k + BLOCK]
+        x1, x2, w = ids[here - 1], ids[here - 2], ids[here]
+        context = by_first[x1] + by_second[x2]
+        noise = np.minimum(np.searchsorted(cumulated, rng.random(SHARED) * cumulated[-1]), CLASSES - 1)
+        of_data = np.einsum("ij,ij->i", context, q[w]) + b[w] - offset[w]
+        of_noise = context @ q[noise].T + (b[noise] - offset[noise])
+        up = -1.0 / (1.0 + np.exp(np.clip(of_data, -30, 30)))
+        down = np.float32(NOISE / SHARED) / (1.0 + np.exp(np.clip(-of_noise, -30, 30)))
+        to_context = up[:, None] * q[w] + down @ q[noise]
+        for total, index, rows in ((to_q, w, up[:, None] * context), (to_b, w, up), (to_first, x1, to_context), (to_second, x2, to_context)):
+            add(total, index, rows)
+        add(to_q, noise, down.T @ context)
+        add(to_b, noise, down.sum(axis=0))
+    return Parameters(to_first @ c1.T + to_second @ c2.T, to_q, r.T @ to_first, r.T @ to_second, to_b).flat(), len(at)
+
+
+def train_nce(texts: DataFrame, unigram: np.ndarray) -> Parameters:
+    """One pass over texts (step, ids), a step at a time."""
+    params, spark = Parameters.start(unigram), texts.sparkSession
+    flat = params.flat()
+    first, second, trained = np.zeros_like(flat), np.zeros_like(flat), False
+    for step in range(STEPS):
+        shared = spark.sparkContext.broadcast((flat, unigram))
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, unigram = shared.value  # noqa: B023
+            total, n = np.zeros_like(now), 0
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    g, m = gradient(np.frombuffer(raw, np.uint16), Parameters.of_flat(now), unigram, zlib.crc32(raw))
+                    total, n = total + g, n + m
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "n"])
+
+        def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = None, 0
+            for batch in batches:
+                for raw, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    g = np.frombuffer(raw, np.float32).astype(float)
+                    total, n = g if total is None else total + g, n + m
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "n"])
+
+        parts = texts.filter(F.col("step") == step).select("ids").mapInArrow(summed, "g binary, n long")
+        found = parts.repartition(ADDERS).mapInArrow(more, "g binary, n long").collect()  # ADDERS rows of the parameters' size
+        n = sum(x["n"] for x in found)
+        if not n:
+            continue
+        trained = True
+        grad = sum(np.frombuffer(x["g"], np.float32).astype(float) for x in found) / n
+        decayed = Parameters.of_flat(flat.copy())
+        decayed.c1[:], decayed.c2[:], decayed.b[:] = 0, 0, 0
+        grad += DECAY / (n * STEPS) * decayed.flat()
+        first += 0.1 * (grad - first)
+        second += 0.05 * (grad * grad - second)
+        rate = RATE * min(1.0, 2.0 * (1.0 - step / (STEPS + 1)))
+        flat = flat - rate * (first / (1 - 0.9 ** (step + 1))) / (np.sqrt(second / (1 - 0.95 ** (step + 1))) + 1e-6)
+    return Parameters.of_flat(flat if trained else np.zeros_like(flat))
+
+
+@dataclass
+class Model:
+    """What scores texts. log10 of a class' probability: by_first[before, next] + by_second[before that, next] - norm[before, before that]."""
+
+    head: list[bytes]
+    head_log: np.ndarray  # log10 of counts and one
+    below: np.ndarray  # log10 of the tokens that share a class, and room for unseen ones; 0 where a word is its class
+    by_first: np.ndarray
+    by_second: np.ndarray
+    norm: np.ndarray
+    n_train: int
+    n_all: int
+    v_all: int
+
+
+def tables(p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 scores of each context and next class, and of the sums over next classes for each pair of contexts."""
+    first, second = (p.r @ p.c1) @ p.q.T, (p.r @ p.c2) @ p.q.T + p.b
+    second[:, START] = -np.inf  # never follows
+    high1, high2 = first.max(axis=1, keepdims=True), second.max(axis=1, keepdims=True)
+    norm = np.log(np.maximum(np.exp(first - high1) @ np.exp(second - high2).T, 1e-300)) + high1 + high2.T
+    second[:, START] = -1e30
+    return tuple((x / math.log(10)).astype(np.float32) for x in (first, second, norm))
+
+
+def fit(train: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and (word, c) of all training words."""
     counts = word_counts(train)
     n_train = train.count()
     frequent = frequent_words(counts)
     head = [w for w, _ in frequent]
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_all, v_all = totals["n"] + n_train, totals["v"] + (n_train > 0)
     last = F.when(F.length("word") <= 3, F.col("word")).otherwise(F.substring("word", -3, 3))
     by_class = counts.groupBy((F.crc32(last) % SUFFIXES).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # SUFFIXES rows
     class_n, class_v = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
@@ -176,46 +295,53 @@ def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
     for word, c in frequent[:WORDS]:
         class_n[suffix_class(word) - WORDS] -= c
         class_v[suffix_class(word) - WORDS] -= 1
-    below = np.zeros(CLASSES)  # log10 of the tokens that share a class; 0 where a word is its class
-    below[WORDS : WORDS + SUFFIXES] = np.log10(class_n + class_v + 1)
-    model = train_nce(class_pairs(train, head)).astype(np.float32)
-    head_log = np.log10(np.array([c for _, c in frequent], float) + 1)
-    shared = docs.sparkSession.sparkContext.broadcast((head, head_log, below, model))
-    end_log, end_known = math.log10(n_train + 1), int(n_train > 0)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, head_log, below, model = shared.value
-        vocabulary, classes, flat = Vocabulary(head), head_classes(head), model.ravel()
-        key = TaskContext.get().partitionId() << 33
-        for batch in batches:
+    below = np.zeros(CLASSES)
+    below[WORDS:END] = np.log10(class_n + class_v + 1)
+    unigram = np.full(CLASSES, 0.5)
+    unigram[: len(frequent[:WORDS])] += [c for _, c in frequent[:WORDS]]
+    unigram[WORDS:END] += class_n
+    unigram[END] += n_train
+    unigram /= unigram.sum()
+    params = train_nce(class_texts(train, head), unigram)
+    return Model(head, np.log10(np.array([c for _, c in frequent], float) + 1), below, *tables(params), n_train, totals["n"] + n_train, totals["v"] + (n_train > 0)), counts
+
+
+def score_texts(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs."""
+    return score_with(docs, *fit(train))
+
+
+def score_with(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("n_tokens long, known long, base double, own double, rare array<struct<word:binary,n:long>>")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        vocabulary, classes = Vocabulary(m.head), head_classes(m.head)
+        end_log, end_known = math.log10(m.n_train + 1), int(m.n_train > 0)
+        for texts in batches:
             rows, rare = [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts.to_pylist():
                 words = tokens(text)
-                at = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
+                at, ids = class_ids(words, vocabulary, classes)
                 seen = at[at >= 0]
-                ids = np.where(at >= 0, classes[np.maximum(at, 0)], -1 - at) if len(classes) else -1 - at
-                pairs = flat[np.append(START, ids) * CLASSES + np.append(ids, END)].sum(dtype=np.float64)
-                logs = head_log[seen]
-                rows.append((key, len(words) + 1, len(seen) + end_known, float(logs.sum()) + end_log, float(pairs + logs[seen >= WORDS].sum() - below[ids].sum())))
-                rest = Counter(words[k] for k in np.flatnonzero(at < 0))
-                rare.append([{"word": w, "n": n} for w, n in rest.items()])
-                key += 1
-            keys, n, known, base, own = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                ["key", "doc_id", "n_tokens", "known", "base", "own", "rare"],
-            )
-
-    kind = dict(docs.dtypes)["doc_id"]
-    parts = docs.select("doc_id", "text").mapInArrow(scored, f"key long, doc_id {kind}, n_tokens long, known long, base double, own double, rare array<struct<word:binary,n:long>>")
-    parts = stored(parts, "lm-parts")
+                before, that, then = np.append(START, ids), np.append([START, START], ids[:-1]) if len(ids) else np.array([START]), np.append(ids, END)
+                log = m.by_first[before, then].astype(float) + m.by_second[that, then] - m.norm[before, that]
+                logs = m.head_log[seen]
+                rows.append((len(words) + 1, len(seen) + end_known, float(logs.sum()) + end_log, float(log.sum() + logs[seen >= WORDS].sum() - m.below[ids].sum())))
+                rare.append([{"word": w, "n": n} for w, n in Counter(words[k] for k in np.flatnonzero(at < 0)).items()])
+            n, known, base, own = zip(*rows) if rows else ((),) * 4
+            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))]
+            yield pa.StructArray.from_arrays(columns, ["n_tokens", "known", "base", "own", "rare"])
+
+    parts = stored(docs.select("doc_id", scored("text").alias("s")).select(F.monotonically_increasing_id().alias("key"), "doc_id", "s.*"), "lm-parts")
     rare = parts.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.n").join(counts, "word")
     tails = rare.groupBy("key").agg(F.sum("n").alias("tail_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail"))
     found = parts.drop("rare").join(tails, "key", "left")
     tail = F.coalesce("tail", F.lit(0.0))
     return found.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + tail - F.col("n_tokens") * F.lit(math.log10(n_all + v_all + 1))).alias("base_score"), (F.col("own") + tail).alias("score"),
+        "doc_id", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(model.n_all).cast("long").alias("train_tokens"),
+        (F.col("base") + tail - F.col("n_tokens") * F.lit(math.log10(model.n_all + model.v_all + 1))).alias("base_score"), (F.col("own") + tail).alias("score"),
     )
 
 

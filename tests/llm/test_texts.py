@@ -238,25 +238,92 @@ def test_language_model_against_brute_force(frame, odd_rows, words):
     assert op6.score_texts(df, train.limit(0)).count() == len(docs)
 
 
-def test_rare_words_join_gives_the_same(frame, words, monkeypatch):
-    docs = frame([(i, words(60, i % 5)) for i in range(30)])
-    whole = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in op6.score_texts(docs, docs).collect()}
-    monkeypatch.setattr(op6, "HEAD", 40)
-    monkeypatch.setattr(op6, "WORDS", 512)
-    few = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in op6.score_texts(docs, docs).collect()}
-    assert all(few[i][0] == whole[i][0] and few[i][1] == pytest.approx(whole[i][1]) for i in few)
+def class_of(word, frequent):
+    return frequent.index(word) if word in frequent else op6.suffix_class(word)
 
 
-def test_model_is_normalised_and_beats_unigrams():
+@pytest.mark.parametrize("head", [op6.HEAD, 40])
+def test_model_scores_against_brute_force(frame, odd_rows, words, monkeypatch, head):
+    """Each token's class by a softmax over all classes, and its share of the class; with most words in the head, and with most beyond it."""
+    monkeypatch.setattr(op6, "HEAD", head)
+    monkeypatch.setattr(op6, "STEPS", 3)
+    docs = odd_rows + [(i, words(60, i % 5)) for i in range(40, 60)] + [(61, "x" * 80 + "end rare " + "x" * 80 + "end")]
+    df = frame(docs, clash=True)
+    model, counts = op6.fit(df.filter("doc_id % 3 <> 0"))
+    seen, n_train = Counter(), 0
+    for i, t in docs:
+        if i is not None and i % 3:
+            seen.update(op6.tokens(t))
+            n_train += 1
+    ranked = sorted(seen, key=lambda w: (-seen[w], w))
+    cut = seen[ranked[head]] if len(ranked) > head else 0  # words of one octave of counts are in the head together
+    frequent = [w for w in model.head[: op6.WORDS]]
+    assert frequent == [w for w in ranked if w in set(model.head)][: op6.WORDS] and all(seen[w] > cut for w in model.head)
+    by_class = {}
+    for w, c in seen.items():
+        by_class.setdefault(class_of(w, frequent), []).append(c)
+    want = []
+    for i, t in docs:
+        found, ids = op6.tokens(t), [op6.START, op6.START]
+        total = 0.0
+        for w in [*found, None]:
+            k = op6.END if w is None else class_of(w, frequent)
+            logits = (model.by_first[ids[-1]].astype(float) + model.by_second[ids[-2]]) * math.log(10)
+            total += (logits[k] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()) / math.log(10)
+            if op6.WORDS <= k < op6.END:
+                total += math.log10((seen[w] + 1) / (sum(by_class.get(k, [])) + len(by_class.get(k, [])) + 1))
+            ids.append(k)
+        want.append((str(i), len(found) + 1, round(total / (len(found) + 1), 3)))
+    got = op6.score_with(df, model, counts).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"] / r["n_tokens"], 3)) for r in got) == sorted(want)
+    for k in range(op6.WORDS, op6.END):  # shares of a class, with room for one unseen word, add up to 1
+        assert sum(c + 1 for c in by_class.get(k, [])) + 1 == pytest.approx(10 ** model.below[k])
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(3)
+    unigram = rng.random(op6.CLASSES) + 0.1
+    unigram /= unigram.sum()
+    p = op6.Parameters.start(unigram)
+    ids = np.array([op6.START, op6.START, 5, 6, 5, 9, op6.END, op6.START, op6.START, 6, op6.END], np.uint16)
+
+    def loss(flat):
+        q = op6.Parameters.of_flat(flat)
+        noise = np.minimum(np.searchsorted(np.cumsum(unigram), np.random.default_rng(1).random(op6.SHARED) * unigram.sum()), op6.CLASSES - 1)
+        out = 0.0
+        for k in range(2, len(ids)):
+            if ids[k] != op6.START:
+                h = q.r[ids[k - 1]] @ q.c1 + q.r[ids[k - 2]] @ q.c2
+                s = lambda w: h @ q.q[w] + q.b[w] - math.log(op6.NOISE * unigram[w])  # noqa: B023, E731
+                out += math.log1p(math.exp(-s(ids[k]))) + op6.NOISE / op6.SHARED * sum(math.log1p(math.exp(s(w))) for w in noise)
+        return out
+
+    got, n = op6.gradient(ids, p, unigram, 1)
+    assert n == 7
+    flat, size = p.flat(), op6.CLASSES * op6.DIMENSIONS
+    for k in [5 * op6.DIMENSIONS + 3, 6 * op6.DIMENSIONS, op6.START * op6.DIMENSIONS + 1, size + 9 * op6.DIMENSIONS + 2, size + 5 * op6.DIMENSIONS, 2 * size + 7, 2 * size + op6.DIMENSIONS**2 + 40, len(flat) - op6.CLASSES + 5]:
+        step = np.zeros_like(flat)
+        step[k] = 1e-4
+        assert got[k] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-4, rel=2e-3, abs=1e-4)
+
+
+def test_model_is_normalised_and_learns_order(spark):
     rng = np.random.default_rng(0)
-    counts = rng.poisson(3, (op6.CLASSES, op6.CLASSES)).astype(float)
-    counts[:, op6.START] = 0
-    counts[:20, :20] += 300
-    logs = op6.train_nce(counts)
-    assert np.allclose((10**logs).sum(axis=1), 1)
-    unigram = np.log10((counts.sum(0) + 0.5) / (counts.sum(0) + 0.5).sum())
-    held = counts > 0
-    assert (counts[held] * logs[held]).sum() > (counts * unigram).sum()
+    vocabulary = [f"w{k}" for k in range(60)]
+
+    def chain():
+        at, out = int(rng.integers(60)), []
+        for _ in range(80):
+            out.append(vocabulary[at])
+            at = (at * 7 + int(rng.integers(3))) % 60
+        return " ".join(out)
+
+    df = spark.createDataFrame([(k, chain()) for k in range(400)], "doc_id long, text string")
+    model, counts = op6.fit(df.filter("doc_id < 350"))
+    for a, b in ((op6.START, op6.START), (3, 8), (700, 1100)):
+        assert (10 ** (model.by_first[a].astype(float) + model.by_second[b] - model.norm[a, b])).sum() == pytest.approx(1, abs=1e-4)
+    r = op6.score_with(df.filter("doc_id >= 350"), model, counts).selectExpr("sum(score) as own", "sum(base_score) as base").first()
+    assert r["own"] > 0.9 * r["base"]
 
 
 def test_media_round_trip(frame, odd_rows):
