@@ -227,6 +227,29 @@ def test_buckets_are_optimal(lengths, buckets):
     assert len(ends) <= buckets and sum(min(e for e in ends if e >= n) - n for n in lengths) == least_padding(lengths, buckets)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(8_150, 8_400), min_size=1, max_size=16), st.integers(1, 4))
+def test_buckets_of_long_texts_are_optimal(lengths, buckets):
+    histogram = [(n, lengths.count(n), n * lengths.count(n)) for n in sorted(set(lengths))]
+    ends = op9.best_buckets(histogram, buckets)
+    assert sum(min(e for e in ends if e >= n) - n for n in lengths) == least_padding(lengths, buckets)
+
+
+def test_packing_of_long_texts_is_optimal(frame):
+    lengths = [8_200, 8_201, 8_205, 8_211, 8_216, 8_217, 8_224, 8_231, 8_231, 20_000]
+    got = op9.pack(frame([(k, "w " * (n - 1)) for k, n in enumerate(lengths)]), buckets=3).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(lengths) and sum(r["padding"] for r in got) == least_padding(lengths, 3)
+
+
+def test_copies_of_a_document_are_spread(frame, words):
+    """20 documents of 30 copies among 1,400 others: a batch holds 50 rows, and few of one document."""
+    rows = [(i % 20, words(30, i % 20)) for i in range(600)] + [(1000 + i, words(30, 99)) for i in range(1400)]
+    got = op9.pack(frame(rows), buckets=1, token_budget=50 * 31).collect()
+    assert len(got) == len(rows)
+    most = max(sum(r["batch_id"] == b and r["doc_id"] == i for r in got) for b in {r["batch_id"] for r in got} for i in range(20))
+    assert most <= 7
+
+
 def test_packing(frame, odd_rows, words):
     rows = odd_rows + [(100 + i, words(i % 50 + 1, i)) for i in range(300)]
     got = op9.pack(frame(rows, clash=True), buckets=4, token_budget=500).collect()
@@ -286,3 +309,20 @@ def test_pipeline_stages(spark, frame, tmp_path, words):
     assert seen[2] == set(range(120)) and seen[3] <= seen[2]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.count() == docs.count() and {r["doc_id"] for r in packed.select("doc_id").collect()} == seen[3]
+
+
+def test_pipeline_on_odd_tables(spark, frame, tmp_path, odd_rows, words):
+    """Null and repeated ids, empty and very long texts; empty tables."""
+    rows = odd_rows + [(None, words(80, 900)), (None, words(80, 901)), (None, words(80, 900)), (70, words(80, 902)), (70, words(80, 903))] + [(200 + i, words(80, i)) for i in range(60)]
+    frame(rows, clash=True).drop("score").write.parquet(str(tmp_path / "a/documents.parquet"))
+    spark.createDataFrame([(200 + i, int(i % 4 > 0), 0) for i in range(60)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "a/labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "a/documents.parquet"))
+    names = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = op9.stored(stage(spark, docs, str(tmp_path / "a")), "stage")
+        assert sorted(docs.columns) == sorted(names)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path / "a"))
+    assert packed.count() == docs.count()
+    for name, df in (("documents", frame([])), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int"))):
+        df.write.parquet(str(tmp_path / f"b/{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
