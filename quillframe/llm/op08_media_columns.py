@@ -2,14 +2,19 @@
 
 HTML becomes an ordered sequence of structs, one for each block of text and each media reference,
 with captions attached to the reference they describe. References name payloads by digest; a join on
-that digest resolves them, so positions and captions stay aligned with what was resolved. Media are
-stored apart, once written, as binary PGM images: 8-bit samples in rows of 64, the exact length in a
-header comment, so that every byte string comes back as it was.
+that digest resolves them, so positions and captions stay aligned with what was resolved. Digests that more than a
+thousandth of all references name are at most a thousand: these are dealt over SALTS keys on both sides. Media are
+stored apart, as binary PGM images: 8-bit samples in rows of 64, the exact length in a
+header comment, so that every byte string comes back as it was. A task writes a digest it has seen once only, and features are
+computed from what was written.
+
+A document's page is a heading, a figure of the whole text, a figure of its last row, and a closing line; the query takes its columns from the
+two figures, by the captions.
 
 Cases: null HTML gives no rows. A reference that no medium has keeps its row with null media columns.
 Media that repeat a digest are equal and count once. A figure without a caption has a null caption;
 one with several media gives its caption to each. A null text is stored as an empty one, of 64 zero bytes.
-Rows that repeat an id each come out. Further columns are ignored.
+Rows that repeat an id, or have none, each come out. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,11 @@ from quillframe.llm.common import read, stored
 
 ROW = 64
 SCHEME = "media:"
+#: Keys that a frequent digest is dealt over.
+SALTS = 32
+#: Digests that a task remembers to have written; beyond it, it begins anew and may write some again.
+SEEN = 200_000
+WHOLE, LAST = "whole text", "last row"
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">])*)>""", re.S | re.I)
 _SOURCE = re.compile(r"""(?:^|\s)src\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -128,51 +138,89 @@ def sequence(page: str | None) -> list[tuple[int, str, str | None, str | None, s
     return [(k, *item) for k, item in enumerate(items)]
 
 
+ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
+
+
 def interleave(pages: DataFrame, media: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
     """(id, pos, kind, text, ref, caption) and the media columns of each reference; media has a column digest."""
-    kind = dict(pages.dtypes)[id_col]
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, *item) for k, page in zip(batch[id_col], batch[html_col]) for item in sequence(page)]
-            yield pd.DataFrame(rows, columns=[id_col, "pos", "kind", "text", "ref", "caption"], dtype=object)
-
-    items = pages.select(id_col, html_col).mapInPandas(parsed, f"`{id_col}` {kind}, pos int, kind string, text string, ref string, caption string")
+    @F.arrow_udf("array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>")
+    def items_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = [f.name for f in ITEM]
+        for html in batches:
+            yield pa.array([[dict(zip(names, item)) for item in sequence(page)] for page in html.to_pylist()], pa.list_(ITEM))
+
+    n_refs = F.regexp_extract_all(html_col, F.lit(f"{SCHEME}([^\"'\\s>]+)"), 1)
+    named = pages.select(F.explode(n_refs).alias("_digest")).groupBy("_digest").agg(F.count(F.lit(1)).alias("n"))
+    total = named.agg(F.sum("n").alias("n")).first()["n"] or 0
+    frequent = named.filter(F.col("n") > max(total / 1000, 100)).select(F.col("_digest").alias("_hot"))  # 1,000 rows at most
+    items = pages.select(id_col, F.explode(items_of(html_col)).alias("_item")).select(id_col, "_item.*")
     items = items.withColumn("_digest", F.when(F.startswith("ref", F.lit(SCHEME)), F.substring("ref", len(SCHEME) + 1, 1 << 30)))
-    known = media.dropDuplicates(["digest"])
-    return items.join(known, F.col("_digest") == F.col("digest"), "left").drop("_digest", "digest")
-
-
-def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, html, digest, medium), written: each text's stored form, and a page that refers to it."""
-
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            media = [encode((t or "").encode()) for t in batch["text"]]
-            digests = [hashlib.sha256(m).hexdigest() for m in media]
-            pages = [f'<figure><img src="{SCHEME}{d}"><figcaption>{len(m)} bytes</figcaption></figure>' for d, m in zip(digests, media)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "html": pages, "digest": digests, "medium": media})
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return stored(docs.select("doc_id", "text").mapInPandas(encoded, f"doc_id {kind}, html string, digest string, medium binary"), "media")
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(id_col, "pos"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    items = items.join(F.broadcast(frequent), F.col("_digest") == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    known = media.dropDuplicates(["digest"]).join(F.broadcast(frequent), F.col("digest") == F.col("_hot"), "left").withColumn("_key", F.explode(salts)).drop("_hot")
+    found = items.filter("_digest is not null").join(known, (F.col("_digest") == F.col("digest")) & (F.col("_salt") == F.col("_key")), "left").drop("_digest", "digest", "_salt", "_key")
+    return found.unionByName(items.filter("_digest is null").drop("_digest", "_salt"), allowMissingColumns=True)
+
+
+def store_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written: (key, doc_id, html), a page for each row with a key of its own; and (digest, medium), the stored forms that pages refer to."""
+
+    @F.arrow_udf("html string, media array<struct<digest:string,medium:binary>>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        seen: set[str] = set()
+        for texts in batches:
+            pages, media = [], []
+            for text in texts.to_pylist():
+                payload, refs, new = (text or "").encode(), [], []
+                for samples in (payload, pad(payload)[-ROW:]):
+                    medium = encode(samples)
+                    refs.append(hashlib.sha256(medium).hexdigest())
+                    if refs[-1] not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(refs[-1])
+                        new.append({"digest": refs[-1], "medium": medium})
+                figures = "".join(f'<figure><img src="{SCHEME}{d}"><figcaption>{c}</figcaption></figure>' for d, c in zip(refs, (WHOLE, LAST)))
+                pages.append(f"<h1>A text of {len(payload)} bytes</h1>{figures}<p>In rows of {ROW} samples.</p>")
+                media.append(new)
+            yield pa.StructArray.from_arrays([pa.array(pages, pa.string()), pa.array(media, pa.list_(pa.struct([("digest", pa.string()), ("medium", pa.binary())])))], ["html", "media"])
+
+    kept = docs.select("doc_id", encoded("text").alias("s")).select(F.monotonically_increasing_id().alias("key"), "doc_id", "s.*")
+    kept = stored(kept, "media")
+    return kept.select("key", "doc_id", "html"), kept.select(F.explode("media").alias("m")).select("m.*")
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """(digest, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), from the stored bytes."""
+    kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
-    def computed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    @F.arrow_udf("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def computed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for media in batches:
             rows = []
-            for digest, medium in zip(batch["digest"], batch["medium"]):
+            for medium in media.to_pylist():
                 n, samples = decode(medium)
-                rows.append((digest, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ROW:]), len(medium), hashlib.sha256(medium).hexdigest(), feature(samples)))
-            yield pd.DataFrame(rows, columns=["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ROW:]), len(medium), hashlib.sha256(medium).hexdigest(), feature(samples)))
+            columns = zip(*rows) if rows else ((),) * len(kinds)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+
+    return media.select("digest", computed("medium").alias("f")).select("digest", "f.*")
+
+
+def text_media(docs: DataFrame) -> DataFrame:
+    """The media columns of each row's text, from its page's two figures, and where the first of them stands."""
+    pages, media = store_texts(docs)
+    items = interleave(pages.select("key", "html"), media_features(media), "key")
+    whole = F.struct("n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256", "feature", "pos")
+    of = lambda caption, value: F.max(F.when(F.col("caption") == caption, value))
+    found = items.filter("kind = 'media'").groupBy("key").agg(of(WHOLE, whole).alias("w"), of(LAST, F.col("tail_crc32")).alias("tail_crc32"))
+    return pages.select("key", "doc_id").join(found, "key").select("doc_id", "w.*", "tail_crc32")
+
 
-    schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("digest", "medium").mapInPandas(computed, schema)
+COLUMNS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos"]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = store_texts(read(spark, sf_dir, "documents"))
-    found = interleave(kept.select("doc_id", "html"), media_features(kept)).filter("kind = 'media'")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    return text_media(read(spark, sf_dir, "documents")).select(*COLUMNS)

@@ -326,21 +326,43 @@ def test_model_is_normalised_and_learns_order(spark):
     assert r["own"] > 0.9 * r["base"]
 
 
+def features_of(samples):
+    """The feature text by plain loops."""
+    n = len(samples)
+    mean = sum(samples) / n
+    shares = [c / n for c in Counter(samples).values()]
+    columns = [sum(samples[k::64]) / (n // 64) for k in range(64)]
+    bits = int("".join("1" if c > mean else "0" for c in columns), 2)
+    deviation = math.sqrt(sum((v - mean) ** 2 for v in samples) / n)
+    return f"rows={n // 64} mean={mean:.3f} std={deviation:.3f} entropy={abs(sum(p * math.log2(p) for p in shares)):.4f} hash={bits:016x}"
+
+
 def test_media_round_trip(frame, odd_rows):
-    rows = odd_rows + [(50, "x" * 64), (51, "x" * 65), (52, "\0" * 3), (53, "x" * 64)]
+    rows = odd_rows + [(50, "x" * 64), (51, "x" * 65), (52, "\0" * 3), (53, "x" * 64)] + [(60 + k, "the same text") for k in range(150)]
     docs = frame(rows, clash=True)
-    kept = op8.store_texts(docs)
-    got = op8.interleave(kept.select("doc_id", "html"), op8.media_features(kept)).collect()
-    assert len(got) == len(rows) and all(r["kind"] == "media" and r["pos"] == 0 for r in got)
-    by = {r["doc_id"]: r for r in got}
+    got = op8.text_media(docs).collect()
+    want = []
     for i, t in rows:
         raw = (t or "").encode()
         samples = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
-        if i is not None:
-            assert (by[i]["n_bytes"], by[i]["payload_bytes"], by[i]["payload_sha256"], by[i]["tail_crc32"]) == (len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]))
-            assert op8.decode(op8.encode(raw)) == (len(raw), samples)
-    assert by[50]["feature"] == by[53]["feature"] and by[50]["media_sha256"] == by[53]["media_sha256"]
-    assert op8.media_features(op8.store_texts(frame([]))).count() == 0
+        medium = op8.encode(raw)
+        assert op8.decode(medium) == (len(raw), samples)
+        want.append((str(i), len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(medium), hashlib.sha256(medium).hexdigest(), features_of(samples), 1))
+    assert sorted((str(r["doc_id"]), *(r[c] for c in op8.COLUMNS[1:])) for r in got) == sorted(want)
+    pages, media = op8.store_texts(docs)
+    items = op8.interleave(pages.select("key", "html"), op8.media_features(media), "key")
+    assert items.groupBy("pos", "kind").count().count() == 4 and items.count() == 4 * len(rows)
+    assert items.filter("kind = 'media' and n_bytes is null").count() == 0
+    assert op8.text_media(frame([])).count() == 0
+
+
+def test_frequent_references_are_all_resolved(spark):
+    """One medium named by most references, beside others, missing ones and null ids."""
+    pages = spark.createDataFrame([(k if k % 9 else None, f'<p>a</p><img src="media:aa"><img src="media:m{k % 7}">') for k in range(400)], "doc_id long, html string")
+    media = spark.createDataFrame([("aa", 5), *((f"m{k}", k) for k in range(5))], "digest string, size int")
+    got = op8.interleave(pages, media)
+    assert got.count() == 1200 and got.filter("ref = 'media:aa' and size = 5 and pos = 1").count() == 400
+    assert got.filter("pos = 2 and size is null").count() == sum(k % 7 > 4 for k in range(400))
 
 
 def test_sequences_keep_positions_and_captions(spark):
