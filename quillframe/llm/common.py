@@ -37,18 +37,24 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def might_be_in(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
-    """The rows whose columns hash like those of some row of keys, and so all that a join by them finds: fewer rows to shuffle.
+    """The rows whose columns hash like those of some row of keys, and so all that a join by them finds: fewer rows to shuffle."""
+    return told_apart(rows, keys, *columns).filter("_might").drop("_might")
 
-    keys is written already. A bit for each hash is broadcast, FILTER_BITS at most; if keys are too many for that, all rows stay.
+
+def told_apart(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """rows and _might: whether their columns hash like those of some row of keys.
+
+    keys is written already. A bit for each hash is broadcast, FILTER_BITS at most; if keys are too many for that, all rows might.
     """
     bits = 1 << 15
     n = keys.count()
     while bits < KEY_BITS * n:
         bits *= 2
     if bits > FILTER_BITS:
-        return rows
+        return rows.withColumn("_might", F.lit(True))
     place = F.pmod(F.xxhash64(*columns), F.lit(bits))
     maps = keys.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("_map")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("_bits"))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    found = rows.withColumn("_place", place).withColumn("_at", F.expr("_place div 32768")).join(F.broadcast(maps), F.col("_at") == F.col("_map"))
-    return found.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) != 0).select(*rows.columns)
+    found = rows.withColumn("_place", place).withColumn("_at", F.expr("_place div 32768")).join(F.broadcast(maps), F.col("_at") == F.col("_map"), "left")
+    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) != 0
+    return found.select(*rows.columns, F.coalesce(is_set, F.lit(False)).alias("_might"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import might_be_in, read, stored
+from quillframe.llm.common import might_be_in, read, stored, told_apart
 from quillframe.llm.graph import components
 
 WORDS = 3
@@ -464,10 +464,12 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     marked = marked.select(*keys, (~F.col("leads") | (F.col("rows").isNotNull() & ~is_first)).alias("goes"), F.col("rows").isNotNull().alias("again"))
     marked = marked.groupBy(*[F.col(c).alias(f"_{c}") for c in keys]).agg(F.max("goes").alias("_goes"), F.count_if("again").alias("_again")).filter("_goes or _again > 1")
     marked = stored(marked, "marked")
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    looked = hashed.join(marked, hashed["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash")), "left").filter("not coalesce(_goes, false)")
-    once = looked.filter("_again is null").select(*docs.columns)
-    return once.union(looked.filter("_again is not null").dropDuplicates(["_doc_id", "_text_hash"]).select(*docs.columns))
+    told = told_apart(docs.withColumns({"_doc_id": F.col("doc_id"), "_text_hash": F.xxhash64("text")}), marked, "_doc_id", "_text_hash")
+    mark = marked.select(F.col("_doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), "_goes", "_again")
+    looked = told.filter("_might").join(mark, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left").filter("not coalesce(_goes, false)")
+    again = looked.filter("_again is not null").dropDuplicates(["_doc_id", "_text_hash"])
+    parts = [told.filter("not _might"), looked.filter("_again is null"), again]
+    return reduce(DataFrame.union, [part.select(*docs.columns) for part in parts])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
