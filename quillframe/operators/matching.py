@@ -154,12 +154,13 @@ def union_chunks(chunks: list[DataFrame]) -> DataFrame:
 def missing_rows(matrix: DataFrame, first: int, last: int, step: int = 1) -> DataFrame:
     """(first_missing, last_missing, n): ranges of rows first, first + step .. last that the matrix lacks.
 
-    A range starts where the row before is held; ids are looked up one step back and ahead by joins, and
-    starts and ends pair up in order inside ranges of 4,096 steps' parts.
+    Missing rows are numbered in two levels: counts of ranges of 4,096 steps are summed over these ranges, and each range is
+    numbered on its own. Rows that follow each other differ from their number by the same.
     """
-    spark = matrix.sparkSession
-    want = spark.range(first, last + 1, step).withColumnRenamed("id", "i")
-    gone = want.join(matrix.select("i").distinct(), "i", "left_anti")
-    before = Window.orderBy("i")
-    marked = gone.withColumn("k", F.row_number().over(before)).withColumn("island", F.expr(f"i - k * {step}"))
+    want = matrix.sparkSession.range(first, last + 1, step).withColumnRenamed("id", "i")
+    gone = want.join(matrix.select("i").distinct(), "i", "left_anti").withColumn("part", F.floor((F.col("i") - first) / F.lit(4096 * step)))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = gone.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    number = F.col("n0") + F.row_number().over(Window.partitionBy("part").orderBy("i"))
+    marked = gone.join(counts, "part").withColumn("island", F.col("i") - number * step)
     return marked.groupBy("island").agg(F.min("i").alias("first_missing"), F.max("i").alias("last_missing"), F.count(F.lit(1)).alias("n")).drop("island")
