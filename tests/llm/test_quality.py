@@ -34,6 +34,51 @@ def test_classifier_trains_on_other_folds_only(graded):
     assert a == b
 
 
+def test_scores_against_plain_loops(spark, frame, words):
+    """Hashing, FTRL updates and dot products one number at a time."""
+    import math
+    import zlib
+
+    docs = [(i, words(12, i) + (" Shout!! 9" if i % 3 == 0 else "")) for i in range(40)] + [(50, None), (51, "one")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+
+    def kind(b):
+        return "A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 or b >= 128 else "0" if 48 <= b <= 57 else chr(b)
+
+    def vector(text):
+        w = (text or "").encode().split()
+        raw = [zlib.crc32(x) for x in w]
+        shapes = [zlib.crc32(re.sub(r"(.)\1+", r"\1", "".join(map(kind, x)), flags=re.S).encode("latin-1")) for x in w]
+        place = lambda h, salt: ((h + salt) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - op1.BITS)
+        pairs = lambda h: [(a * 0x100000001B3 + b) % 2**64 for a, b in zip(h, h[1:])]
+        out = Counter()
+        for salt, block in enumerate((raw, pairs(raw), shapes, pairs(shapes)), 1):
+            for h in block:
+                out[place(h, salt)] += op1.SCALE / len(block)
+        return out
+
+    known = [(int(i % 3 > 0), {k: float(op1.np.float32(v)) for k, v in sorted(vector(t).items())}) for i, t in docs[:30] if zlib.crc32(str(i).encode()) % 4 != 2]
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= op1.L1 else -(z[k] - math.copysign(op1.L1, z[k])) / ((op1.BETA + math.sqrt(n[k])) / op1.ALPHA + op1.L2)
+
+    order = op1.np.random.default_rng(7)
+    for _ in range(op1.EPOCHS):
+        for row in order.permutation(len(known)):
+            label, x = known[row]
+            x = {**x, "bias": 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - label) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / op1.ALPHA * w[k]
+                n[k] += g * g
+    want = {i: 1 / (1 + math.exp(-weight("bias") - sum(weight(k) * v for k, v in vector(t).items()))) for i, t in docs}
+    got = {r["doc_id"]: r["score"] for r in op1.with_scores(frame(docs), labels).collect()}
+    assert got == {i: pytest.approx(s, abs=1e-6) for i, s in want.items()}
+
+
 def test_classifier_odd_rows(spark, frame, odd_rows, graded):
     scored = op1.with_scores(frame(odd_rows, clash=True).drop("score"), graded[1]).collect()
     assert len(scored) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in scored)
