@@ -126,11 +126,11 @@ def cost_matrix_symmetric(spark, sf):
     return M.symmetric(M.cost_matrix(images(spark, sf)))
 
 
-@query("chunk_union", f"WITH {MATRIX} SELECT i, j, cost, CASE WHEN i % 4 = 1 THEN 2 ELSE 1 END AS held FROM m WHERE i % 4 <= 2")
+@query("chunk_union", f"WITH {MATRIX} SELECT i, j, cost, CASE WHEN i % 4 = 1 THEN 2 ELSE 1 END AS held FROM m")
 def chunk_union(spark, sf):
-    """Rows i % 4 in 0, 1 and in 1, 2: two chunks that overlap."""
+    """Rows i % 4 in 0, 1 and in 1, 2, 3: two chunks that overlap and hold all rows."""
     matrix = M.cost_matrix(images(spark, sf))
-    return M.union_chunks([matrix.filter("i % 4 in (0, 1)"), matrix.filter("i % 4 in (1, 2)")])
+    return M.union_chunks([matrix.filter("i % 4 in (0, 1)"), matrix.filter("i % 4 in (1, 2, 3)")])
 
 
 @query("chunk_missing", f"""WITH {PX}, g AS (SELECT DISTINCT image_id AS i FROM px WHERE image_id % 7 IN (3, 4) OR image_id = (SELECT max(image_id) FROM px)),
@@ -563,11 +563,10 @@ def dtw_warp(spark, sf):
     return V.warp_columns(pixels(images(spark, sf)), aligned(spark, sf))
 
 
-@query("euclidean_pairs", f"WITH {MATRIX} SELECT i, j, round(sqrt(cost), 6) AS distance FROM m WHERE j = i + 1")
+@query("euclidean_pairs", f"WITH {MATRIX} SELECT i, j, round(sqrt(cost), 6) AS distance FROM m")
 def euclidean_pairs(spark, sf):
-    every = images(spark, sf)
-    a, b = every.select(F.col("image_id").alias("i"), F.col("data").alias("a")), every.select((F.col("image_id") - 1).alias("i"), F.col("image_id").alias("j"), F.col("data").alias("b"))
-    return a.join(b, "i").select("i", "j", F.round(F.sqrt(V.squared_distance(F.col("a"), F.col("b"))), 6).alias("distance"))
+    """All pairs, from the block products of the cost matrix."""
+    return M.cost_matrix(images(spark, sf)).select("i", "j", F.round(F.sqrt("cost"), 6).alias("distance"))
 
 
 @query("morph_cost_fast")
