@@ -1,6 +1,11 @@
 """Operators 1 and 2."""
 
+import itertools
+import math
+import random
 import re
+import unicodedata
+import zlib
 from collections import Counter
 
 import pytest
@@ -8,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm import op01_quality_classifier as op1
 from quillframe.llm import op02_quality_rules as op2
+from quillframe.llm.common import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -36,9 +42,6 @@ def test_classifier_trains_on_other_folds_only(graded):
 
 def test_scores_against_plain_loops(spark, frame, words):
     """Hashing, FTRL updates and dot products one number at a time."""
-    import math
-    import zlib
-
     docs = [(i, words(12, i) + (" Shout!! 9" if i % 3 == 0 else "")) for i in range(40)] + [(50, None), (51, "one")]
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int")
 
@@ -114,10 +117,98 @@ def test_rules_reject_what_is_bad(graded):
     judged = op2.judge_quality(docs, labels)
     found = {(r["bad"], r["kept"]): r["count"] for r in judged.groupBy((F.col("doc_id") >= 240).alias("bad"), "kept").count().collect()}
     assert found == {(False, True): 240, (True, False): 160}
-    rules = op2.learn_rules(op2.text_counts(docs, ["doc_id"]), labels)
+    rules = op2.learn_rules(stored(op2.text_counts(docs, ["doc_id"]), "counts"), labels)
     assert 1 <= len(rules) <= op2.MAX_RULES
 
 
+def rates(text):
+    """The features of a text, from its definition."""
+    n, chars, symbols, dup, repeat = counted(text)
+    lines = max(sum(WORD.search(x) is not None for x in (text or "").split("\n")), 1)
+    share = lambda keep: sum(map(keep, text or "")) / max(chars, 1)
+    return {
+        "symbol_rate": symbols / max(chars, 1), "upper_rate": share(lambda c: unicodedata.category(c) == "Lu"), "digit_rate": share(lambda c: c in "0123456789"), "mark_rate": share(lambda c: c in "!?"),
+        "dup_line_rate": dup / lines, "repeat_rate": repeat / max(n, 1), "word_length": chars / max(n, 1), "line_words": n / lines, "words": float(n),
+    }
+
+
+def covering(rows):
+    """Sequential covering row by row: rows are (bad, grow, rates); a rule is a list of (feature, above, cut)."""
+    cuts = {}
+    for name in op2.FEATURES:
+        found = set()
+        for kind in (True, False):
+            v = sorted(r[name] for bad, _, r in rows if bad == kind)
+            if not v:
+                return []
+            found |= {v[math.ceil(len(v) * k / op2.BINS) - 1] for k in range(1, op2.BINS)}
+        cuts[name] = [(a + b) / 2 for a, b in itertools.pairwise(sorted(found))]
+
+    def covers(rule, r):
+        return all(r[name] > cut if above else r[name] <= cut for name, above, cut in rule)
+
+    def split(rule, which):
+        hit = [bad for bad, _, r in which if covers(rule, r)]
+        return sum(hit), len(hit) - sum(hit)
+
+    rules, left = [], rows
+    for _ in range(op2.MAX_RULES):
+        growing, pruning = [x for x in left if x[1]], [x for x in left if not x[1]]
+        rule = []
+        for _ in range(op2.MAX_CONDITIONS):
+            bad, good = split(rule, growing)
+            best, most = None, 1e-9
+            for one in ((name, above, cut) for name in cuts for cut in cuts[name] for above in (False, True)) if bad and good else ():
+                p, n = split([*rule, one], growing)
+                if p >= op2.MIN_COVERED and (gain := p * (math.log2(p / (p + n)) - math.log2(bad / (bad + good)))) > most:
+                    best, most = one, gain
+            if best is None:
+                break
+            rule.append(best)
+        worth = []
+        for k in range(len(rule)):
+            p, n = split(rule[: k + 1], pruning)
+            worth.append((p - n) / max(p + n, 1))
+        rule = rule[: worth.index(max(worth)) + 1] if worth else []
+        whole, part = split(rule, left), split(rule, pruning)
+        if not rule or whole[0] < op2.MIN_COVERED or any(p < op2.MIN_PRECISION * (p + n) for p, n in (whole, part)):
+            break
+        rules.append(rule)
+        left = [x for x in left if not covers(rule, x[2])]
+    return rules
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_rules_against_row_by_row_covering(spark, frame, words, seed):
+    """Several overlapping kinds of bad text, labels with errors, repeated rows and ids, and rows without labels."""
+    rng = random.Random(seed)
+
+    def text(i):
+        w = words(rng.randint(40, 90), i + 1000 * seed).split()
+        for kind, share in ((str.upper, rng.choice([0, 0, 0.1, 0.5])), (lambda x: x + "#", rng.choice([0, 0, 0.1, 0.4])), (lambda x: x + "?!", rng.choice([0, 0, 0.2]))):
+            w = [kind(x) if rng.random() < share else x for x in w]
+        return "".join(x + rng.choice([" ", " ", " ", "\n"]) for x in w) + (" " + " ".join(w[:12]) if rng.random() < 0.2 else "")
+
+    rows = [(i, text(i)) for i in range(400)]
+    rows += rows[:10] + [(3, text(900)), (900, None), (901, "")]
+    shouts = {i for i, t in rows if (f := rates(t)) and (f["symbol_rate"] > 0.03 or f["upper_rate"] > 0.3 and f["words"] < 80)}
+    marks = [(i, int((i not in shouts) != (rng.random() < 0.01))) for i in range(380)] + [(5, 0), (900, 0), (901, 1), (7000, 0)]
+    labels = spark.createDataFrame([(i, q, 0) for i, q in marks], "doc_id long, quality int, toxic int")
+
+    lowest = {}
+    for i, q in marks:
+        lowest[i] = min(q, lowest.get(i, 1))
+    failed = lambda t: (c := counted(t))[0] < op2.MIN_WORDS or 100 * c[4] > 50 * c[0]
+    want = covering([(lowest[i] == 0, zlib.crc32(str(i).encode()) % 3 != 0, rates(t)) for i, t in rows if i in lowest and not failed(t)])
+    assert want
+    counts = stored(op2.text_counts(frame(rows), ["doc_id", "text"]), "counts")
+    got = op2.learn_rules(counts, labels)
+    assert [[(c.feature, c.above, c.cut) for c in r] for r in got] == want
+    rejects = lambda t: failed(t) or any(all(rates(t)[f] > cut if above else rates(t)[f] <= cut for f, above, cut in r) for r in want)
+    judged = op2.apply_rules(counts, got).collect()
+    assert len(judged) == len(rows) and all(r["kept"] != rejects(r["text"]) for r in judged)
+
+
 def test_rules_odd_rows(frame, odd_rows, graded):
     labels = graded[1]
     judged = op2.judge_quality(frame(odd_rows, clash=True), labels).collect()
