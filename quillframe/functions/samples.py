@@ -41,6 +41,46 @@ def rescale(v: Column, old_low: Column, old_high: Column, low: int, high: int) -
     return (F.lit(low) + span).cast("int")
 
 
+def as_unsigned(v: Column, bits: int) -> Column:
+    """Truncated to a whole number of so many bits; higher bits are lost, nothing is rescaled."""
+    return F.pmod(v.cast("long"), F.lit(1 << bits))
+
+
+#: Shares of R, G and B in a grey sample. Fixed values.
+GRAY = (0.299, 0.587, 0.114)
+
+
+def gray(r: Column, g: Column, b: Column) -> Column:
+    """Luminance, truncated."""
+    return F.floor(F.round(r * GRAY[0] + g * GRAY[1] + b * GRAY[2], 9)).cast("int")
+
+
+def line_ends(w: Column, h: Column, r: Column, degrees: Column) -> Column:
+    """(x0, y0, x1, y1) where the line r = y cos + x sin meets the border of a w x h image; all -1 where it misses it.
+
+    The first end is the left border's if the line meets it, else the upper or lower one's; the second is the first that is
+    met of the right, upper and lower border (of lower and right, or upper and right, if the first end isn't on the left).
+    Lines along an axis run from border to border, also outside the image.
+    """
+    c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+    right, low = (w - 1).cast("double"), (h - 1).cast("double")
+    y_at, x_at = (lambda x: (r - x * s) / c), (lambda y: (r - y * c) / s)
+    ends = lambda *four: F.struct(*[e.cast("double").alias(n) for e, n in zip(four, ("x0", "y0", "x1", "y1"))])
+    none, zero = F.lit(-1.0), F.lit(0.0)
+    on_left, on_right = y_at(zero).between(zero, low), y_at(right).between(zero, low)
+    on_top, on_low = x_at(zero).between(zero, right), x_at(low).between(zero, right)
+    top, bottom, side = (x_at(zero), zero), (x_at(low), low), (right, y_at(right))
+    left = (zero, y_at(zero))
+    above = y_at(zero) < 0
+    return (
+        F.when(F.abs(s) < 1e-5, ends(zero, r / c, right, r / c)).when(F.abs(c) < 1e-5, ends(r / s, zero, r / s, low))
+        .when(on_left & on_right, ends(*left, *side)).when(on_left & on_top, ends(*left, *top)).when(on_left, ends(*left, *bottom))
+        .when(above & on_top & on_low, ends(*top, *bottom)).when(above & on_top, ends(*top, *side))
+        .when(~above & on_low & on_top, ends(*bottom, *top)).when(~above & on_low, ends(*bottom, *side))
+        .otherwise(ends(none, none, none, none))
+    )
+
+
 def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """Hue in degrees, saturation and value in [0, 1]; hue is 0 where saturation is."""
     top, low = F.greatest(r, g, b), F.least(r, g, b)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillframe.functions.samples import threshold
-from quillframe.operators.neighbourhood import PREWITT, edges
+from quillframe.operators.neighbourhood import PREWITT, edges, nearest_l1
 from quillframe.sources.images import pixels, settled
 from quillframe.sources.tables import spread, stored
 
@@ -124,10 +124,8 @@ def component_stats(labels: DataFrame) -> DataFrame:
 
 def nearest_component(labels: DataFrame) -> DataFrame:
     """(image_id, y, x, distance, nearest): L1 distance of each pixel to the nearest component; ties to the lower label."""
-    spots = labels.groupBy("image_id").agg(F.array_sort(F.collect_list(F.when(F.col("label") > 0, F.struct("label", "y", "x")))).alias("spots"))  # bounded by an image
-    near = F.transform("spots", lambda p: F.struct((F.abs(p["y"] - F.col("y")) + F.abs(p["x"] - F.col("x"))).alias("d"), p["label"].alias("l")))
-    found = settled(labels.join(spots, "image_id").withColumn("best", F.array_min(near)).drop("spots"))
-    return found.select("image_id", "y", "x", F.col("best.d").alias("distance"), F.col("best.l").alias("nearest"))
+    found = nearest_l1(labels, F.col("label"), _near=F.col("label") > 0)
+    return found.select("image_id", "y", "x", F.col("_near.d").alias("distance"), F.col("_near.l").alias("nearest"))
 
 
 def hough_votes(images: DataFrame, degrees: list[int], least: int = 128, part: str = "magnitude", r_step: float = 1.0) -> DataFrame:

@@ -66,6 +66,17 @@ def clip_to_ink(images: DataFrame, margin: int = 1) -> DataFrame:
     return from_pixels(settled(boxed), lambda y, x: F.when(inside(y + top, x + left), at(y + top, x + left)).otherwise(255), w, h).drop("_ink", "_x0", "_x1", "_y0", "_y1")
 
 
+def fill(images: DataFrame, value: int) -> DataFrame:
+    return images.withColumn("data", F.transform("data", lambda _: F.lit(value)))
+
+
+def set_pixel(images: DataFrame, x: int, y: int, value: int) -> DataFrame:
+    """One sample written; a place outside the image changes nothing."""
+    place = F.lit(y) * _w() + x
+    written = F.transform("data", lambda v, i: F.when(i == place, value).otherwise(v))
+    return images.withColumn("data", F.when(inside(F.lit(y), F.lit(x)), written).otherwise(F.col("data")))
+
+
 def rotate90(images: DataFrame, turns: int = 1) -> DataFrame:
     """Clockwise quarter turns."""
     turns %= 4

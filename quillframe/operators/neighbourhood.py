@@ -153,6 +153,15 @@ def edges(images: DataFrame, operator=SOBEL, part: str = "magnitude") -> DataFra
     return from_pixels(images, value)
 
 
+def rgb_edges(planes: DataFrame, operator=SOBEL) -> DataFrame:
+    """planes has the samples of three channels as red, green and blue; data is their magnitudes' length, scaled to 0 to 255 and truncated."""
+    colours = ("red", "green", "blue")
+    for c in colours:
+        planes = edges(planes.withColumn("data", F.col(c)), operator).drop(c).withColumnRenamed("data", c)
+    length = F.transform(F.arrays_zip(*colours), lambda p: F.sqrt(sum((p[c] * p[c] for c in colours[1:]), p[colours[0]] * p[colours[0]]).cast("double") / 3))
+    return planes.withColumn("data", F.transform(length, lambda v: F.floor(F.round(v, 9)).cast("int"))).drop(*colours)
+
+
 def edge_directions(direction: Column, half: bool = True) -> Column:
     """Gradient directions turned by a quarter into edge directions, in [0, pi) or [0, 2 pi)."""
     return F.pmod(direction - math.pi / 2, F.lit(math.pi if half else 2 * math.pi))
@@ -188,18 +197,33 @@ def non_max_suppression(images: DataFrame, operator=SOBEL) -> DataFrame:
     return from_pixels(images, value)
 
 
-def distance_map(images: DataFrame, most: int = 240, least: int = -12) -> DataFrame:
-    """Background: L1 distance to ink (0). Ink: minus its distance to background, plus 1. Kept between least and most."""
-    spot = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda i: F.struct(F.floor(i / F.col("width")).cast("int").alias("y"), (i % F.col("width")).cast("int").alias("x"), (F.get("data", i) == 0).alias("ink")))
-    spots = settled(images.withColumn("_spot", spot))
-    spots = settled(spots.withColumn("_ink", F.filter("_spot", lambda p: p["ink"])).withColumn("_back", F.filter("_spot", lambda p: ~p["ink"])).drop("_spot"))
-    near = lambda where, y, x: F.array_min(F.transform(where, lambda p: F.abs(p["y"] - y) + F.abs(p["x"] - x)))
+def nearest_l1(px: DataFrame, label: Column, **seeds: Column) -> DataFrame:
+    """px and, for each name in seeds, the struct (d, l): L1 distance to the nearest pixel where the condition holds, and its label.
+
+    Ties go to the lower label; null where an image has no such pixel. The distance parts into a column's and a row's, so
+    running minima down, up, right and left find it: four sorts of an image's pixels and one shuffle, whatever the ink.
+    """
+    rows = px.repartition("image_id").withColumns({n: F.when(on, F.struct(F.lit(0).alias("d"), label.alias("l"))) for n, on in seeds.items()})
+    for line, along in (("x", "y"), ("y", "x")):
+        ends = []
+        for order, sign in ((F.col(along).asc(), -1), (F.col(along).desc(), 1)):
+            seen = Window.partitionBy("image_id", line).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+            moved = lambda s, by: F.when(s.isNotNull(), F.struct((s["d"] + by).alias("d"), s["l"].alias("l")))
+            rows = rows.withColumns({f"_{n}{sign}": F.min(moved(F.col(n), sign * F.col(along))).over(seen) for n in seeds})
+            ends.append({n: moved(F.col(f"_{n}{sign}"), -sign * F.col(along)) for n in seeds})
+        rows = rows.withColumns({n: F.least(ends[0][n], ends[1][n]) for n in seeds}).select(*px.columns, *seeds)
+    return rows
 
-    def value(y: Column, x: Column) -> Column:
-        away = F.when(at(y, x) == 0, 1 - F.coalesce(near("_back", y, x), F.lit(1 - least))).otherwise(F.coalesce(near("_ink", y, x), F.lit(most)))
-        return F.least(F.greatest(away, F.lit(least)), F.lit(most))
 
-    return from_pixels(spots, value).drop("_ink", "_back")
+def distance_map(images: DataFrame, most: int = 240, least: int = -12) -> DataFrame:
+    """Background: L1 distance to ink (0). Ink: minus its distance to background, plus 1. Kept between least and most."""
+    others = [c for c in images.columns if c not in ("image_id", "width", "data")]
+    px = pixels(images.withColumn("_others", F.struct("width", *others)), "_others")
+    near = nearest_l1(px, F.lit(0), _ink=F.col("v") == 0, _back=F.col("v") != 0)
+    away = F.when(F.col("v") == 0, 1 - F.coalesce("_back.d", F.lit(1 - least))).otherwise(F.coalesce("_ink.d", F.lit(most)))
+    kept = near.select("image_id", "_others", "y", "x", F.least(F.greatest(away, F.lit(least)), F.lit(most)).alias("v"))
+    whole = kept.groupBy("image_id").agg(F.first("_others").alias("_others"), F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("_rows"))  # an image's samples
+    return whole.select("image_id", "_others.*", F.col("_rows.v").alias("data")).select(*images.columns)
 
 
 def medial_axis(distances: DataFrame, thin: bool = True) -> DataFrame:

@@ -208,6 +208,16 @@ def split_combine_rgb(spark, sf):
     return together.withColumn("gray", F.floor((F.col("r") + F.col("g") + F.col("b")) / 3).cast("int"))
 
 
+@query("type_convert", f"""WITH {PX} SELECT image_id, y, x, CAST(v * v * v % 256 AS BIGINT) AS u8, CAST(v * v * v % 65536 AS BIGINT) AS u16, CAST(floor(v * 1.7::DOUBLE) % 256 AS BIGINT) AS of_double,
+  CAST(floor(round(0.299::DOUBLE * v + 0.587::DOUBLE * (255 - v) + 0.114::DOUBLE * (v // 2), 9)) AS INT) AS gray FROM px""")
+def type_convert(spark, sf):
+    """Wider samples and fractions to 8 and 16 bits, and three channels to one."""
+    v = F.col("v")
+    wide = pixels(images(spark, sf)).select("image_id", "y", "x", "v", (v * v * v).alias("w"))
+    kinds = [samples.as_unsigned(F.col("w"), 8).alias("u8"), samples.as_unsigned(F.col("w"), 16).alias("u16"), samples.as_unsigned(v * 1.7, 8).alias("of_double")]
+    return wide.select("image_id", "y", "x", *kinds, samples.gray(v, 255 - v, F.floor(v / 2)).alias("gray"))
+
+
 # Geometry
 
 
@@ -240,7 +250,16 @@ geometry("scale_bilinear", lambda i: G.scale(i, 4, 4), f"""WITH {PX} SELECT imag
 geometry("shear_h", lambda i: G.shear_h(i, 45.0), looked_up(15, 8, "gy.y", "gx.x - (7 - gy.y)"))
 
 
-@query("rotate_bilinear")
+geometry("shear_v", lambda i: G.shear_v(i, 45.0), looked_up(8, 15, "gy.y - gx.x", "gx.x"))
+geometry("fill", lambda i: G.fill(i, 7), f"WITH {PX} SELECT image_id, y, x, 7 AS v FROM px")
+geometry("set_pixel", lambda i: G.set_pixel(G.set_pixel(i, 2, 3, 1), 8, 0, 1), f"WITH {PX} SELECT image_id, y, x, CASE WHEN x = 2 AND y = 3 THEN 1 ELSE v END AS v FROM px")
+
+
+@query("rotate_bilinear", f"""WITH {PX}, k AS (SELECT im.image_id, gy.y, gx.x, round(-(gx.x - 5) * sin(radians(30)) + (gy.y - 5) * cos(radians(30)) + 3.5, 9) AS sy, round((gx.x - 5) * cos(radians(30)) + (gy.y - 5) * sin(radians(30)) + 3.5, 9) AS sx FROM {GRID(11, 11)}),
+  f AS (SELECT *, CAST(floor(sy) AS INT) AS y0, CAST(floor(sx) AS INT) AS x0, sy - floor(sy) AS fy, sx - floor(sx) AS fx FROM k)
+  SELECT f.image_id, f.y, f.x, CAST(floor((coalesce(a.v, 255) * (1 - fx) + coalesce(b.v, 255) * fx) * (1 - fy) + (coalesce(c.v, 255) * (1 - fx) + coalesce(d.v, 255) * fx) * fy + 0.5) AS INT) AS v FROM f
+  LEFT JOIN px a ON a.image_id = f.image_id AND a.y = y0 AND a.x = x0 LEFT JOIN px b ON b.image_id = f.image_id AND b.y = y0 AND b.x = x0 + 1
+  LEFT JOIN px c ON c.image_id = f.image_id AND c.y = y0 + 1 AND c.x = x0 LEFT JOIN px d ON d.image_id = f.image_id AND d.y = y0 + 1 AND d.x = x0 + 1""")
 def rotate_bilinear(spark, sf):
     return flat(G.rotate(images(spark, sf), 30.0))
 
@@ -386,12 +405,33 @@ filtered("medial_axis", lambda i: N.medial_axis(N.distance_map(i), thin=False),
 filtered("medial_axis_thin", lambda i: N.medial_axis(N.distance_map(i)), f"""WITH {AXIS} SELECT a.image_id, a.y, a.x, CASE WHEN a.ax AND 3 > (SELECT count(*) FROM ax b WHERE b.image_id = a.image_id AND b.ax AND (a.y - b.y, a.x - b.x) IN ((1, 0), (0, 1), (1, 1))) THEN 0 ELSE 255 END AS v FROM ax a""", binary)
 
 
-@query("bilateral_filter")
+@query("bilateral_filter", f"""WITH {PX}, g AS (SELECT *, y / 2.0::DOUBLE AS gy, x / 2.0::DOUBLE AS gx, v / 32.0::DOUBLE AS gv FROM px),
+  b AS (SELECT image_id, CAST(floor(gy + 0.5) AS INT) AS b_y, CAST(floor(gx + 0.5) AS INT) AS b_x, CAST(floor(gv + 0.5) AS INT) AS b_v, count(*) AS n, sum(v) AS s FROM g GROUP BY 1, 2, 3, 4),
+  w AS (SELECT * FROM (VALUES (-2, 0.0625::DOUBLE), (-1, 0.25::DOUBLE), (0, 0.375::DOUBLE), (1, 0.25::DOUBLE), (2, 0.0625::DOUBLE)) t(d, w)),
+  blur AS (SELECT image_id, b_y + i.d AS b_y, b_x + j.d AS b_x, b_v + k.d AS b_v, sum(n * i.w * j.w * k.w) AS n, sum(s * i.w * j.w * k.w) AS s FROM b, w i, w j, w k GROUP BY 1, 2, 3, 4),
+  c AS (SELECT g.*, dy, dx, dv, CASE WHEN dy = 1 THEN gy - floor(gy) ELSE 1 - gy + floor(gy) END * CASE WHEN dx = 1 THEN gx - floor(gx) ELSE 1 - gx + floor(gx) END * CASE WHEN dv = 1 THEN gv - floor(gv) ELSE 1 - gv + floor(gv) END AS w
+    FROM g, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) e(dx), (VALUES (0), (1)) f(dv))
+  SELECT c.image_id, c.y, c.x, CAST(floor(round(sum(c.w * q.s) / sum(c.w * q.n), 6)) AS INT) AS v FROM c JOIN blur q ON q.image_id = c.image_id AND q.b_y = floor(gy) + dy AND q.b_x = floor(gx) + dx AND q.b_v = floor(gv) + dv GROUP BY 1, 2, 3""")
 def bilateral_filter(spark, sf):
     return N.bilateral(images(spark, sf), 2.0, 32.0)
 
 
-filtered("background_removal", lambda i: N.remove_background(i, 2), None)
+filtered("background_removal", lambda i: N.remove_background(i, 2), f"""WITH {near(2)}, m AS (SELECT image_id, y, x, any_value(v) AS v, greatest(list_sort(list(w))[13] - any_value(v), 0) AS f FROM nb GROUP BY 1, 2, 3),
+  u AS (SELECT image_id, y, x, CAST(floor(round((f * v + (255 - f) * 255) / 255.0::DOUBLE, 9)) AS INT) AS v FROM m),
+  o AS (SELECT image_id, list_sort(list(v))[2] AS lo, list_sort(list(v))[63] AS hi FROM u GROUP BY 1)
+  SELECT u.image_id, y, x, CASE WHEN hi > lo THEN CAST(least(255, greatest(0, floor((v - lo) * 255 / (hi - lo)))) AS INT) ELSE v END AS v FROM u JOIN o USING (image_id)""")
+
+
+@query("sobel_rgb", f"WITH {gradients(2)}, e AS (SELECT image_id, y, x, least(255, floor(sqrt(gx * gx + gy * gy) + 0.5)) AS m, least(255, floor(sqrt((gx * gx + gy * gy) * 4) + 0.5)) AS n FROM g) SELECT image_id, y, x, CAST(floor(round(sqrt((m * m + m * m + n * n) / 3), 9)) AS INT) AS v FROM e")
+def sobel_rgb(spark, sf):
+    """Red is v, green 255 - v (whose edges are the same), blue 2 v (whose edges are twice as strong)."""
+    planes = images(spark, sf).withColumns({"red": F.col("data"), "green": F.transform("data", lambda v: 255 - v), "blue": F.transform("data", lambda v: 2 * v)})
+    return flat(N.rgb_edges(planes))
+
+
+filtered("convolve_rect", lambda i: N.convolve(i, N.rect_kernel(1, 2)), f"WITH {near(2)} SELECT image_id, y, x, CAST(floor(round(sum(w) / 15.0::DOUBLE, 9)) AS INT) AS v FROM nb WHERE abs(dy) <= 1 GROUP BY 1, 2, 3")
+filtered("convolve_log", lambda i: N.convolve(i, N.log_kernel(2)), f"""WITH {near(2)}, k AS (SELECT *, (dy * dy + dx * dx) / (2 * power(2.0::DOUBLE / 3, 2)) AS q FROM nb)
+  SELECT image_id, y, x, CAST(greatest(0, least(255, floor(round(sum(w * -(1 - q) * exp(-q) / (pi() * power(2.0::DOUBLE / 3, 4))), 9)))) AS INT) AS v FROM k GROUP BY 1, 2, 3""")
 
 
 # Components
@@ -477,6 +517,21 @@ def hough_votes(spark, sf):
     return A.hough_votes(images(spark, sf), list(range(0, 180, 15)))
 
 
+@query("hough_lines", f"""WITH {gradients(2)}, e AS (SELECT * FROM g WHERE least(255, floor(sqrt(gx * gx + gy * gy) + 0.5)) >= 128),
+  l AS (SELECT DISTINCT image_id, CAST(theta AS INT) AS theta, CAST(floor(round(y * cos(radians(theta)) + x * sin(radians(theta)), 9) + 0.5) AS INT) AS r FROM e, (SELECT unnest(range(20, 180, 40)) AS theta)),
+  k AS (SELECT *, r / cos(radians(theta)) AS b, (r - 7 * sin(radians(theta))) / cos(radians(theta)) AS c, r / sin(radians(theta)) AS d, (r - 7 * cos(radians(theta))) / sin(radians(theta)) AS f FROM l),
+  m AS (SELECT *, b BETWEEN 0 AND 7 AS on_left, c BETWEEN 0 AND 7 AS on_right, d BETWEEN 0 AND 7 AS on_top, f BETWEEN 0 AND 7 AS on_low FROM k),
+  p AS (SELECT *, CASE WHEN on_left THEN [0, b] WHEN b < 0 AND on_top THEN [d, 0] WHEN b > 7 AND on_low THEN [f, 7] ELSE [-1, -1] END AS one,
+    CASE WHEN on_left AND on_right THEN [7, c] WHEN on_left AND on_top THEN [d, 0] WHEN on_left THEN [f, 7] WHEN b < 0 AND on_top AND on_low THEN [f, 7] WHEN b > 7 AND on_low AND on_top THEN [d, 0]
+    WHEN (b < 0 AND on_top) OR (b > 7 AND on_low) THEN [7, c] ELSE [-1, -1] END AS two FROM m)
+  SELECT image_id, theta, r, round(one[1], 6)::DOUBLE AS x0, round(one[2], 6)::DOUBLE AS y0, round(two[1], 6)::DOUBLE AS x1, round(two[2], 6)::DOUBLE AS y1 FROM p""")
+def hough_lines(spark, sf):
+    """Where the lines that got votes meet the image's border."""
+    votes = A.hough_votes(images(spark, sf), list(range(20, 180, 40)))
+    ends = votes.select("image_id", "theta", "r", samples.line_ends(F.lit(8), F.lit(8), F.col("r"), F.col("theta")).alias("ends"))
+    return ends.select("image_id", "theta", "r", *[F.round(f"ends.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 SLANT = BW + """, sl AS (SELECT image_id, CAST(angle AS INT) AS angle, CAST(floor(round(x - (7 - y) * tan(radians(angle)), 9) + 0.5) AS INT) AS line, y, bool_or(v = 0) AS o FROM bw, (SELECT unnest(range(-45, 61, 15)) AS angle) GROUP BY ALL),
   k AS (SELECT *, row_number() OVER (PARTITION BY image_id, angle, line ORDER BY y) AS k FROM sl), i AS (SELECT image_id, angle, line, k - row_number() OVER (PARTITION BY image_id, angle, line ORDER BY y) AS island FROM k WHERE o),
   l AS (SELECT image_id, angle, line, island, count(*) AS n FROM i GROUP BY ALL), m AS (SELECT image_id, angle, line, max(n) AS n FROM l GROUP BY ALL),
@@ -509,7 +564,12 @@ def skew_angle(spark, sf):
     return A.skew_angle(images(spark, sf), list(range(-10, 11, 5)))
 
 
-@query("skew_angle_fast")
+@query("skew_angle_fast", f"""WITH {gradients(1)}, e AS (SELECT image_id, y, x, least(255, abs(gy)) AS v FROM g),
+  bn AS (SELECT image_id, CAST(angle AS INT) AS angle, floor(round((y - 3.5) * cos(radians(angle)) - x * sin(radians(angle)), 9) + 0.5) AS place, avg(v) AS mean FROM e, (SELECT unnest(range(-19, 20)) AS angle) GROUP BY 1, 2, 3),
+  sk AS (SELECT image_id, angle, round(var_pop(mean), 9) AS variance FROM bn GROUP BY 1, 2),
+  co AS (SELECT image_id, angle AS rough, row_number() OVER (PARTITION BY image_id ORDER BY variance DESC, angle) AS k FROM sk WHERE angle % 5 = 0 AND abs(angle) <= 15),
+  fi AS (SELECT sk.image_id, angle, row_number() OVER (PARTITION BY sk.image_id ORDER BY variance DESC, angle) AS k FROM sk JOIN co ON co.image_id = sk.image_id AND co.k = 1 AND abs(angle - rough) < 5)
+  SELECT image_id, angle FROM fi WHERE k = 1""")
 def skew_angle_fast(spark, sf):
     return A.skew_angle_fast(images(spark, sf))
 
@@ -628,6 +688,14 @@ def bnb_search(spark, sf):
     return C.search(tests, train, C.tree_nodes(C.merges(matrix), matrix)).drop("compared")
 
 
+@query("search_statistics")
+def search_statistics(spark, sf):
+    """How many images the search compares, against all that there are."""
+    tests, train = split(spark, sf)
+    matrix = stored(M.cost_matrix(train), "matrix")
+    return C.search_statistics(C.search(tests, train, C.tree_nodes(C.merges(matrix), matrix)), tests, train)
+
+
 # Colour and plane geometry, on numbers of the other tables
 
 
