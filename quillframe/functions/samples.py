@@ -60,11 +60,12 @@ def line_ends(w: Column, h: Column, r: Column, degrees: Column) -> Column:
 
     The first end is the left border's if the line meets it, else the upper or lower one's; the second is the first that is
     met of the right, upper and lower border (of lower and right, or upper and right, if the first end isn't on the left).
+    A line down from the upper left corner ends on the lower border.
     Lines along an axis run from border to border, also outside the image.
     """
     c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
     right, low = (w - 1).cast("double"), (h - 1).cast("double")
-    y_at, x_at = (lambda x: (r - x * s) / c), (lambda y: (r - y * c) / s)
+    y_at, x_at = (lambda x: F.round((r - x * s) / c, 9)), (lambda y: F.round((r - y * c) / s, 9))
     ends = lambda *four: F.struct(*[e.cast("double").alias(n) for e, n in zip(four, ("x0", "y0", "x1", "y1"))])
     none, zero = F.lit(-1.0), F.lit(0.0)
     on_left, on_right = y_at(zero).between(zero, low), y_at(right).between(zero, low)
@@ -74,7 +75,7 @@ def line_ends(w: Column, h: Column, r: Column, degrees: Column) -> Column:
     above = y_at(zero) < 0
     return (
         F.when(F.abs(s) < 1e-5, ends(zero, r / c, right, r / c)).when(F.abs(c) < 1e-5, ends(r / s, zero, r / s, low))
-        .when(on_left & on_right, ends(*left, *side)).when(on_left & on_top, ends(*left, *top)).when(on_left, ends(*left, *bottom))
+        .when(on_left & on_right, ends(*left, *side)).when(on_left & on_top & ~((y_at(zero) == 0) & on_low), ends(*left, *top)).when(on_left, ends(*left, *bottom))
         .when(above & on_top & on_low, ends(*top, *bottom)).when(above & on_top, ends(*top, *side))
         .when(~above & on_low & on_top, ends(*bottom, *top)).when(~above & on_low, ends(*bottom, *side))
         .otherwise(ends(none, none, none, none))

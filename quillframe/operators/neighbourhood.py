@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,9 @@ from quillframe.sources.images import at, clamped, from_pixels, inside, pixels,
 
 Kernel = list[tuple[int, int, float]]
 
+#: Farther than any place of an image.
+FAR = 1 << 40
+
 
 def square(radius: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)]
@@ -197,33 +202,32 @@ def non_max_suppression(images: DataFrame, operator=SOBEL) -> DataFrame:
     return from_pixels(images, value)
 
 
-def nearest_l1(px: DataFrame, label: Column, **seeds: Column) -> DataFrame:
-    """px and, for each name in seeds, the struct (d, l): L1 distance to the nearest pixel where the condition holds, and its label.
+def l1_distances(on: np.ndarray) -> np.ndarray:
+    """L1 distance of each place to the nearest one that is on: running minima along both axes, both ways."""
+    d = np.where(on, 0, FAR)
+    for axis in (0, 1):
+        i = np.expand_dims(np.arange(on.shape[axis]), 1 - axis)
+        ahead = np.minimum.accumulate(d - i, axis) + i
+        behind = np.flip(np.minimum.accumulate(np.flip(d + i, axis), axis), axis) - i
+        d = np.minimum(ahead, behind)
+    return d
+
+
+def distance_map(images: DataFrame, most: int = 240, least: int = -12) -> DataFrame:
+    """Background: L1 distance to ink (0). Ink: minus its distance to background, plus 1. Kept between least and most.
 
-    Ties go to the lower label; null where an image has no such pixel. The distance parts into a column's and a row's, so
-    running minima down, up, right and left find it: four sorts of an image's pixels and one shuffle, whatever the ink.
+    In numpy, image by image: running minima take the same few passes however much ink there is, and nothing is shuffled.
     """
-    rows = px.repartition("image_id").withColumns({n: F.when(on, F.struct(F.lit(0).alias("d"), label.alias("l"))) for n, on in seeds.items()})
-    for line, along in (("x", "y"), ("y", "x")):
-        ends = []
-        for order, sign in ((F.col(along).asc(), -1), (F.col(along).desc(), 1)):
-            seen = Window.partitionBy("image_id", line).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-            moved = lambda s, by: F.when(s.isNotNull(), F.struct((s["d"] + by).alias("d"), s["l"].alias("l")))
-            rows = rows.withColumns({f"_{n}{sign}": F.min(moved(F.col(n), sign * F.col(along))).over(seen) for n in seeds})
-            ends.append({n: moved(F.col(f"_{n}{sign}"), -sign * F.col(along)) for n in seeds})
-        rows = rows.withColumns({n: F.least(ends[0][n], ends[1][n]) for n in seeds}).select(*px.columns, *seeds)
-    return rows
 
+    @F.pandas_udf("array<int>")
+    def signed(width: pd.Series, data: pd.Series) -> pd.Series:
+        def one(w: int, samples: np.ndarray) -> np.ndarray:
+            ink = np.asarray(samples).reshape(-1, int(w)) == 0
+            return np.where(ink, 1 - l1_distances(~ink), l1_distances(ink)).clip(least, most).ravel()
 
-def distance_map(images: DataFrame, most: int = 240, least: int = -12) -> DataFrame:
-    """Background: L1 distance to ink (0). Ink: minus its distance to background, plus 1. Kept between least and most."""
-    others = [c for c in images.columns if c not in ("image_id", "width", "data")]
-    px = pixels(images.withColumn("_others", F.struct("width", *others)), "_others")
-    near = nearest_l1(px, F.lit(0), _ink=F.col("v") == 0, _back=F.col("v") != 0)
-    away = F.when(F.col("v") == 0, 1 - F.coalesce("_back.d", F.lit(1 - least))).otherwise(F.coalesce("_ink.d", F.lit(most)))
-    kept = near.select("image_id", "_others", "y", "x", F.least(F.greatest(away, F.lit(least)), F.lit(most)).alias("v"))
-    whole = kept.groupBy("image_id").agg(F.first("_others").alias("_others"), F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("_rows"))  # an image's samples
-    return whole.select("image_id", "_others.*", F.col("_rows.v").alias("data")).select(*images.columns)
+        return pd.Series([None if d is None else one(w, d) for w, d in zip(width, data)], dtype=object)
+
+    return images.withColumn("data", signed("width", "data"))
 
 
 def medial_axis(distances: DataFrame, thin: bool = True) -> DataFrame:

@@ -519,10 +519,10 @@ def hough_votes(spark, sf):
 
 @query("hough_lines", f"""WITH {gradients(2)}, e AS (SELECT * FROM g WHERE least(255, floor(sqrt(gx * gx + gy * gy) + 0.5)) >= 128),
   l AS (SELECT DISTINCT image_id, CAST(theta AS INT) AS theta, CAST(floor(round(y * cos(radians(theta)) + x * sin(radians(theta)), 9) + 0.5) AS INT) AS r FROM e, (SELECT unnest(range(20, 180, 40)) AS theta)),
-  k AS (SELECT *, r / cos(radians(theta)) AS b, (r - 7 * sin(radians(theta))) / cos(radians(theta)) AS c, r / sin(radians(theta)) AS d, (r - 7 * cos(radians(theta))) / sin(radians(theta)) AS f FROM l),
+  k AS (SELECT *, round(r / cos(radians(theta)), 9) AS b, round((r - 7 * sin(radians(theta))) / cos(radians(theta)), 9) AS c, round(r / sin(radians(theta)), 9) AS d, round((r - 7 * cos(radians(theta))) / sin(radians(theta)), 9) AS f FROM l),
   m AS (SELECT *, b BETWEEN 0 AND 7 AS on_left, c BETWEEN 0 AND 7 AS on_right, d BETWEEN 0 AND 7 AS on_top, f BETWEEN 0 AND 7 AS on_low FROM k),
   p AS (SELECT *, CASE WHEN on_left THEN [0, b] WHEN b < 0 AND on_top THEN [d, 0] WHEN b > 7 AND on_low THEN [f, 7] ELSE [-1, -1] END AS one,
-    CASE WHEN on_left AND on_right THEN [7, c] WHEN on_left AND on_top THEN [d, 0] WHEN on_left THEN [f, 7] WHEN b < 0 AND on_top AND on_low THEN [f, 7] WHEN b > 7 AND on_low AND on_top THEN [d, 0]
+    CASE WHEN on_left AND on_right THEN [7, c] WHEN on_left AND on_top AND NOT (b = 0 AND on_low) THEN [d, 0] WHEN on_left THEN [f, 7] WHEN b < 0 AND on_top AND on_low THEN [f, 7] WHEN b > 7 AND on_low AND on_top THEN [d, 0]
     WHEN (b < 0 AND on_top) OR (b > 7 AND on_low) THEN [7, c] ELSE [-1, -1] END AS two FROM m)
   SELECT image_id, theta, r, round(one[1], 6)::DOUBLE AS x0, round(one[2], 6)::DOUBLE AS y0, round(two[1], 6)::DOUBLE AS x1, round(two[2], 6)::DOUBLE AS y1 FROM p""")
 def hough_lines(spark, sf):

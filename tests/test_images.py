@@ -6,12 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillframe.functions import samples
 from quillframe.operators import aggregates as A
 from quillframe.operators import clustering as C
 from quillframe.operators import features as V
+from quillframe.operators import geometry as G
 from quillframe.operators import neighbourhood as N
 from quillframe.operators.morph import pair_cost
-from quillframe.sources import pnm
+from quillframe.sources import pictures, pnm
 from quillframe.sources.images import pixels
 
 
@@ -114,3 +116,83 @@ def test_gnt(spark, tmp_path):
     (tmp_path / "001-f.gnt").write_bytes(record((1, 200), 2, 2, [1, 2, 3, 4]) + record((7, 8), 1, 1, [9]))
     rows = pnm.read_gnt(spark, str(tmp_path)).orderBy("pos").collect()
     assert [(r["pos"], r["label"], r["width"], list(r["data"])) for r in rows] == [(0, "001200", 2, [1, 2, 3, 4]), (1, "007008", 1, [9])]
+
+
+def png(rows, channels):
+    """A PNG file of 8-bit samples, without filters."""
+    import struct
+    import zlib
+
+    chunk = lambda tag, body: struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+    head = struct.pack(">IIBBBBB", len(rows[0]) // channels, len(rows), 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + chunk(b"IEND", b"")
+
+
+def test_pictures(spark, tmp_path):
+    (tmp_path / "a_7.png").write_bytes(png([[255, 0, 10, 1, 2, 3], [4, 5, 6, 7, 8, 9]], 3))
+    (tmp_path / "b_8.png").write_bytes(png([[0, 9, 255]], 1))
+    (tmp_path / "c_9.png").write_bytes(b"no picture")
+    found = pictures.read_pictures(spark, str(tmp_path)).orderBy("image_id")
+    assert [(r["image_id"], r["width"], r["height"], r["channels"], list(r["data"])) for r in found.collect()] == [(7, 2, 2, 3, [255, 0, 10, 1, 2, 3, 4, 5, 6, 7, 8, 9]), (8, 3, 1, 1, [0, 9, 255])]
+    assert [list(r["blue"]) for r in pictures.planes(found).orderBy("image_id").collect()] == [[10, 3, 6, 9], [0, 9, 255]]
+    assert N.rgb_edges(pictures.planes(found)).count() == 2
+
+
+@pytest.mark.parametrize(("theta", "r", "ends"), [
+    (0, 3, (0, 3, 9, 3)), (90, 4, (4, 0, 4, 4)), (45, 0, (0, 0, 0, 0)), (135, 0, (0, 0, 4, 4)), (45, 50, (-1, -1, -1, -1)), (45, 2 ** 0.5, (0, 2, 2, 0)), (135, 2 * 2 ** 0.5, (4, 0, 8, 4)), (135, -2 * 2 ** 0.5, (0, 4, 0, 4)),
+])
+def test_line_ends(spark, theta, r, ends):
+    row = spark.range(1).select(samples.line_ends(F.lit(10), F.lit(5), F.lit(float(r)), F.lit(theta)).alias("e")).first()["e"]
+    got = tuple(row)
+    assert got == pytest.approx(tuple(map(float, ends)), abs=1e-9)
+
+
+def test_distances_of_random_images(spark, image):
+    rng = np.random.default_rng(5)
+    grid = np.where(rng.random((9, 13)) < 0.15, 0, 255)
+    ink = np.argwhere(grid == 0)
+    back = np.argwhere(grid != 0)
+    to = lambda spots, y, x: int(np.abs(spots - (y, x)).sum(1).min())
+    want = [1 - to(back, y, x) if grid[y, x] == 0 else to(ink, y, x) for y in range(9) for x in range(13)]
+    assert data(N.distance_map(image(grid.tolist()))) == want
+    labels = spark.createDataFrame([(1, y, x, int(rng.integers(1, 5)) if grid[y, x] == 0 else 0) for y in range(9) for x in range(13)] + [(2, 0, 0, 0)], "image_id long, y int, x int, label int")
+    spots = [(r["y"], r["x"], r["label"]) for r in labels.collect() if r["label"]]
+    for r in A.nearest_component(labels).collect():
+        near = min((abs(r["y"] - y) + abs(r["x"] - x), k) for y, x, k in spots) if r["image_id"] == 1 else (None, None)
+        assert (r["distance"], r["nearest"]) == near
+
+
+def test_set_pixel_outside(image):
+    rows = image([[1, 2], [3, 4]])
+    assert [data(G.set_pixel(rows, *xy, 9)) for xy in ((1, 0), (2, 0), (-1, 1), (0, 2))] == [[1, 9, 3, 4]] + [[1, 2, 3, 4]] * 3
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_search_compares_few_in_tight_clusters(spark, monkeypatch, broadcast):
+    """Level by level: children are compared unless their centre's distance less its radius exceeds the best."""
+    if not broadcast:
+        monkeypatch.setattr(C, "TREE_SAMPLES", 0)
+    rng = np.random.default_rng(9)
+    near = lambda k, n: (60 * k + rng.integers(0, 6, (n, 4))).tolist()
+    vectors = [v for k in range(4) for v in near(k, 5)]
+    train = spark.createDataFrame([(i, i // 5, v) for i, v in enumerate(vectors)], "image_id long, label int, data array<int>")
+    asked = [v for k in range(4) for v in near(k, 2)]
+    tests = spark.createDataFrame([(100 + i, i // 2, v) for i, v in enumerate(asked)], "image_id long, label int, data array<int>")
+    far = lambda a, b: int(((np.array(a) - b) ** 2).sum())
+    matrix = spark.createDataFrame([(i, j, far(vectors[i], vectors[j])) for i, j in itertools.combinations(range(20), 2)], "i long, j long, cost long")
+    nodes = C.tree_nodes(C.merges(matrix), matrix)
+    below, radius = {}, {}
+    for r in nodes.collect():
+        below.setdefault(r["parent"], []).append(r["node"])
+        radius[r["node"]] = r["max_dist"] ** 0.5
+    found = C.search(tests, train, nodes)
+    for r in found.collect():
+        a = asked[r["test_id"] - 100]
+        front, best, compared = below[None], (10**9, -1), 0
+        while front:
+            compared += len(front)
+            best = min([best, *((far(a, vectors[n]), n) for n in front)])
+            front = [k for n in front if far(a, vectors[n]) ** 0.5 - radius[n] <= best[0] ** 0.5 + 1e-9 for k in below.get(n, [])]
+        assert (r["cost"], r["train_id"], r["compared"]) == (*best, compared) and best == min((far(a, v), i) for i, v in enumerate(vectors))
+    stats = C.search_statistics(found, tests, train).first()
+    assert stats["n_test"] == 8 and stats["n_train"] == 20 and stats["pct_right"] == 100 and stats["mean_compared"] < 20
