@@ -9,7 +9,8 @@ the folds that aren't held out. Everything else covers every row and every whole
 
 Cases: a null or empty text has no features, and the bias alone scores it. Without labels every
 score is 0.5. Several labels of one id: the lowest quality counts. Rows that repeat an id are
-scored each on its own. Labels, lang, source and doc_id never enter a score.
+scored each on its own. An input column with the score's name is replaced by with_scores; keep_good
+returns every input column as it was. Labels, lang, source and doc_id never enter a score.
 """
 
 from __future__ import annotations
@@ -146,7 +147,10 @@ def with_scores(docs: DataFrame, labels: DataFrame, column: str = "score") -> Da
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score reaches THRESHOLD, with all their columns."""
-    return with_scores(docs, labels, "_quality_score").filter(F.col("_quality_score") >= THRESHOLD).select(*docs.columns)
+    name = "_quality_score"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return with_scores(docs, labels, name).filter(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_scores_against_plain_loops(spark, frame, words):
 
 
 def test_classifier_odd_rows(spark, frame, odd_rows, graded):
-    scored = op1.with_scores(frame(odd_rows, clash=True).drop("score"), graded[1]).collect()
+    scored = op1.with_scores(frame(odd_rows, clash=True), graded[1]).collect()
     assert len(scored) == len(odd_rows) and all(0 <= r["score"] <= 1 for r in scored)
     assert len({r["score"] for r in scored if r["doc_id"] in (2, 3, 4)}) == 1
     assert op1.with_scores(frame([]), graded[1]).count() == 0
@@ -96,6 +96,16 @@ def test_classifier_stage_keeps_columns(graded):
     assert kept.columns == docs.columns and kept.filter("doc_id < 240").count() >= 238
 
 
+def test_classifier_stage_on_odd_rows(frame, odd_rows, graded):
+    docs = frame(odd_rows, clash=True).withColumn("_quality_score", F.lit(0.0)).withColumn("_QUALITY_score_", F.lit("x"))
+    kept = op1.keep_good(docs, graded[1])
+    rows = kept.collect()
+    want = [r["doc_id"] for r in op1.with_scores(frame(odd_rows), graded[1]).collect() if r["score"] >= op1.THRESHOLD]
+    assert kept.columns == docs.columns and sorted(map(str, want)) == sorted(str(r["doc_id"]) for r in rows) and rows
+    assert {(r["score"], r["_quality_score"]) for r in rows} == {("x", 0.0)}
+    assert op1.keep_good(frame([]), graded[1]).count() == 0
+
+
 def counted(text):
     w = WORD.findall(text or "")
     seen = Counter(zip(w, w[1:], w[2:]))
