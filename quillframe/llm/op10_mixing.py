@@ -60,18 +60,22 @@ def source_means(docs: DataFrame, target_weights: dict[str | None, float] | None
 
 def mix_sources(docs: DataFrame, target_weights: dict[str | None, float] | None = None, repeat: float = 1.0, seed: int = SEED) -> DataFrame:
     """docs with copy (from 1), n_copies and shuffle_key; rows in the order of shuffle_key inside partitions dealt by its hash."""
-    means = source_means(docs, target_weights, repeat)
+    prefix = "_mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    source, draws, cdf, doc, first = (prefix + n for n in ("source", "draws", "cdf", "key", "u"))
+    means = source_means(docs, target_weights, repeat).toDF(source, draws, cdf)
     n_sources = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count()
-    kept = [c for c in docs.columns if c not in OWN]
-    keyed = docs.select(*kept, doc_key(F.col("doc_id")).alias("_mix_key"))
-    drawn = keyed.join(F.broadcast(means) if n_sources <= BROADCAST_SOURCES else means, keyed["source"].eqNullSafe(F.col("_mix_source")))
-    draw = lambda u: F.size(F.filter("_mix_cdf", lambda c: c <= u))
-    later = F.when(F.col("_mix_draws") > 1, F.sequence(F.lit(2), F.col("_mix_draws"))).otherwise(F.array().cast("array<int>"))
-    more = F.aggregate(F.transform(later, lambda j: uniform(F.lit(seed), F.col("_mix_key"), j)), F.lit(0), lambda s, u: s + draw(u))
-    drawn = drawn.withColumn("_mix_u", uniform(F.lit(seed), F.col("_mix_key"), F.lit(1)))
-    drawn = drawn.withColumn("n_copies", (draw(F.col("_mix_u")) + more).cast("long")).filter("n_copies > 0")
+    kept = [c for c in docs.columns if c.lower() not in OWN]
+    keyed = docs.select(*kept, doc_key(F.col("doc_id")).alias(doc))
+    drawn = keyed.join(F.broadcast(means) if n_sources <= BROADCAST_SOURCES else means, keyed["source"].eqNullSafe(F.col(source)))
+    draw = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
+    later = F.when(F.col(draws) > 1, F.sequence(F.lit(2), F.col(draws))).otherwise(F.array().cast("array<int>"))
+    more = F.aggregate(F.transform(later, lambda j: uniform(F.lit(seed), F.col(doc), j)), F.lit(0), lambda s, u: s + draw(u))
+    drawn = drawn.withColumn(first, uniform(F.lit(seed), F.col(doc), F.lit(1)))
+    drawn = drawn.withColumn("n_copies", (draw(F.col(first)) + more).cast("long")).filter("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}-shuffle"), F.col("_mix_key"), F.col("copy")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}-shuffle"), F.col(doc), F.col("copy")).cast("binary"))
     out = copies.withColumn("shuffle_key", key).select(*kept, *OWN)
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

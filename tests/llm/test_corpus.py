@@ -290,6 +290,11 @@ def test_mixing_odd_rows(spark, frame, odd_rows):
     a, b = (sorted(map(str, op10.mix_sources(docs).select("doc_id", "copy", "shuffle_key").collect())) for _ in range(2))
     assert a == b
     assert op10.mix_sources(frame([])).count() == 0
+    named = frame([(i, "a b") for i in range(40)]).withColumns({"_mix_key": F.lit("x"), "_MIX_source": F.lit("y"), "Copy": F.lit("z")})
+    plain = op10.mix_sources(frame([(i, "a b") for i in range(40)])).select("doc_id", "copy", "shuffle_key").collect()
+    mixed = op10.mix_sources(named)
+    assert sorted(mixed.select("doc_id", "copy", "shuffle_key").collect()) == sorted(plain)
+    assert {(r["_mix_key"], r["_MIX_source"]) for r in mixed.collect()} == {("x", "y")}
 
 
 def test_pipeline_stages(spark, frame, tmp_path, words):
