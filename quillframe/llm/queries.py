@@ -11,6 +11,7 @@ from quillframe.llm import (
     op08_media_columns,
     op09_packing,
     op10_mixing,
+    op11_filter_audit,
 )
 
 QUERIES = {
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_media_columns": op08_media_columns.query,
     "op9_packing": op09_packing.query,
     "op10_mixing": op10_mixing.query,
+    "op11_filter_audit": op11_filter_audit.query,
 }
 ORACLES = {
     "op7_ngram_jaccard_join": op07_ngram_jaccard_join.ORACLE,
     "op5_url_filters": op05_url_filters.ORACLE,
     "op9_packing": op09_packing.ORACLE,
     "op10_mixing": op10_mixing.ORACLE,
+    "op11_filter_audit": op11_filter_audit.ORACLE,
 }
