@@ -50,8 +50,9 @@ def with_failures(docs: DataFrame) -> DataFrame:
     split = text.withColumn("words", F.array_remove(F.split("text", f"[{SPACES}]+"), ""))
     own = split.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), own_failures(F.col("text"), F.col("words")).alias("own"))
     own = stored(own, "failures")
-    # Only texts that repeat come back; the side with a row for each text lets the other be split where one text has many rows.
+    # Written, so that the join is broadcast where few texts repeat, and else can split one that has many rows.
     firsts = own.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    firsts = stored(firsts, "repeated-texts")
     copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     fails = F.col("own") + F.when(copy, 1 << FILTERS.index("E")).otherwise(0)
     return own.join(firsts, "digest", "left").select("doc_id", "part", fails.alias("fails"))
