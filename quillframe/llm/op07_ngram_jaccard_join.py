@@ -53,6 +53,9 @@ PIVOTS, LEVELS, REPLICAS = 8, 4, 2.0
 #: Where classes hold fewer shingles than this, texts are sampled first (of TENTHS tenths of the hashes) and signatures come from groups of PARTS parts.
 FEW, TENTHS, PARTS, SPARE = 8, 3, 3, 0.3
 
+#: What texts of equal sets have in common.
+SAME = ["d1", "d2", "n_shingles"]
+
 _ONE = np.uint64(1)
 
 
@@ -393,15 +396,20 @@ def signed_again(docs: DataFrame, reps: DataFrame, percent: int, words: int) ->
     return stored(texts_of(docs, likely).select(F.col("node").alias("rep"), sign("text").alias("sigs")).dropDuplicates(["rep"]), "signed")
 
 
+def set_classes(sketched: DataFrame) -> DataFrame:
+    """(d1, d2, n_shingles, rep, first_id, first_hash, sigs): a row for each set that some text has, and its first text.
+
+    A class goes by its digest, as an id that repeats can be the first of several.
+    """
+    first = F.min_by(F.struct("doc_id", "text_hash", "sigs"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
+    classes = sketched.filter("n_shingles > 0").groupBy(*SAME).agg(first.alias("first"))
+    return classes.select(*SAME, F.col("d1").alias("rep"), F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), F.col("first.sigs").alias("sigs"))
+
+
 def verdicts(docs: DataFrame, words: int, percent: int, cell_docs: int, cell_shingles: int) -> DataFrame:
     """(doc_id, text_hash, d1, d2, n_shingles, component_id, leads), one row for each row of docs; rows that lead are of the first set of their group."""
     sketched = stored(sketches(docs, percent, words), "sketches")
-    same = ["d1", "d2", "n_shingles"]
-    first = F.min_by(F.struct("doc_id", "text_hash", "sigs"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
-    reps = sketched.filter("n_shingles > 0").groupBy(*same).agg(first.alias("first"))
-    # A class goes by its digest, as an id that repeats can be the first of several.
-    reps = reps.select(*same, F.col("d1").alias("rep"), F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), F.col("first.sigs").alias("sigs"))
-    reps = stored(reps, "classes")
+    reps = stored(set_classes(sketched), "classes")
     signed = signed_again(docs, reps, percent, words) if has_few(percent) else reps.select("rep", "sigs")
     # Of each class, the smallest classes that have its signatures, and with how many others it shares them.
     by_sig = signed.select("rep", F.explode("sigs").alias("sig"))
@@ -411,10 +419,18 @@ def verdicts(docs: DataFrame, words: int, percent: int, cell_docs: int, cell_shi
     beside = stored(beside.groupBy("rep").agg(F.sort_array(F.collect_set("low")).alias("lows"), F.sum("shares").alias("degree")), "beside")
     # A class beside the first of these, and each of them beside the next: members of a group mostly have the same ones.
     chain = F.expr("explode(transform(lows, (low, k) -> struct(if(k = 0, rep, lows[k - 1]) as a, low as b)))")
-    regions = components(beside.select(chain.alias("e")).select("e.a", "e.b"))
+    edges = beside.select(chain.alias("e")).select("e.a", "e.b")
+    return linked_in_regions(docs, sketched, reps, edges, beside.select(F.col("rep").alias("node"), "degree"), words, percent, cell_docs, cell_shingles)
+
+
+def linked_in_regions(
+    docs: DataFrame, sketched: DataFrame, reps: DataFrame, edges: DataFrame, degrees: DataFrame, words: int, percent: int, cell_docs: int = CELL_DOCS, cell_shingles: int = CELL_SHINGLES
+) -> DataFrame:
+    """What verdicts returns, where classes that could link are connected by edges (a, b); degrees (node, degree) says how near the middle of its group a class may be."""
+    regions = components(edges)
     firsts = reps.select(F.col("rep").alias("node"), "first_id", "first_hash")
     # Written, so that its size is known: where it is small, it is broadcast and texts aren't shuffled.
-    regions = stored(regions.join(beside.select(F.col("rep").alias("node"), "degree"), "node").join(firsts, "node"), "regions")
+    regions = stored(regions.join(degrees, "node").join(firsts, "node"), "regions")
 
     @F.arrow_udf("binary")
     def shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -438,9 +454,9 @@ def verdicts(docs: DataFrame, words: int, percent: int, cell_docs: int, cell_shi
     order = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "node")
     groups = roots.join(firsts, "node").groupBy("root").agg(F.min(order).alias("first"))
     classes = reps.drop("sigs").join(roots.join(groups, "root").select(F.col("node").alias("rep"), "first"), "rep", "left")
-    classes = classes.select(*same, F.coalesce("first.first_id", "first_id").alias("component_id"), F.coalesce(F.col("first.node") == F.col("rep"), F.lit(True)).alias("leads"))
-    with_words = sketched.filter("n_shingles > 0").select("doc_id", "text_hash", *same).join(classes, same)
-    without = sketched.filter("n_shingles = 0").select("doc_id", "text_hash", *same, F.col("doc_id").alias("component_id"), F.lit(True).alias("leads"))
+    classes = classes.select(*SAME, F.coalesce("first.first_id", "first_id").alias("component_id"), F.coalesce(F.col("first.node") == F.col("rep"), F.lit(True)).alias("leads"))
+    with_words = sketched.filter("n_shingles > 0").select("doc_id", "text_hash", *SAME).join(classes, SAME)
+    without = sketched.filter("n_shingles = 0").select("doc_id", "text_hash", *SAME, F.col("doc_id").alias("component_id"), F.lit(True).alias("leads"))
     return with_words.unionByName(without)
 
 
