@@ -12,6 +12,8 @@ from quillframe.llm import (
     op09_packing,
     op10_mixing,
     op11_filter_audit,
+    op12_merkle_manifest,
+    op13_minhash_dedup,
 )
 
 QUERIES = {
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_packing": op09_packing.query,
     "op10_mixing": op10_mixing.query,
     "op11_filter_audit": op11_filter_audit.query,
+    "op12_merkle_manifest": op12_merkle_manifest.query,
+    "op13_minhash_dedup": op13_minhash_dedup.query,
 }
 ORACLES = {
     "op7_ngram_jaccard_join": op07_ngram_jaccard_join.ORACLE,
@@ -33,4 +37,6 @@ ORACLES = {
     "op9_packing": op09_packing.ORACLE,
     "op10_mixing": op10_mixing.ORACLE,
     "op11_filter_audit": op11_filter_audit.ORACLE,
+    "op12_merkle_manifest": op12_merkle_manifest.ORACLE,
+    "op13_minhash_dedup": op13_minhash_dedup.ORACLE,
 }
