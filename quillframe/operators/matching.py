@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from quillframe.sources.tables import spread
 
-BLOCK = 512
+#: Images of a block, and values.
+BLOCK, SAMPLES = 512, 1 << 22
 SPLIT = 5
 
 
@@ -25,12 +26,19 @@ def is_test() -> Column:
     return F.col("image_id") % SPLIT == 0
 
 
-def blocks(images: DataFrame, side: str, block: int = BLOCK) -> DataFrame:
-    """Rows of about block images each: their ids, labels and samples. Images are dealt by a hash of their id."""
-    count = max(1, -(-images.count() // block))
-    dealt = images.select(F.pmod(F.xxhash64("image_id"), F.lit(count)).alias("k"), F.struct("image_id", "label", "data").alias("r"))
+def blocks(images: DataFrame, side: str, block: int = BLOCK, columns: tuple[str, ...] = ("data",)) -> DataFrame:
+    """Rows of about block images each, or fewer if these have more than SAMPLES values: their ids, labels and columns, of which the last is an array. Images are dealt by a hash of their id."""
+    size = images.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(columns[-1])).alias("values")).first()
+    count = max(1, -(-size["n"] // block), -(-(size["values"] or 0) // SAMPLES))
+    label = "label" if "label" in images.columns else F.lit(None).cast("int").alias("label")
+    dealt = images.select(F.pmod(F.xxhash64("image_id"), F.lit(count)).alias("k"), F.struct("image_id", label, *columns).alias("r"))
     rows = dealt.groupBy("k").agg(F.array_sort(F.collect_list("r")).alias("r"))
-    return rows.select(F.col("k").alias(f"{side}_k"), F.col("r.image_id").alias(f"{side}_ids"), F.col("r.label").alias(f"{side}_labels"), F.col("r.data").alias(f"{side}_data"))
+    return rows.select(F.col("k").alias(f"{side}_k"), F.col("r.image_id").alias(f"{side}_ids"), F.col("r.label").alias(f"{side}_labels"), *[F.col(f"r.{c}").alias(f"{side}_{c}") for c in columns])
+
+
+def block_pairs(queries: DataFrame, items: DataFrame, of_queries: int, of_items: int, columns: tuple[str, ...] = ("width", "data")) -> DataFrame:
+    """A row for each pair of a block of queries and a block of items, dealt evenly."""
+    return spread(blocks(queries, "a", of_queries, columns).crossJoin(blocks(items, "b", of_items, columns)), "a_k", "b_k")
 
 
 def _costs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,11 +74,15 @@ def ranked(matches: DataFrame, *by: str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy("cost", "train_id"))
 
 
-def top_n(queries: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    found = best_matches(queries, items, n)
+def ranked_best(found: DataFrame, n: int) -> DataFrame:
+    """The n best of each query, with their rank."""
     return found.withColumn("rank", ranked(found, "test_id")).filter(F.col("rank") <= n)
 
 
+def top_n(queries: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    return ranked_best(best_matches(queries, items, n), n)
+
+
 def n_best_labels(queries: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """The best item of each label, and of those the n best; ranks that nothing fills have id -1 and cost 999999."""
     found = best_matches(queries, items, n, distinct_labels=True)

@@ -203,10 +203,10 @@ def non_max_suppression(images: DataFrame, operator=SOBEL) -> DataFrame:
 
 
 def l1_distances(on: np.ndarray) -> np.ndarray:
-    """L1 distance of each place to the nearest one that is on: running minima along both axes, both ways."""
+    """L1 distance of each place to the nearest one that is on, FAR or more where none is: running minima along the last two axes, both ways."""
     d = np.where(on, 0, FAR)
-    for axis in (0, 1):
-        i = np.expand_dims(np.arange(on.shape[axis]), 1 - axis)
+    for axis in (-2, -1):
+        i = np.arange(on.shape[axis]).reshape([-1 if k == axis else 1 for k in (-2, -1)])
         ahead = np.minimum.accumulate(d - i, axis) + i
         behind = np.flip(np.minimum.accumulate(np.flip(d + i, axis), axis), axis) - i
         d = np.minimum(ahead, behind)

@@ -583,32 +583,38 @@ def vector_sum(spark, sf):
 # Features, alignment, morph
 
 
-@query("word_features", f"""WITH {BW}, b AS (SELECT *, CASE WHEN v = 0 AND coalesce(lag(v) OVER (PARTITION BY image_id, x ORDER BY y), 255) <> 0 THEN 1 ELSE 0 END AS st FROM bw),
+FEATURES = f"""{BW}, b AS (SELECT *, CASE WHEN v = 0 AND coalesce(lag(v) OVER (PARTITION BY image_id, x ORDER BY y), 255) <> 0 THEN 1 ELSE 0 END AS st FROM bw),
   c AS (SELECT image_id, x, count(*) FILTER (v = 0) AS prof, min(y) FILTER (v = 0) AS up, min(8 - y) FILTER (v = 0) AS lo, CAST(sum(st) AS BIGINT) AS tr FROM b GROUP BY 1, 2),
   f AS (SELECT image_id, x, prof, tr, coalesce(last_value(up IGNORE NULLS) OVER l, last_value(up IGNORE NULLS) OVER r, 0) AS up, coalesce(last_value(lo IGNORE NULLS) OVER l, last_value(lo IGNORE NULLS) OVER r, 0) AS lo
     FROM c WINDOW l AS (PARTITION BY image_id ORDER BY x ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY image_id ORDER BY x DESC ROWS UNBOUNDED PRECEDING)),
-  m AS (SELECT *, max(prof) OVER (PARTITION BY image_id) AS mp, max(up) OVER (PARTITION BY image_id) AS mu, max(lo) OVER (PARTITION BY image_id) AS ml FROM f)
-  SELECT image_id, x, round(CASE WHEN mp > 0 THEN prof / mp ELSE 0 END, 9) AS prof, round(CASE WHEN mu > 0 THEN up / mu ELSE 0 END, 9) AS upper, round(CASE WHEN ml > 0 THEN lo / ml ELSE 0 END, 9) AS lower, round(tr / 6.0::DOUBLE, 9) AS trans FROM m""")
+  m AS (SELECT *, max(prof) OVER (PARTITION BY image_id) AS mp, max(up) OVER (PARTITION BY image_id) AS mu, max(lo) OVER (PARTITION BY image_id) AS ml FROM f),
+  feat AS (SELECT image_id, x, round(CASE WHEN mp > 0 THEN prof / mp ELSE 0 END, 9) AS prof, round(CASE WHEN mu > 0 THEN up / mu ELSE 0 END, 9) AS upper, round(CASE WHEN ml > 0 THEN lo / ml ELSE 0 END, 9) AS lower, round(tr / 6.0::DOUBLE, 9) AS trans FROM m)"""
+
+
+@query("word_features", f"WITH {FEATURES} SELECT * FROM feat")
 def word_features(spark, sf):
     return V.column_features(binary(spark, sf))
 
 
-def candidate_pairs(spark, sf, n: int) -> DataFrame:
-    """Every test image with its n nearest training images, and both images' samples."""
-    every = binary(spark, sf).select("image_id", "width", "data")
-    found = M.top_n(*split(spark, sf), n).select(F.col("test_id").alias("a_id"), F.col("train_id").alias("b_id"), "label", "train_label")
-    side = lambda s: every.select(F.col("image_id").alias(f"{s}_id"), F.col("width").alias(f"{s}_width"), F.col("data").alias(f"{s}_data"))
-    return found.join(side("a"), "a_id").join(side("b"), "b_id")
+def aligned(spark, sf) -> DataFrame:
+    """Every test image with every training image."""
+    vectors = stored(V.feature_vectors(V.column_features(binary(spark, sf))), "vectors")
+    return V.align_pairs(vectors.filter(M.is_test()), vectors.filter(~M.is_test()))
 
 
-def aligned(spark, sf) -> DataFrame:
-    vectors = V.feature_vectors(V.column_features(binary(spark, sf)))
-    found = M.top_n(*split(spark, sf), 10).select(F.col("test_id").alias("a_id"), F.col("train_id").alias("b_id"))
-    side = lambda s: vectors.select(F.col("image_id").alias(f"{s}_id"), F.col("fv").alias(f"{s}_fv"))
-    return V.align_pairs(found.join(side("a"), "a_id").join(side("b"), "b_id"))
+# Two diagonals of the cost table at a time, as lists by row; 1e300 is outside of it.
+DTW = FEATURES + """, fv AS (SELECT image_id, list(prof ORDER BY x) AS p, list(upper ORDER BY x) AS u, list(lower ORDER BY x) AS w, list(trans ORDER BY x) AS t FROM feat GROUP BY image_id),
+  lo AS (SELECT a.image_id AS a_id, b.image_id AS b_id, list_transform(range(0, 64), lambda k: ((a.p[k // 8 + 1] - b.p[k % 8 + 1]) * (a.p[k // 8 + 1] - b.p[k % 8 + 1]) + (a.u[k // 8 + 1] - b.u[k % 8 + 1]) * (a.u[k // 8 + 1] - b.u[k % 8 + 1])
+    + (a.w[k // 8 + 1] - b.w[k % 8 + 1]) * (a.w[k // 8 + 1] - b.w[k % 8 + 1]) + (a.t[k // 8 + 1] - b.t[k % 8 + 1]) * (a.t[k // 8 + 1] - b.t[k % 8 + 1]))) AS l FROM fv a, fv b WHERE a.image_id % 5 = 0 AND b.image_id % 5 <> 0),
+  st AS (SELECT a_id, b_id, l, 1 AS d, list_transform(range(0, 9), lambda i: CASE WHEN i < 2 THEN {'c': 1001.0::DOUBLE, 'n': 1} ELSE {'c': 1e300::DOUBLE, 'n': 0} END) AS cur,
+      list_transform(range(0, 9), lambda i: CASE WHEN i = 0 THEN {'c': 0.0::DOUBLE, 'n': 0} ELSE {'c': 1e300::DOUBLE, 'n': 0} END) AS old FROM lo
+    UNION ALL SELECT a_id, b_id, l, d + 1, list_transform(range(0, 9), lambda i: CASE WHEN i > d + 1 OR d + 1 - i > 8 THEN {'c': 1e300::DOUBLE, 'n': 0}
+        WHEN i = 0 OR i = d + 1 THEN {'c': d + 1001.0::DOUBLE, 'n': d + 1}
+        WHEN old[i].c <= cur[i].c AND old[i].c <= cur[i + 1].c THEN {'c': old[i].c + l[(i - 1) * 8 + d + 1 - i], 'n': old[i].n + 1}
+        WHEN cur[i].c <= cur[i + 1].c THEN {'c': cur[i].c + l[(i - 1) * 8 + d + 1 - i], 'n': cur[i].n + 1} ELSE {'c': cur[i + 1].c + l[(i - 1) * 8 + d + 1 - i], 'n': cur[i + 1].n + 1} END), cur FROM st WHERE d < 16)"""
 
 
-@query("dtw_pairs")
+@query("dtw_pairs", f"WITH RECURSIVE {DTW} SELECT a_id, b_id, round(cur[9].c / cur[9].n, 6) AS cost FROM st WHERE d = 16")
 def dtw_pairs(spark, sf):
     return aligned(spark, sf).select("a_id", "b_id", F.round("cost", 6).alias("cost"))
 
@@ -620,7 +626,9 @@ def dtw_coordinate_map(spark, sf):
 
 @query("dtw_warp")
 def dtw_warp(spark, sf):
-    return V.warp_columns(pixels(images(spark, sf)), aligned(spark, sf))
+    """The pairs that the full cost looks at, warped along their alignment."""
+    best = fast_best(spark, sf).select(F.col("test_id").alias("a_id"), F.col("train_id").alias("b_id"))
+    return V.warp_columns(pixels(images(spark, sf)), aligned(spark, sf).join(best, ["a_id", "b_id"]))
 
 
 @query("euclidean_pairs", f"WITH {MATRIX} SELECT i, j, round(sqrt(cost), 6) AS distance FROM m")
@@ -629,21 +637,32 @@ def euclidean_pairs(spark, sf):
     return M.cost_matrix(images(spark, sf)).select("i", "j", F.round(F.sqrt("cost"), 6).alias("distance"))
 
 
+#: So many training images, the best by fast cost, get a full cost.
+SLOW_PASS = 10
+
+
 @query("morph_cost_fast")
 def morph_cost_fast(spark, sf):
-    return morph.morph_costs(candidate_pairs(spark, sf, 10), True, "cost").select("a_id", "b_id", F.round("cost", 6).alias("cost"))
+    """Every test image with every training image."""
+    found = morph.fast_matches(*binary_split(spark, sf))
+    return found.select(F.col("test_id").alias("a_id"), F.col("train_id").alias("b_id"), F.round("cost", 6).alias("cost"))
+
+
+def binary_split(spark, sf) -> tuple[DataFrame, DataFrame]:
+    every = binary(spark, sf)
+    return every.filter(M.is_test()), every.filter(~M.is_test())
+
+
+def fast_best(spark, sf) -> DataFrame:
+    return M.ranked_best(morph.fast_matches(*binary_split(spark, sf)), SLOW_PASS)
 
 
 def reranked(spark, sf) -> DataFrame:
-    """Fast costs of the ten nearest, full costs of the best three by them; the smaller of both counts."""
-    from pyspark.sql.window import Window
-
-    fast = morph.morph_costs(candidate_pairs(spark, sf, 10), True, "fast")
-    best = fast.withColumn("k", F.row_number().over(Window.partitionBy("a_id").orderBy("fast", "b_id"))).filter("k <= 3")
-    full = morph.morph_costs(best, False, "full")
-    order = Window.partitionBy("a_id").orderBy("cost", "b_id")
-    kept = full.withColumn("cost", F.round(F.least("fast", "full"), 6))
-    return kept.select(F.col("a_id").alias("test_id"), F.col("b_id").alias("train_id"), "label", "train_label", F.round("fast", 6).alias("fast"), F.round("full", 6).alias("full"), "cost", F.row_number().over(order).alias("rank"))
+    """Full costs of the best by fast cost; the smaller of both counts."""
+    best = stored(fast_best(spark, sf).drop("rank").withColumnRenamed("cost", "fast"), "fast-best")
+    full = morph.with_full_costs(best, binary(spark, sf), "full")
+    kept = full.select("test_id", "train_id", "label", "train_label", F.round("fast", 6).alias("fast"), F.round("full", 6).alias("full"), F.round(F.least("fast", "full"), 6).alias("cost"))
+    return M.ranked_best(kept, SLOW_PASS)
 
 
 @query("morph_topn_rerank")

@@ -12,7 +12,7 @@ from quillframe.operators import clustering as C
 from quillframe.operators import features as V
 from quillframe.operators import geometry as G
 from quillframe.operators import neighbourhood as N
-from quillframe.operators.morph import pair_cost
+from quillframe.operators import morph
 from quillframe.sources import pictures, pnm
 from quillframe.sources.images import pixels
 
@@ -69,8 +69,8 @@ def test_medial_axis_and_morphology(image):
 def test_dtw():
     rng = np.random.default_rng(1)
     a, b = rng.random((9, 4)), rng.random((12, 4))
-    assert V.dtw(a, a)[0] == 0 and V.dtw(a, b)[0] > 0
-    path = V.dtw(a, b)[1]
+    (same, _), (cost, path) = V.alignments([a, a], [a, b])
+    assert same == 0 and cost > 0
     assert tuple(path[-1]) == (8, 11) and (np.diff(path, axis=0) >= 0).all()
 
 
@@ -79,7 +79,9 @@ def test_morph_cost():
     grid[2:8, 3], grid[2, 3:10] = True, True
     other = np.roll(grid, 2, axis=1)
     noise = np.random.default_rng(2).random((10, 14)) < 0.3
-    assert pair_cost(grid, grid) == 0 and pair_cost(grid, other) < pair_cost(grid, noise) and pair_cost(grid, other) == pair_cost(other, grid)
+    a, b, c = map(morph.Side.of, (grid, other, noise))
+    same, moved, unlike, back = morph.full_costs([a, a, a, b], [a, b, c, a])
+    assert abs(same) < 1e-9 and moved < unlike and abs(moved - back) < 1e-9
 
 
 def test_merges_against_greedy_pass(spark):

@@ -1,0 +1,308 @@
+"""Morph costs, alignments and recognition against plain loops."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillframe.operators import features as V
+from quillframe.operators import matching as M
+from quillframe.operators import morph
+from quillframe.sources.images import pixels
+
+
+def word(h, w, seed, strokes=4):
+    """A few thick strokes on a white ground; True is ink."""
+    rng, ink = random.Random(seed), [[False] * w for _ in range(h)]
+    for _ in range(strokes):
+        y, x, dy, dx = rng.randrange(h), rng.randrange(w), rng.choice([-1, 0, 1]), rng.choice([-1, 1])
+        for _ in range(rng.randint(3, max(h, w))):
+            for a in range(rng.randint(1, 3)):
+                if 0 <= y + a < h and 0 <= x < w:
+                    ink[y + a][x] = True
+            y, x = y + (dy if rng.random() < 0.6 else 0), x + (dx if rng.random() < 0.8 else 0)
+    return ink
+
+
+def nearest(points, y, x, none=1000):
+    return min([none, *(abs(y - a) + abs(x - b) for a, b in points)])
+
+
+def axis_of(ink):
+    h, w = len(ink), len(ink[0])
+    ground = [(y, x) for y in range(h) for x in range(w) if not ink[y][x]]
+    depth = {(y, x): nearest(ground, y, x, 10**6) if ink[y][x] else 0 for y in range(h) for x in range(w)}
+    on = {p for p in depth if depth[p] and all(depth[p] >= depth.get((p[0] + a, p[1] + b), 0) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1)))}
+    return sorted((y, x) for y, x in on if not {(y - 1, x), (y, x - 1), (y - 1, x - 1)} <= on)
+
+
+def features_of(ink):
+    h, w = len(ink), len(ink[0])
+    found = []
+    for x in range(w):
+        rows = [y for y in range(h) if ink[y][x]]
+        turns = sum(ink[y][x] and not (y and ink[y - 1][x]) for y in range(h))
+        found.append([len(rows), rows[0] if rows else None, h - rows[-1] if rows else None, turns])
+    for k in (1, 2):
+        known = [f[k] for f in found if f[k] is not None]
+        last = known[0] if known else 0
+        for f in found:
+            last = f[k] = last if f[k] is None else f[k]
+    most = [max(f[k] for f in found) for k in range(3)]
+    return [[*(f[k] / most[k] if most[k] else 0.0 for k in range(3)), f[3] / 6] for f in found]
+
+
+def rows_of(ink):
+    return [[255 * (1 - sum(row) / len(row))] for row in ink]
+
+
+def aligned(a, b, band, off=0.0):
+    n, m, band = len(a), len(b), max(band, 2)
+    total, back = {(0, 0): 0.0}, {}
+    for j in range(1, m + 1):
+        total[0, j], back[0, j] = j + 1000, (0, -1)
+    for i in range(1, n + 1):
+        total[i, 0], back[i, 0] = i + 1000, (-1, 0)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            here = sum((p - q) ** 2 for p, q in zip(a[i - 1], b[j - 1])) + (1000 if i > n * j / m + band or j > (n - 1 + m * i) / n + band else 0)
+            ways = [(total[i - 1, j - 1], (-1, -1)), (total[i - 1, j] + off, (-1, 0)), (total[i, j - 1] + off, (0, -1))]
+            best = min(w for w, _ in ways)
+            back[i, j] = next(s for w, s in ways if w == best)
+            total[i, j] = best + here
+    path, at = [], (n, m)
+    while at != (0, 0):
+        path.append((at[0] - 1, at[1] - 1))
+        at = (at[0] + back[at][0], at[1] + back[at][1])
+    return total[n, m] / len(path), path[::-1]
+
+
+def trunc(v):
+    return int(v + math.copysign(1e-9, v))
+
+
+class Mesh:
+    """One pair, one point after the other."""
+
+    def __init__(self, rows, cols, spacing, to, axis, ink_b):
+        self.rows, self.cols, self.spacing, self.to, self.axis = rows, cols, spacing, to, axis
+        self.h, self.w, self.axis_b = len(ink_b), len(ink_b[0]), axis_of(ink_b)
+        self.map = [[nearest(self.axis_b, y, x) for x in range(self.w)] for y in range(self.h)]
+        self.cells()
+
+    def cells(self):
+        self.cell = []
+        for p in self.axis:
+            at = []
+            for v, places, spacing in zip(p, (self.rows, self.cols), self.spacing):
+                k = min(int(v / spacing), len(places) - 2)
+                width = places[-1] - places[-2] if k == len(places) - 2 else spacing
+                at.append((k, min(max((v - places[k]) / width, 0), 1) if width > 0 else 0))
+            self.cell.append(at)
+
+    def moved(self, k):
+        (r, t), (c, s) = self.cell[k]
+        mix = lambda d: (1 - t) * ((1 - s) * self.to[r][c][d] + s * self.to[r][c + 1][d]) + t * ((1 - s) * self.to[r + 1][c][d] + s * self.to[r + 1][c + 1][d])
+        return mix(0), mix(1)
+
+    def miss(self, k):
+        y, x = map(trunc, self.moved(k))
+        a, b = min(max(y, 0), self.h - 1), min(max(x, 0), self.w - 1)
+        return self.map[a][b] + abs(y - a) + abs(x - b)
+
+    def cost(self):
+        ahead = sum(map(self.miss, range(len(self.axis)))) / max(1, len(self.axis))
+        on = {tuple(map(trunc, self.moved(k))) for k in range(len(self.axis))}
+        beside = {(y + a, x + b) for y, x in on for a in range(-12, 13) for b in range(-12, 13)} - on if on else set()
+        back = [1 - nearest(beside, *p) if p in on else nearest(on, *p) for p in self.axis_b]
+        return ahead + sum(back) / max(1, len(back))
+
+    def improve(self, only_new, coarse):
+        reach = [max(1, int(s * 0.4)) for s in self.spacing]
+        for i in range(int(only_new), len(self.rows), 1 + only_new):
+            for j in range(int(only_new), len(self.cols), 1 + only_new):
+                mine = [k for k, ((r, _), (c, _)) in enumerate(self.cell) if r in (i - 1, i) and c in (j - 1, j)]
+                if not mine:
+                    continue
+                start = place = tuple(self.to[i][j])
+                low, high = [trunc(v - d) for v, d in zip(start, reach)], [trunc(v + d) for v, d in zip(start, reach)]
+                for a in range(max(i - 1, 0), min(i + 2, len(self.rows))):
+                    for b in range(max(j - 1, 0), min(j + 2, len(self.cols))):
+                        for d, side in ((0, a - i), (1, b - j)):
+                            v = trunc(self.to[a][b][d])
+                            low[d] = max(low[d], v) if side < 0 else low[d]
+                            high[d] = min(high[d], v) if side > 0 else high[d]
+                best, step = sum(map(self.miss, mine)) / len(mine), min(4, *reach) if coarse else 1
+                while step:
+                    for y in range(low[0], high[0] + 1, step):
+                        for x in range(low[1], high[1] + 1, step):
+                            self.to[i][j] = [y, x]
+                            c = sum(map(self.miss, mine)) / len(mine) + math.hypot(y - start[0], x - start[1]) / 100
+                            if c < best:
+                                best, place = c, (y, x)
+                    for d in (0, 1):
+                        low[d], high[d] = max(low[d], trunc(place[d] - step + 1)), min(high[d], trunc(place[d] + step - 1))
+                        high[d] = max(low[d], high[d])
+                    step //= 2
+                self.to[i][j] = list(place)
+
+    def halve(self):
+        new = []
+        for places, spacing in zip((self.rows, self.cols), self.spacing):
+            wide = places[-1] - places[-2] > spacing / 2
+            new.append(sorted(places + [p + spacing / 2 for p in (places[:-1] if wide else places[:-2])]))
+
+        def between(v, places):
+            k = max(k for k in range(len(places) - 1) if places[k] <= v)
+            width = places[k + 1] - places[k]
+            return k, (v - places[k]) / width if width > 0 else 0.0
+
+        def at(y, x, d):
+            (r, t), (c, s) = between(y, self.rows), between(x, self.cols)
+            down = lambda q: (1 - t) * self.to[r][q][d] + t * self.to[r + 1][q][d]
+            return (1 - s) * down(c) + s * down(c + 1)
+
+        self.to = [[[at(y, x, 0), at(y, x, 1)] for x in new[1]] for y in new[0]]
+        self.rows, self.cols, self.spacing = new[0], new[1], [s / 2 for s in self.spacing]
+        self.cells()
+
+
+def fast_way(a, b):
+    h, w = len(a), len(a[0])
+    spacing = max(4, int(h / 4))
+    rows, cols = ([min(k * spacing, n - 1) for k in range(1 + (n + spacing - 1) // spacing)] for n in (h, w))
+    maps = []
+    for p, q, band in ((rows_of(a), rows_of(b), 14 * 2 // 3 + 1), (features_of(a), features_of(b), 14)):
+        where = [0] * len(p)
+        for i, j in aligned(p, q, band)[1]:
+            where[max(i, 0)] = max(where[max(i, 0)], j)
+        maps.append(where)
+    mesh = Mesh(rows, cols, [spacing, spacing], [[[maps[0][y], maps[1][x]] for x in cols] for y in rows], axis_of(a), b)
+    mesh.improve(False, True)
+    return mesh.cost()
+
+
+def full_way(a, b):
+    h, w = len(b), len(b[0])
+    wide = [[False] * w for _ in a]
+    for i, j in aligned(features_of(a), features_of(b), 14)[1]:
+        for y in range(len(a)):
+            wide[y][max(j, 0)] |= a[y][max(i, 0)]
+    both = [[False] * w for _ in range(h)]
+    for i, j in aligned(rows_of(wide), rows_of(b), 14 * 2 // 3 + 1)[1]:
+        both[max(j, 0)] = [p or q for p, q in zip(both[max(j, 0)], wide[max(i, 0)])]
+    rows, cols = [0, h - 1], [0, w - 1]
+    mesh = Mesh(rows, cols, [h, w], [[[y, x] for x in cols] for y in rows], axis_of(both), b)
+    last = mesh.cost()
+    mesh.halve()
+    for k in range(51):
+        before = mesh.cost()
+        for _ in range(51):
+            mesh.improve(True, False)
+            now = mesh.cost()
+            if now >= before:
+                break
+            before = now
+        now = mesh.cost()
+        if k > 2 and last - now < 0.01:
+            break
+        last = now
+        if min(mesh.spacing) > 2 and k < 50:
+            mesh.halve()
+    return now
+
+
+def costs_of(way, a, b):
+    long, short = max(len(a[0]), len(b[0])), min(len(a[0]), len(b[0]))
+    return way(a, b) + way(b, a) + 0.2 * (long - short) / long
+
+
+def sides(inks):
+    return [morph.Side.of(np.array(i)) for i in inks]
+
+
+@pytest.fixture(scope="module")
+def words_8():
+    blank, full, dot = [[False] * 8 for _ in range(8)], [[True] * 8 for _ in range(8)], [[y == 3 and x == 5 for x in range(8)] for y in range(8)]
+    return [word(8, 8, k) for k in range(5)] + [blank, full, dot]
+
+
+def test_fast_costs_against_loops(words_8):
+    got = morph.fast_costs(sides(words_8[:4] + words_8[5:]), sides(words_8))
+    want = [[costs_of(fast_way, a, b) for b in words_8] for a in words_8[:4] + words_8[5:]]
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_fast_costs_of_several_shapes(monkeypatch):
+    many = [word(16, 24, 1), word(16, 24, 2), word(16, 19, 3), word(13, 24, 4), word(20, 30, 5), word(9, 1, 6)]
+    monkeypatch.setattr(morph, "VALUES", 4_000)
+    assert np.allclose(morph.fast_costs(sides(many[:4]), sides(many)), [[costs_of(fast_way, a, b) for b in many] for a in many[:4]], atol=1e-9)
+
+
+@pytest.mark.parametrize("shape", [(8, 8), (16, 24), (11, 17)])
+def test_full_costs_against_loops(shape, words_8):
+    inks = words_8 if shape == (8, 8) else [word(*shape, 40 + k, 5) for k in range(4)] + [word(shape[0] + 2, shape[1] - 3, 50, 5)]
+    pairs = [(a, b) for k, a in enumerate(inks) for b in inks[k:]][:14]
+    got = morph.full_costs(sides(a for a, _ in pairs), sides(b for _, b in pairs))
+    assert np.allclose(got, [costs_of(full_way, a, b) for a, b in pairs], atol=1e-9)
+
+
+def test_costs_tell_words_apart():
+    """A word moved by one sample costs less than another word, and the same word nothing."""
+    a = word(20, 40, 7, 6)
+    moved = [[False] + row[:-1] for row in a]
+    others = [word(20, 40, 100 + k, 6) for k in range(5)]
+    cost = morph.full_costs(sides([a] * 7), sides([a, moved, *others]))
+    assert abs(cost[0]) < 1e-9 and cost[1] < cost[2:].min()
+
+
+def test_alignments_against_loops():
+    rng = np.random.default_rng(2)
+    left, right = [rng.random((n, 2)) for n in (1, 5, 9, 9, 30)], [rng.random((m, 2)) for m in (4, 5, 3, 12, 6)]
+    for band, off in ((14, 0.0), (2, 0.3)):
+        for (cost, path), a, b in zip(V.alignments(left, right, band, off), left, right):
+            want = aligned(a.tolist(), b.tolist(), band, off)
+            assert abs(cost - want[0]) < 1e-9 and [tuple(p) for p in path.tolist()] == want[1]
+
+
+def frame(spark, inks, first=1):
+    rows = [(first + k, k % 3, len(i[0]), len(i), [0 if v else 255 for row in i for v in row]) for k, i in enumerate(inks)]
+    return spark.createDataFrame(rows, "image_id long, label int, width int, height int, data array<int>")
+
+
+def test_features_are_those_of_the_relation(spark, words_8):
+    got = {(r["image_id"], r["x"]): r[2:] for r in V.column_features(frame(spark, words_8)).collect()}
+    for k, ink in enumerate(words_8):
+        assert np.allclose([got[k + 1, x] for x in range(8)], morph.column_profiles(np.array(ink)), atol=1e-8)
+        assert np.allclose(features_of(ink), morph.column_profiles(np.array(ink)))
+
+
+def test_every_pair_is_compared_and_the_best_again(spark):
+    """Blocks of both sides, shapes that differ, the best by fast cost and the better of both costs."""
+    tests, train = [word(8, 8, k) for k in range(3)], [word(8, 8 + k % 2, 20 + k) for k in range(7)]
+    a, b = frame(spark, tests), frame(spark, train, 101)
+    found = morph.fast_matches(a, b)
+    got = {(r["test_id"], r["train_id"]): r["cost"] for r in found.collect()}
+    assert got.keys() == {(1 + i, 101 + j) for i in range(3) for j in range(7)}
+    assert all(abs(c - costs_of(fast_way, tests[i - 1], train[j - 101])) < 1e-8 for (i, j), c in got.items())
+    best = M.ranked_best(found, 3).drop("rank").withColumnRenamed("cost", "fast")
+    full = morph.with_full_costs(best, a.union(b), "full").collect()
+    assert {(r["test_id"], r["train_id"]) for r in full} == {p for i in (1, 2, 3) for p in sorted((p for p in got if p[0] == i), key=lambda p: (got[p], p))[:3]}
+    assert all(abs(r["full"] - costs_of(full_way, tests[r["test_id"] - 1], train[r["train_id"] - 101])) < 1e-8 for r in full)
+
+
+def test_warp_follows_the_alignment(spark):
+    tests, train = [word(6, 7, 1)], [word(6, 9, 2), word(6, 5, 3)]
+    a, b = frame(spark, tests), frame(spark, train, 101)
+    vectors = lambda d: V.feature_vectors(V.column_features(d))
+    pairs = V.align_pairs(vectors(a), vectors(b))
+    got = {(r["b_id"], r["y"], r["x"]): r["v"] for r in V.warp_columns(pixels(a), pairs).collect()}
+    places = {(r["b_id"], r["x_a"]): r["x_b"] for r in V.coordinate_map(pairs).collect()}
+    for k, ink in enumerate(train):
+        path = aligned(features_of(tests[0]), features_of(ink), 14)[1]
+        for x in range(len(ink[0])):
+            here = {max(i, 0) for i, j in path if max(j, 0) == x}
+            assert all(got[101 + k, y, x] == min(0 if tests[0][y][i] else 255 for i in here) for y in range(6))
+        assert all(places[101 + k, i] == max(j for p, j in path if p == i) for i in {i for i, j in path if i >= 0 and j >= 0})
