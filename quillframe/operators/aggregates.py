@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,11 +13,7 @@ from pyspark.sql.window import Window
 from quillframe.functions.samples import threshold
 from quillframe.operators.neighbourhood import PREWITT, edges
 from quillframe.sources.images import pixels, settled
-from quillframe.sources.tables import spread, stored
-
-
-#: Passes over an image's labels before they are looked at again.
-PASSES = 4
+from quillframe.sources.tables import spread
 
 
 def histogram(rows: DataFrame, value: str = "v", *by: str) -> DataFrame:
@@ -82,35 +80,111 @@ def run_lengths(rows: DataFrame, by: list[str], at: str, on: Column) -> DataFram
     return every.join(some, by, "left").select(*by, F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
 
 
+def find(parent: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Roots of nodes, which point to them from then on."""
+    root = parent[nodes]
+    while (up := parent[root]).tobytes() != root.tobytes():
+        root = up
+    parent[nodes] = root
+    return root
+
+
+def join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins the trees of a[k] and b[k] for all k: every root takes the smallest number. Returns the roots that are none any more, and theirs."""
+    gone = [np.zeros(0, np.int64)]
+    while True:
+        a, b = find(parent, a), find(parent, b)
+        apart = a != b
+        if not apart.any():
+            gone = np.concatenate(gone)
+            return gone, find(parent, gone)
+        a, b = a[apart], b[apart]
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        np.minimum.at(parent, high, low)
+        gone.append(np.unique(high))
+
+
+def component_labels(on: np.ndarray) -> np.ndarray:
+    """8-connected components, numbered from 1 in the order of their first place; 0 where off. Runs of a row are joined with those they touch in the row above."""
+    h, w = on.shape
+    turn = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(turn == 1)
+    last = np.nonzero(turn == -1)[1] - 1
+    parent, wide = np.arange(len(row)), w + 2
+    # Of the row above, the first run that ends at this one's start or behind, and the last that starts at its end or before, corners included.
+    low = np.searchsorted(row * wide + last, (row - 1) * wide + first - 1)
+    high = np.searchsorted(row * wide + first, (row - 1) * wide + last + 1, "right")
+    n = np.maximum(high - low, 0)
+    touching = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    join(parent, np.repeat(np.arange(len(row)), n), touching)
+    roots, number = np.unique(find(parent, np.arange(len(row))), return_inverse=True)
+    labels = np.zeros(h * w + 1, np.int64)
+    np.add.at(labels, row * w + first, number + 1)
+    np.add.at(labels, row * w + last + 1, -number - 1)
+    return np.cumsum(labels)[:-1].reshape(h, w)
+
+
+def grown_components(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each value that occurs: it, the 8-connected components of samples up to it, the largest one's samples, and all of them.
+
+    One pass: samples come in by value, and pairs of neighbours join where the later one of them does.
+    """
+    h, w = values.shape
+    place = np.arange(h * w).reshape(h, w)
+    pairs = [(place[:, :-1], place[:, 1:]), (place[:-1], place[1:]), (place[:-1, :-1], place[1:, 1:]), (place[:-1, 1:], place[1:, :-1])]
+    a, b = (np.concatenate([p[k].ravel() for p in pairs]) for k in (0, 1))
+    flat = values.ravel()
+    later = np.maximum(flat[a], flat[b])
+    order = np.argsort(later, kind="stable")
+    a, b = a[order], b[order]
+    levels, fresh = np.unique(flat, return_counts=True)
+    ends = np.searchsorted(later[order], levels, "right")
+    parent, size, found, n, largest = np.arange(h * w), np.ones(h * w, np.int64), [], 0, 1
+    for new, start, end in zip(fresh.tolist(), [0, *ends.tolist()], ends.tolist()):
+        gone, root = join(parent, a[start:end], b[start:end])
+        np.add.at(size, root, size[gone])
+        n, largest = n + new - len(gone), max(largest, int(size[root].max(initial=1)))
+        found.append((n, largest))
+    return levels, *np.array(found, np.int64).reshape(-1, 2).T, np.cumsum(fresh)
+
+
 def connected_components(images: DataFrame, background: int = 255) -> DataFrame:
     """(image_id, y, x, label): 8-connected components, numbered from 1 in the order of their first pixel; background 0.
 
-    Labels start as pixel numbers and take the least of their 3 x 3 neighbours' inside the row, over
-    and over; each round also follows labels to the labels of their pixels, so that long shapes take few rounds.
+    An image's runs are joined in its own row, in time linear in its samples; nothing is shuffled.
     """
-    i_of = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
-    start = images.withColumn("lab", F.transform(i_of, lambda i: F.when(F.get("data", i) != background, i).otherwise(-1)))
-
-    # As SQL text: thousands of Python calls would take longer than the query.
-    around = "flatten(transform(sequence(greatest(y - 1, 0), least(y + 1, height - 1)), k -> slice(lab, k * width + greatest(x - 1, 0) + 1, least(x + 1, width - 1) - greatest(x - 1, 0) + 1)))"
-    one = f"if(get(lab, y * width + x) < 0, -1, array_min(filter({around}, k -> k >= 0)))"
-    lowest = F.expr(f"flatten(transform(sequence(0, height - 1), y -> transform(sequence(0, width - 1), x -> {one})))")
-    jump = F.expr("transform(lab, k -> if(k >= 0, get(lab, k), -1))")
-    rounds = spread(start.select("image_id", "width", "height", "lab"), "image_id")
-    done = None
-    while True:
-        rounds = settled(rounds.withColumn("old", F.col("lab")))
-        for _ in range(PASSES):
-            rounds = settled(rounds.withColumn("lab", lowest))
-            rounds = settled(rounds.withColumn("lab", jump))
-        rounds = stored(rounds, "labels")
-        still = rounds.filter("lab <> old").limit(1).count()
-        done, rounds = rounds, rounds.drop("old")
-        if not still:
-            break
-    roots = F.array_sort(F.array_distinct(F.filter("lab", lambda k: k >= 0)))
-    named = settled(done.withColumn("roots", roots)).select("image_id", "width", F.posexplode(F.transform("lab", lambda k: F.when(k >= 0, F.array_position(F.col("roots"), k)).otherwise(0).cast("int"))).alias("at", "label"))
-    return named.select("image_id", F.expr("at div width").cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), "label")
+
+    @F.pandas_udf("array<int>")
+    def labels(width: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else component_labels(np.asarray(d).reshape(-1, int(w)) != background).ravel().astype(np.int32) for w, d in zip(width, data)], dtype=object)
+
+    return pixels(spread(images.select("image_id", "width", "data"), "image_id").withColumn("data", labels("width", "data"))).withColumnRenamed("v", "label")
+
+
+def component_levels(images: DataFrame) -> DataFrame:
+    """(image_id, levels): for each value t of an image, how many components the samples up to t make, the largest one's samples, and all of them as ink."""
+
+    @F.pandas_udf("t array<int>, components array<int>, largest array<int>, ink array<int>")
+    def grown(width: pd.Series, data: pd.Series) -> pd.DataFrame:
+        rows = [[x.astype(np.int32) for x in grown_components(np.asarray(d).reshape(-1, int(w)))] for w, d in zip(width, data)]
+        return pd.DataFrame(rows, columns=["t", "components", "largest", "ink"], dtype=object)
+
+    whole = spread(images.filter("size(data) > 0").select("image_id", "width", "data"), "image_id")
+    made = settled(whole.select("image_id", grown("width", "data").alias("g")))
+    return made.select("image_id", F.arrays_zip("g.t", "g.components", "g.largest", "g.ink").alias("levels"))
+
+
+def component_threshold(images: DataFrame) -> DataFrame:
+    """(image_id, otsu, t, components): the threshold from Otsu's to 254 with the fewest components; the lowest of several.
+
+    It stops where a component is as large as all ink at Otsu's threshold. As components only grow with the
+    threshold, these are the thresholds whose largest component is smaller. Between an image's values nothing changes.
+    """
+    both = settled(component_levels(images).join(otsu(histogram(pixels(images), "v", "image_id")).withColumnRenamed("t", "otsu"), "image_id"))
+    start = settled(both.withColumn("at_otsu", F.element_at(F.filter("levels", lambda v: v["t"] <= F.col("otsu")), -1)))
+    later = F.filter("levels", lambda v: (v["t"] > F.col("otsu")) & (v["t"] < 255) & (v["largest"] < F.col("at_otsu.ink")) & (v["components"] < F.col("at_otsu.components")))
+    fewest = settled(start.withColumn("best", F.array_min(F.transform(later, lambda v: F.struct(v["components"].alias("n"), v["t"].alias("t"))))))
+    return fewest.select("image_id", "otsu", F.coalesce("best.t", "otsu").alias("t"), F.coalesce("best.n", "at_otsu.components").alias("components"))
 
 
 def component_stats(labels: DataFrame) -> DataFrame:

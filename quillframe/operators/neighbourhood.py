@@ -246,6 +246,48 @@ def medial_axis(distances: DataFrame, thin: bool = True) -> DataFrame:
     return from_pixels(marked, lambda y, x: F.when(on(y, x) & ~(on(y - 1, x) & on(y, x - 1) & on(y - 1, x - 1)), 0).otherwise(255))
 
 
+#: The eight places around one, clockwise from above it.
+AROUND = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+
+
+def thinning_table() -> np.ndarray:
+    """Whether ink goes, by subiteration and by which of AROUND are ink.
+
+    It goes where it joins nothing (one run of ink around it), ends no line (two or three pairs of neighbours have ink) and lies
+    on the side that the subiteration peels: north and east, then south and west.
+    """
+    goes = np.zeros((2, 256), bool)
+    for code in range(256):
+        n, ne, e, se, s, sw, w, nw = (bool(code >> k & 1) for k in range(8))
+        runs = (not n and (ne or e)) + (not e and (se or s)) + (not s and (sw or w)) + (not w and (nw or n))
+        pairs = min((nw or n) + (ne or e) + (se or s) + (sw or w), (n or ne) + (e or se) + (s or sw) + (w or nw))
+        for k, side in enumerate(((n or ne or not se) and e, (s or sw or not nw) and w)):
+            goes[k, code] = runs == 1 and pairs in (2, 3) and not side
+    return goes
+
+
+def thinned(ink: np.ndarray) -> np.ndarray:
+    """A skeleton one sample wide, with as many components: two subiterations by turns, each for all places at once, until neither takes any."""
+    table, on, idle, k = thinning_table(), np.pad(ink, 1), 0, 0
+    while idle < 2:
+        code = np.zeros(on.shape, np.uint8)
+        for bit, (dy, dx) in enumerate(AROUND):
+            code |= np.roll(on, (-dy, -dx), (0, 1)).astype(np.uint8) << bit
+        gone = on & table[k % 2][code]
+        on, idle, k = on & ~gone, 0 if gone.any() else idle + 1, k + 1
+    return on[1:-1, 1:-1]
+
+
+def skeleton(images: DataFrame) -> DataFrame:
+    """255 on the skeleton of ink (0), 0 elsewhere."""
+
+    @F.pandas_udf("array<int>")
+    def thin(width: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else np.where(thinned(np.asarray(d).reshape(-1, int(w)) == 0), 255, 0).ravel().astype(np.int32) for w, d in zip(width, data)], dtype=object)
+
+    return images.withColumn("data", thin("width", "data"))
+
+
 def bilateral(images: DataFrame, sigma_s: float, sigma_r: float) -> DataFrame:
     """(image_id, y, x, v): a bilateral grid of buckets, blurred by [1 2 1] / 4 twice along each axis, read between eight buckets."""
     px = pixels(images).select("image_id", "y", "x", "v", *[(F.col(c) / F.lit(float(s))).alias(f"g{c}") for c, s in (("y", sigma_s), ("x", sigma_s), ("v", sigma_r))])

@@ -169,7 +169,10 @@ def pixel_rescale(spark, sf):
     return pixels(bounds.withColumn("data", F.transform("data", lambda v: samples.rescale(v, F.col("lo"), F.col("hi"), 0, 255))))
 
 
-PAIRED = PX + ", nx AS (SELECT image_id - 1 AS image_id, y, x, v AS w FROM px)"
+# Each image beside the one of the next id, joined as whole images; o is the other's sample two rows up and three places to the left.
+SAMPLE = "CAST(greatest(0, least(255, floor((CAST({}.embedding[{}] AS DOUBLE) + 0.6) * 212.5))) AS INT)"
+PAIRED = f"""pr AS (SELECT coalesce(a.vec_id, b.vec_id - 1) AS image_id, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x, {SAMPLE.format('a', 'i')} AS v, {SAMPLE.format('b', 'i')} AS w,
+  CASE WHEN i > 19 THEN {SAMPLE.format('b', 'i - 19')} END AS o, a.vec_id IS NOT NULL AS here, b.vec_id IS NOT NULL AS there FROM (SELECT * FROM embeddings) a FULL JOIN embeddings b ON b.vec_id = a.vec_id + 1, (SELECT unnest(range(1, 65)) AS i))"""
 
 
 def with_next(spark, sf) -> DataFrame:
@@ -182,17 +185,17 @@ def with_next(spark, sf) -> DataFrame:
     return rows.select("image_id", F.expr("at div 8").cast("int").alias("y"), (F.col("at") % 8).alias("x"), "p.v", "p.w")
 
 
-@query("image_add", f"WITH {PAIRED} SELECT px.image_id, px.y, px.x, (px.v + nx.w) % 256 AS v FROM px JOIN nx USING (image_id, y, x)")
+@query("image_add", f"WITH {PAIRED} SELECT image_id, y, x, (v + w) % 256 AS v FROM pr WHERE here AND there")
 def image_add(spark, sf):
     return with_next(spark, sf).filter("v is not null and w is not null").select("image_id", "y", "x", ((F.col("v") + F.col("w")) % 256).alias("v"))
 
 
-@query("image_multiply", f"WITH {PAIRED} SELECT px.image_id, px.y, px.x, (px.v * nx.w) % 256 AS v FROM px JOIN nx USING (image_id, y, x)")
+@query("image_multiply", f"WITH {PAIRED} SELECT image_id, y, x, (v * w) % 256 AS v FROM pr WHERE here AND there")
 def image_multiply(spark, sf):
     return with_next(spark, sf).filter("v is not null and w is not null").select("image_id", "y", "x", ((F.col("v") * F.col("w")) % 256).alias("v"))
 
 
-@query("image_blend", f"WITH {PAIRED} SELECT image_id, y, x, CAST(coalesce(trunc(0.75::DOUBLE * v + 0.25::DOUBLE * w), v, w) AS INT) AS v FROM px FULL JOIN nx USING (image_id, y, x)")
+@query("image_blend", f"WITH {PAIRED} SELECT image_id, y, x, CAST(CASE WHEN here AND there THEN trunc(0.75::DOUBLE * v + 0.25::DOUBLE * w) WHEN here THEN v ELSE w END AS INT) AS v FROM pr")
 def image_blend(spark, sf):
     """(1 - t) a + t b with t = 0.25; where one image has no pixel, the other's counts."""
     mixed = (F.lit(0.75) * F.col("v") + F.lit(0.25) * F.col("w")).cast("int")
@@ -244,8 +247,7 @@ geometry("rotate180", lambda i: G.rotate90(i, 2), looked_up(8, 8, "7 - gy.y", "7
 geometry("upscale_pow2", lambda i: G.upscale_pow2(i, 1), looked_up(16, 16, "gy.y // 2", "gx.x // 2"))
 geometry("scale_nearest", lambda i: G.scale(i, 5, 5, smooth=False), looked_up(5, 5, "CAST(floor((gy.y + 0.5) * 8 / 5) AS INT)", "CAST(floor((gx.x + 0.5) * 8 / 5) AS INT)"))
 geometry("downscale_pow2", lambda i: G.downscale_pow2(i, 1), f"WITH {PX} SELECT image_id, y // 2 AS y, x // 2 AS x, CAST(floor(avg(v)) AS INT) AS v FROM px GROUP BY 1, 2, 3")
-geometry("translate_half", lambda i: G.translate(i, 0.5, 0), f"""WITH {PX} SELECT p.image_id, p.y, p.x, CAST(floor((p.v + coalesce(q.v, 255)) / 2.0 + 0.5) AS INT) AS v
-  FROM px p LEFT JOIN px q ON q.image_id = p.image_id AND q.y = p.y AND q.x = p.x - 1""")
+geometry("translate_half", lambda i: G.translate(i, 0.5, 0), f"""WITH {PX} SELECT image_id, y, x, CAST(floor((v + coalesce(lag(v) OVER (PARTITION BY image_id, y ORDER BY x), 255)) / 2.0 + 0.5) AS INT) AS v FROM px""")
 geometry("scale_bilinear", lambda i: G.scale(i, 4, 4), f"""WITH {PX} SELECT image_id, y // 2 AS y, x // 2 AS x, CAST(floor(avg(v) + 0.5) AS INT) AS v FROM px GROUP BY 1, 2, 3""")
 geometry("shear_h", lambda i: G.shear_h(i, 45.0), looked_up(15, 8, "gy.y", "gx.x - (7 - gy.y)"))
 
@@ -276,8 +278,7 @@ def clip_to_ink(spark, sf):
     return flat(G.clip_to_ink(binary(spark, sf, 60)))
 
 
-@query("paste", f"""WITH {PAIRED} SELECT px.image_id, px.y, px.x, CASE WHEN px.y >= 2 AND px.x >= 3 THEN coalesce(o.w, px.v) ELSE px.v END AS v
-  FROM px LEFT JOIN nx o ON o.image_id = px.image_id AND o.y = px.y - 2 AND o.x = px.x - 3""")
+@query("paste", f"""WITH {PAIRED} SELECT image_id, y, x, CASE WHEN y >= 2 AND x >= 3 AND there THEN o ELSE v END AS v FROM pr WHERE here""")
 def paste(spark, sf):
     """The next image pasted from (3, 2) on."""
     every = images(spark, sf)
@@ -401,6 +402,31 @@ DIST = BW + """, dm AS (SELECT a.image_id, a.y, a.x, CAST(CASE WHEN a.v = 0 THEN
   ELSE least(240, coalesce(min(abs(a.y - b.y) + abs(a.x - b.x)) FILTER (b.v = 0), 240)) END AS INT) AS v FROM bw a JOIN bw b ON a.image_id = b.image_id GROUP BY a.image_id, a.y, a.x, a.v)"""
 filtered("distance_map", N.distance_map, f"WITH {DIST} SELECT * FROM dm", binary)
 AXIS = DIST + """, ax AS (SELECT a.image_id, a.y, a.x, a.v <= 0 AND a.v <= coalesce(min(b.v), 1 << 20) AS ax FROM dm a LEFT JOIN dm b ON a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY a.image_id, a.y, a.x, a.v)"""
+# An 8 x 8 image as 64 bits: bits grow by their neighbours, columns that would wrap left out.
+def bits_moved(c: str, dy: int, dx: int) -> str:
+    """The bits of c, each at the place from which it is (dy, dx) away."""
+    keep = {-1: 9187201950435737471, 0: 18446744073709551615, 1: 18374403900871474942}[dx]
+    c = f"({c} & {keep}::UBIGINT)"
+    c = c if not dx else f"({c} >> 1)" if dx > 0 else f"({c} << 1)"
+    return c if not dy else f"({c} >> 8)" if dy > 0 else f"(({c} & 72057594037927935::UBIGINT) << 8)"
+
+
+def two_of(*c: str) -> str:
+    """Bits that two of several have."""
+    return "(" + " | ".join(f"({a} & {b})" for i, a in enumerate(c) for b in c[i + 1 :]) + ")"
+
+
+SIDES = {"n": (-1, 0), "ne": (-1, 1), "e": (0, 1), "se": (1, 1), "s": (1, 0), "sw": (1, -1), "w": (0, -1), "nw": (-1, -1)}
+PAIRS_A, PAIRS_B = ["(nw | n)", "(ne | e)", "(se | s)", "(sw | w)"], ["(n | ne)", "(e | se)", "(s | sw)", "(w | nw)"]
+RUNS = ["(~n & (ne | e))", "(~e & (se | s))", "(~s & (sw | w))", "(~w & (nw | n))"]
+THIN = f"""sm AS (SELECT image_id, coalesce(bit_or(1::UBIGINT << (y * 8 + x)) FILTER (v = 0), 0::UBIGINT) AS m FROM bw GROUP BY 1),
+  th AS (SELECT image_id, 0 AS k, 0 AS idle, m FROM sm
+    UNION ALL SELECT image_id, 1 - k, CASE WHEN gone = 0 THEN idle + 1 ELSE 0 END, m - gone FROM (
+      SELECT image_id, k, idle, m, m & ({' | '.join(RUNS)}) & ~{two_of(*RUNS)} & {two_of(*PAIRS_A)} & {two_of(*PAIRS_B)} & ~({' & '.join(PAIRS_A + PAIRS_B)})
+        & ~(CASE WHEN k = 0 THEN (n | ne | ~se) & e ELSE (s | sw | ~nw) & w END) AS gone
+      FROM (SELECT *, {', '.join(f"{bits_moved('m', *d)} AS {name}" for name, d in SIDES.items())} FROM th WHERE idle < 2)))"""
+
+filtered("skeleton", N.skeleton, f"WITH RECURSIVE {BW}, {THIN} SELECT image_id, y, x, CASE WHEN (m >> (y * 8 + x)) & 1 = 1 THEN 255 ELSE 0 END AS v FROM th JOIN bw USING (image_id) WHERE idle = 2", binary)
 filtered("medial_axis", lambda i: N.medial_axis(N.distance_map(i), thin=False), f"WITH {AXIS} SELECT image_id, y, x, CASE WHEN ax THEN 0 ELSE 255 END AS v FROM ax", binary)
 filtered("medial_axis_thin", lambda i: N.medial_axis(N.distance_map(i)), f"""WITH {AXIS} SELECT a.image_id, a.y, a.x, CASE WHEN a.ax AND 3 > (SELECT count(*) FROM ax b WHERE b.image_id = a.image_id AND b.ax AND (a.y - b.y, a.x - b.x) IN ((1, 0), (0, 1), (1, 1))) THEN 0 ELSE 255 END AS v FROM ax a""", binary)
 
@@ -444,6 +470,30 @@ CC = BW + """, pt AS (SELECT image_id, y, x, y * 8 + x AS k FROM bw WHERE v <> 2
   cc AS (SELECT bw.image_id, bw.y, bw.x, coalesce(lb.label, 0) AS label FROM bw LEFT JOIN lb ON lb.image_id = bw.image_id AND lb.k = bw.y * 8 + bw.x)"""
 
 
+FLOOD = f"""lv AS (SELECT DISTINCT image_id, v AS t FROM px),
+  mk AS (SELECT lv.image_id, lv.t, bit_or(1::UBIGINT << (y * 8 + x)) AS m, count(*) AS ink FROM lv JOIN px ON px.image_id = lv.image_id AND px.v <= lv.t GROUP BY 1, 2),
+  fl AS (SELECT image_id, t, ink, m AS rest, m - (m & (m - 1)) AS cur, 0 AS n, 0 AS largest FROM mk
+    UNION ALL SELECT image_id, t, ink, CASE WHEN g = cur THEN rest - cur ELSE rest END, CASE WHEN g <> cur THEN g WHEN rest = cur THEN 0 ELSE (rest - cur) - ((rest - cur) & (rest - cur - 1)) END,
+      CASE WHEN g = cur THEN n + 1 ELSE n END, CASE WHEN g = cur THEN greatest(largest, bit_count(cur)) ELSE largest END
+    FROM (SELECT *, (s | {bits_moved('s', -1, 0)} | {bits_moved('s', 1, 0)}) & rest AS g FROM (SELECT *, cur | {bits_moved('cur', 0, -1)} | {bits_moved('cur', 0, 1)} AS s FROM fl WHERE rest > 0))),
+  cl AS (SELECT image_id, t, CAST(n AS INT) AS components, CAST(largest AS INT) AS largest, CAST(ink AS INT) AS ink FROM fl WHERE rest = 0)"""
+
+
+@query("component_levels", f"WITH RECURSIVE {PX}, {FLOOD} SELECT * FROM cl")
+def component_levels(spark, sf):
+    """Components at every threshold where they change."""
+    return A.component_levels(images(spark, sf)).select("image_id", F.inline("levels"))
+
+
+@query("cc_threshold", f"""WITH RECURSIVE {PX}, {otsu_sql("px", "image_id")}, {FLOOD}, base AS (SELECT o.k AS image_id, o.t AS otsu, max(cl.t) AS t FROM o JOIN cl ON cl.image_id = o.k AND cl.t <= o.t GROUP BY 1, 2),
+  start AS (SELECT base.image_id, otsu, components, ink FROM base JOIN cl USING (image_id, t)),
+  each AS (SELECT image_id, otsu, otsu AS t, components FROM start UNION ALL SELECT start.image_id, otsu, cl.t, cl.components FROM start JOIN cl ON cl.image_id = start.image_id AND cl.t > otsu AND cl.t < 255 AND cl.largest < start.ink),
+  best AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY components, t) AS place FROM each)
+  SELECT image_id, CAST(otsu AS INT) AS otsu, CAST(t AS INT) AS t, components FROM best WHERE place = 1""")
+def cc_threshold(spark, sf):
+    return A.component_threshold(images(spark, sf))
+
+
 @query("connected_components", f"WITH RECURSIVE {CC} SELECT * FROM cc")
 def connected_components(spark, sf):
     return A.connected_components(binary(spark, sf))
