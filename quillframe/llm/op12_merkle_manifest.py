@@ -92,7 +92,7 @@ def made_levels(nodes: pa.Table, levels: int) -> int:
     db.register("nodes", nodes)
     depth = f"len(list_filter({[RUN**k for k in range(levels)]}, lambda below: below < n))"
     db.execute(f"CREATE OR REPLACE TEMP TABLE level_0 AS SELECT tree, pos, n, {depth} AS depth, h FROM nodes")
-    top = db.execute("SELECT coalesce(max(depth), 0) FROM level_0").fetchone()[0]
+    top = db.execute("SELECT coalesce(max(depth), 0) FROM level_0").fetchall()[0][0]
     for k in range(top):
         db.execute(f"""CREATE OR REPLACE TEMP TABLE level_{k + 1} AS
             SELECT tree, pos // {RUN} AS pos, n, depth, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM level_{k} WHERE depth > {k} GROUP BY ALL""")
