@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from quillframe.operators import matching as M
 from quillframe.operators import morph
 from quillframe.operators import neighbourhood as N
 from quillframe.sources.images import embeddings_as_images, pixels
-from quillframe.sources.tables import stored
+from quillframe.sources.tables import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -710,7 +711,7 @@ def fast_best(spark, sf) -> DataFrame:
 def reranked(spark, sf) -> DataFrame:
     """Full costs of the best by fast cost; the smaller of both counts."""
     best = stored(fast_best(spark, sf).drop("rank").withColumnRenamed("cost", "fast"), "fast-best")
-    full = morph.with_full_costs(best, binary(spark, sf), "full")
+    full = morph.with_costs(best, *binary_split(spark, sf), "full")
     kept = full.select("test_id", "train_id", "label", "train_label", F.round("fast", 6).alias("fast"), F.round("full", 6).alias("full"), F.round(F.least("fast", "full"), 6).alias("cost"))
     return M.ranked_best(kept, SLOW_PASS)
 
@@ -734,21 +735,76 @@ def merged(spark, sf) -> tuple[DataFrame, DataFrame]:
     return C.merges(matrix), matrix
 
 
-@query("hac_merges")
+# The greedy pass over all pairs in order, a block of them at a time: what is gone is a string of bits by id. cls has its merges, des every word below every centre.
+CLUSTERING = MATRIX + """, od AS (SELECT i, j, cost, CAST(i AS INT) AS bi, CAST(j AS INT) AS bj, row_number() OVER (ORDER BY cost, i, j) AS pos FROM m),
+  ob AS (SELECT pos // 2048 AS blk, pos, bi, bj FROM od),
+  gp AS (SELECT 0 AS step, CAST(0 AS BIGINT) AS blk, CAST(0 AS BIGINT) AS pos, bitstring('0', (SELECT CAST(max(j) + 1 AS INT) FROM m)) AS gone
+    UNION ALL SELECT CASE WHEN nxt IS NULL THEN step ELSE step + 1 END, CASE WHEN nxt IS NULL THEN blk + 1 ELSE blk END, coalesce(nxt, pos), CASE WHEN nxt IS NULL THEN gone ELSE set_bit(gone, bj, 1) END FROM (
+      SELECT gp.step, gp.blk, gp.pos, gp.gone, min(ob.pos) FILTER (ob.pos > gp.pos AND get_bit(gp.gone, ob.bi) = 0 AND get_bit(gp.gone, ob.bj) = 0) AS nxt,
+        arg_min(ob.bj, ob.pos) FILTER (ob.pos > gp.pos AND get_bit(gp.gone, ob.bi) = 0 AND get_bit(gp.gone, ob.bj) = 0) AS bj
+      FROM gp JOIN ob ON ob.blk = gp.blk GROUP BY gp.step, gp.blk, gp.pos, gp.gone)),
+  cls AS (SELECT DISTINCT i, j, cost, step FROM gp JOIN od USING (pos) WHERE step > 0)"""
+BELOW = CLUSTERING + """, ids AS (SELECT i AS node FROM cls UNION SELECT j FROM cls),
+  des AS (SELECT node AS above, node AS word FROM ids UNION SELECT cls.i, des.word FROM des JOIN cls ON cls.j = des.above),
+  ways AS (SELECT i, j, cost FROM m UNION ALL SELECT j, i, cost FROM m UNION ALL SELECT node, node, 0 FROM ids)"""
+KEYS = BELOW + """, keys AS (SELECT j AS k FROM (SELECT j FROM cls ORDER BY step DESC LIMIT 15) UNION ALL SELECT node FROM ids WHERE node NOT IN (SELECT j FROM cls)),
+  vec AS (SELECT i AS node, j AS key_id, CAST(cost AS DOUBLE) AS cost FROM ways WHERE j IN (SELECT k FROM keys)),
+  kv AS (SELECT above AS node, key_id, max(CASE WHEN word = above THEN cost END) AS cost, count(*) AS n_words, sum(cost) AS total FROM des JOIN vec ON vec.node = des.word GROUP BY 1, 2)"""
+
+
+@query("hac_merges", f"WITH RECURSIVE {CLUSTERING} SELECT i, j, cost, CAST(step AS INT) AS step FROM cls")
 def hac_merges(spark, sf):
     return C.steps(merged(spark, sf)[0])
 
 
-@query("hac_tree_nodes")
+@query("hac_resumed", f"WITH RECURSIVE {CLUSTERING} SELECT i, j, cost FROM cls")
+def hac_resumed(spark, sf):
+    """Clustering that stops after two rounds, and goes on from its log."""
+    matrix = stored(M.cost_matrix(images(spark, sf)), "matrix")
+    log = C.MergeLog(spark, f"{shared_dir(spark)}/merge-log-{uuid.uuid4().hex}")
+    log.resume(matrix, rounds=2, in_memory=0)
+    return log.resume(matrix)
+
+
+@query("hac_tree_nodes", f"WITH RECURSIVE {BELOW} SELECT above AS node, coalesce((SELECT i FROM cls WHERE cls.j = above), -1) AS parent, count(*) AS n_words, max(cost) AS max_dist, CAST(sum(cost) AS BIGINT) AS sum_dist FROM des JOIN ways ON ways.i = above AND ways.j = word GROUP BY above")
 def hac_tree_nodes(spark, sf):
-    return C.tree_nodes(*merged(spark, sf))
+    """-1 is above the root."""
+    return C.tree_nodes(*merged(spark, sf)).withColumn("parent", F.coalesce("parent", F.lit(-1)))
 
 
-@query("hac_key_images")
+@query("hac_key_images", f"WITH RECURSIVE {KEYS} SELECT k AS image_id FROM keys")
 def hac_key_images(spark, sf):
     return C.key_images(merged(spark, sf)[0])
 
 
+def key_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    found, matrix = merged(spark, sf)
+    return found, C.tree_key_vectors(found, matrix, C.key_images(found))
+
+
+@query("tree_key_vectors", f"WITH RECURSIVE {KEYS} SELECT node, key_id, cost, n_words, total, round(total / n_words, 6) AS mean FROM kv")
+def tree_key_vectors(spark, sf):
+    return key_vectors(spark, sf)[1].withColumn("mean", F.round("mean", 6))
+
+
+@query("tree_key_radii", f"""WITH RECURSIVE {KEYS}, aw AS (SELECT above, word, sum((vec.cost - kv.cost) * (vec.cost - kv.cost)) AS c, sum((vec.cost - total / n_words) * (vec.cost - total / n_words)) AS w
+    FROM des JOIN vec ON vec.node = des.word JOIN kv ON kv.node = des.above AND kv.key_id = vec.key_id GROUP BY 1, 2)
+  SELECT above AS node, round(sqrt(max(c)), 4) AS from_center, round(sqrt(max(w)), 4) AS from_mean FROM aw GROUP BY above""")
+def tree_key_radii(spark, sf):
+    found = C.tree_key_radii(*key_vectors(spark, sf))
+    return found.select("node", F.round("from_center", 4).alias("from_center"), F.round("from_mean", 4).alias("from_mean"))
+
+
+@query("tree_classify")
+def tree_classify(spark, sf):
+    """Search in the tree of morph costs, full costs of the ten best, and the five best labels."""
+    tests, train = binary_split(spark, sf)
+    matrix = stored(morph.fast_matrix(train), "morph-matrix")
+    nodes = C.tree_nodes(C.merges(matrix), matrix)
+    seen = C.costly_search(tests, nodes, lambda pairs: morph.with_costs(pairs, tests, train, "cost", fast=True))
+    return C.classified(seen, tests, train, lambda pairs: morph.with_costs(pairs, tests, train, "cost"), SLOW_PASS, 5)
+
+
 @query("bnb_search", f"WITH {COSTS} SELECT test_id, train_id, cost FROM r WHERE rank = 1")
 def bnb_search(spark, sf):
     """Branch and bound in the training images' tree finds what brute force finds."""

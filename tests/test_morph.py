@@ -288,8 +288,10 @@ def test_every_pair_is_compared_and_the_best_again(spark):
     assert got.keys() == {(1 + i, 101 + j) for i in range(3) for j in range(7)}
     assert all(abs(c - costs_of(fast_way, tests[i - 1], train[j - 101])) < 1e-8 for (i, j), c in got.items())
     best = M.ranked_best(found, 3).drop("rank").withColumnRenamed("cost", "fast")
-    full = morph.with_full_costs(best, a.union(b), "full").collect()
+    full = morph.with_costs(best, a, b, "full").collect()
     assert {(r["test_id"], r["train_id"]) for r in full} == {p for i in (1, 2, 3) for p in sorted((p for p in got if p[0] == i), key=lambda p: (got[p], p))[:3]}
+    again = morph.with_costs(best.drop("fast"), a, b, "fast", fast=True).collect()
+    assert all(abs(r["fast"] - got[r["test_id"], r["train_id"]]) < 1e-8 for r in again)
     assert all(abs(r["full"] - costs_of(full_way, tests[r["test_id"] - 1], train[r["train_id"] - 101])) < 1e-8 for r in full)
 
 
@@ -306,3 +308,10 @@ def test_warp_follows_the_alignment(spark):
             here = {max(i, 0) for i, j in path if max(j, 0) == x}
             assert all(got[101 + k, y, x] == min(0 if tests[0][y][i] else 255 for i in here) for y in range(6))
         assert all(places[101 + k, i] == max(j for p, j in path if p == i) for i in {i for i, j in path if i >= 0 and j >= 0})
+
+
+def test_matrix_has_each_pair_once(spark):
+    inks = [word(8, 8, 60 + k) for k in range(5)]
+    got = {(r["i"], r["j"]): r["cost"] for r in morph.fast_matrix(frame(spark, inks)).collect()}
+    assert got.keys() == {(i, j) for i in range(1, 6) for j in range(i + 1, 6)}
+    assert all(abs(c - costs_of(fast_way, inks[i - 1], inks[j - 1])) < 1e-8 for (i, j), c in got.items())
