@@ -5,18 +5,19 @@ adjusted for links: C/T * log_b((C/LC) * (T/LT)) with b = ln(C/NLC * LC + LCbody
 and NLC are all, linked and other characters, T and LT tags and link tags (0 counts as 1 below a
 line). The node with the largest sum of child densities is the core; the least density on the path
 from it up to the body is the threshold. Each node of at least that density adds the subtree of the largest
-sum below it. The article or main element around the core, if there is one, adds its headings, short blocks and bare text too,
-all but blocks that are mostly links.
+sum below it. The article or main element around the core, or else the elements above it that hold its title and other titled parts, add
+their headings, short blocks and bare text too, all but blocks that are mostly links.
 
-Elements that are menus, page headers, footers, sidebars, forms and the like by their tag aren't in the tree. A container whose role or
+Elements that are menus, page headers, footers, sidebars and the like by their tag aren't in the tree. A container whose tag (form), role or
 class says that it is such a thing, a notice, an advert or reader comments is left out as well, but never one around the article: see
-unwrapped(). Paragraphs, headings, items and inline elements go only if a whole class name says so. A header inside an article stays if it
-holds a heading.
+unwrapped(). A name of several words declares a container with a long paragraph only if its other words mean nothing more, or if it
+means comments. Paragraphs, headings, items and inline elements go only if a whole class name says so. A header stays if it
+holds the title of an article, or of a part that holds most of the text. Buttons and selections go from within their line.
 
 Cases: null, empty and text-free pages give an empty text. Pages that break off, unclosed and
 misnested elements and bare text are read as browsers read them: text in the body is in a block of
-its own. Ties in sums take the first node of the page. Repeated rows each come out; further columns
-are carried or ignored.
+its own. Ties in sums take the first node of the page. Very long pages are read whole. Repeated rows each come out; a table without rows gives
+none. Further columns are carried; one that is named like the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 #: Elements that never belong to the main text.
-DROPPED = frozenset("head nav footer aside form button select menu dialog object audio video canvas map datalist".split()) | RAW
+DROPPED = frozenset("head nav footer aside menu dialog object audio video canvas map".split()) | RAW
+#: Controls inside a line, which go with their content if they are closed.
+CONTROLS = frozenset("button select datalist".split())
 #: Words of class, id and role values that declare an element to be something else than main text, and those of them that mean readers' comments.
 DECLARED = frozenset(
     """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert
@@ -51,6 +54,13 @@ DECLARED = frozenset(
     signup search form widget""".split()
 )
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Words that say nothing more beside a declared one.
+BOXES = frozenset(
+    """area articles bar block box button buttons col column container content first group holder icons inner item items last left link links list main outer panel
+    posts primary right row secondary section side stories top bottom wrap wrapper zone""".split()
+)
+#: A paragraph of so many characters outside links keeps a container that one word of a longer name declares.
+LONG = 200
 #: Blocks that a whole class name alone removes, as it does inline elements.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote summary figcaption legend address hgroup option tr tbody thead tfoot hr".split())
 #: Elements that are nodes of the tree.
@@ -87,17 +97,24 @@ class Node:
 
 
 def declared(attributes: str, whole: bool = False) -> str:
-    """What class, id, role or hidden say that an element is: "", "comments" or "other"; whole: only by a name that is one of the words."""
+    """What class, id, role or hidden say that an element is: "", "comments", "other", or "partly" if a name has a declared word among
+    others that mean something; whole: only by a name that is one of the words."""
     if not attributes:
         return ""
+    partly = ""
     for value in _NAMES.findall(attributes):
         for name in "".join(value).lower().split():
-            for word in [name] if whole else _WORDS.split(name):
+            words = [name] if whole else [w for w in _WORDS.split(name) if w]
+            for word in words:
                 if word in _BESIDE:
                     break
+                if word in COMMENTS:
+                    return "comments"
                 if word in DECLARED:
-                    return "comments" if word in COMMENTS else "other"
-    return "other" if _HIDDEN.search(re.sub(r"""\"[^"]*"|'[^']*'""", "", attributes)) else ""
+                    if all(w in DECLARED or w in BOXES or w.isdigit() for w in words):
+                        return "other"
+                    partly = "partly"
+    return "other" if _HIDDEN.search(re.sub(r"""\"[^"]*"|'[^']*'""", "", attributes)) else partly
 
 
 def parse(page: str) -> tuple[list[Node], list[str]]:
@@ -178,6 +195,10 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
             at = stop.end() if stop else end
             continue
         attributes = found.group(3) or ""
+        if tag in CONTROLS:
+            if (stop := re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)) is not None:
+                at = stop.end()
+            continue
         if tag in ("html", "body"):
             continue
         if tag in NESTING:
@@ -192,7 +213,7 @@ def parse(page: str) -> tuple[list[Node], list[str]]:
             if tag in VOID:
                 here.tags += 1
                 continue
-            named = "" if tag in KEPT else "header" if tag == "header" else declared(attributes, tag in LEAVES)
+            named = "" if tag in KEPT else tag if tag in ("header", "form") else declared(attributes, tag in LEAVES)
             node = Node(tag, here, here.cut or bool(skipped) or tag in DROPPED, named, len(nodes))
             here.children.append(node)
             nodes.append(node)
@@ -231,9 +252,28 @@ def unwrapped(nodes: list[Node], blocks: list[str]) -> None:
         if node.parent is not None and not node.cut:
             size[node.parent.order] += size[k]
             titled[node.parent.order] |= titled[k]
+    long, rank = [False] * len(nodes), [9] * len(nodes)  # whether it holds a long paragraph; the highest heading outside headers
+    menus = [False] * len(nodes)
+    for node in reversed(nodes[1:]):
+        k, up = node.order, node.parent.order
+        long[k] |= own[k] - node.link_chars >= LONG
+        menus[k] |= node.tag in ("nav", "menu") or (size[k] > 0 and 2 * node.link_chars > own[k] > 0)
+        if node.tag in HEADINGS and size[k]:
+            rank[k] = min(rank[k], int(node.tag[1]))
+        menus[up] |= menus[k]
+        if not node.cut:
+            long[up] |= long[k]
+            if node.tag != "header":
+                rank[up] = min(rank[up], rank[k])
+    whole_page = any(node.tag in ("article", "main") and size[node.order] for node in nodes)
     for node in nodes[1:]:
-        in_article[node.order] = node.tag == "article" or in_article[node.parent.order]
-        if node.tag == "header" and in_article[node.order] and titled[node.order]:
+        k, up = node.order, node.parent
+        in_article[k] = node.tag == "article" or in_article[up.order]
+        if node.tag == "header" and titled[k]:
+            # Inside an article, or, where there is none, as the only title of a part with most of the text.
+            leads = not whole_page and up.parent is not None and not menus[k] and rank[k] < rank[up.order] and 2 * (size[up.order] - size[k]) > size[0]
+            node.named = "" if in_article[k] or leads else node.named
+        elif (node.named == "partly" and long[k]) or (node.named == "form" and 2 * size[k] > size[0] and long[k]):
             node.named = ""
     while True:
         outer: list[Node | None] = [None] * len(nodes)  # of each node, the outermost named one that it is in
@@ -258,7 +298,7 @@ def unwrapped(nodes: list[Node], blocks: list[str]) -> None:
             break
         most = max(around, key=lambda node: (size[node.order], -node.order))
         for node in nodes:  # those inside that hold the same text are around it too
-            if outer[node.order] is most and size[node.order] == size[most.order] and node.named in ("other", most.named):
+            if outer[node.order] is most and size[node.order] == size[most.order] and node.named in ("other", "partly", "form", most.named):
                 node.named = ""
     for node in nodes[1:]:
         node.dropped = node.cut or bool(node.named) or node.parent.dropped
@@ -283,13 +323,34 @@ def score(nodes: list[Node]) -> None:
         node.density = c / t * max(math.log(c / lc * (t / lt)), 0.0) / max(math.log(base), 1e-3) if base > 1.0 + 1e-9 else c / t * max(math.log(c / lc * (t / lt)), 0.0)
 
 
+def holds_title(node: Node) -> bool:
+    work = [node]
+    while work:
+        n = work.pop()
+        if not n.dropped and n.chars:
+            if n.tag in HEADINGS:
+                return True
+            work += n.children
+    return False
+
+
 def around(core: Node) -> Node | None:
-    """The nearest article that holds the core, else the nearest main element, else none."""
+    """The nearest article that holds the core, else the nearest main element, else the lowest element above the core that holds a title, and those above
+    it as long as they add another part with a title that isn't mostly links. None if no title is above the core."""
     above, node = [], core
     while node is not None:
         above.append(node)
         node = node.parent
-    return next((n for tag in ("article", "main") for n in above if n.tag == tag), None)
+    for tag in ("article", "main"):
+        if (found := next((n for n in above if n.tag == tag), None)) is not None:
+            return found
+    k = next((k for k, n in enumerate(above) if holds_title(n)), None)
+    if k is None:
+        return None
+    for j in range(k + 1, len(above)):
+        if any(c is not above[j - 1] and 2 * c.link_chars <= c.chars and holds_title(c) for c in above[j].children):
+            k = j
+    return above[k]
 
 
 def main_text(page: str | None) -> str:

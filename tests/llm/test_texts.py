@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillframe.llm import op03_license_scan as op3
 from quillframe.llm import op04_html_extraction as op4
@@ -171,7 +172,10 @@ def test_main_text_against_a_tree_of_the_standard_parser(words):
         for _ in range(int(rng.integers(3, 12))):
             kind = int(rng.integers(8))
             inner.append(str(rng.choice(other)).format(some(2)) if kind == 0 else f"<h2>{some(2)}</h2>" if kind == 1 else f"<ul><li>{some(4)}</li><li>{some(4)} &amp; <b>{some(1)}</b></li></ul>" if kind == 2 else f"<section><p>{some(9)}</p></section>" if kind == 3 else f'<p>{some(12)} <a href="#">{some(1)}</a>\n {some(6)}</p>')
-        article = f"<{(tag := ('article', 'main')[k % 2])}>{''.join(inner)}</{tag}>"
+        tag = ("article", "main", 'div class="post"', "div")[k % 4]
+        article = f"<{tag}>{''.join(inner)}</{tag.split()[0]}>"
+        if k % 5 == 0:
+            article = f'<form id="page" method="post"><input type="hidden">{article}</form>'
         for _ in range(k % 4):
             article = f'<div class="{rng.choice(WRAPPERS)}">{article}</div>'
         page = f'<html><body><nav data-not="1"><ul><li><a href="/">{some(2)}</a></li></ul></nav>{article}<div class="sidebar" data-not="1"><p>{some(6)}</p></div><section id="comments" data-not="1"><p>{some(4 + 40 * (k % 3 == 0))}</p></section><footer data-not="1"><p>{some(3)}</p></footer></body></html>'
@@ -180,6 +184,72 @@ def test_main_text_against_a_tree_of_the_standard_parser(words):
         assert op4.main_text(page).split("\n") == [" ".join(t.split()) for t in tree.texts if t.split()], k
 
 
+P = "<p>" + "word " * 79 + "word</p>"
+LINE = P[3:-4]
+
+
+@pytest.mark.parametrize(("page", "blocks"), [
+    (f"<body><form id=x><div><h1>Title</h1>{P * 3}</div></form></body>", ["Title", *[LINE] * 3]),
+    (f"<div class=post><h1>Title</h1><div>{P * 3}</div><p>Short line.</p></div>", ["Title", *[LINE] * 3, "Short line."]),
+    (f"<div><div><h2>A</h2>{P * 4}</div><div><h2>B</h2><p>one</p><p>two</p>three</div></div>", ["A", *[LINE] * 4, "B", "one", "two", "three"]),
+    (f"<div><header><h1>Title of Story</h1></header><div>{P * 3}</div></div>", ["Title of Story", *[LINE] * 3]),
+    (f'<div class=main><h1>T</h1><div class="search-results">{P}</div><div class="alert-history">{P}</div><div class="share-price">{P}</div></div>', ["T", *[LINE] * 3]),
+    (f"<article><p>Press <button>OK</button> now, <select><option>a</select>then</p>{P}</article>", ["Press now, then", LINE]),
+    # What has to go still goes.
+    (f'<div class=main><h1>T</h1><div class="cookie-notice">{P}</div><div class="comment-list">{P}</div>{P}<div class="share-buttons">x</div></div>', ["T", LINE]),
+    (f"<div id=page><header><h1>Site</h1><nav><a href=x>a</a></nav></header><div><h2>Title</h2>{P * 2}</div></div>", ["Title", LINE, LINE]),
+    (f"<div id=page><header><h1>Site</h1></header><div><h1>Title</h1>{P * 2}</div></div>", ["Title", LINE, LINE]),
+    (f"<body><form><input><p>Search here</p></form><div><h1>T</h1>{P * 2}</div></body>", ["T", LINE, LINE]),
+])
+def test_pages_without_an_article(page, blocks):
+    assert op4.main_text(page).split("\n") == blocks
+
+
+def test_densities_against_recursion(words):
+    """Each node's counts from its whole subtree, the formula as it is written, and the first node with the largest sum of child densities."""
+    rng = np.random.default_rng(9)
+
+    def piece(depth):
+        kind, some = int(rng.integers(7)), words(int(rng.integers(1, 30)), int(rng.integers(10**6)))
+        if kind < 2 or depth > 4:
+            return f"<p>{some} <b>{some[:9]}</b></p>"
+        if kind == 2:
+            return f'<p>{some}<a href="#">{some[:20]}</a></p>'
+        if kind == 3:
+            return f'<ul><li><a href="#">{some[:12]}</a></li><li>{some[:7]}</li></ul>'
+        return f"<{'div section'.split()[kind % 2]}>{''.join(piece(depth + 1) for _ in range(int(rng.integers(1, 5))))}</{'div section'.split()[kind % 2]}>"
+
+    for _ in range(60):
+        page = "".join(piece(0) for _ in range(int(rng.integers(1, 6))))
+        nodes, blocks = op4.parse(page)
+        own = [(n.chars, n.link_chars, n.tags, n.link_tags) for n in nodes]
+        op4.unwrapped(nodes, blocks)
+        op4.score(nodes)
+
+        def counts(n):
+            parts = [counts(c) for c in n.children]
+            return tuple(x + sum(p[k] for p in parts) + (len(n.children) if k == 2 else 0) for k, x in enumerate(own[n.order]))  # noqa: B023
+
+        body = counts(nodes[0])
+        density = []
+        for n in nodes:
+            c, lc, t, lt = counts(n)
+            if not c:
+                density.append(0.0)
+                continue
+            base = math.log(c / max(c - lc, 1) * lc + body[1] / max(body[0], 1) * c + math.e)
+            density.append(c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / (max(math.log(base), 1e-3) if base > 1 + 1e-9 else 1) if c * max(t, 1) > max(lc, 1) * max(lt, 1) else 0.0)
+        assert [n.density for n in nodes] == pytest.approx(density)
+        sums = [sum(density[c.order] for c in n.children) for n in nodes]
+        text, most = op4.main_text(page).split("\n"), max(sums)
+        core = nodes[next(k for k, s in enumerate(sums) if s == pytest.approx(most))] if most > 0 else nodes[0]
+
+        def all_blocks(n):
+            return sorted([*n.blocks, *(k for c in n.children for k in all_blocks(c))])
+
+        assert {blocks[k] for k in all_blocks(core)} <= set(text)
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html><body></body></html>", "<p", "<!-- open", "<script>x", "<nav>only</nav>", "</p></div></article>"])
 def test_pages_without_text(page):
     assert op4.main_text(page) == ""
@@ -193,6 +263,9 @@ def test_odd_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert [r["text"] for r in op4.extract_main_text(df).orderBy("page_id").collect()] == ["", op4.main_text(PAGE), op4.main_text(PAGE)]
     assert op4.extract_main_text(df.limit(0)).count() == 0
+    clash = df.withColumn("text", F.lit("x")).withColumn("n_chars", F.lit("y"))
+    assert [r["text"] for r in op4.extract_main_text(clash).orderBy("page_id").collect()] == ["", op4.main_text(PAGE), op4.main_text(PAGE)]
+    assert op4.extract_main_text(clash, column="main").select("text").distinct().collect()[0]["text"] == "x"
 
 
 URLS = ["http://example.com/en/1", "http://www.Example.COM/en/1", "https://a.b.example.com/en/x?y#z", "http://example.com/de/", "http://x.net/es/1", "http://net/fr/", "http://xnet/es/", "http://notexample.com/en/", "http://example.com", "http://example.com?x=/en/", "nothing", None, "://example.com/en/", "ftp://u@h.net/es/a://b", "http://a.com/" + "p/" * 5000, ("http://" + "a." * 3000 + "com/en/")]
