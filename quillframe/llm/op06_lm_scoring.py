@@ -7,7 +7,8 @@ smoothed share of the class' tokens, with room for one unseen word, so that a te
 
 Training sees every training token once, in STEPS steps: each step's texts are spread over all tasks, which draw SHARED noise classes
 from the unigram distribution for each block of tokens and return the summed gradient of noise-contrastive
-estimation (matrix products of the block's contexts with the noise vectors). Gradients are added up in Spark, and Adam moves the
+estimation (matrix products of the block's contexts with the noise vectors). A text's step, its place and the noise follow from hashes of id and text, and
+gradients are added up in Spark as whole numbers, so that the model doesn't depend on how the texts are stored or dealt to tasks. Adam moves the
 parameters, of a fixed size whatever the corpus. Scores are sums of a term for each context, so that one matrix product of their exponentials normalises
 all pairs of contexts.
 
@@ -48,6 +49,8 @@ NOISE, SHARED, BLOCK = 10, 64, 2_048
 DECAY = 8.0
 #: Tasks that add up a step's gradients, and the tokens of a row of training text.
 ADDERS, ROW_TOKENS = 16, 131_072
+#: Gradients are added as whole numbers of this part, so that their order and the tasks don't matter.
+WHOLE = 1 << 20
 #: Words whose class a worker remembers before it starts anew.
 MEMO = 300_000
 
@@ -115,35 +118,37 @@ def class_ids(words: list[bytes], vocabulary: Vocabulary, classes: np.ndarray) -
     return at, np.where(at >= 0, classes[np.maximum(at, 0)], -1 - at) if len(classes) else -1 - at
 
 
-def class_texts(train: DataFrame, head: list[bytes]) -> DataFrame:
-    """(step, ids), written by step: the classes of all training texts, each begun by two starts, as 16-bit numbers in rows of about ROW_TOKENS."""
+def class_texts(train: DataFrame, head: list[bytes], n_tokens: int) -> DataFrame:
+    """(step, ids), written by step: the classes of all training texts, each begun by two starts, as 16-bit numbers in rows of about ROW_TOKENS.
+
+    A hash of id and text says in which step and row a text is, and where in the row: the rows are the same however the texts are stored.
+    """
     shared = train.sparkSession.sparkContext.broadcast(head)
+    h, rows_of_a_step = F.xxhash64("doc_id", "text"), max(1, -(-n_tokens // (STEPS * ROW_TOKENS)))
+    dealt = train.select(h.alias("h"), F.pmod(h, F.lit(STEPS)).cast("int").alias("step"), F.pmod(F.xxhash64(h), F.lit(rows_of_a_step)).alias("row"), "text")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, classes = Vocabulary(shared.value), head_classes(shared.value)
-        held: list[list[np.ndarray]] = [[] for _ in range(STEPS)]
-        sizes, k = [0] * STEPS, 0
-
-        def row(step: int) -> pa.RecordBatch:
-            ids = np.concatenate(held[step])
-            held[step], sizes[step] = [], 0
-            salt = zlib.crc32(ids.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([step], pa.int32()), pa.array([salt], pa.int64()), pa.array([ids.tobytes()], pa.binary())], ["step", "salt", "ids"])
+        for batch in batches:
+            found = [np.concatenate([[START, START], class_ids(tokens(text), vocabulary, classes)[1], [END]]).astype(np.uint16).tobytes() for text in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["h", "step", "row", "ids"])
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, size = [], None, 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["step", "ids"])
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = class_ids(tokens(text), vocabulary, classes)[1]
-                step, k = k % STEPS, k + 1
-                held[step].append(np.concatenate([[START, START], ids, [END]]).astype(np.uint16))
-                sizes[step] += len(ids) + 3
-                if sizes[step] >= ROW_TOKENS:
-                    yield row(step)
-        for step in range(STEPS):
-            if held[step]:
-                yield row(step)
+            for step, at, ids in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                if held and ((step, at) != now or size >= 2 * ROW_TOKENS):
+                    yield row()
+                    held, size = [], 0
+                now = (step, at)
+                held.append(ids)
+                size += len(ids)
+        if held:
+            yield row()
 
-    rows = train.select("text").mapInArrow(numbered, "step int, salt long, ids binary")
-    return stored(rows.repartition("step", "salt"), "class-texts", by="step")
+    texts = dealt.mapInArrow(numbered, "h long, step int, row long, ids binary").repartition("step", "row").sortWithinPartitions("step", "row", "h", "ids")
+    return stored(texts.mapInArrow(joined, "step int, ids binary"), "class-texts", by="step")
 
 
 @dataclass
@@ -221,22 +226,22 @@ def train_nce(texts: DataFrame, unigram: np.ndarray) -> Parameters:
 
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, unigram = shared.value  # noqa: B023
-            total, n = np.zeros_like(now), 0
+            total, n = np.zeros(now.shape, np.int64), 0
             for batch in batches:
                 for raw in batch.column(0).to_pylist():
                     g, m = gradient(np.frombuffer(raw, np.uint16), Parameters.of_flat(now), unigram, zlib.crc32(raw))
-                    total, n = total + g, n + m
+                    total, n = total + np.rint(g * WHOLE).astype(np.int64), n + m
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "n"])
 
         def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = None, 0
             for batch in batches:
                 for raw, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    g = np.frombuffer(raw, np.float32).astype(float)
+                    g = np.frombuffer(raw, np.int64)
                     total, n = g if total is None else total + g, n + m
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "n"])
 
         parts = texts.filter(F.col("step") == step).select("ids").mapInArrow(summed, "g binary, n long")
         found = parts.repartition(ADDERS).mapInArrow(more, "g binary, n long").collect()  # ADDERS rows of the parameters' size
@@ -244,7 +249,7 @@ def train_nce(texts: DataFrame, unigram: np.ndarray) -> Parameters:
         if not n:
             continue
         trained = True
-        grad = sum(np.frombuffer(x["g"], np.float32).astype(float) for x in found) / n
+        grad = sum(np.frombuffer(x["g"], np.int64) for x in found) / (n * WHOLE)
         decayed = Parameters.of_flat(flat.copy())
         decayed.c1[:], decayed.c2[:], decayed.b[:] = 0, 0, 0
         grad += DECAY / (n * STEPS) * decayed.flat()
@@ -302,7 +307,7 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     unigram[WORDS:END] += class_n
     unigram[END] += n_train
     unigram /= unigram.sum()
-    params = train_nce(class_texts(train, head), unigram)
+    params = train_nce(class_texts(train, head, totals["n"] + n_train), unigram)
     return Model(head, np.log10(np.array([c for _, c in frequent], float) + 1), below, *tables(params), n_train, totals["n"] + n_train, totals["v"] + (n_train > 0)), counts
 
 

@@ -445,3 +445,14 @@ def test_sequences_keep_positions_and_captions(spark):
     media = spark.createDataFrame([("aa", 5), ("aa", 5), ("cc", 6)], "digest string, size int")
     got = op8.interleave(pages, media).orderBy("doc_id", "pos").collect()
     assert [(r["pos"], r["size"]) for r in got] == [(0, None), (1, 5), (2, None), (3, None), (4, None), (5, None)]
+
+
+def test_model_doesnt_depend_on_how_texts_are_stored(spark, frame, words):
+    """Other files, orders and tasks: the same rows of training text, gradients and scores."""
+    texts = frame([(k, words(20 + 7 * (k % 30), k % 25)) for k in range(120)] + [(None, words(30, 3)), (5, None), (5, None)])
+    train = texts.filter("doc_id is null or doc_id % 7 <> 2")
+    scores = []
+    for docs, part in ((texts.coalesce(1), train.coalesce(1)), (texts.repartition(7), train.repartition(6))):
+        scores.append(sorted((str(r["doc_id"]), r["n_tokens"], r["score"], r["base_score"]) for r in op6.score_texts(docs, part).collect()))
+    for a, b in zip(*scores):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 * a[1] and abs(a[3] - b[3]) < 1e-9 * a[1]
