@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.operators import masks
 from quillframe.sources.images import at, clamped, from_pixels, inside, settled
 
 
@@ -110,6 +111,9 @@ def scale(images: DataFrame, w: int, h: int, smooth: bool = True) -> DataFrame:
 def downscale_pow2(images: DataFrame, n: int) -> DataFrame:
     """Means of 2^n x 2^n blocks, truncated; blocks at the right and lower edge may be smaller."""
     k = 1 << n
+    if n > 2:
+        means = masks.by_image(lambda image: masks.block_means(image, k))
+        return settled(images.withColumn("data", means)).withColumns({"width": F.ceil(_w() / k).cast("int"), "height": F.ceil(_h() / k).cast("int")})
 
     def block(y: Column, x: Column) -> Column:
         cells = [F.when(inside(y * k + dy, x * k + dx), at(y * k + dy, x * k + dx)) for dy in range(k) for dx in range(k)]

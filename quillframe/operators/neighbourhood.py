@@ -1,8 +1,7 @@
 """Operators whose samples depend on their neighbours.
 
-Kernels of fixed size are sums over the row's own array, with borders repeated; box sums and their
-kin over any radius are separable window frames over the pixel relation, partitioned by image, which
-take one shuffle for both directions.
+Small kernels and masks are expressions over the row's own array, with borders repeated; larger ones, and box sums and their
+kin over any radius, are computed in numpy inside the row (see masks). No pixel is shuffled for either.
 """
 
 from __future__ import annotations
@@ -13,15 +12,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillframe.operators.geometry import pad
+from quillframe.operators import masks
+from quillframe.operators.geometry import downscale_pow2, upscale_pow2
 from quillframe.sources.images import at, clamped, from_pixels, inside, pixels, settled
 
 Kernel = list[tuple[int, int, float]]
 
 #: Farther than any place of an image.
 FAR = 1 << 40
+#: Masks of more places aren't expressions any more.
+SMALL = 25
 
 
 def square(radius: int) -> list[tuple[int, int]]:
@@ -68,6 +69,10 @@ def weighted(y: Column, x: Column, kernel: Kernel) -> Column:
 
 def convolve(images: DataFrame, kernel: Kernel, integer: bool = True) -> DataFrame:
     """Borders repeated; whole samples are truncated and kept in range."""
+    if len(kernel) > SMALL:
+        if not integer:
+            return images.withColumn("data", masks.by_image(lambda image: masks.weighed(image, kernel).round(9), "double"))
+        return masks.filtered(images, lambda image: np.trunc(masks.weighed(image, kernel).round(9)).clip(0, 255))
 
     def value(y: Column, x: Column) -> Column:
         v = F.round(weighted(y, x, kernel), 9)
@@ -84,26 +89,35 @@ def ordered(images: DataFrame, offsets: list[tuple[int, int]], pick) -> DataFram
 def median_filter(images: DataFrame, radius: int, shape=square) -> DataFrame:
     """The sample of rank n div 2, from 0, of n under the mask."""
     offsets = shape(radius)
+    rows = masks.reaches(offsets)
+    if len(offsets) > SMALL and rows:
+        n = len(offsets)
+        return masks.filtered(images, lambda image: masks.sliding_rank(image, rows, n // 2))
     return ordered(images, offsets, lambda a: F.get(a, F.lit(len(offsets) // 2)))
 
 
+def extreme_filter(images: DataFrame, offsets: list[tuple[int, int]], most: bool) -> DataFrame:
+    rows = masks.reaches(offsets)
+    if len(offsets) > SMALL and rows:
+        return masks.filtered(images, lambda image: masks.extreme(image, rows, np.maximum if most else np.minimum))
+    return ordered(images, offsets, F.array_max if most else F.array_min)
+
+
 def max_filter(images: DataFrame, radius: int, shape=square) -> DataFrame:
-    return ordered(images, shape(radius), lambda a: F.array_max(a))
+    return extreme_filter(images, shape(radius), True)
 
 
 def min_filter(images: DataFrame, radius: int, shape=square) -> DataFrame:
-    return ordered(images, shape(radius), lambda a: F.array_min(a))
+    return extreme_filter(images, shape(radius), False)
 
 
 def box(images: DataFrame, radius: int) -> DataFrame:
     """(image_id, y, x, v, n, s, s2): count, sum and sum of squares of the samples around, borders repeated."""
-    wide = pixels(pad(images, radius, radius, radius, radius), "height").repartition("image_id")
-    rows = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-radius, radius)
-    across = wide.select("*", F.sum("v").over(rows).alias("rs"), F.sum(F.col("v") * F.col("v")).over(rows).alias("rs2"), F.max("x").over(Window.partitionBy("image_id", "y")).alias("last"))
-    columns = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-radius, radius)
-    both = across.select("*", F.sum("rs").over(columns).alias("s"), F.sum("rs2").over(columns).alias("s2"))
-    core = both.filter((F.col("y") >= radius) & (F.col("y") < F.col("height") - radius) & (F.col("x") >= radius) & (F.col("x") <= F.col("last") - radius))
-    return core.select("image_id", (F.col("y") - radius).alias("y"), (F.col("x") - radius).alias("x"), "v", F.lit((2 * radius + 1) ** 2).alias("n"), "s", "s2")
+    sums = masks.by_image(lambda image: masks.box_sums(image, radius), "long")
+    squares = masks.by_image(lambda image: masks.box_sums(image.astype(np.int64) ** 2, radius), "long")
+    rows = settled(images.select("image_id", "width", "data", sums.alias("s"), squares.alias("s2")))
+    rows = rows.select("image_id", "width", F.posexplode(F.arrays_zip(F.col("data").alias("v"), "s", "s2")).alias("at", "c"))
+    return rows.select("image_id", F.expr("at div width").cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), "c.v", F.lit((2 * radius + 1) ** 2).alias("n"), "c.s", "c.s2")
 
 
 def box_mean(images: DataFrame, radius: int) -> DataFrame:
@@ -309,9 +323,39 @@ def bilateral(images: DataFrame, sigma_s: float, sigma_r: float) -> DataFrame:
 
 
 def remove_background(images: DataFrame, radius: int) -> DataFrame:
-    """The median filter is the background; f = max(back - v, 0) / 255, and f v + (1 - f) 255 is stretched over its middle 96 %."""
-    back = median_filter(images, radius).select("image_id", F.col("data").alias("_back"))
-    both = images.join(back, "image_id")
+    """The median filter is the background."""
+    return without_background(images.join(median_filter(images, radius).select("image_id", F.col("data").alias("_back")), "image_id"))
+
+
+def remove_low_res_background(images: DataFrame, radius: int | None = None, least: tuple[int, int] = (100, 100), most: tuple[int, int] = (800, 800)) -> DataFrame:
+    """The background of large images is found at a low resolution: halved while both sides are larger than least and one larger than most
+    (width, height), the median filter, grown again and smoothed by a box with as many halvings as radius. Without a
+    radius it is 3 / 200 of the longer low side. Images that aren't halved are treated as by remove_background.
+    """
+    w, h = "shiftright(width, n)", "shiftright(height, n)"
+    enough = f"not ({w} > {least[0]} and {h} > {least[1]} and ({w} > {most[0]} or {h} > {most[1]}))"
+    sized = images.withColumn("_halves", F.expr(f"cast(array_position(transform(sequence(0, 30), n -> {enough}), true) - 1 as int)"))
+    low_radius = F.lit(radius) if radius is not None else F.expr("(greatest(width, height) div shiftleft(1, _halves)) * 3 div 200")
+    sized = settled(sized.withColumn("_radius", low_radius.cast("int")))
+    kinds = sized.select("_halves", "_radius").distinct().collect()  # few: a row for each size that a chain has to be built for
+    chains = []
+    for halves, r in sorted((k["_halves"], k["_radius"]) for k in kinds):
+        own = sized.filter((F.col("_halves") == halves) & (F.col("_radius") == r)).drop("_halves", "_radius")
+        back = median_filter(downscale_pow2(own, halves) if halves else own, r)
+        if halves:
+            back = settled(upscale_pow2(back, halves).join(own.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id"))
+            back = convolve(from_pixels(back, at, F.col("_w"), F.col("_h")).drop("_w", "_h"), rect_kernel(halves, halves))
+        chains.append(without_background(own.join(back.select("image_id", F.col("data").alias("_back")), "image_id")))
+    if not chains:
+        return images
+    found = chains[0]
+    for more in chains[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def without_background(both: DataFrame) -> DataFrame:
+    """Images beside their background _back: f = max(back - v, 0) / 255, and f v + (1 - f) 255 is stretched over its middle 96 %."""
     lift = F.zip_with("data", "_back", lambda v, b: (F.greatest(b - v, F.lit(0)) * v + (255 - F.greatest(b - v, F.lit(0))) * 255) / 255.0)
     raised = settled(both.withColumn("data", F.transform(lift, lambda v: F.floor(F.round(v, 9)).cast("int"))).drop("_back"))
     raised = settled(raised.withColumn("_order", F.sort_array("data")))

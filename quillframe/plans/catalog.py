@@ -456,6 +456,13 @@ def sobel_rgb(spark, sf):
     return flat(N.rgb_edges(planes))
 
 
+filtered("low_res_background", lambda i: N.remove_low_res_background(i, 1, (2, 2), (4, 4)), f"""WITH {PX}, lr AS (SELECT image_id, y // 2 AS y, x // 2 AS x, CAST(floor(avg(v)) AS INT) AS v FROM px GROUP BY 1, 2, 3),
+  of AS (SELECT dy, dx FROM (SELECT CAST(unnest(range(-1, 2)) AS INT) AS dy), (SELECT CAST(unnest(range(-1, 2)) AS INT) AS dx)),
+  md AS (SELECT a.image_id, a.y, a.x, list_sort(list(b.v))[5] AS v FROM lr a, of JOIN lr b ON b.image_id = a.image_id AND b.y = greatest(0, least(3, a.y + dy)) AND b.x = greatest(0, least(3, a.x + dx)) GROUP BY 1, 2, 3),
+  sm AS (SELECT px.image_id, px.y, px.x, any_value(px.v) AS v, CAST(floor(round(sum(md.v) / 9.0::DOUBLE, 9)) AS INT) AS b FROM px, of JOIN md ON md.image_id = px.image_id AND md.y = greatest(0, least(7, px.y + dy)) // 2 AND md.x = greatest(0, least(7, px.x + dx)) // 2 GROUP BY 1, 2, 3),
+  u AS (SELECT image_id, y, x, CAST(floor(round((greatest(b - v, 0) * v + (255 - greatest(b - v, 0)) * 255) / 255.0::DOUBLE, 9)) AS INT) AS v FROM sm),
+  o AS (SELECT image_id, list_sort(list(v))[2] AS lo, list_sort(list(v))[63] AS hi FROM u GROUP BY 1)
+  SELECT u.image_id, y, x, CASE WHEN hi > lo THEN CAST(least(255, greatest(0, floor((v - lo) * 255 / (hi - lo)))) AS INT) ELSE v END AS v FROM u JOIN o USING (image_id)""")
 filtered("convolve_rect", lambda i: N.convolve(i, N.rect_kernel(1, 2)), f"WITH {near(2)} SELECT image_id, y, x, CAST(floor(round(sum(w) / 15.0::DOUBLE, 9)) AS INT) AS v FROM nb WHERE abs(dy) <= 1 GROUP BY 1, 2, 3")
 filtered("convolve_log", lambda i: N.convolve(i, N.log_kernel(2)), f"""WITH {near(2)}, k AS (SELECT *, (dy * dy + dx * dx) / (2 * power(2.0::DOUBLE / 3, 2)) AS q FROM nb)
   SELECT image_id, y, x, CAST(greatest(0, least(255, floor(round(sum(w * -(1 - q) * exp(-q) / (pi() * power(2.0::DOUBLE / 3, 4))), 9)))) AS INT) AS v FROM k GROUP BY 1, 2, 3""")
