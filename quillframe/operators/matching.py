@@ -95,10 +95,15 @@ def n_best_labels(queries: DataFrame, items: DataFrame, n: int) -> DataFrame:
 
 def accuracy(queries: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """Top-1, top-n and out-of-vocabulary counts, and their shares of all and of in-vocabulary queries."""
-    found = top_n(queries, items, n).withColumn("hit", F.col("label") == F.col("train_label"))
+    return accuracy_of(top_n(queries, items, n), queries.select(F.col("image_id").alias("test_id"), "label"), items)
+
+
+def accuracy_of(best: DataFrame, tests: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same of the best matches (test_id, label, train_label, rank), however they were found."""
+    found = best.withColumn("hit", F.col("label") == F.col("train_label"))
     per = found.groupBy("test_id").agg(F.max(F.col("hit") & (F.col("rank") == 1)).alias("top1"), F.max("hit").alias("topn"))
-    known = items.select("label").distinct().withColumn("known", F.lit(True))
-    tests = queries.select(F.col("image_id").alias("test_id"), "label").join(F.broadcast(known), "label", "left").join(per, "test_id", "left")
+    known = labels.select("label").distinct().withColumn("known", F.lit(True))
+    tests = tests.join(F.broadcast(known), "label", "left").join(per, "test_id", "left")
     sums = tests.agg(F.count(F.lit(1)).alias("n_test"), F.count_if("top1").alias("n_top1"), F.count_if("topn").alias("n_topn"), F.count_if(F.col("known").isNull()).alias("n_oov"))
     share = lambda a, b: F.round(F.when(b > 0, 100.0 * a / b).otherwise(0.0), 6)
     c = F.col

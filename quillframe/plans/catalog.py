@@ -16,7 +16,9 @@ from quillframe.operators import geometry as G
 from quillframe.operators import matching as M
 from quillframe.operators import morph
 from quillframe.operators import neighbourhood as N
+from quillframe.sources import reports
 from quillframe.sources.images import embeddings_as_images, pixels
+from quillframe.sources.matrices import MatrixStore
 from quillframe.sources.tables import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -734,6 +736,34 @@ def morph_recognise(spark, sf):
     return reranked(spark, sf).filter("rank = 1").drop("rank")
 
 
+# Stored matrices and reports
+
+
+@query("matrix_store_range", f"WITH {MATRIX} SELECT i, j, CAST(cost AS DOUBLE) AS cost FROM m WHERE i BETWEEN 100 AND 299 AND j BETWEEN 100 AND 299")
+def matrix_store_range(spark, sf):
+    """A matrix written in three chunks of rows, of which a range in the middle is read."""
+    matrix, n = stored(M.cost_matrix(images(spark, sf)), "matrix"), images(spark, sf).agg(F.max("image_id")).first()[0]
+    store = MatrixStore(spark, f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}", 64)
+    for first, last in ((0, n // 3), (n // 3 + 1, n // 2), (n // 2 + 1, n)):
+        store.write(matrix.filter(F.col("i").between(first, last)), first, last)
+    return store.read(100, 299)
+
+
+@query("report_accuracy", ORACLES["eval_top1_top10_oov"])
+def report_accuracy(spark, sf):
+    """Costs written as text reports, read again, and judged."""
+    tests, train = split(spark, sf)
+    number = lambda d: d.withColumn("image_id", F.expr("if(image_id % 5 = 0, image_id div 5, image_id - image_id div 5 - 1)"))  # noqa: E731  ids of a side that follow one another
+    tests, train = number(tests), number(train)
+    matches = M.best_matches(tests, train, 1 << 30).select("test_id", "train_id", F.col("cost").alias("cost_morph"), F.col("cost").alias("cost_dp"))
+    folder = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    reports.write_reports(reports.report_lines(matches, tests.select("image_id", "label"), train.select("image_id", "label"), "costs of samples", 0.0, 64), folder)
+    found = reports.read_reports(spark, folder)
+    labels = found.train.select(F.col("image_id").alias("train_id"), F.col("label").alias("train_label"))
+    named = found.matches.withColumnRenamed("cost_morph", "cost").join(labels, "train_id").join(found.tests.select(F.col("image_id").alias("test_id"), "label"), "test_id")
+    return M.accuracy_of(M.ranked_best(named, 10), found.tests.select(F.col("image_id").alias("test_id"), "label"), found.train)
+
+
 # Clustering and search
 
 

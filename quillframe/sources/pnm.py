@@ -90,24 +90,77 @@ def with_pnm(images: DataFrame, plain: bool = False, column: str = "content") ->
     return images.withColumn(column, encoded("width", "height", "channels", "top", "comments", "data"))
 
 
-def read_gnt(spark: SparkSession, path: str) -> DataFrame:
-    """(path, pos, label, width, height, data) of every record; the label is both tag bytes as three digits each."""
+def header_of(raw: bytes) -> tuple[str, int, int, int, int] | None:
+    """Magic, width, height, channels and largest sample of the first bytes of a netpbm file; None if they aren't all there."""
+    at, numbers = 2, []
+    while len(numbers) < 3:
+        found = _TOKEN.match(raw, at)
+        if found is None or found.end() == len(raw):
+            return None
+        numbers.append(int(found.group(2)))
+        at = found.end()
+    magic = raw[:2].decode("latin-1")
+    return magic, numbers[0], numbers[1], 3 if magic in ("P3", "P6") else 1, numbers[2]
+
+
+def pnm_sizes(spark: SparkSession, path: str, head: int = 4096) -> DataFrame:
+    """(path, magic, width, height, channels, top) of each file below path, from its header: the first head bytes, or as many more as comments take. No sample is decoded."""
+    files = spark.read.format("binaryFile").load(path)
+    files = files.filter(file_format(F.col("content")) == "pnm")
+    first, all_of_it = F.substring("content", 1, head), F.col("content")
+
+    @F.pandas_udf("magic string, width int, height int, channels int, top int")
+    def sizes(raw: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([header_of(bytes(r)) or (None,) * 5 for r in raw], columns=["magic", "width", "height", "channels", "top"])
+
+    told = files.select("path", "length", sizes(first).alias("s"))
+    short = told.filter(F.col("s.magic").isNull() & (F.col("length") > head)).select("path")
+    whole = files.join(F.broadcast(short), "path").select("path", sizes(all_of_it).alias("s"))  # files whose comments are longer than that
+    return told.filter("s.magic is not null").select("path", "s.*").union(whole.select("path", "s.*"))
+
+
+def _walk(name: str, raw: memoryview) -> Iterator[tuple[int, int, int, int]]:
+    """(pos, offset, width, height) of each record, by their headers alone."""
+    at, pos = 0, 0
+    while at + 10 <= len(raw):
+        size = int.from_bytes(raw[at : at + 4], "little")
+        w, h = (int.from_bytes(raw[at + k : at + k + 2], "little") for k in (6, 8))
+        if size != 10 + w * h or at + size > len(raw):
+            raise ValueError(f"{name}: record {pos} breaks off")
+        yield pos, at, w, h
+        at, pos = at + size, pos + 1
+
+
+#: Samples of records that leave a task at a time.
+GNT_SAMPLES = 1 << 22
+
+
+def read_gnt(spark: SparkSession, path: str, first: int = 0, last: int | None = None, samples: bool = True) -> DataFrame:
+    """(path, pos, label, width, height, data) of the records first to last of each file; the label is both tag bytes as three digits each.
+
+    Records leave a task some at a time, and only those asked for are decoded; without samples none is, and data is missing.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"]):
-                rows, at, pos = [], 0, 0
-                while at + 10 <= len(raw):
-                    size = int.from_bytes(raw[at : at + 4], "little")
-                    w, h = (int.from_bytes(raw[at + k : at + k + 2], "little") for k in (6, 8))
-                    if size != 10 + w * h or at + size > len(raw):
-                        raise ValueError(f"{name}: record {pos} breaks off")
-                    rows.append((name, pos, f"{raw[at + 4]:03d}{raw[at + 5]:03d}", w, h, list(raw[at + 10 : at + size])))
-                    at, pos = at + size, pos + 1
+            for name, content in zip(batch["path"], batch["content"]):
+                raw, rows, held = memoryview(content), [], 0
+                for pos, at, w, h in _walk(name, raw):
+                    if last is not None and pos > last:
+                        break
+                    if pos < first:
+                        continue
+                    data = np.frombuffer(raw, np.uint8, w * h, at + 10).astype(np.int32) if samples else None
+                    rows.append((name, pos, f"{raw[at + 4]:03d}{raw[at + 5]:03d}", w, h, data))
+                    held += w * h if samples else 64
+                    if held >= GNT_SAMPLES:
+                        yield pd.DataFrame(rows, columns=["path", "pos", "label", "width", "height", "data"])
+                        rows, held = [], 0
                 yield pd.DataFrame(rows, columns=["path", "pos", "label", "width", "height", "data"])
 
-    return files.mapInPandas(records, "path string, pos int, label string, width int, height int, data array<int>")
+    found = files.mapInPandas(records, "path string, pos int, label string, width int, height int, data array<int>")
+    return found if samples else found.drop("data")
 
 
 def gnuplot_text(rows: DataFrame, every: int = 1) -> DataFrame:
