@@ -8,12 +8,14 @@ stored apart, as binary PGM images: 8-bit samples in rows of 64, the exact lengt
 header comment, so that every byte string comes back as it was. A task writes a digest it has seen once only, and features are
 computed from what was written.
 
-A document's page is a heading, a figure of the whole text, a figure of its last row, and a closing line; the query takes its columns from the
-two figures, by the captions.
+A document's page holds its own lines as paragraphs, a figure of the whole text behind the first of them and a figure of its last row behind the
+last. The query takes its columns from the two figures, by the captions, and gives where they stand and a hash of the paragraphs in order. Pages are made and parsed in one
+pass and never written; paragraphs leave it as hashes.
 
 Cases: null HTML gives no rows. A reference that no medium has keeps its row with null media columns.
 Media that repeat a digest are equal and count once. A figure without a caption has a null caption;
-one with several media gives its caption to each. A null text is stored as an empty one, of 64 zero bytes.
+one with several media gives its caption to each. A null text is stored as an empty one, of 64 zero bytes, and has no paragraphs. Very long texts are stored whole. Tables without
+rows give none.
 Rows that repeat an id, or have none, each come out. Further columns are ignored.
 """
 
@@ -164,32 +166,44 @@ def interleave(pages: DataFrame, media: DataFrame, id_col: str = "doc_id", html_
     return found.unionByName(items.filter("_digest is null").drop("_digest", "_salt"), allowMissingColumns=True)
 
 
-def store_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written: (key, doc_id, html), a page for each row with a key of its own; and (digest, medium), the stored forms that pages refer to."""
+def page_of(text: str | None) -> tuple[str, list[bytes]]:
+    """A text's page, and the stored forms that it refers to."""
+    payload = (text or "").encode()
+    media = [encode(payload), encode(pad(payload)[-ROW:])]
+    figures = [f'<figure><img src="{SCHEME}{hashlib.sha256(m).hexdigest()}"><figcaption>{c}</figcaption></figure>' for m, c in zip(media, (WHOLE, LAST))]
+    lines = [f"<p>{entities.escape(line, quote=False)}</p>" for line in (text or "").split("\n") if line.split()]
+    return "".join([*lines[:1], figures[0], *lines[1:], figures[1]]), media
 
-    @F.arrow_udf("html string, media array<struct<digest:string,medium:binary>>")
-    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        seen: set[str] = set()
+
+def pages_of(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, html): a page for each row, with a key of its own."""
+
+    @F.arrow_udf("string")
+    def page(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            pages, media = [], []
-            for text in texts.to_pylist():
-                payload, refs, new = (text or "").encode(), [], []
-                for samples in (payload, pad(payload)[-ROW:]):
-                    medium = encode(samples)
-                    refs.append(hashlib.sha256(medium).hexdigest())
-                    if refs[-1] not in seen:
+            yield pa.array([page_of(text)[0] for text in texts.to_pylist()], pa.string())
+
+    return docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", page("text").alias("html"))
+
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """Written: (digest, medium), the stored forms that pages refer to."""
+
+    def stored_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            found: dict[str, bytes] = {}
+            for text in batch.column(0).to_pylist():
+                for medium in page_of(text)[1]:
+                    digest = hashlib.sha256(medium).hexdigest()
+                    if digest not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
-                        seen.add(refs[-1])
-                        new.append({"digest": refs[-1], "medium": medium})
-                figures = "".join(f'<figure><img src="{SCHEME}{d}"><figcaption>{c}</figcaption></figure>' for d, c in zip(refs, (WHOLE, LAST)))
-                pages.append(f"<h1>A text of {len(payload)} bytes</h1>{figures}<p>In rows of {ROW} samples.</p>")
-                media.append(new)
-            yield pa.StructArray.from_arrays([pa.array(pages, pa.string()), pa.array(media, pa.list_(pa.struct([("digest", pa.string()), ("medium", pa.binary())])))], ["html", "media"])
+                        seen.add(digest)
+                        found[digest] = medium
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.binary())], ["digest", "medium"])
 
-    kept = docs.select("doc_id", encoded("text").alias("s")).select(F.monotonically_increasing_id().alias("key"), "doc_id", "s.*")
-    kept = stored(kept, "media")
-    return kept.select("key", "doc_id", "html"), kept.select(F.explode("media").alias("m")).select("m.*")
+    return stored(docs.select("text").mapInArrow(stored_forms, "digest string, medium binary"), "media")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -210,16 +224,19 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """The media columns of each row's text, from its page's two figures, and where the first of them stands."""
-    pages, media = store_texts(docs)
-    items = interleave(pages.select("key", "html"), media_features(media), "key")
+    """The media columns of each row's text, from its page's two figures, where these stand, and how many paragraphs there are and a hash of them in order."""
+    items = interleave(pages_of(docs).select(F.struct("key", "doc_id").alias("row"), "html"), media_features(store_texts(docs)), "row")
     whole = F.struct("n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256", "feature", "pos")
     of = lambda caption, value: F.max(F.when(F.col("caption") == caption, value))
-    found = items.filter("kind = 'media'").groupBy("key").agg(of(WHOLE, whole).alias("w"), of(LAST, F.col("tail_crc32")).alias("tail_crc32"))
-    return pages.select("key", "doc_id").join(found, "key").select("doc_id", "w.*", "tail_crc32")
+    block = F.when(F.col("kind") == "text", F.struct("pos", F.sha2("text", 256).alias("h")))
+    found = items.select("row", "kind", "caption", whole.alias("w"), "tail_crc32", "pos", block.alias("b")).groupBy("row").agg(
+        of(WHOLE, F.col("w")).alias("w"), of(LAST, F.struct("tail_crc32", "pos")).alias("l"), F.array_sort(F.collect_list("b")).alias("blocks")
+    )
+    text = F.sha2(F.array_join(F.transform("blocks", lambda b: b["h"]), ""), 256)
+    return found.select("row.doc_id", "w.*", "l.tail_crc32", F.col("l.pos").alias("last_pos"), F.size("blocks").cast("long").alias("n_blocks"), text.alias("blocks_sha256"))
 
 
-COLUMNS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos"]
+COLUMNS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "last_pos", "n_blocks", "blocks_sha256"]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -411,21 +411,24 @@ def features_of(samples):
 
 
 def test_media_round_trip(frame, odd_rows):
-    rows = odd_rows + [(50, "x" * 64), (51, "x" * 65), (52, "\0" * 3), (53, "x" * 64)] + [(60 + k, "the same text") for k in range(150)]
+    rows = odd_rows + [(49, "first <b> & line\n\n  second &amp; one\n<img src=\"media:aa\">\rthird\n"), (50, "x" * 64), (51, "x" * 65), (52, "\0" * 3), (53, "x" * 64)] + [(60 + k, "the same text") for k in range(150)]
     docs = frame(rows, clash=True)
     got = op8.text_media(docs).collect()
     want = []
     for i, t in rows:
         raw = (t or "").encode()
         samples = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
-        medium = op8.encode(raw)
+        medium, lines = op8.encode(raw), [" ".join(line.split()) for line in (t or "").split("\n") if line.split()]
         assert op8.decode(medium) == (len(raw), samples)
-        want.append((str(i), len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(medium), hashlib.sha256(medium).hexdigest(), features_of(samples), 1))
+        want.append((str(i), len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(medium), hashlib.sha256(medium).hexdigest(), features_of(samples), min(len(lines), 1), len(lines) + 1, len(lines), hashlib.sha256("".join(hashlib.sha256(x.encode()).hexdigest() for x in lines).encode()).hexdigest()))
     assert sorted((str(r["doc_id"]), *(r[c] for c in op8.COLUMNS[1:])) for r in got) == sorted(want)
-    pages, media = op8.store_texts(docs)
-    items = op8.interleave(pages.select("key", "html"), op8.media_features(media), "key")
-    assert items.groupBy("pos", "kind").count().count() == 4 and items.count() == 4 * len(rows)
-    assert items.filter("kind = 'media' and n_bytes is null").count() == 0
+    items = op8.interleave(op8.pages_of(docs).select("key", "html"), op8.media_features(op8.store_texts(docs)), "key")
+    assert items.filter("kind = 'media'").count() == 2 * len(rows) and items.filter("kind = 'media' and n_bytes is null").count() == 0
+    texts = {}
+    for r in items.filter("kind = 'text'").collect():
+        texts.setdefault(r["key"], []).append((r["pos"], r["text"]))
+    kept = sorted(" / ".join(x for _, x in sorted(v)) for v in texts.values())
+    assert kept == sorted(" / ".join(" ".join(line.split()) for line in t.split("\n") if line.split()) for _, t in rows if t and t.split())
     assert op8.text_media(frame([])).count() == 0
 
 
