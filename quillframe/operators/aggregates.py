@@ -242,10 +242,14 @@ def slant_angle(images: DataFrame, degrees: list[int], radius: int = 1) -> DataF
     return best.select("image_id", F.when(F.col("smooth") > 0, F.col("angle")).otherwise(0).alias("angle"))
 
 
-def skew_variance(images: DataFrame, degrees: list[int]) -> DataFrame:
-    """(image_id, angle, variance): population variance of the profile along each angle."""
-    angles = F.explode(F.array(*[F.struct(F.lit(d).alias("angle"), F.lit(math.cos(math.radians(d))).alias("c"), F.lit(math.sin(math.radians(d))).alias("s")) for d in degrees]))
-    px = pixels(images, "height").withColumn("a", angles)
+def skew_variance(images: DataFrame, degrees: list[int] | Column) -> DataFrame:
+    """(image_id, angle, variance): population variance of the profile along each angle; degrees may be an array column, so that images have angles of their own."""
+    if isinstance(degrees, list):
+        angles = F.array(*[F.struct(F.lit(d).alias("angle"), F.lit(math.cos(math.radians(d))).alias("c"), F.lit(math.sin(math.radians(d))).alias("s")) for d in degrees])
+    else:
+        angles = F.transform("_degrees", lambda d: F.struct(d.alias("angle"), F.cos(F.radians(d)).alias("c"), F.sin(F.radians(d)).alias("s")))
+        images = images.withColumn("_degrees", degrees)
+    px = pixels(images, "height", *([] if isinstance(degrees, list) else ["_degrees"])).withColumn("a", F.explode(angles))
     away = (F.col("y") - (F.col("height") - 1) / 2) * F.col("a.c") - F.col("x") * F.col("a.s")
     bins = px.groupBy("image_id", F.col("a.angle").alias("angle"), F.floor(F.round(away, 9) + 0.5).cast("int").alias("place")).agg(F.avg("v").alias("mean"))
     return bins.groupBy("image_id", "angle").agg(F.round(F.var_pop("mean"), 9).alias("variance"))
@@ -260,7 +264,7 @@ def skew_angle_fast(images: DataFrame, coarse: int = 5, most: int = 15) -> DataF
     """A coarse search over edges, then single degrees around each image's coarse angle."""
     lines = edges(images, PREWITT, "dy")
     rough = skew_angle(lines, list(range(-most, most + 1, coarse))).withColumnRenamed("angle", "rough")
-    fine = skew_variance(lines, list(range(-most - coarse + 1, most + coarse))).join(rough, "image_id").filter(F.abs(F.col("angle") - F.col("rough")) < coarse)
+    fine = skew_variance(lines.join(rough, "image_id"), F.sequence(F.col("rough") - (coarse - 1), F.col("rough") + (coarse - 1)))
     return fine.groupBy("image_id").agg(F.max_by("angle", F.struct("variance", (-F.col("angle")).alias("k"))).alias("angle"))
 
 

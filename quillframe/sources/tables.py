@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: set[str] = set()
+#: Tables written by this driver that haven't gone, in order.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +45,24 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The tables that stored() has written and that are there."""
+    return list(_written)
+
+
+def drop(spark: SparkSession, tables: list[str]) -> None:
+    """Removes tables that nothing will read again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in tables:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _written.remove(path)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """df dealt to spark.sql.shuffle.partitions tasks: for rows that are small and costly, which adaptive execution would put into one task."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
