@@ -40,10 +40,8 @@ def test_classifier_trains_on_other_folds_only(graded):
     assert a == b
 
 
-def test_scores_against_plain_loops(spark, frame, words):
-    """Hashing, FTRL updates and dot products one number at a time."""
-    docs = [(i, words(12, i) + (" Shout!! 9" if i % 3 == 0 else "")) for i in range(40)] + [(50, None), (51, "one")]
-    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+def plain_scores(docs, marks):
+    """Hashing, FTRL updates and dot products one number at a time; docs are (id, text), marks label some of their ids."""
 
     def kind(b):
         return "A" if 65 <= b <= 90 else "a" if 97 <= b <= 122 or b >= 128 else "0" if 48 <= b <= 57 else chr(b)
@@ -60,7 +58,7 @@ def test_scores_against_plain_loops(spark, frame, words):
                 out[place(h, salt)] += op1.SCALE / len(block)
         return out
 
-    known = [(int(i % 3 > 0), {k: float(op1.np.float32(v)) for k, v in sorted(vector(t).items())}) for i, t in docs[:30] if zlib.crc32(str(i).encode()) % 4 != 2]
+    known = [(marks[i], {k: float(op1.np.float32(v)) for k, v in sorted(vector(t).items())}) for i, t in docs if i in marks and zlib.crc32(str(i).encode()) % 4 != 2]
     z, n = Counter(), Counter()
 
     def weight(k):
@@ -77,9 +75,15 @@ def test_scores_against_plain_loops(spark, frame, words):
                 g = (p - label) * v
                 z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / op1.ALPHA * w[k]
                 n[k] += g * g
-    want = {i: 1 / (1 + math.exp(-weight("bias") - sum(weight(k) * v for k, v in vector(t).items()))) for i, t in docs}
+    return {i: 1 / (1 + math.exp(-weight("bias") - sum(weight(k) * v for k, v in vector(t).items()))) for i, t in docs}
+
+
+def test_scores_against_plain_loops(spark, frame, words):
+    docs = [(i, words(12, i) + (" Shout!! 9" if i % 3 == 0 else "")) for i in range(40)] + [(50, None), (51, "one")]
+    marks = {i: int(i % 3 > 0) for i in range(30)}
+    labels = spark.createDataFrame([(i, q, 0) for i, q in marks.items()], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r["score"] for r in op1.with_scores(frame(docs), labels).collect()}
-    assert got == {i: pytest.approx(s, abs=1e-6) for i, s in want.items()}
+    assert got == {i: pytest.approx(s, abs=1e-6) for i, s in plain_scores(docs, marks).items()}
 
 
 def test_classifier_odd_rows(spark, frame, odd_rows, graded):
@@ -188,6 +192,17 @@ def covering(rows):
     return rules
 
 
+def plain_rules(rows, marks):
+    """The rules that covering finds for rows (id, text) with labels marks (id, quality), and what they and the base test reject."""
+    lowest = {}
+    for i, q in marks:
+        lowest[i] = min(q, lowest.get(i, 1))
+    failed = lambda t: (c := counted(t))[0] < op2.MIN_WORDS or 100 * c[4] > 50 * c[0]
+    rules = covering([(lowest[i] == 0, zlib.crc32(str(i).encode()) % 3 != 0, rates(t)) for i, t in rows if i in lowest and not failed(t)])
+    rejects = lambda t: failed(t) or any(all(rates(t)[f] > cut if above else rates(t)[f] <= cut for f, above, cut in r) for r in rules)
+    return rules, rejects
+
+
 @pytest.mark.parametrize("seed", [1, 3])
 def test_rules_against_row_by_row_covering(spark, frame, words, seed):
     """Several overlapping kinds of bad text, labels with errors, repeated rows and ids, and rows without labels."""
@@ -205,16 +220,11 @@ def test_rules_against_row_by_row_covering(spark, frame, words, seed):
     marks = [(i, int((i not in shouts) != (rng.random() < 0.01))) for i in range(380)] + [(5, 0), (900, 0), (901, 1), (7000, 0)]
     labels = spark.createDataFrame([(i, q, 0) for i, q in marks], "doc_id long, quality int, toxic int")
 
-    lowest = {}
-    for i, q in marks:
-        lowest[i] = min(q, lowest.get(i, 1))
-    failed = lambda t: (c := counted(t))[0] < op2.MIN_WORDS or 100 * c[4] > 50 * c[0]
-    want = covering([(lowest[i] == 0, zlib.crc32(str(i).encode()) % 3 != 0, rates(t)) for i, t in rows if i in lowest and not failed(t)])
+    want, rejects = plain_rules(rows, marks)
     assert want
     counts = stored(op2.text_counts(frame(rows), ["doc_id", "text"]), "counts")
     got = op2.learn_rules(counts, labels)
     assert [[(c.feature, c.above, c.cut) for c in r] for r in got] == want
-    rejects = lambda t: failed(t) or any(all(rates(t)[f] > cut if above else rates(t)[f] <= cut for f, above, cut in r) for r in want)
     judged = op2.apply_rules(counts, got).collect()
     assert len(judged) == len(rows) and all(r["kept"] != rejects(r["text"]) for r in judged)
 
