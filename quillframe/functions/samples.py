@@ -158,3 +158,13 @@ def barycentric(px: Column, py: Column, a: tuple, b: tuple, c: tuple) -> tuple[C
 def rects_meet(ax: Column, ay: Column, aw: Column, ah: Column, bx: Column, by: Column, bw: Column, bh: Column) -> Column:
     """Half-open rectangles overlap, crosses included."""
     return (ax < bx + bw) & (bx < ax + aw) & (ay < by + bh) & (by < ay + ah)
+
+
+def from_barycentric(one: Column, two: Column, three: Column, a: tuple, b: tuple, c: tuple) -> tuple[Column, Column]:
+    """The point that has these coordinates in a triangle."""
+    return tuple(one * F.lit(float(a[k])) + two * F.lit(float(b[k])) + three * F.lit(float(c[k])) for k in (0, 1))
+
+
+def rect_holds(x: Column, y: Column, rx: Column, ry: Column, rw: Column, rh: Column) -> Column:
+    """Whether a point is in a half-open rectangle."""
+    return (x >= rx) & (x < rx + rw) & (y >= ry) & (y < ry + rh)

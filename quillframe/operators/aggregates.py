@@ -43,6 +43,20 @@ def otsu_images(images: DataFrame) -> DataFrame:
     return both.withColumn("data", F.transform("data", lambda v: threshold(v, F.col("t"))))
 
 
+def stretched(images: DataFrame, low: int = 0, high: int = 255, share_low: float = 0.0, share_high: float = 0.0) -> DataFrame:
+    """images with their samples from low to high, linearly, where shares of the darkest and of the brightest samples go to these ends; truncated.
+
+    At least one sample is at each end. Where the same value is at both, samples are moved but not stretched.
+    """
+    n = F.size("_order")
+    count = lambda share: F.greatest(F.ceil(F.lit(share) * n), F.lit(1)).cast("int")
+    ordered = settled(images.withColumn("_order", F.sort_array("data")))
+    ends = settled(ordered.withColumns({"_low": F.get("_order", count(share_low) - 1), "_high": F.get("_order", n - count(share_high))}))
+    scale = F.when(F.col("_high") > F.col("_low"), F.lit(float(high - low)) / (F.col("_high") - F.col("_low"))).otherwise(1.0)
+    moved = F.transform("data", lambda v: F.least(F.greatest(F.round((v - F.col("_low")) * scale + low, 9), F.lit(low)), F.lit(high)).cast("int"))
+    return settled(ends.withColumn("data", moved)).drop("_order", "_low", "_high")
+
+
 def row_profile(images: DataFrame) -> DataFrame:
     return pixels(images).groupBy("image_id", "y").agg(F.sum("v").alias("total"), F.round(F.avg("v"), 6).alias("mean"))
 

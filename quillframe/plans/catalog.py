@@ -172,6 +172,13 @@ def pixel_rescale(spark, sf):
     return pixels(bounds.withColumn("data", F.transform("data", lambda v: samples.rescale(v, F.col("lo"), F.col("hi"), 0, 255))))
 
 
+@query("pixel_stretch", f"""WITH {PX}, o AS (SELECT image_id, list_sort(list(v))[4] AS lo, list_sort(list(v))[63] AS hi FROM px GROUP BY 1)
+  SELECT image_id, y, x, CAST(trunc(least(245, greatest(10, round((v - lo) * (CASE WHEN hi > lo THEN 235.0::DOUBLE / (hi - lo) ELSE 1 END) + 10, 9)))) AS INT) AS v FROM px JOIN o USING (image_id)""")
+def pixel_stretch(spark, sf):
+    """5 % of the darkest samples to 10, 2 % of the brightest to 245."""
+    return pixels(A.stretched(images(spark, sf), 10, 245, 0.05, 0.02))
+
+
 # Each image beside the one of the next id, joined as whole images; o is the other's sample two rows up and three places to the left.
 SAMPLE = "CAST(greatest(0, least(255, floor((CAST({}.embedding[{}] AS DOUBLE) + 0.6) * 212.5))) AS INT)"
 PAIRED = f"""pr AS (SELECT coalesce(a.vec_id, b.vec_id - 1) AS image_id, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x, {SAMPLE.format('a', 'i')} AS v, {SAMPLE.format('b', 'i')} AS w,
@@ -923,3 +930,23 @@ def barycentric(spark, sf):
 @query("rect_overlap", f"""WITH {PT} SELECT id, 30 < x + 20 AND x < 70 AND 30 < y + 15 AND y < 60 AS meets FROM pt""")
 def rect_overlap(spark, sf):
     return points(spark, sf).select("id", samples.rects_meet(F.col("x"), F.col("y"), F.lit(20), F.lit(15), F.lit(30), F.lit(30), F.lit(40), F.lit(30)).alias("meets"))
+
+
+@query("barycentric_round_trip", f"WITH {PT} SELECT id, x AS x2, y AS y2 FROM pt")
+def barycentric_round_trip(spark, sf):
+    corners = (10, 10), (90, 20), (50, 90)
+    x, y = samples.from_barycentric(*samples.barycentric(F.col("x"), F.col("y"), *corners), *corners)
+    return points(spark, sf).select("id", F.round(x, 6).alias("x2"), F.round(y, 6).alias("y2"))
+
+
+@query("rect_holds", f"WITH {PT} SELECT id, x >= 20 AND x < 60 AND y >= 29 AND y < 71 AS inside FROM pt")
+def rect_holds(spark, sf):
+    return points(spark, sf).select("id", samples.rect_holds(F.col("x"), F.col("y"), F.lit(20), F.lit(29), F.lit(40), F.lit(42)).alias("inside"))
+
+
+@query("segment_distance_3d", f"""WITH {PT}, q AS (SELECT *, CAST(id * 7 % 50 AS DOUBLE) AS z FROM pt), u AS (SELECT *, least(greatest(((x - 20) * 60 + (y - 30) * 40 + (z - 5) * 30) / 6100.0::DOUBLE, 0), 1) AS u FROM q)
+  SELECT id, round(sqrt(power(x - (20 + u * 60), 2) + power(y - (30 + u * 40), 2) + power(z - (5 + u * 30), 2)), 6) AS distance FROM u""")
+def segment_distance_3d(spark, sf):
+    place = points(spark, sf).withColumn("z", (F.col("id") * 7 % 50).cast("double"))
+    ends = [tuple(map(F.lit, p)) for p in ((20.0, 30.0, 5.0), (80.0, 70.0, 35.0))]
+    return place.select("id", F.round(samples.point_segment_distance((F.col("x"), F.col("y"), F.col("z")), *ends), 6).alias("distance"))

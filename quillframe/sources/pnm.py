@@ -80,6 +80,13 @@ def props(comments: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda p: F.struct(F.get(p, F.lit(0)), F.get(p, F.lit(1)))))
 
 
+def checked(images: DataFrame, key: str = "textlineExtractionOK", bad: str = "0") -> DataFrame:
+    """images, of which none may have a property that says it is unusable: a job that meets one fails with its id."""
+    wrong = F.concat(F.lit(f"{key} is {bad} in image "), F.coalesce(F.col("image_id").cast("string"), F.col("path")))
+    good = F.assert_true(~F.coalesce(F.trim(F.col("props")[key]) == bad, F.lit(False)), wrong)
+    return images.filter(good.isNull())  # assert_true gives null or fails
+
+
 def with_pnm(images: DataFrame, plain: bool = False, column: str = "content") -> DataFrame:
     """images with their file as a binary column."""
 

@@ -302,12 +302,14 @@ def test_warp_follows_the_alignment(spark):
     pairs = V.align_pairs(vectors(a), vectors(b))
     got = {(r["b_id"], r["y"], r["x"]): r["v"] for r in V.warp_columns(pixels(a), pairs).collect()}
     places = {(r["b_id"], r["x_a"]): r["x_b"] for r in V.coordinate_map(pairs).collect()}
+    back = {(r["b_id"], r["x_b"]): r["x_a"] for r in V.coordinate_map(pairs, "b").collect()}
     for k, ink in enumerate(train):
         path = aligned(features_of(tests[0]), features_of(ink), 14)[1]
         for x in range(len(ink[0])):
             here = {max(i, 0) for i, j in path if max(j, 0) == x}
             assert all(got[101 + k, y, x] == min(0 if tests[0][y][i] else 255 for i in here) for y in range(6))
-        assert all(places[101 + k, i] == max(j for p, j in path if p == i) for i in {i for i, j in path if i >= 0 and j >= 0})
+        assert all(places[101 + k, i] == max(max(j, 0) for p, j in path if max(p, 0) == i) for i in range(7))
+        assert all(back[101 + k, j] == max(max(i, 0) for i, q in path if max(q, 0) == j) for j in range(len(ink[0])))
 
 
 def test_matrix_has_each_pair_once(spark):

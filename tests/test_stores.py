@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.sources import pictures, pnm, reports
+from quillframe.operators import aggregates
+from quillframe.sources import load, pictures, pnm, reports
 from quillframe.sources.matrices import MatrixStore
 
 
@@ -146,3 +147,41 @@ def test_png_round_trip(spark, tmp_path):
     assert pictures.with_png(df.drop("channels").filter("image_id = 1")).first()["content"] == pictures.encode_png(5, 4, 1, images[0][4])
     wide = pictures.encode_png(2, 1, 1, [1, 40_000])
     assert wide[24] == 16 and zlib.decompress(wide[41:-16]) == bytes([0, 0, 1, *divmod(40_000, 256)])
+
+
+def test_files_of_several_kinds(spark, tmp_path):
+    (tmp_path / "w_1.pgm").write_bytes(b"P5\n#DProp:label=a\n2 1\n255\n\x05\x06")
+    (tmp_path / "w_2.png").write_bytes(pictures.encode_png(1, 2, 1, [7, 8]))
+    (tmp_path / "w_3.jpg").write_bytes(pictures.encode_png(1, 1, 1, [9]))  # its name is wrong
+    (tmp_path / "w_4.txt").write_bytes(b"text")
+    got = {r["image_id"]: (r["width"], r["height"], r["channels"], list(r["data"]), r["props"]) for r in load.load_images(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 1, 1, [5, 6], {"label": "a"}), 2: (1, 2, 1, [7, 8], None), 3: (1, 1, 1, [9], None)}
+    kinds = {r["path"][-7:]: (r["format"], r["named"]) for r in load.formats(spark, str(tmp_path)).collect()}
+    assert kinds == {"w_1.pgm": ("pnm", "pnm"), "w_2.png": ("png", "png"), "w_3.jpg": ("png", "jpg"), "w_4.txt": (None, None)}
+    again = load.with_file(pnm.read_pnm(spark, str(tmp_path)), "png").first()
+    assert bytes(again["content"]) == pictures.encode_png(2, 1, 1, [5, 6])
+    assert bytes(load.with_file(pnm.read_pnm(spark, str(tmp_path)), "pnm").first()["content"]) == (tmp_path / "w_1.pgm").read_bytes()
+    with pytest.raises(ValueError, match="gif"):
+        load.with_file(pnm.read_pnm(spark, str(tmp_path)), "gif")
+
+
+def test_unusable_images_fail(spark, tmp_path):
+    for k, ok in ((1, "1"), (2, None)):
+        (tmp_path / f"w_{k}.pgm").write_bytes(b"P5\n" + (f"#DProp:textlineExtractionOK={ok}\n".encode() if ok else b"") + b"1 1\n255\n\x05")
+    assert pnm.checked(pnm.read_pnm(spark, str(tmp_path))).count() == 2
+    (tmp_path / "w_3.pgm").write_bytes(b"P5\n#DProp:textlineExtractionOK=0\n1 1\n255\n\x05")
+    with pytest.raises(Exception, match="textlineExtractionOK is 0 in image 3"):
+        pnm.checked(pnm.read_pnm(spark, str(tmp_path))).count()
+
+
+def test_stretching_clips_tails(spark):
+    values = [[0, 10, 20, 30, 40, 50, 60, 70, 80, 255], [7, 7, 7], [5]]
+    df = spark.createDataFrame([(k, len(v), 1, v) for k, v in enumerate(values)], "image_id long, width int, height int, data array<int>")
+    for low, high, p, q in ((0, 255, 0.0, 0.0), (10, 200, 0.2, 0.15), (0, 100, 1.0, 1.0)):
+        got = {r["image_id"]: list(r["data"]) for r in aggregates.stretched(df, low, high, p, q).collect()}
+        for k, v in enumerate(values):
+            order, n = sorted(v), len(v)
+            at = lambda share: max(int(np.ceil(share * n)), 1)  # noqa: B023, E731
+            a, b = order[at(p) - 1], order[n - at(q)]
+            scale = (high - low) / (b - a) if b > a else 1
+            assert got[k] == [int(min(max(round((x - a) * scale + low, 9), low), high)) for x in v]
