@@ -5,7 +5,7 @@ into words of 64 bits. In a bucket, texts whose packed signatures agree often en
 folded to one for each minimum and counted, and of the share that agrees the chance collisions (2 ^ -BITS) are taken off. What
 that connects makes a region, and inside regions links are confirmed on the full sets, as exactly as in the n-gram Jaccard join, whose
 regions, pivots and cells this takes over. So every link given is one, and a link is lost only if no band finds it, or the estimate falls under LEAST: for a
-similarity of exactly 0.8 once in twenty million and in three million, and more rarely above.
+similarity of exactly 0.8 once in twenty million and in five million, and more rarely above.
 
 Buckets with the same members are one. No pairs come out of a bucket, only as many edges as connect it: each text is compared with those not
 yet connected. Buckets of more than BUCKET texts connect all their members without an estimate, and their regions are cut by pivots in Spark; nothing
