@@ -10,7 +10,7 @@ computed from what was written.
 
 A document's page holds its own lines as paragraphs, a figure of the whole text behind the first of them and a figure of its last row behind the
 last. The query takes its columns from the two figures, by the captions, and gives where they stand and a hash of the paragraphs in order. Pages are made and parsed in one
-pass and never written; paragraphs leave it as hashes.
+pass, and hashes of their paragraphs and their references are what is written of them.
 
 Cases: null HTML gives no rows. A reference that no medium has keeps its row with null media columns.
 Media that repeat a digest are equal and count once. A figure without a caption has a null caption;
@@ -143,8 +143,8 @@ def sequence(page: str | None) -> list[tuple[int, str, str | None, str | None, s
 ITEM = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
 
 
-def interleave(pages: DataFrame, media: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
-    """(id, pos, kind, text, ref, caption) and the media columns of each reference; media has a column digest."""
+def item_lists(pages: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
+    """(id, items): each page's sequence as one array."""
 
     @F.arrow_udf("array<struct<pos:int,kind:string,text:string,ref:string,caption:string>>")
     def items_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -152,12 +152,15 @@ def interleave(pages: DataFrame, media: DataFrame, id_col: str = "doc_id", html_
         for html in batches:
             yield pa.array([[dict(zip(names, item)) for item in sequence(page)] for page in html.to_pylist()], pa.list_(ITEM))
 
-    n_refs = F.regexp_extract_all(html_col, F.lit(f"{SCHEME}([^\"'\\s>]+)"), 1)
-    named = pages.select(F.explode(n_refs).alias("_digest")).groupBy("_digest").agg(F.count(F.lit(1)).alias("n"))
+    return pages.select(id_col, items_of(html_col).alias("items"))
+
+
+def resolved(items: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
+    """items (id, pos, kind, text, ref, caption), which are read twice, with the media columns of each reference."""
+    items = items.withColumn("_digest", F.when(F.startswith("ref", F.lit(SCHEME)), F.substring("ref", len(SCHEME) + 1, 1 << 30)))
+    named = items.filter("_digest is not null").groupBy("_digest").agg(F.count(F.lit(1)).alias("n"))
     total = named.agg(F.sum("n").alias("n")).first()["n"] or 0
     frequent = named.filter(F.col("n") > max(total / 1000, 100)).select(F.col("_digest").alias("_hot"))  # 1,000 rows at most
-    items = pages.select(id_col, F.explode(items_of(html_col)).alias("_item")).select(id_col, "_item.*")
-    items = items.withColumn("_digest", F.when(F.startswith("ref", F.lit(SCHEME)), F.substring("ref", len(SCHEME) + 1, 1 << 30)))
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(id_col, "pos"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     items = items.join(F.broadcast(frequent), F.col("_digest") == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
     salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
@@ -166,6 +169,11 @@ def interleave(pages: DataFrame, media: DataFrame, id_col: str = "doc_id", html_
     return found.unionByName(items.filter("_digest is null").drop("_digest", "_salt"), allowMissingColumns=True)
 
 
+def interleave(pages: DataFrame, media: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
+    """(id, pos, kind, text, ref, caption) and the media columns of each reference; media has a column digest."""
+    return resolved(item_lists(pages, id_col, html_col).select(id_col, F.inline("items")), media, id_col)
+
+
 def page_of(text: str | None) -> tuple[str, list[bytes]]:
     """A text's page, and the stored forms that it refers to."""
     payload = (text or "").encode()
@@ -225,15 +233,15 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def text_media(docs: DataFrame) -> DataFrame:
     """The media columns of each row's text, from its page's two figures, where these stand, and how many paragraphs there are and a hash of them in order."""
-    items = interleave(pages_of(docs).select(F.struct("key", "doc_id").alias("row"), "html"), media_features(store_texts(docs)), "row")
+    lists = item_lists(pages_of(docs).select(F.struct("key", "doc_id").alias("row"), "html"), "row")
+    blocks = F.transform(F.filter("items", lambda i: i["kind"] == "text"), lambda i: F.sha2(i["text"], 256))
+    told = lists.select("row", F.size(blocks).cast("long").alias("n_blocks"), F.sha2(F.array_join(blocks, ""), 256).alias("blocks_sha256"), F.filter("items", lambda i: i["kind"] == "media").alias("items"))
+    refs = stored(told, "references").select(F.struct("row.*", "n_blocks", "blocks_sha256").alias("row"), F.inline("items"))
+    items = resolved(refs, media_features(store_texts(docs)), "row")
     whole = F.struct("n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256", "feature", "pos")
     of = lambda caption, value: F.max(F.when(F.col("caption") == caption, value))
-    block = F.when(F.col("kind") == "text", F.struct("pos", F.sha2("text", 256).alias("h")))
-    found = items.select("row", "kind", "caption", whole.alias("w"), "tail_crc32", "pos", block.alias("b")).groupBy("row").agg(
-        of(WHOLE, F.col("w")).alias("w"), of(LAST, F.struct("tail_crc32", "pos")).alias("l"), F.array_sort(F.collect_list("b")).alias("blocks")
-    )
-    text = F.sha2(F.array_join(F.transform("blocks", lambda b: b["h"]), ""), 256)
-    return found.select("row.doc_id", "w.*", "l.tail_crc32", F.col("l.pos").alias("last_pos"), F.size("blocks").cast("long").alias("n_blocks"), text.alias("blocks_sha256"))
+    found = items.groupBy("row").agg(of(WHOLE, whole).alias("w"), of(LAST, F.struct("tail_crc32", "pos")).alias("l"))
+    return found.select("row.doc_id", "w.*", "l.tail_crc32", F.col("l.pos").alias("last_pos"), "row.n_blocks", "row.blocks_sha256")
 
 
 COLUMNS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "last_pos", "n_blocks", "blocks_sha256"]
