@@ -235,13 +235,13 @@ def text_media(docs: DataFrame) -> DataFrame:
     """The media columns of each row's text, from its page's two figures, where these stand, and how many paragraphs there are and a hash of them in order."""
     lists = item_lists(pages_of(docs).select(F.struct("key", "doc_id").alias("row"), "html"), "row")
     blocks = F.transform(F.filter("items", lambda i: i["kind"] == "text"), lambda i: F.sha2(i["text"], 256))
-    told = lists.select("row", F.size(blocks).cast("long").alias("n_blocks"), F.sha2(F.array_join(blocks, ""), 256).alias("blocks_sha256"), F.filter("items", lambda i: i["kind"] == "media").alias("items"))
-    refs = stored(told, "references").select(F.struct("row.*", "n_blocks", "blocks_sha256").alias("row"), F.inline("items"))
+    told = lists.select("row", F.size(blocks).cast("long").alias("n_blocks"), F.unhex(F.sha2(F.array_join(blocks, ""), 256)).alias("blocks_hash"), F.filter("items", lambda i: i["kind"] == "media").alias("items"))
+    refs = stored(told, "references").select(F.struct("row.*", "n_blocks", "blocks_hash").alias("row"), F.inline("items"))
     items = resolved(refs, media_features(store_texts(docs)), "row")
     whole = F.struct("n_bytes", "payload_bytes", "payload_sha256", "media_bytes", "media_sha256", "feature", "pos")
     of = lambda caption, value: F.max(F.when(F.col("caption") == caption, value))
     found = items.groupBy("row").agg(of(WHOLE, whole).alias("w"), of(LAST, F.struct("tail_crc32", "pos")).alias("l"))
-    return found.select("row.doc_id", "w.*", "l.tail_crc32", F.col("l.pos").alias("last_pos"), "row.n_blocks", "row.blocks_sha256")
+    return found.select("row.doc_id", "w.*", "l.tail_crc32", F.col("l.pos").alias("last_pos"), "row.n_blocks", F.lower(F.hex("row.blocks_hash")).alias("blocks_sha256"))
 
 
 COLUMNS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "last_pos", "n_blocks", "blocks_sha256"]
