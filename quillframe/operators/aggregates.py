@@ -266,7 +266,11 @@ def skew_variance(images: DataFrame, degrees: list[int] | Column) -> DataFrame:
     px = pixels(images, "height", *([] if isinstance(degrees, list) else ["_degrees"])).withColumn("a", F.explode(angles))
     away = (F.col("y") - (F.col("height") - 1) / 2) * F.col("a.c") - F.col("x") * F.col("a.s")
     bins = px.groupBy("image_id", F.col("a.angle").alias("angle"), F.floor(F.round(away, 9) + 0.5).cast("int").alias("place")).agg(F.avg("v").alias("mean"))
-    return bins.groupBy("image_id", "angle").agg(F.round(F.var_pop("mean"), 9).alias("variance"))
+    # From the means in order: equal variances come out equal, whatever the order of rows.
+    means = bins.groupBy("image_id", "angle").agg(F.sort_array(F.collect_list("mean")).alias("m"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    centred = settled(means.withColumn("mid", total(F.col("m")) / F.size("m")))
+    return centred.select("image_id", "angle", F.round(total(F.transform("m", lambda v: (v - F.col("mid")) * (v - F.col("mid")))) / F.size("m"), 9).alias("variance"))
 
 
 def skew_angle(images: DataFrame, degrees: list[int]) -> DataFrame:

@@ -198,3 +198,13 @@ def test_search_compares_few_in_tight_clusters(spark, monkeypatch, broadcast):
         assert (r["cost"], r["train_id"], r["compared"]) == (*best, compared) and best == min((far(a, v), i) for i, v in enumerate(vectors))
     stats = C.search_statistics(found, tests, train).first()
     assert stats["n_test"] == 8 and stats["n_train"] == 20 and stats["pct_right"] == 100 and stats["mean_compared"] < 20
+
+
+#: Edges of an image whose variances at -7 to -4 degrees are the same by exact arithmetic, and halfway between two places of nine digits.
+HALFWAY = [30, 71, 92, 51, 10, 36, 27, 47, 112, 121, 76, 26, 34, 18, 46, 103, 160, 42, 61, 20, 25, 5, 28, 13, 71, 47, 54, 14, 20, 28, 41, 64, 66, 16, 75, 20, 13, 41, 15, 15, 34, 67, 59, 69, 63, 77, 37, 86, 79, 54, 32, 50, 31, 33, 22, 50, 22, 68, 111, 30, 68, 120, 80, 48]
+
+
+def test_equal_variances_tie_whatever_the_order_of_rows(spark):
+    df = spark.createDataFrame([(k, 8, 8, HALFWAY) for k in range(40)], "image_id long, width int, height int, data array<int>")
+    found = A.skew_variance(df, [-7, -6, -5, -4]).collect()
+    assert {r["variance"] for r in found} == {238.416992188} and len(found) == 160
