@@ -118,3 +118,68 @@ def block_means(image: np.ndarray, size: int) -> np.ndarray:
 
 def filtered(images: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     return images.withColumn("data", by_image(f))
+
+
+def by_shape(f: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """f of stacks of images of one shape: (images, rows, samples)."""
+
+    @F.pandas_udf("array<int>")
+    def made(width: pd.Series, data: pd.Series) -> pd.Series:
+        out, shapes = np.empty(len(data), object), {}
+        for k, (w, d) in enumerate(zip(width, data)):
+            if d is not None:
+                shapes.setdefault((len(d) // int(w) if w else 0, w), []).append(k)
+        for shape, same in shapes.items():
+            size = max(1, HELD // max(1, shape[0] * shape[1]) // 64)
+            for at in range(0, len(same), size):
+                some = same[at : at + size]
+                for k, image in zip(some, f(np.stack([data[k] for k in some]).reshape(len(some), *map(int, shape)))):
+                    out[k] = image.ravel().astype(np.int32)
+        return pd.Series(out, dtype=object)
+
+    return made("width", "data")
+
+
+def bilateral(images: np.ndarray, sigma_s: float, sigma_r: float) -> np.ndarray:
+    """Counts and sums of samples in buckets of (y, x, v), blurred by [1 2 1] / 4 twice along each axis; a sample is the quotient of both, read between its eight buckets.
+
+    images are of one shape (images, rows, samples). Bucket rows are blurred and read a few at a time, so that what is held grows with a row of the images, not with their area.
+    """
+    n, h, w = images.shape
+    if not images.size:
+        return images
+    low = int(np.floor(images.min() / sigma_r))
+    levels, across, down = int(np.floor(images.max() / sigma_r)) - low + 2, int((w - 1) / sigma_s) + 2, int((h - 1) / sigma_s) + 2
+    ys, xs, each, out = np.arange(h) / sigma_s, np.arange(w) / sigma_s, np.arange(n)[:, None, None], np.empty(images.shape, np.int64)
+    part = min(down, max(1, HELD // (n * (across + 4) * (levels + 4)) - 5))
+    for first in range(0, down, part):
+        # Buckets first to first + part are read; two more on either side reach them.
+        rows = np.flatnonzero((np.floor(ys + 0.5) >= first - 2) & (np.floor(ys + 0.5) <= first + part + 2))
+        v, size = images[:, rows], (n, part + 5, across + 4, levels + 4)
+        cell = (each, (np.floor(ys[rows] + 0.5).astype(np.int64) - first + 2)[:, None], np.floor(xs + 0.5).astype(np.int64) + 2, np.floor(v / sigma_r + 0.5).astype(np.int64) - low + 2)
+        flat = np.ravel_multi_index(tuple(np.broadcast_arrays(*cell)), size).ravel()
+        grids = [np.bincount(flat, some, int(np.prod(size))).reshape(size) for some in (None, v.ravel())]
+        for axis in (1, 2, 3):
+            grids = [blurred(blurred(g, axis), axis) for g in grids]
+        mine = np.flatnonzero((np.floor(ys) >= first) & (np.floor(ys) < first + part))
+        places = np.broadcast_arrays((ys[mine] - first + 2)[:, None], xs + 2, images[:, mine] / sigma_r - low + 2)
+        floors = [np.floor(p).astype(np.int64) for p in places]
+        sums, counts = np.zeros(places[0].shape), np.zeros(places[0].shape)
+        for corner in np.ndindex(2, 2, 2):
+            weight = 1.0
+            for d, p, f in zip(corner, places, floors):
+                weight = weight * (p - f if d else 1 - (p - f))
+            at = (each, *(f + d for d, f in zip(corner, floors)))
+            counts += weight * grids[0][at]
+            sums += weight * grids[1][at]
+        out[:, mine] = np.floor((sums / counts).round(6))
+    return out
+
+
+def blurred(grid: np.ndarray, axis: int) -> np.ndarray:
+    """[1 2 1] / 4 along an axis, zeros outside."""
+    out = grid / 2
+    ahead, behind = (tuple(slice(*ends) if k == axis else slice(None) for k in range(grid.ndim)) for ends in ((1, None), (None, -1)))
+    out[ahead] += grid[behind] / 4
+    out[behind] += grid[ahead] / 4
+    return out

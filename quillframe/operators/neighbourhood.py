@@ -303,23 +303,9 @@ def skeleton(images: DataFrame) -> DataFrame:
 
 
 def bilateral(images: DataFrame, sigma_s: float, sigma_r: float) -> DataFrame:
-    """(image_id, y, x, v): a bilateral grid of buckets, blurred by [1 2 1] / 4 twice along each axis, read between eight buckets."""
-    px = pixels(images).select("image_id", "y", "x", "v", *[(F.col(c) / F.lit(float(s))).alias(f"g{c}") for c, s in (("y", sigma_s), ("x", sigma_s), ("v", sigma_r))])
-    near = [F.floor(F.col(f"g{c}") + 0.5).cast("int").alias(f"b{c}") for c in "yxv"]
-    grid = px.groupBy("image_id", *near).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("v").cast("double").alias("s"))
-    for c in "yxv" * 2:
-        spread = F.explode(F.array(*[F.struct(F.lit(k).alias("d"), F.lit(w).alias("w")) for k, w in ((-1, 0.25), (0, 0.5), (1, 0.25))]))
-        moved = grid.withColumn("m", spread).withColumn(f"b{c}", F.col(f"b{c}") + F.col("m.d"))
-        grid = moved.groupBy("image_id", "by", "bx", "bv").agg(F.sum(F.col("n") * F.col("m.w")).alias("n"), F.sum(F.col("s") * F.col("m.w")).alias("s"))
-    corners = F.array(*[F.struct(*[F.lit(k).alias(f"d{c}") for c, k in zip("yxv", (a, b, d))]) for a in (0, 1) for b in (0, 1) for d in (0, 1)])
-    eight = px.withColumn("c", F.explode(corners))
-    for c in "yxv":
-        low = F.floor(F.col(f"g{c}"))
-        part = F.col(f"g{c}") - low
-        eight = eight.withColumn(f"b{c}", (low + F.col(f"c.d{c}")).cast("int")).withColumn(f"w{c}", F.when(F.col(f"c.d{c}") == 1, part).otherwise(1 - part))
-    w = F.col("wy") * F.col("wx") * F.col("wv")
-    read = eight.join(grid, ["image_id", "by", "bx", "bv"]).groupBy("image_id", "y", "x").agg(F.sum(w * F.col("s")).alias("s"), F.sum(w * F.col("n")).alias("n"))
-    return read.select("image_id", "y", "x", F.floor(F.round(F.col("s") / F.col("n"), 6)).cast("int").alias("v"))
+    """(image_id, y, x, v): a bilateral grid of buckets, blurred by [1 2 1] / 4 twice along each axis, read between eight buckets. The grid is one of its image's row."""
+    filtered = masks.by_shape(lambda some: masks.bilateral(some, sigma_s, sigma_r))
+    return pixels(images.withColumn("data", filtered))
 
 
 def remove_background(images: DataFrame, radius: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Masks of real radii against plain loops, and small and large forms against each other."""
 
+import itertools
 import time
 
 import numpy as np
@@ -109,3 +110,29 @@ def test_box_has_the_frames_of_the_image(spark):
     near = under(image, N.square(3))
     assert got == {(y, x): (image[y, x], near[:, y, x].sum(), (near[:, y, x] ** 2).sum()) for y in range(5) for x in range(4)}
     assert N.box(frame(spark, [image]).filter(F.lit(False)), 1).count() == 0
+
+
+@pytest.mark.parametrize("held", [1, 2000, 1 << 22])
+def test_bilateral_grid_against_loops(held, monkeypatch):
+    monkeypatch.setattr(masks, "HELD", held)
+    image, blur = rng.integers(0, 256, (13, 9)), {-2: 1 / 16, -1: 1 / 4, 0: 3 / 8, 1: 1 / 4, 2: 1 / 16}
+    grid, (h, w) = {}, image.shape
+    for y, x in np.ndindex(h, w):
+        home = [int(np.floor(k + 0.5)) for k in (y / 3.0, x / 3.0, image[y, x] / 40.0)]
+        for (i, p), (j, q), (k, r) in itertools.product(blur.items(), repeat=3):
+            at = grid.setdefault((home[0] + i, home[1] + j, home[2] + k), [0.0, 0.0])
+            at[0] += p * q * r
+            at[1] += p * q * r * image[y, x]
+    got, other, dark = masks.bilateral(np.stack([image, image[::-1], image // 9]), 3.0, 40.0)
+    assert (masks.bilateral(image[None, ::-1], 3.0, 40.0)[0] == other).all() and (masks.bilateral(image[None] // 9, 3.0, 40.0)[0] == dark).all()
+    for y, x in np.ndindex(h, w):
+        place, sums = np.array([y / 3.0, x / 3.0, image[y, x] / 40.0]), np.zeros(2)
+        for corner in np.ndindex(2, 2, 2):
+            part = place - np.floor(place)
+            sums += np.prod(np.where(corner, part, 1 - part)) * np.array(grid.get(tuple(int(k) for k in np.floor(place) + corner), [0.0, 0.0]))
+        assert got[y, x] == np.floor(round(sums[1] / sums[0], 6))
+
+
+def test_bilateral_moves_no_sample(spark):
+    df = spark.createDataFrame([(1, 2, 2, [1, 2, 3, 250])], "image_id long, width int, height int, data array<int>")
+    assert "Exchange" not in N.bilateral(df, 2.0, 32.0)._jdf.queryExecution().executedPlan().toString()
