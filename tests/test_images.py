@@ -11,6 +11,7 @@ from quillframe.operators import aggregates as A
 from quillframe.operators import clustering as C
 from quillframe.operators import features as V
 from quillframe.operators import geometry as G
+from quillframe.operators import matching as M
 from quillframe.operators import neighbourhood as N
 from quillframe.operators import morph
 from quillframe.sources import pictures, pnm
@@ -208,3 +209,21 @@ def test_equal_variances_tie_whatever_the_order_of_rows(spark):
     df = spark.createDataFrame([(k, 8, 8, HALFWAY) for k in range(40)], "image_id long, width int, height int, data array<int>")
     found = A.skew_variance(df, [-7, -6, -5, -4]).collect()
     assert {r["variance"] for r in found} == {238.416992188} and len(found) == 160
+
+
+def test_matrices_and_their_chunks_by_tiles(spark, monkeypatch):
+    for name, n in (("TILE", 7), ("BLOCK", 3), ("STRIP", 10)):
+        monkeypatch.setattr(M, name, n)
+    values = np.random.default_rng(3).integers(0, 256, (23, 5))
+    df = spark.createDataFrame([(k * 3 + 1, v.tolist()) for k, v in enumerate(values)], "image_id long, data array<int>")
+    cost = {(a * 3 + 1, b * 3 + 1): int(((values[a] - values[b]) ** 2).sum()) for a, b in itertools.combinations(range(23), 2)}
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    matrix = M.cost_matrix(df)
+    assert rows(matrix) == sorted((*p, c) for p, c in cost.items())
+    assert rows(M.symmetric_matrix(df)) == sorted([(*p, c) for p, c in cost.items()] + [(j, i, c) for (i, j), c in cost.items()] + [(k * 3 + 1, k * 3 + 1, 0) for k in range(23)])
+    chunks = ["i % 4 in (0, 1)", "i % 8 in (1, 2)"]
+    found = M.matrix_of_chunks(df, chunks)
+    assert rows(found) == rows(M.union_chunks([matrix.filter(c) for c in chunks]))
+    assert "HashAggregate(keys=[i" not in found._jdf.queryExecution().executedPlan().toString()  # no cell is shuffled
+    assert sorted(r["i"] for r in M.matrix_rows(df).collect()) == sorted({i for i, _ in cost})
+    assert "MapInPandas" not in M.matrix_rows(df)._jdf.queryExecution().executedPlan().toString()
