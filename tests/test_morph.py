@@ -317,3 +317,18 @@ def test_matrix_has_each_pair_once(spark):
     got = {(r["i"], r["j"]): r["cost"] for r in morph.fast_matrix(frame(spark, inks)).collect()}
     assert got.keys() == {(i, j) for i in range(1, 6) for j in range(i + 1, 6)}
     assert all(abs(c - costs_of(fast_way, inks[i - 1], inks[j - 1])) < 1e-8 for (i, j), c in got.items())
+
+
+def test_costs_and_maps_of_whole_blocks_are_those_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(V, "TOGETHER", 150)
+    rng = np.random.default_rng(12)
+    frame = lambda ids: spark.createDataFrame([(k, (rng.integers(0, 4, (int(rng.integers(1, 9)), 4)) / 3.0).tolist()) for k in ids], "image_id long, fv array<array<double>>").cache()
+    a, b = frame(range(0, 60, 5)), frame(range(1, 40))
+    pairs = V.align_pairs(a, b, band=2)
+    want = {(r["a_id"], r["b_id"]): r["cost"] for r in pairs.collect()}
+    assert {(r["a_id"], r["b_id"]): r["cost"] for r in V.pair_costs(a, b, band=2).collect()} == want and len(want) == 12 * 39
+    rows = lambda d: sorted((r["a_id"], r["b_id"], r["x_a"], r["x_b"]) for r in d.collect())
+    for of in "ab":
+        found = V.pair_maps(a, b, of, band=2)
+        assert rows(found) == rows(V.coordinate_map(pairs, of))
+        assert "HashAggregate(keys=[a_id" not in found._jdf.queryExecution().executedPlan().toString()
