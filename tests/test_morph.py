@@ -249,6 +249,25 @@ def test_full_costs_against_loops(shape, words_8):
     assert np.allclose(got, [costs_of(full_way, a, b) for a, b in pairs], atol=1e-9)
 
 
+def test_fast_costs_of_blocks_are_aligned_together(words_8, monkeypatch):
+    """Two blocks of one shape take two alignments a way, however many pairs they have; equal images and blank ones are among them."""
+    calls, align = [], morph.placed
+    monkeypatch.setattr(morph, "placed", lambda *a: (calls.append(a), align(*a))[1])
+    got = morph.fast_costs(sides(words_8[4:]), sides(words_8 + [word(8, 8, 30)]))
+    assert len(calls) == 4 and got.shape == (4, 9)
+    assert np.allclose(got[:, :3], [[costs_of(fast_way, a, b) for b in words_8[:3]] for a in words_8[4:]], atol=1e-9)
+
+
+def test_best_by_fast_cost_leave_their_blocks_alone(spark, monkeypatch):
+    """Of each pair of blocks only the best go on, ties by the smaller id."""
+    monkeypatch.setattr(morph, "BLOCKS", (2, 4))
+    tests, train = [word(8, 8, k) for k in range(3)], [word(8, 8 + k % 2, 20 + k % 5) for k in range(10)]
+    a, b = frame(spark, tests), frame(spark, train, 101)
+    some, every = morph.fast_matches(a, b, best=2), morph.fast_matches(a, b)
+    rows = lambda d: sorted(tuple(r) for r in M.ranked_best(d, 2).collect())
+    assert rows(some) == rows(every) and some.count() < every.count() == 30
+
+
 def test_costs_tell_words_apart():
     """A word moved by one sample costs less than another word, and the same word nothing."""
     a = word(20, 40, 7, 6)
