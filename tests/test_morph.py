@@ -331,6 +331,17 @@ def test_warp_follows_the_alignment(spark):
         assert all(back[101 + k, j] == max(max(i, 0) for i, q in path if max(q, 0) == j) for j in range(len(ink[0])))
 
 
+def test_only_wanted_pairs_are_aligned(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    side = lambda ids: spark.createDataFrame([(k, rng.random((3 + k % 3, 4)).tolist()) for k in ids], "image_id long, fv array<array<double>>").cache()
+    a, b = side(range(4)), side(range(10, 17))
+    wanted = spark.createDataFrame([(0, 12), (3, 16), (3, 10)], "a_id long, b_id long")
+    rows = lambda d: sorted((r["a_id"], r["b_id"], r["cost"], r["path"]) for r in d.collect())
+    found = V.align_some(wanted, a, b)
+    assert rows(found) == rows(V.align_pairs(a, b).join(wanted, ["a_id", "b_id"]))
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
 def test_matrix_has_each_pair_once(spark):
     inks = [word(8, 8, 60 + k) for k in range(5)]
     got = {(r["i"], r["j"]): r["cost"] for r in morph.fast_matrix(frame(spark, inks)).collect()}
