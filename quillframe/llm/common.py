@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.sources.tables import stored
+from quillframe.sources.tables import freed, stored, thinned, written
 
-__all__ = ["SPACES", "UPPER", "doc_key", "fold", "lower_ascii", "might_be_in", "read", "stored"]
+__all__ = ["SPACES", "UPPER", "doc_key", "fold", "freed", "lower_ascii", "might_be_in", "read", "stored", "thinned", "written"]
 
-#: Bits of a filter for each key, and the most of them: 16 MB.
+#: Bits of a filter for each key, if they are no more than the most of them: 16 MB.
 KEY_BITS, FILTER_BITS = 16, 1 << 27
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,13 +44,13 @@ def might_be_in(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
 def told_apart(rows: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
     """rows and _might: whether their columns hash like those of some row of keys.
 
-    keys is written already. A bit for each hash is broadcast, FILTER_BITS at most; if keys are too many for that, all rows might.
+    keys is written already. A bit for each hash is broadcast, FILTER_BITS at most: of rows without a key, n keys let n / bits through or less. If there are as many keys as bits, all rows might.
     """
     bits = 1 << 15
     n = keys.count()
-    while bits < KEY_BITS * n:
+    while bits < KEY_BITS * n and bits < FILTER_BITS:
         bits *= 2
-    if bits > FILTER_BITS:
+    if n >= bits:
         return rows.withColumn("_might", F.lit(True))
     place = F.pmod(F.xxhash64(*columns), F.lit(bits))
     maps = keys.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("_map")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("_bits"))

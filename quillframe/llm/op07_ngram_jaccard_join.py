@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import might_be_in, read, stored, told_apart
+from quillframe.llm.common import freed, might_be_in, read, stored, thinned, told_apart, written
 from quillframe.llm.graph import components
 
 WORDS = 3
@@ -382,10 +382,12 @@ def signed_again(docs: DataFrame, reps: DataFrame, percent: int, words: int) ->
     """(rep, sigs): the group signatures of classes that have enough of their sample in common with others to be linked."""
     held = reps.select("rep", F.explode("sigs").alias("sig"))
     met = stored(held.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("sig"), "sample-met")
+    freed(docs.sparkSession)
     shared = might_be_in(held, met, "sig").join(met, "sig").groupBy("rep").agg(F.count(F.lit(1)).alias("met"))
     alone = F.size("sigs") - F.coalesce("met", F.lit(0))
     likely = reps.join(shared, "rep", "left").filter(100 * alone <= (100 - percent) * F.col("n_shingles"))
     likely = stored(likely.select(F.col("rep").alias("node"), "first_id", "first_hash"), "likely")
+    freed(docs.sparkSession)
 
     @F.arrow_udf("array<long>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -409,14 +411,27 @@ def set_classes(sketched: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, words: int, percent: int, cell_docs: int, cell_shingles: int) -> DataFrame:
     """(doc_id, text_hash, d1, d2, n_shingles, component_id, leads), one row for each row of docs; rows that lead are of the first set of their group."""
     sketched = stored(sketches(docs, percent, words), "sketches")
+    whole = written()[-1]
     reps = stored(set_classes(sketched), "classes")
-    signed = signed_again(docs, reps, percent, words) if has_few(percent) else reps.select("rep", "sigs")
+    classes = written()[-1]
+    # Signatures are most of what is written: a text's are its class' from here on, and those of classes go when they have been compared.
+    sketched = thinned(sketched, whole, "doc_id", "text_hash", *SAME)
+    slim = [c for c in reps.columns if c != "sigs"]
+    if has_few(percent):
+        signed = signed_again(docs, reps, percent, words)
+        reps = thinned(reps, classes, *slim)
+    else:
+        signed = reps.select("rep", "sigs")
     # Of each class, the smallest classes that have its signatures, and with how many others it shares them.
     by_sig = signed.select("rep", F.explode("sigs").alias("sig"))
     shared = by_sig.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("shares")).filter("low < high").drop("high")
     shared = stored(shared, "shared-signatures")
+    freed(docs.sparkSession)
     beside = might_be_in(by_sig, shared, "sig").join(shared, "sig")
     beside = stored(beside.groupBy("rep").agg(F.sort_array(F.collect_set("low")).alias("lows"), F.sum("shares").alias("degree")), "beside")
+    if not has_few(percent):
+        reps = thinned(reps, classes, *slim)
+    freed(docs.sparkSession)
     # A class beside the first of these, and each of them beside the next: members of a group mostly have the same ones.
     chain = F.expr("explode(transform(lows, (low, k) -> struct(if(k = 0, rep, lows[k - 1]) as a, low as b)))")
     edges = beside.select(chain.alias("e")).select("e.a", "e.b")
@@ -453,7 +468,7 @@ def linked_in_regions(
     roots = components(links.select("a", "b"))
     order = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "node")
     groups = roots.join(firsts, "node").groupBy("root").agg(F.min(order).alias("first"))
-    classes = reps.drop("sigs").join(roots.join(groups, "root").select(F.col("node").alias("rep"), "first"), "rep", "left")
+    classes = reps.select(*SAME, "rep", "first_id", "first_hash").join(roots.join(groups, "root").select(F.col("node").alias("rep"), "first"), "rep", "left")
     classes = classes.select(*SAME, F.coalesce("first.first_id", "first_id").alias("component_id"), F.coalesce(F.col("first.node") == F.col("rep"), F.lit(True)).alias("leads"))
     with_words = sketched.filter("n_shingles > 0").select("doc_id", "text_hash", *SAME).join(classes, SAME)
     without = sketched.filter("n_shingles = 0").select("doc_id", "text_hash", *SAME, F.col("doc_id").alias("component_id"), F.lit(True).alias("leads"))
